@@ -31,6 +31,12 @@ def pack(*arrays: np.ndarray) -> bytes:
     return head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
+def small(a: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in the narrowest type that holds them."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8")
+
+
 def unpack(cell: bytes) -> list[np.ndarray]:
     n, at = cell[0], 1
     heads = []
