@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, jaccard, lm_score, packing, pii, quality, secret_scan, substring_dedup
+from lectern.llm import decontaminate, jaccard, lm_score, near_vectors, packing, pii, quality, secret_scan, substring_dedup
 
 
 def queries() -> dict:
-    return {"op2_quality": quality.op2_quality, "op3_substring_dedup": substring_dedup.op3_substring_dedup, "op5_pii": pii.op5_pii, "op6_jaccard": jaccard.op6_jaccard, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_packing": packing.op8_packing, "op9_secrets": secret_scan.op9_secrets, "op10_lm_score": lm_score.op10_lm_score}
+    return {"op2_quality": quality.op2_quality, "op3_substring_dedup": substring_dedup.op3_substring_dedup, "op4_near_vectors": near_vectors.op4_near_vectors, "op5_pii": pii.op5_pii, "op6_jaccard": jaccard.op6_jaccard, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_packing": packing.op8_packing, "op9_secrets": secret_scan.op9_secrets, "op10_lm_score": lm_score.op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:
