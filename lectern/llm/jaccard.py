@@ -6,15 +6,18 @@ of equal sets are one node, named by a hash of the set. Two nodes link at simila
 1. *Candidates by size-derived bounds.* In any fixed order of shingles, linked sets of n shingles share one
    of their first ``n - ceil(t n) + 1``. Only these go to the shingle's bucket, shingles of many documents
    ordered last (found in one counting pass; at most ``mean size / HEAVY`` of them). A list there holds the
-   sets with that shingle; members without a partner within the size ratio, or in pairs beyond the positional
-   bound, are discarded. All members of a list are assigned to the block of the list's least member.
-2. *Blocks.* A block receives its members' texts once each and multiplies its document-by-shingle matrix row
+   sets with that shingle; it is cut where sizes differ too much, and pairs beyond the positional bound are
+   discarded. All members of a list are assigned to the block of the list's least member.
+2. *A bound by bits.* A set's bitmap holds, for each of about n places, the parity of the shingles hashed there. Bitmaps
+   of two sets differ in no more places than the sets in shingles, so members whose bitmap is too far from
+   every other in the block are discarded, exactly.
+3. *Blocks.* A block receives its members' texts once each and multiplies its document-by-shingle matrix row
    by row: a row's overlap counts are accumulated from the postings of sets not yet reached, those at the
    threshold are linked and reached, and reached sets leave the postings. Every pair that the bounds admit
    shares a block, and a pair is only skipped if a path of links already joins it.
-3. *Large blocks* are split by a hash of the member, each part with the block's first set. Members not joined
+4. *Large blocks* are split by a hash of the member, each part with the block's first set. Members not joined
    to that set in their part are compared with all parts in a second step; those joined need no more.
-4. Components of the links; each document takes the least doc_id of its component.
+5. Components of the links; each document takes the least doc_id of its component.
 
 Shingles and sets are compared by 64-bit hashes.
 
@@ -41,6 +44,8 @@ from lectern.llm.textkernel import runs, shingles, splitmix, words
 
 #: A shingle of this share of the documents or more is ordered last.
 HEAVY = 1 / 500
+#: Longest list of which all pairs are held against the positional bound.
+CLOSE = 24
 #: Members of a block's part.
 PART = 2048
 BUCKET_BYTES = 24 << 20
@@ -86,24 +91,76 @@ def lists(h: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray,
     if not len(h):
         return _EMPTY, _EMPTY
     by_size = np.lexsort((size, h))
-    hs, ns, ps = h[by_size], size[by_size], place[by_size]
-    first = np.flatnonzero(np.insert(hs[1:] != hs[:-1], 0, True))
-    length = np.diff(np.append(first, len(hs)))
-    near = (hs[1:] == hs[:-1]) & (100 * ns[:-1] >= per_cent * ns[1:])
-    two = np.repeat(length == 2, length)[:-1]
-    near &= ~two | admitted(ns[:-1], ns[1:], ps[:-1], ps[1:], per_cent)
+    h, name, size, place = h[by_size], name[by_size], size[by_size], place[by_size]
+    # similar sizes follow each other: a list falls apart where neighbours' sizes do
+    part = np.cumsum(np.insert((h[1:] != h[:-1]) | (100 * size[:-1] < per_cent * size[1:]), 0, True))
     alive = np.zeros(len(h), dtype=bool)
-    alive[by_size] = np.append(near, False) | np.insert(near, 0, False)
-    h, name = h[alive], name[alive]
-    if not len(h):
+    for d in range(1, CLOSE + 1):  # short lists: all pairs; long ones keep every member
+        if len(h) <= d:
+            break
+        ok = (part[d:] == part[:-d]) & admitted(size[:-d], size[d:], place[:-d], place[d:], per_cent)
+        alive[d:] |= ok
+        alive[:-d] |= ok
+    alive |= (np.bincount(part) > CLOSE)[part]
+    part, name = part[alive], name[alive]
+    if not len(part):
         return _EMPTY, _EMPTY
-    begin = np.insert(h[1:] != h[:-1], 0, True)
+    order = np.lexsort((name, part))
+    part, name = part[order], name[order]
+    begin = np.insert(part[1:] != part[:-1], 0, True)
     least = name[np.flatnonzero(begin)][np.cumsum(begin) - 1]
     real = least != name
     pairs = np.unique(np.column_stack([least[real], name[real]]), axis=0) if real.any() else np.zeros((0, 2), np.uint64)
     return pairs[:, 0], pairs[:, 1]
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Parities of a set's shingles by place; the places are the least power of two from 256 and from the set's size on."""
+    bits = max(8, int(len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(bool)).tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap with fewer places: neighbouring places share one, and their parities add up."""
+    b = np.unpackbits(bits)
+    return np.packbits(np.bitwise_xor.reduce(b.reshape(size * 8, -1), axis=1))
+
+
+def within_bits(maps: list[np.ndarray], size: np.ndarray, per_cent: int) -> np.ndarray:
+    """The sets, by bitmap and size, that may be similar enough to another one; with the first set, if any is."""
+    m = len(maps)
+    near = np.zeros(m, dtype=bool)
+    width = np.array([len(x) for x in maps])
+    levels = {int(w): {int(v): np.stack([_folded(maps[i], int(w)) if v > w else maps[i] for i in np.flatnonzero(width == v)]) for v in np.unique(width) if v >= w} for w in np.unique(width)}
+
+    def close(a: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others within bounds of a."""
+        out = np.zeros(len(others), dtype=bool)
+        limit = (100 - per_cent) * (size[a] + size[others]) // (100 + per_cent)
+        for w in np.unique(width[others]):
+            at = np.flatnonzero(width[others] == w)
+            low = int(min(w, width[a]))
+            table, mine = levels[low][int(w)], levels[low][int(width[a])]
+            row = mine[place[a]]
+            out[at] = np.bitwise_count(table[place[others[at]]] ^ row).sum(axis=1, dtype=np.int64) <= limit[at]
+        return out & (100 * np.minimum(size[a], size[others]) >= per_cent * np.maximum(size[a], size[others]))
+
+    place = np.zeros(m, dtype=np.int64)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+    hit = close(0, np.arange(1, m))
+    near[1:] = hit
+    for a in np.flatnonzero(~near[1:]) + 1:
+        if not near[a]:
+            others = np.delete(np.arange(m), [0, a])
+            ok = others[close(a, others)]
+            near[ok] = True
+            near[a] = len(ok) > 0
+    near[0] = near.any()
+    return near
+
+
 def linked(rows: list[np.ndarray], per_cent: int, start: int = 0, against: int | None = None) -> list[tuple[int, int]]:
     """Links that join all components of the sets, found from ``start`` on. With ``against``, all links of the first ``against`` sets with the rest instead."""
     m = len(rows)
@@ -207,14 +264,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_b
                 begin = np.concatenate([[0], np.cumsum(size)])[:-1]
                 place = np.arange(len(row)) - begin[row]
                 keep = fresh[row] & (place <= size[row] - -(-per_cent * size[row] // 100))
-                parts.append((h[keep], row[keep] + i, place[keep].astype(np.uint32), size, name))
+                bits = [bitmap(x) for x in np.split(h, begin[1:])] if len(size) else []
+                parts.append((h[keep], row[keep] + i, X.small(place[keep]), size, name, np.array(bits, dtype=object)))
             if not parts:
                 continue
-            h, row, place, size, name = (np.concatenate(c) for c in zip(*parts, strict=True))
-            out = [(b, 1, X.pack(doc[at], name[at], size[at].astype(np.uint32))) for b, at in X.by_bucket(X.bucket_of(splitmix(doc.view(np.uint64)), buckets))]
+            h, row, place, size, name, bits = (np.concatenate(c) for c in zip(*parts, strict=True))
+            out = [(b, 1, X.pack(doc[at], name[at], size[at].astype(np.uint32), np.frombuffer(b"".join(bits[at]), dtype=np.uint8))) for b, at in X.by_bucket(X.bucket_of(splitmix(doc.view(np.uint64)), buckets))]
             for b, at in X.by_bucket(X.bucket_of(h, buckets)):
                 used, inverse = np.unique(row[at], return_inverse=True)
-                out.append((b, 0, X.pack(h[at], inverse.astype(np.uint32), place[at], name[used], size[used].astype(np.uint32))))
+                out.append((b, 0, X.pack(h[at], X.small(inverse), X.small(place[at]), name[used], size[used].astype(np.uint32))))
             yield X.rows(out)
 
     def candidates(table: pa.Table) -> pa.Table:
@@ -225,15 +283,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_b
             d = np.concatenate([p[1].astype(np.int64) + f for p, f in zip(parts, first, strict=False)])
             h, place, name, size = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
             a, b = lists(h, name[d], size[d].astype(np.int64), place.astype(np.int64), per_cent)
-        doc, name, size = X.joined(X.cells(table, 1), ("<i8", "<u8", "<u4"))
+        doc, name, size, raw = X.joined(X.cells(table, 1), ("<i8", "<u8", "<u4", "u1"))
+        width = np.array([1 << max(8, int(x - 1).bit_length()) >> 3 for x in size.tolist()], dtype=np.int64)
+        ends = np.cumsum(width)
+        raw = raw.tobytes()
+        bits = [None] * len(a) + [raw[e - w : e] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
         kind = np.repeat(np.array([0, 1], dtype=np.int32), [len(a), len(doc)])
-        return pa.table({"kind": kind, "x": np.concatenate([a.view(np.int64), doc]), "y": np.concatenate([b.view(np.int64), name.view(np.int64)]), "n": np.concatenate([np.zeros(len(a), np.int64), size.astype(np.int64)])})
+        return pa.table({"kind": kind, "x": np.concatenate([a.view(np.int64), doc]), "y": np.concatenate([b.view(np.int64), name.view(np.int64)]), "n": np.concatenate([np.zeros(len(a), np.int64), size.astype(np.int64)]), "bits": pa.array(bits, pa.binary())})
 
-    found = docs.mapInArrow(entries, X.ROWS).groupBy("bucket").applyInArrow(candidates, "kind int, x long, y long, n long").checkpoint()
+    found = docs.mapInArrow(entries, X.ROWS).groupBy("bucket").applyInArrow(candidates, "kind int, x long, y long, n long, bits binary").checkpoint()
     rows = found.where("kind = 1").select(F.col("x").alias("doc_id"), F.col("y").alias("set_id"), "n")
     pairs = found.where("kind = 0").select(F.col("x").alias("center"), F.col("y").alias("member")).distinct()
     # NULL_ID is the least number, so a set with other documents would be named by it
     named = rows.where("n > 0").groupBy("set_id").agg(F.min(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).alias("least"))
+    maps = found.where("kind = 1 AND n > 0").groupBy(F.col("y").alias("member")).agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -244,7 +307,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_b
     sizes = pairs.groupBy("center").agg(F.count("*").alias("m")).select("center", (1 + F.floor((F.col("m") - 1) / part)).cast("int").alias("k")).checkpoint()
     cut = sizes.where("k > 1")
     dealt = pairs.join(cut, "center", "left").select("center", F.coalesce("k", F.lit(1)).alias("k"), F.pmod(F.xxhash64("member"), F.coalesce("k", F.lit(1))).cast("int").alias("part"), "member")
-    seats = dealt.unionByName(sizes.select("center", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("center").alias("member"))).withColumn("asks", F.lit(0))
+    seats = dealt.unionByName(sizes.select("center", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("center").alias("member")))
+
+    def admissible(table: pa.Table) -> pa.Table:
+        c, p, k, member, n_ = (table.column(x).to_numpy() for x in ("center", "part", "k", "member", "n"))
+        bits = table.column("bits")
+        order = np.lexsort((member, member != c, p, c))
+        edge = np.concatenate([[0], np.flatnonzero((c[order][1:] != c[order][:-1]) | (p[order][1:] != p[order][:-1])) + 1, [len(c)]])
+        stay = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            at = order[a:b]
+            if k[at[0]] > 1:  # other parts may hold its partners
+                stay.append(at)
+            elif b - a > 1:
+                stay.append(at[within_bits([np.frombuffer(bits[int(i)].as_py(), dtype=np.uint8) for i in at], n_[at], per_cent)])
+        kept = np.concatenate(stay) if stay else np.zeros(0, np.int64)
+        return table.select(["center", "k", "part", "member"]).take(pa.array(kept))
+
+    block = F.pmod(F.xxhash64("center", "part"), F.lit(buckets * 4))
+    seats = seats.join(maps, "member").withColumn("bucket", block).groupBy("bucket").applyInArrow(admissible, "center long, k int, part int, member long").withColumn("asks", F.lit(0)).checkpoint()
 
     def with_text(seats: DataFrame) -> DataFrame:
         one = seats.select("member").distinct().join(named, F.col("member") == F.col("set_id")).select("member", F.coalesce("least", F.lit(NULL_ID)).alias("doc_id"))
