@@ -1,11 +1,15 @@
-"""The queries of the engine and, for each, the SQL that DuckDB answers alike."""
+"""The queries of the engine and, for each that SQL can express, what DuckDB answers alike."""
 
 from __future__ import annotations
 
+from lectern.plans import join_queries, metric_queries, text_queries
+
+MODULES = (text_queries, join_queries, metric_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
