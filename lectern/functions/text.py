@@ -28,7 +28,7 @@ def excerpt(text: Column, words: int) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?؟])\s+|\n+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?؟])\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strip_fences(text: Column) -> Column:
@@ -51,7 +51,7 @@ def ip_hash(secret: str, day: Column, ip: Column) -> Column:
 
 def client_ip(forwarded: Column, remote: Column, proxies: int) -> Column:
     """The entry that the outermost trusted proxy wrote."""
-    hops = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), F.trim), lambda x: x != "")
+    hops = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     if proxies <= 0:
         return remote
     return F.when(F.size(hops) == 0, remote).otherwise(F.element_at(hops, -F.least(F.lit(proxies), F.size(hops))))

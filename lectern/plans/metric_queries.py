@@ -205,9 +205,9 @@ def json_path(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS at, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
- f AS (SELECT user_id, event_id, k, true AS allowed, [at] AS recent FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, len(list_filter(f.recent, lambda r: r > e.at - 86400000)) < 2,
- CASE WHEN len(list_filter(f.recent, lambda r: r > e.at - 86400000)) < 2 THEN list_append(list_filter(f.recent, lambda r: r > e.at - 86400000), e.at) ELSE list_filter(f.recent, lambda r: r > e.at - 86400000) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t_ms, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+ f AS (SELECT user_id, event_id, k, true AS allowed, [t_ms] AS recent FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, len(list_filter(f.recent, lambda r: r > e.t_ms - 86400000)) < 2,
+ CASE WHEN len(list_filter(f.recent, lambda r: r > e.t_ms - 86400000)) < 2 THEN list_append(list_filter(f.recent, lambda r: r > e.t_ms - 86400000), e.t_ms) ELSE list_filter(f.recent, lambda r: r > e.t_ms - 86400000) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
  SELECT user_id, event_id AS id, allowed FROM f""")
 def rate_limit_window(spark, sf):
     e = table(spark, sf, "events").select("user_id", ms().alias("at"), F.col("event_id").alias("id"))
