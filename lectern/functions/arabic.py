@@ -64,19 +64,28 @@ def space_tokens(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda x: x != "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def light_stem(word: Column) -> Column:
     """One prefix (or a particle before the article), then one suffix, if enough letters stay. Not idempotent: apply once."""
-    size = F.length(word)
-    cut = word
-    for k, p in enumerate(reversed((*STEM_PREFIXES, None))):
-        if p is None:
-            cut = F.when(F.left(word, F.lit(1)).isin(*STEM_PARTICLES) & (F.substr(word, F.lit(2), F.lit(2)) == "ال") & (size - 1 >= LEAST_STEM), F.substr(word, F.lit(2))).otherwise(word)
-        else:
-            cut = F.when(word.startswith(p) & (size - len(p) >= LEAST_STEM), F.substr(word, F.lit(len(p) + 1))).otherwise(cut)
-    out = cut
-    for s in reversed(STEM_SUFFIXES):
-        out = F.when(cut.endswith(s) & (F.length(cut) - len(s) >= LEAST_STEM), F.left(cut, F.length(cut) - len(s))).otherwise(out)
-    return F.when(word.rlike(r"^\p{L}"), out).otherwise(word)
+
+    def prefix(w: Column) -> Column:
+        particle = F.left(w, F.lit(1)).isin(*STEM_PARTICLES) & (F.substr(w, F.lit(2), F.lit(2)) == "ال") & (F.length(w) - 1 >= LEAST_STEM)
+        out = F.when(particle, F.substr(w, F.lit(2))).otherwise(w)
+        for p in reversed(STEM_PREFIXES):
+            out = F.when(w.startswith(p) & (F.length(w) - len(p) >= LEAST_STEM), F.substr(w, F.lit(len(p) + 1))).otherwise(out)
+        return out
+
+    def suffix(w: Column) -> Column:
+        out = w
+        for x in reversed(STEM_SUFFIXES):
+            out = F.when(w.endswith(x) & (F.length(w) - len(x) >= LEAST_STEM), F.left(w, F.length(w) - len(x))).otherwise(out)
+        return out
+
+    return F.when(word.rlike(r"^\p{L}"), let(let(word, prefix), suffix)).otherwise(word)
 
 
 def stem_text(normalized: Column) -> Column:

@@ -42,15 +42,21 @@ def postings(docs: DataFrame, doc: str, text: Column) -> DataFrame:
 
 def vocabulary_costs(post: DataFrame, query: list[tuple[str, bool]]) -> DataFrame:
     """(qpos, word, stems, typos) of the vocabulary's words that a query word reaches. The distance runs on distinct words behind a prefilter."""
-    spark = post.sparkSession
-    q = spark.createDataFrame([(i, w, s) for i, (w, s) in enumerate(query)], "qpos int, q string, strict boolean")
-    pairs = post.select("word").distinct().join(F.broadcast(q), (F.col("q") == F.col("word")) | (~F.col("strict") & (fuzzy.comparable(F.col("q"), F.col("word")) | fuzzy.stem_match(F.col("q"), F.col("word")))))
-    needs = fuzzy.comparable(F.col("q"), F.col("word")) & (F.col("q") != F.col("word"))
+    q = post.sparkSession.createDataFrame([(i, w, s) for i, (w, s) in enumerate(query)], "qpos int, q string, strict boolean")
+    vocabulary = post.select("word").distinct()
+    if all(s for _, s in query):
+        return vocabulary.join(F.broadcast(q), F.col("q") == F.col("word")).select("qpos", "word", F.lit(0).alias("stems"), F.lit(0).alias("typos"))
+    q = q.withColumn("q_stem", light_stem(F.col("q")))
+    near = fuzzy.comparable(F.col("q"), F.col("word"))
+    same_stem = (F.length("q_stem") >= fuzzy.LEAST_STEM) & (F.col("q_stem") == F.col("stem"))
+    pairs = vocabulary.withColumn("stem", light_stem(F.col("word"))).join(F.broadcast(q), (F.col("q") == F.col("word")) | (~F.col("strict") & (near | same_stem)))
+    needs = near & (F.col("q") != F.col("word"))
     if any(len(w) >= fuzzy.ONE_TYPO_LETTERS and not s for w, s in query):
         pairs = pairs.withColumn("d", fuzzy.osa_distance(F.when(needs, F.col("q")), F.when(needs, F.col("word"))))
     else:
         pairs = pairs.withColumn("d", F.lit(None).cast("int"))
-    cost = fuzzy.word_cost(F.col("q"), F.col("strict"), F.col("word"), F.col("d"))
+    typos = fuzzy.typo_cost(F.col("q"), F.col("word"), F.col("d"))
+    cost = F.when(typos.isNotNull(), F.struct(F.lit(0).alias("stems"), typos.cast("int").alias("typos"))).when(same_stem, F.struct(F.lit(1).alias("stems"), F.lit(0).alias("typos")))
     return pairs.select("qpos", "word", cost.alias("c")).where("c IS NOT NULL").select("qpos", "word", "c.stems", "c.typos")
 
 
