@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranking import numbered
+
 # --- fixed values ---------------------------------------------------------------
 PEAKS = 800
 GATES = (("recall_at_8", 0.80, True), ("abstention", 0.90, True), ("citation_validity", 0.95, True), ("unsupported", 0.05, False))
@@ -33,18 +35,13 @@ def nested_mapping(ranges: DataFrame) -> DataFrame:
 def peaks(samples: DataFrame, order: list[str], value: str, n: int = PEAKS) -> DataFrame:
     """Greatest magnitude of each of n buckets (the first ones take what does not divide), over the loudest, to four digits; empty ones are 0.
 
-    Buckets come from each row's place: places are made by a distributed sort and the partitions' sizes, without one window over all.
+    Buckets come from each row's place in the order.
     """
-    spark = samples.sparkSession
-    placed = samples.select(F.struct(*order).alias("o"), F.abs(value).alias("v")).repartitionByRange("o").sortWithinPartitions("o")
-    placed = placed.select("o", "v", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    start = placed.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("m0"))
-    before = start.withColumn("at", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    i = F.col("m") - F.col("m0") + F.col("at")
-    q, r = F.floor(F.col("total") / n), F.col("total") % n
+    placed = numbered(samples.select(*order, F.abs(value).alias("v")), order, "place", "total")
+    i, q, r = F.col("place") - 1, F.floor(F.col("total") / n), F.col("total") % n
     bucket = F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / F.greatest(q, F.lit(1))))
-    loud = placed.join(F.broadcast(before), "p").select(bucket.cast("long").alias("bucket"), "v").groupBy("bucket").agg(F.max("v").alias("v"))
-    every = spark.range(n).select(F.col("id").alias("bucket")).join(loud, "bucket", "left")
+    loud = placed.select(bucket.cast("long").alias("bucket"), "v").groupBy("bucket").agg(F.max("v").alias("v"))
+    every = samples.sparkSession.range(n).select(F.col("id").alias("bucket")).join(loud, "bucket", "left")
     top = F.max("v").over(Window.partitionBy())
     return every.select("bucket", F.coalesce(F.when(top > 0, F.round(F.col("v") / top, 4)), F.lit(0.0)).alias("peak"))
 

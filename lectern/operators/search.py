@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fuzzy
 from lectern.functions.arabic import DIGITS_FROM, DIGITS_TO, FOLDED_FROM, FOLDED_TO, STRIPPED, light_stem, normalize_index, tokens
+from lectern.operators.ranking import numbered
 
 _QUOTED = re.compile(r'"([^"]*)"|«([^»]*)»|“([^”]*)”')
 _FOLD = {ord(a): b for a, b in zip(FOLDED_FROM + DIGITS_FROM, FOLDED_TO + DIGITS_TO, strict=True)} | {ord(c): None for c in STRIPPED}
@@ -72,8 +73,7 @@ def phrase_match(post: DataFrame, query: list[tuple[str, bool]]) -> DataFrame:
 
 def verified(matches: DataFrame, relevance: Column | None = None) -> DataFrame:
     """Matches with their rank by (stems, typos, relevance, doc) and the exact total."""
-    order = Window.orderBy("stems", "typos", *([relevance.desc()] if relevance is not None else []), "doc")
-    return matches.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy()))
+    return numbered(matches, ["stems", "typos", *([relevance.desc()] if relevance is not None else []), "doc"], "rank", "total")
 
 
 def lexical_search(docs: DataFrame, doc: str, text: str, query: str, latin: bool = False) -> DataFrame:
@@ -90,8 +90,8 @@ def fuse(lists: DataFrame, k: int = 60, limit: int = 40) -> DataFrame:
     """Reciprocal rank fusion of (list_index, rank, id, weight): repeated ids of a list count once, but keep their places."""
     first = lists.groupBy("list_index", "id").agg(F.min("rank").alias("rank"), F.first("weight").alias("weight"))
     got = first.groupBy("id").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("list_index", "rank")).alias("first"))
-    order = Window.orderBy(F.desc("score"), "first", "id")
-    return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("id", "score", "place")
+    best = got.orderBy(F.desc("score"), "first", "id").limit(limit)  # the window only sees what the limit leaves
+    return best.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "first", "id")).alias("place"))
 
 
 def lexical_fill(post: DataFrame, stems: list[str], limit: int = 50) -> DataFrame:
@@ -99,8 +99,8 @@ def lexical_fill(post: DataFrame, stems: list[str], limit: int = 50) -> DataFram
     q = post.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(stems)], "word string")
     hit = post.join(F.broadcast(q), "word").groupBy("doc").agg(F.countDistinct("word").alias("n_terms"), F.count("*").alias("hits"))
     full = F.col("n_terms") == len(set(stems))
-    order = Window.orderBy(full.desc(), F.desc("hits"), "doc")
-    return hit.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("doc", full.alias("all_terms"), "hits", "place")
+    best = hit.select("doc", full.alias("all_terms"), "hits").orderBy(F.desc("all_terms"), F.desc("hits"), "doc").limit(limit)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("all_terms"), F.desc("hits"), "doc")))
 
 
 def cover_density(post: DataFrame, stems: list[str]) -> DataFrame:
