@@ -1,6 +1,7 @@
 """Operator 7: benchmark decontamination by a BM25 index with block-max WAND.
 
-Benchmark items are the indexed documents; every passage of every text is a query. Passages are
+Benchmark items are the indexed documents, their terms are pairs of neighbouring words (single words bound
+scores too loosely: common ones occur in every passage); every passage of every text is a query. Passages are
 windows of ``span`` words with a step of half that; ``span`` is at least twice the longest item's words, so
 that each item that occurs in a text lies whole in some passage. An item's BM25 weights are divided by
 their sum, so that a score is the share of the item's weight that a passage covers.
@@ -18,7 +19,8 @@ mark, or else at half its words.
 The index is broadcast. It is bounded: items are taken in chunks of at most ``CHUNK_BYTES`` of text, one pass
 over the documents for each (a benchmark beyond one chunk is rare).
 
-Defined results: null or empty texts have no passages and are clean; null or empty items are ignored; equal
+Defined results: null or empty texts have no passages and are clean; null items and items of fewer than three
+words, which tell nothing, are ignored; equal
 items each count; a null ``doc_id`` stays null; repeated rows each give a row; other columns are kept by
 ``contaminated`` and ignored by the query; empty tables give no rows, or clean ones.
 """
@@ -32,30 +34,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.textkernel import runs, shingles, words
+from lectern.llm.textkernel import runs, shingles, splitmix, words
 
 CHUNK_BYTES = 16 << 20
 BLOCK = 32
 K1, B = 1.2, 0.75
 
 
+def pairs(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, hash) of each pair of neighbouring words of a row."""
+    at = np.flatnonzero(row[1:] == row[:-1])
+    return at, splitmix(h[at] * np.uint64(0x9E3779B97F4A7C15) + splitmix(h[at + 1]))
+
+
 class Index:
     """Postings by term, ordered by item; each posting's weight; the greatest weights by block of BLOCK items and by term."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, texts = [], []
         for i, t in sorted((x for x in items if x[0] is not None and x[1]), key=lambda x: (x[0], x[1])):
-            if t.split():
+            if len(t.encode().split()) >= 3:
                 self.ids.append(i)
                 texts.append(t.encode())
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         row, h, start, _ = words(data, off)
-        # items may hold other white space only, and then have words all the same
         self.n = len(texts)
         length = np.bincount(row, minlength=self.n)
-        self.terms, term = np.unique(h, return_inverse=True)
-        pair, tf = np.unique(term * max(self.n, 1) + row, return_counts=True)
+        place, pair_hash = pairs(row, h)
+        self.terms, term = np.unique(pair_hash, return_inverse=True)
+        pair, tf = np.unique(term * max(self.n, 1) + row[place], return_counts=True)
         self.term, self.item = pair // max(self.n, 1), pair % max(self.n, 1)
         df = np.bincount(self.term, minlength=len(self.terms))
         idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
@@ -148,15 +156,17 @@ def passages_hit(data: np.ndarray, off: np.ndarray, index: Index, span: int, ret
     step = span // 2
     steps = np.maximum(-(-np.diff(begin) // step) - 1, 1)  # passages of each row
     base = np.concatenate([[0], np.cumsum(steps)])
-    at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
-    known = np.flatnonzero(index.terms[at] == h)
+    place, pair_hash = pairs(row, h)
+    at = np.minimum(np.searchsorted(index.terms, pair_hash), len(index.terms) - 1)
+    hit = index.terms[at] == pair_hash
+    known, at = place[hit], at[hit]
     half = rank[known] // step
-    pairs = []
-    for back in (0, 1):  # a word lies in two passages, or one at either end
+    found = []
+    for back in (0, 1):  # a pair lies in two passages, or one at either end
         p = half - back
-        ok = (p >= 0) & (p < steps[row[known]])
-        pairs.append((base[row[known]] + p)[ok] * len(index.terms) + at[known][ok])
-    pair = np.unique(np.concatenate(pairs))
+        ok = (p >= 0) & (p < steps[row[known]]) & (rank[known] + 1 < (p * step + span))
+        found.append((base[row[known]] + p)[ok] * len(index.terms) + at[ok])
+    pair = np.unique(np.concatenate(found))
     passage, term = pair // len(index.terms), pair % len(index.terms)
     live = np.flatnonzero(index.bounds(passage, term, int(base[-1])).max(axis=1) >= retrieve)
     for p in live.tolist():
