@@ -3,7 +3,7 @@
 Equal vectors are one node with a count. Each node keeps a list of its ``k`` nearest nodes found so far.
 
 1. *Start.* For each of ``trees`` random trees, nodes are range-partitioned and sorted by a code of hyperplane
-   signs and a projection, and each takes neighbours from its block of that order. The order has no
+   signs and a projection (one sort for all trees), and each takes neighbours from its block of that order. The order has no
    ties to speak of, so that a very common direction is spread over tasks.
 2. *Rounds.* A node sends its vector (a byte for each component) to the nodes on its list and to up to ``k``
    nodes that list it; each node compares the vectors it got with each other, and sends a pair to either
@@ -71,34 +71,37 @@ def _best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tuple
     return node[rank < k], other[rank < k], sim[rank < k]
 
 
-def _tree_edges(nodes: DataFrame, tree: int, bits: int, k: int, buckets: int) -> DataFrame:
+def _tree_edges(nodes: DataFrame, trees: int, bits: int, k: int, buckets: int) -> DataFrame:
+    """Offers (kind 3) from the blocks of all trees' orders, in one sort."""
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, along = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for at, x in _matrix(batch.column(1)):
-                rng = np.random.RandomState(1000 * tree + 7 * x.shape[1])
-                planes = rng.randn(x.shape[1], bits + 1)
-                side = x @ planes
-                key[at] = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                along[at] = side[:, bits]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key), pa.array(along)], names=["node", "v", "code", "along"])
+            for tree in range(trees):
+                key, along = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+                for at, x in _matrix(batch.column(1)):
+                    side = x @ np.random.RandomState(1000 * tree + 7 * x.shape[1]).randn(x.shape[1], bits + 1)
+                    key[at] = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                    along[at] = side[:, bits]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree)), batch.column(0), batch.column(1), pa.array(key), pa.array(along)], names=["tree", "node", "v", "code", "along"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            got = []
             for i in range(0, batch.num_rows, SORT_BLOCK):
                 part = batch.slice(i, SORT_BLOCK)
-                node = part.column(0).to_numpy()
-                got = []
-                for at, x in _matrix(part.column(1)):
-                    sims = x @ x.T
-                    np.fill_diagonal(sims, -2)
+                node = part.column(1).to_numpy()
+                for at, x in _matrix(part.column(2)):
+                    sims = np.where(node[at][:, None] == node[at][None, :], -2.0, x @ x.T)  # a node may stand in a block for two trees
                     top = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, len(at) - 1)]
-                    got.append((np.repeat(node[at], top.shape[1]), node[at][top].ravel(), np.take_along_axis(sims, top, 1).ravel()))
-                a, b, s = (np.concatenate(c) for c in zip(*got, strict=True))
-                yield X.rows([(bucket, 3, X.pack(a[at], b[at], s[at].astype(np.float32))) for bucket, at in X.by_bucket(_bucket(a, buckets))])
+                    sim = np.take_along_axis(sims, top, 1).ravel()
+                    real = sim > -2
+                    got.append((np.repeat(node[at], top.shape[1])[real], node[at][top].ravel()[real], sim[real].astype(np.float32)))
+            if got:
+                a, b, s = _best(*(np.concatenate(c) for c in zip(*got, strict=True)), k)
+                yield X.rows([(bucket, 3, X.pack(a[at], b[at], s[at])) for bucket, at in X.by_bucket(_bucket(a, buckets))])
 
-    coded = nodes.select("node", "v").mapInArrow(code, "node long, v array<double>, code long, along double")
-    return coded.repartitionByRange("code", "along").sortWithinPartitions("code", "along").mapInArrow(near, X.ROWS)
+    coded = nodes.select("node", "v").mapInArrow(code, "tree long, node long, v array<double>, code long, along double")
+    return coded.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along").mapInArrow(near, X.ROWS)
 
 
 def nearest_lists(nodes: DataFrame, count: int, k: int, trees: int, rounds: int, before: DataFrame | None = None) -> DataFrame:
@@ -187,8 +190,8 @@ def nearest_lists(nodes: DataFrame, count: int, k: int, trees: int, rounds: int,
         return pa.Table.from_batches([X.rows(out)])
 
     state = nodes.select("node", "v").mapInArrow(vectors, X.ROWS)
-    for tree in range(trees):
-        state = state.unionByName(_tree_edges(nodes, tree, bits, k, buckets))
+    if trees:
+        state = state.unionByName(_tree_edges(nodes, trees, bits, k, buckets))
     if before is not None:
         state = state.unionByName(before)
     for _ in range(rounds):
