@@ -79,7 +79,8 @@ def anchors(data: np.ndarray, off: np.ndarray, depth: int, digit: int):
     before = top(SECOND.spans(prefix, np.maximum(place - near, a), place))
     behind = top(SECOND.spans(prefix, last, np.minimum(last + near, b)))
     around = top(splitmix(SECOND.spans(prefix, a, b) + (place - a).astype(np.uint64)))
-    return row, place - off[row], gram[place], before, behind, around
+    # 48 bits of the digit's hash are kept: with the three others, 144 tell surroundings apart
+    return row, place - off[row], gram[place] & ~np.uint64(0xFFFF), before, behind, around
 
 
 def longer(h: np.ndarray, side: np.ndarray, which: int) -> np.ndarray:
@@ -221,7 +222,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, digit: int = DIGIT, bucket
             hot = is_hot(h)
             key = np.where(hot, splitmix(h ^ longer(rest.astype(np.uint64), behind, 2)), h)
             for bucket, at in X.by_bucket(X.bucket_of(splitmix(key), buckets)):
-                out.append((bucket, 0, X.pack(h[at], before[at], behind[at], rest[at], *owners(doc[at], text[at]), X.small(place[at]))))
+                out.append((bucket, 0, X.pack((h[at] >> np.uint64(32)).astype(np.uint32), (h[at] >> np.uint64(16)).astype(np.uint16), before[at], behind[at], rest[at], *owners(doc[at], text[at]), X.small(place[at]))))
             around_ = splitmix(h ^ longer(rest.astype(np.uint64), before, 3) ^ behind.astype(np.uint64))
             for side_, k in ((1, longer(h, before, 0)), (2, longer(h, behind, 1))) if hot.any() else ():
                 unseen = hot & is_hot(k)
@@ -241,8 +242,9 @@ def remove_repeats(docs: DataFrame, depth: int = 100, digit: int = DIGIT, bucket
         out = passed(table, 1) + passed(table, 2)
 
         if parts := X.cells(table, 0):
-            doc, text = disowned(parts, 4)
-            h, before, behind, rest, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 7))
+            doc, text = disowned(parts, 5)
+            high, low, before, behind, rest, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4, 8))
+            h = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64) << np.uint64(16)
             order, begins = groups(h, before, behind, rest, doc, text, place)
             order = order[begins]
             h, before, behind, rest, doc, text, place = (x[order] for x in (h, before, behind, rest, doc, text, place))
