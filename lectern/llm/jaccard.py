@@ -40,7 +40,7 @@ from lectern.llm import checkpoints
 from lectern.llm import exchange as X
 from lectern.llm.components import connected
 from lectern.llm.lm_score import NULL_ID, ids, summed
-from lectern.llm.textkernel import runs, shingles, splitmix, words
+from lectern.llm.textkernel import CHUNK, runs, shingles, splitmix, words
 
 #: A shingle of this share of the documents or more is ordered last.
 HEAVY = 1 / 500
@@ -49,6 +49,8 @@ CLOSE = 24
 #: Members of a block's part.
 PART = 2048
 BUCKET_BYTES = 24 << 20
+#: Bytes of text whose entries a task holds before it sends them.
+FLUSH = 8 << 20
 _EMPTY = np.zeros(0, dtype=np.uint64)
 
 
@@ -213,19 +215,29 @@ def linked(rows: list[np.ndarray], per_cent: int, start: int = 0, against: int |
     return links
 
 
+def runs_of(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole rows of about CHUNK bytes of a longer run."""
+    i = 0
+    while i < len(off) - 1:
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, side="right")) - 1), len(off) - 1)
+        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
+        i = j
+
+
 def _heavy(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles of at least the share HEAVY of the documents, by count. Which are found only changes the order, never the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, count, seen = _EMPTY, np.zeros(0, dtype=np.int64), 0
         for batch in batches:
-            parts = [sets(data, off, n)[1] for _, _, data, off in runs(batch)]
-            if not parts:
-                continue
-            k, c = summed(np.concatenate(parts), np.ones(sum(map(len, parts)), dtype=np.int64))
-            seen += batch.num_rows
-            often = c >= max(4, HEAVY * batch.num_rows)
-            key, count = summed(np.concatenate([key, k[often]]), np.concatenate([count, c[often]]))
+            for i, j, data, off in runs(batch, most=FLUSH):
+                h = np.concatenate([sets(d, o, n)[1] for _, _, d, o in runs_of(data, off)])
+                h.sort()
+                at = np.flatnonzero(np.insert(h[1:] != h[:-1], 0, True)) if len(h) else np.zeros(0, np.int64)
+                c = np.diff(np.append(at, len(h)))
+                seen += j - i
+                often = c >= max(4, HEAVY * (j - i))
+                key, count = summed(np.concatenate([key, h[at][often]]), np.concatenate([count, c[often]]))
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count), pa.array(np.full(len(key), seen))], names=["h", "c", "seen"])
 
     found = docs.mapInArrow(run, "h long, c long, seen long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen")).where(F.col("c") >= HEAVY * F.col("seen"))
@@ -246,34 +258,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_b
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = shared.value
         for batch in batches:
-            doc = ids(batch.column(0))
-            parts, seen = [], set()
-            for i, j, data, off in runs(batch):
-                row, h, size, name = sets(data, off, n)
-                fresh = np.zeros(j - i, dtype=bool)
-                for k, s in enumerate(name.tolist()):
-                    if s not in seen:
-                        seen.add(s)
-                        fresh[k] = True
-                rank = np.zeros(len(h), dtype=np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    rank = np.where(keys[at] == h, ranks[at] + 1, 0)
-                order = np.lexsort((h, rank, row))
-                row, h = row[order], h[order]
-                begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-                place = np.arange(len(row)) - begin[row]
-                keep = fresh[row] & (place <= size[row] - -(-per_cent * size[row] // 100))
-                bits = [bitmap(x) for x in np.split(h, begin[1:])] if len(size) else []
-                parts.append((h[keep], row[keep] + i, X.small(place[keep]), size, name, np.array(bits, dtype=object)))
-            if not parts:
-                continue
-            h, row, place, size, name, bits = (np.concatenate(c) for c in zip(*parts, strict=True))
-            out = [(b, 1, X.pack(doc[at], name[at], size[at].astype(np.uint32), np.frombuffer(b"".join(bits[at]), dtype=np.uint8))) for b, at in X.by_bucket(X.bucket_of(splitmix(doc.view(np.uint64)), buckets))]
-            for b, at in X.by_bucket(X.bucket_of(h, buckets)):
-                used, inverse = np.unique(row[at], return_inverse=True)
-                out.append((b, 0, X.pack(h[at], X.small(inverse), X.small(place[at]), name[used], size[used].astype(np.uint32))))
-            yield X.rows(out)
+            doc_all, seen = ids(batch.column(0)), set()
+            for first, end, data, off in runs(batch, most=FLUSH):
+                yield flush(doc_all[first:end], [prefixes(d, o, i, keys, ranks, seen) for i, _, d, o in runs_of(data, off)])
+
+    def prefixes(data, off, i, keys, ranks, seen):
+        """What a run sends: (shingle, row, place) of prefixes, each row's size and set, and bitmaps."""
+        row, h, size, name = sets(data, off, n)
+        fresh = np.zeros(len(size), dtype=bool)
+        for k, s in enumerate(name.tolist()):
+            if s not in seen:
+                seen.add(s)
+                fresh[k] = True
+        rank = np.zeros(len(h), dtype=np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            rank = np.where(keys[at] == h, ranks[at] + 1, 0)
+        order = np.lexsort((h, rank, row))
+        row, h = row[order], h[order]
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        place = np.arange(len(row)) - begin[row]
+        keep = fresh[row] & (place <= size[row] - -(-per_cent * size[row] // 100))
+        bits = [bitmap(x) for x in np.split(h, begin[1:])] if len(size) else []
+        return h[keep], row[keep] + i, X.small(place[keep]), size, name, np.array(bits, dtype=object)
+
+    def flush(doc, parts):
+        h, row, place, size, name, bits = (np.concatenate(c) for c in zip(*parts, strict=True))
+        out = [(b, 1, X.pack(doc[at], name[at], size[at].astype(np.uint32), np.frombuffer(b"".join(bits[at]), dtype=np.uint8))) for b, at in X.by_bucket(X.bucket_of(splitmix(doc.view(np.uint64)), buckets))]
+        for b, at in X.by_bucket(X.bucket_of(h, buckets)):
+            used, inverse = np.unique(row[at], return_inverse=True)
+            out.append((b, 0, X.pack(h[at], X.small(inverse), X.small(place[at]), name[used], size[used].astype(np.uint32))))
+        return X.rows(out)
 
     def candidates(table: pa.Table) -> pa.Table:
         parts = X.cells(table, 0)
