@@ -5,19 +5,20 @@ Training documents are those whose crc32(doc_id as text) modulo ``folds`` differ
 *Model.* A backoff model of words: ``p(w) = (c + 1) / (N + V + 1)`` over the whole
 vocabulary (of any size), and absolute discounting above it:
 ``p(w | h) = (c(hw) - D) / c(h)`` for the n-grams kept, and ``bow(h) * p(w | shorter h)`` for the rest,
-where ``bow(h)`` makes the probabilities sum to one. An n-gram is kept if its share of the training
-tokens is at least ``share`` (so at most ``1 / share`` per order can be) and its count at least two; an
-n-gram can only reach that share if both n-grams one shorter do, which is how candidates are found.
+where ``bow(h)`` makes the probabilities sum to one. Every n-gram that training holds ``least`` times or more is kept,
+whatever the size of the corpus, so the model grows with it.
 
 *Automaton.* Kept n-grams are states; a state's failure arc leads to its longest kept suffix with the
 weight ``bow``. A left-to-right traversal carries the state. As the state depends on the last
 ``order - 1`` tokens only, the traversal is evaluated for all places of a run at once.
 
-*Plan.* Token totals; word counts by word bucket, of which words of share ``word_share`` or more (at
-most ``1 / word_share``) go to the driver; one counting pass for each order; then the scoring pass. It
-resolves frequent words from the broadcast automaton and sends one entry per document and other distinct
-word to the word's bucket, where its count is known; the sums return to the documents. Word buckets get
-one entry per document and word at most, and frequent words send none, so no bucket is hot.
+*Plan.* No task and no broadcast holds the model; it lies in buckets by the hash of the n-gram. Documents are dealt in
+chunks of some ``CHUNK`` bytes, each with a home bucket. (1) After a count of the vocabulary, a chunk asks
+the buckets for each of its distinct n-grams, with its own training count. (2) A bucket adds the counts and answers, telling
+one chunk for each n-gram that it is the one to speak for it. (3) Chunks send, for each history, the probability of
+the n-grams they speak for and what the shorter history gives to the same words. (4) The history's
+bucket adds these up to ``bow`` and answers. (5) Chunks score their documents. A bucket gets one entry per chunk and
+distinct n-gram at most, so no word or line is hot. A chunk is known by its partition and place there.
 
 Words are compared by 64-bit hashes. Defined results: null text counts as empty (one end token); a null
 ``doc_id`` counts as training and stays null; repeated rows each count and each give a row; other columns
@@ -31,13 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import exchange as X
-from lectern.llm.textkernel import WORDS, _LOWER, runs, splitmix, words
+from lectern.llm.textkernel import runs, splitmix, words
 
 BUCKET_BYTES = 16 << 20
+#: Bytes of text in a chunk.
+CHUNK = 4 << 20
+ASK, STATE, REPLY = 0, 1, 2
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 END = splitmix(np.array([0x656E64], dtype=np.uint64))
 NULL_ID = np.iinfo(np.int64).min
@@ -69,8 +74,34 @@ def find(sorted_keys: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == key, at, -1)
 
 
+def stream(words_: np.ndarray, row: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, word's number) of start, words and end of each document; the start has the number behind the last word."""
+    counts = np.bincount(row, minlength=n_docs)
+    doc = np.repeat(np.arange(n_docs), counts + 2)
+    hashes = np.empty(len(doc), dtype=np.uint64)
+    hashes[np.arange(len(row)) + 2 * row + 1] = h
+    ends = np.cumsum(counts + 2) - 1
+    hashes[ends] = END
+    begin = ends - counts - 1
+    hashes[begin] = words_[0] if len(words_) else 0
+    w = np.searchsorted(words_, hashes)
+    w[begin] = len(words_)
+    return doc, w
+
+
+def backed_off(total: np.ndarray, w: np.ndarray, states: list, log_p: list, log_bow: list) -> np.ndarray:
+    """From unigrams' log10 probabilities those of the longest n-grams kept; states: for each order from 2 the kept n-gram that ends at each place, or -1."""
+    before = w
+    for state, p, bow in zip(states, log_p, log_bow, strict=True):
+        history = np.concatenate([[-1], before[:-1]])
+        failed = total + np.where(history >= 0, bow[history], 0.0)
+        total = np.where(state >= 0, p[state], failed) if len(p) else failed
+        before = state
+    return total
+
+
 class Automaton:
-    """words: hashes of the frequent words in order, and their counts; levels: for each order from 2, (keys, counts)."""
+    """The model in one piece. words: hashes of the frequent words in order, and their counts; levels: for each order from 2, (keys, counts)."""
 
     def __init__(self, words_: np.ndarray, counts: np.ndarray, levels: list, tokens: int, distinct: int, docs: int, discount: float):
         self.words, self.counts, self.levels = words_, counts, levels
@@ -99,20 +130,6 @@ class Automaton:
         inner = find(self.levels[depth - 2][0], self._suffix(depth - 1, (keys // self.size).astype(np.int64), (keys % self.size).astype(np.int64)))
         return inner.astype(np.uint64) * self.size + last.astype(np.uint64)
 
-    def stream(self, row: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, hash, frequent word or -1) of start, words and end of each document; the start has the number behind the last word."""
-        counts = np.bincount(row, minlength=n_docs)
-        doc = np.repeat(np.arange(n_docs), counts + 2)
-        hashes = np.empty(len(doc), dtype=np.uint64)
-        hashes[np.arange(len(row)) + 2 * row + 1] = h
-        ends = np.cumsum(counts + 2) - 1
-        hashes[ends] = END
-        begin = ends - counts - 1
-        hashes[begin] = 0
-        w = find(self.words, hashes)
-        w[begin] = len(self.words)
-        return doc, hashes, w
-
     def states(self, w: np.ndarray) -> list[np.ndarray]:
         """For each order from 2, the kept n-gram that ends at each place, or -1."""
         out, before = [], w
@@ -133,156 +150,190 @@ class Automaton:
         """log10 of each token's probability but for what an infrequent word's own count adds; 0 at starts."""
         start = w == len(self.words)
         total = np.where((w >= 0) & ~start, np.append(self.log_uni, 0.0)[w], 0.0) - self.log_all
-        before = w
-        for state, log_p, bow in zip(self.states(w), self.log_p, self.log_bow, strict=True):
-            history = np.concatenate([[-1], before[:-1]])
-            failed = total + np.where(history >= 0, bow[history], 0.0)
-            total = np.where(state >= 0, log_p[state], failed) if len(log_p) else failed
-            before = state
+        total = backed_off(total, w, self.states(w), self.log_p, self.log_bow)
         total[start] = 0.0
         return total
 
 
-def _counted(df: DataFrame, least: float) -> DataFrame:
-    """For each bucket, its keys of count ``least`` or more (kind 0) and (all counts, distinct keys) (kind 1)."""
+class Chunk:
+    """The distinct n-grams of a chunk's documents: for each order the hashes and, by place, the number of the n-gram that ends there or -1."""
+
+    def __init__(self, words_: np.ndarray, w: np.ndarray, order: int, buckets: int):
+        start, size = w == len(words_), np.uint64(len(words_) + 1)
+        self.start, self.at = start, [w]
+        self.hashes = [splitmix(np.append(words_, np.uint64(0)))]
+        self.history, self.last, self.place = [None], [None], [None]
+        for _ in range(2, order + 1):
+            before = self.at[-1]
+            history = np.concatenate([[-1], before[:-1]])
+            ok = np.flatnonzero((history >= 0) & (before >= 0) & ~start)
+            key, first, inverse = np.unique(history[ok].astype(np.uint64) * size + w[ok].astype(np.uint64), return_index=True, return_inverse=True)
+            at = np.full(len(w), -1, dtype=np.int64)
+            at[ok] = inverse
+            h, last = (key // size).astype(np.int64), (key % size).astype(np.int64)
+            self.hashes.append(splitmix(self.hashes[-1][h] * np.uint64(0x9E3779B97F4A7C15) + splitmix(self.hashes[0][last])))
+            self.at.append(at)
+            self.history.append(h)
+            self.last.append(last)
+            self.place.append(ok[first])
+        self.sizes = [len(x) for x in self.hashes]
+        self.key = np.concatenate(self.hashes)
+        self.buckets = buckets
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        """Values of all n-grams, by order."""
+        return np.split(values, np.cumsum(self.sizes)[:-1])
+
+    def dealt(self, which: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, the n-grams among which that lie there)."""
+        which = np.arange(len(self.key)) if which is None else which
+        for b, at in X.by_bucket(X.bucket_of(self.key[which], self.buckets)):
+            yield b, which[at]
 
-    def reduce(table: pa.Table) -> pa.Table:
-        key, count = summed(*X.joined(X.cells(table, 0), ("<u8", "<i8")))
-        keep = count >= least
-        return pa.Table.from_batches([X.rows([(0, 0, X.pack(key[keep], count[keep])), (0, 1, X.pack(np.array([count.sum(), len(key)], dtype=np.int64)))])])
 
-    return df.groupBy("bucket").applyInArrow(reduce, X.ROWS)
+def _home(chunk: np.ndarray, buckets: int) -> int:
+    return int(X.bucket_of(splitmix(chunk), buckets)[0])
 
 
-def _gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    got = X.collect_cells(df)
-    key, count = X.joined([X.unpack(c) for k, c in got if k == 0], ("<u8", "<i8"))
-    totals = [X.unpack(c)[0] for k, c in got if k == 1]
-    order = np.argsort(key)
-    return key[order], count[order], int(sum(t[0] for t in totals)), int(sum(t[1] for t in totals))
+def _asked(table: pa.Table) -> list[list[np.ndarray]]:
+    """A bucket's questions by chunk; each starts with the chunk."""
+    return sorted(X.cells(table, ASK), key=lambda p: int(p[0][0]))
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, word_share: float = 1e-5, share: float = 1e-6, discount: float = 0.5, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    spark = docs.sparkSession
+def _states(table: pa.Table) -> list[tuple[int, int, bytes]]:
+    """The bucket's chunks as they came."""
+    bucket = table.column("bucket")[0].as_py()
+    return [(bucket, STATE, c.as_py()) for k, c in zip(table.column("kind").to_pylist(), table.column("cell"), strict=True) if k == STATE]
+
+
+def _replies(table: pa.Table) -> dict[tuple[int, int], list[np.ndarray]]:
+    return {(int(p[0][0]), int(p[0][1])): p[1:] for p in X.cells(table, REPLY)}
+
+
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, least: int = 2, discount: float = 0.5, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    buckets = X.bucket_count(X.text_size(docs), bucket_bytes)
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = tokens = rows_ = 0
+    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = ~held_out(ids(batch.column(0)), folds, held)
+            parts = [np.array([], dtype=np.uint64)]
             for i, j, data, off in runs(batch):
-                row, *_ = words(data, off)
-                size += len(data)
-                tokens += int(train[i:j][row].sum()) + int(train[i:j].sum())
-            rows_ += int(train.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (size, tokens, rows_)], names=["size", "tokens", "docs"])
-
-    t = docs.mapInArrow(totals, "size long, tokens long, docs long").agg(*(F.sum(c).alias(c) for c in ("size", "tokens", "docs"))).first()
-    size, tokens, train_docs = (int(t[c] or 0) for c in ("size", "tokens", "docs"))
-    buckets = X.bucket_count(size, bucket_bytes)
-
-    def count_pass(keys_of):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                train = ~held_out(ids(batch.column(0)), folds, held)
-                parts = [keys_of(*words(data, off)[:2], train[i:j]) for i, j, data, off in runs(batch)]
-                key, count = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                mixed = X.bucket_of(splitmix(key), buckets)
-                yield X.rows([(b, 0, X.pack(key[at], count[at])) for b, at in X.by_bucket(mixed)])
-
-        return docs.mapInArrow(run, X.ROWS)
-
-    def unigrams(row, h, train):
-        key = np.concatenate([h[train[row]], np.repeat(END, int(train.sum()))])
-        return summed(key, np.ones(len(key), dtype=np.int64))
-
-    frequent, counts, _, distinct = _gathered(_counted(count_pass(unigrams), max(2.0, word_share * tokens)))
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(2, order + 1):
-        shared = spark.sparkContext.broadcast((frequent, counts, levels))
-
-        def ngrams(row, h, train, shared=shared):
-            words_, counts_, levels_ = shared.value
-            a = Automaton.__new__(Automaton)
-            a.words, a.levels, a.size = words_, levels_, np.uint64(len(words_) + 1)
-            doc, _, w = a.stream(row, h, len(train))
-            start = w == len(words_)
-            before = a.states(w)[-1] if levels_ else w
-            ok, key = a.candidates(before, w, start)
-            ok &= train[doc]
-            return summed(key[ok], np.ones(int(ok.sum()), dtype=np.int64))
-
-        key, count, _, _ = _gathered(_counted(count_pass(ngrams), max(2.0, share * tokens)))
-        levels = [*levels, (key, count)]
-    model = spark.sparkContext.broadcast(Automaton(frequent, counts, levels, tokens, distinct, train_docs, discount))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = model.value
+                row, h, *_ = words(data, off)
+                parts.append(h[train[i:j][row]])
+            key, count = np.unique(np.concatenate([*parts, np.repeat(END, int(train.sum()))]), return_counts=True)
+            yield X.rows([(b, ASK, X.pack(key[at], X.small(count[at]))) for b, at in X.by_bucket(X.bucket_of(splitmix(key), buckets))])
+
+    def sizes(table: pa.Table) -> pa.Table:
+        parts = X.cells(table, ASK)
+        return pa.table({"tokens": [sum(int(p[1].sum(dtype=np.int64)) for p in parts)], "distinct": [len(np.unique(np.concatenate([p[0] for p in parts])))]})
+
+    t = docs.mapInArrow(vocabulary, X.ROWS).groupBy("bucket").applyInArrow(sizes, "tokens long, distinct long").agg(F.sum("tokens"), F.sum("distinct")).first()
+    tokens, distinct = int(t[0] or 0), int(t[1] or 0)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for batch in batches:
             doc_all = ids(batch.column(0))
             out_all = held_out(doc_all, folds, held)
-            entries, local = [], []
-            for i, j, data, off in runs(batch):
-                doc, out = doc_all[i:j], out_all[i:j]
-                row, h, _, _ = words(data, off)
-                prefix = WORDS.prefix(_LOWER[data])
-                text = (WORDS.spans(prefix, off[:-1], off[1:]) >> np.uint64(32)).astype(np.uint32)
-                place, hashes, w = a.stream(row, h, j - i)
-                real = w != len(a.words)
-                known = real & (w >= 0)
-                base = np.where(known, np.append(a.log_uni, 0.0)[w], 0.0) - np.where(real, a.log_all, 0.0)
-                n = np.bincount(place[real], minlength=j - i)
-                local.append([doc, text, out.astype(np.uint8), n.astype(np.int64), np.bincount(place[known], minlength=j - i).astype(np.int64), np.bincount(place, base, j - i), np.bincount(place, a.log_probs(w), j - i)])
-                rare = w < 0
-                p, x = place[rare], hashes[rare]
-                sorting = np.argsort(x, kind="stable")  # places stay in order
-                p, x = p[sorting], x[sorting]
-                if len(p):
-                    at = np.concatenate([[0], np.flatnonzero((p[1:] != p[:-1]) | (x[1:] != x[:-1])) + 1])
-                    entries.append([x[at], (p[at] + i).astype(np.uint32), np.diff(np.append(at, len(p))).astype(np.uint32)])
-            if not local:
-                continue
-            cols = [np.concatenate(c) for c in zip(*local, strict=True)]
-            out_rows = [(b, 1, X.pack(*(c[at] for c in cols))) for b, at in X.by_bucket(X.bucket_of(splitmix(cols[0].view(np.uint64)), buckets))]
-            if entries:
-                x, p, n = (np.concatenate(c) for c in zip(*entries, strict=True))
-                for b, at in X.by_bucket(X.bucket_of(x, buckets)):
-                    used, inverse = np.unique(p[at], return_inverse=True)
-                    out_rows.append((b, 0, X.pack(x[at], X.small(inverse), X.small(n[at]), cols[0][used], cols[1][used], cols[2][used])))
-            yield X.rows(out_rows)
-
-    def by_word(table: pa.Table) -> pa.Table:
-        """Counts of this bucket's words, then their part in each document's sums."""
-        out_rows = [(table.column("bucket")[0].as_py(), 1, c.as_py()) for k, c in zip(table.column("kind").to_pylist(), table.column("cell"), strict=True) if k == 1]
-        parts = X.cells(table, 0)
+            for i, j, data, off in runs(batch, most=CHUNK):
+                chunk = np.array([TaskContext.get().partitionId() << 32 | number], dtype=np.uint64)
+                number += 1
+                row, h, *_ = words(data, off)
+                words_ = np.unique(np.append(h, END))
+                doc, w = stream(words_, row, h, j - i)
+                c = Chunk(words_, w, order, buckets)
+                train = ~out_all[i:j][doc]
+                count = np.concatenate([np.bincount(at[train & (at >= 0)], minlength=n) for at, n in zip(c.at, c.sizes, strict=True)])
+                out = [(_home(chunk, buckets), STATE, X.pack(chunk, words_, X.small(w), X.small(np.bincount(doc, minlength=j - i)), doc_all[i:j], out_all[i:j].astype(np.uint8)))]
+                # of a bucket's n-grams the single words come first
+                out += [(b, ASK, X.pack(chunk, np.array([(at < c.sizes[0]).sum()], dtype=np.int64), c.key[at], X.small(count[at]))) for b, at in c.dealt()]
+                yield X.rows(out)
+
+    def count_up(table: pa.Table) -> pa.Table:
+        """Answers with the counts, 0 for n-grams not kept, and with which n-grams the chunk is to speak for."""
+        out, parts = _states(table), _asked(table)
+        if parts:
+            bucket = table.column("bucket")[0].as_py()
+            _, first, inverse = np.unique(np.concatenate([p[2] for p in parts]), return_index=True, return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([p[3] for p in parts])).astype(np.int64)
+            speaks = np.zeros(len(inverse), dtype=bool)
+            speaks[first] = True
+            edge = np.cumsum([len(p[2]) for p in parts])[:-1]
+            for (chunk, singles, *_), at, mine in zip(parts, np.split(inverse, edge), np.split(speaks, edge), strict=True):
+                c = total[at]
+                c[singles[0] :][c[singles[0] :] < least] = 0
+                out.append((_home(chunk, buckets), REPLY, X.pack(np.array([chunk[0], bucket], dtype=np.uint64), X.small(c), np.packbits(mine))))
+        return pa.Table.from_batches([X.rows(out)])
+
+    def weigh(table: pa.Table) -> pa.Table:
+        """Sends each history's sums over the n-grams the chunk speaks for; keeps the counts."""
+        out, replies = [], _replies(table)
+        for chunk, words_, w, *rest in X.cells(table, STATE):
+            c = Chunk(words_, w.astype(np.int64), order, buckets)
+            count, speaks = np.zeros(len(c.key), dtype=np.int64), np.zeros(len(c.key), dtype=bool)
+            for b, at in c.dealt():
+                count[at], bits = replies[int(chunk[0]), b]
+                speaks[at] = np.unpackbits(bits, count=len(at)).astype(bool)
+            n, mine = c.split(count), c.split(speaks)
+            mass, below, used = [], [], []
+            for k in range(1, order):
+                kept = (n[k] > 0) & mine[k]
+                h, place = c.history[k][kept], c.place[k][kept]
+                if k == 1:
+                    lower = (n[0][c.last[k][kept]] + 1.0) / (tokens + distinct + 1)
+                else:
+                    lower = (n[k - 1][c.at[k - 1][place]] - discount) / n[k - 2][c.at[k - 2][place - 1]]
+                size = c.sizes[k - 1]
+                mass.append(np.bincount(h, (n[k][kept] - discount) / n[k - 1][h], size))
+                below.append(np.bincount(h, lower, size))
+                # a weight is asked for where an n-gram fails; a history that is not kept has the weight one
+                used.append((mass[-1] > 0) | ((np.bincount(c.history[k][n[k] == 0], minlength=size) > 0) & (n[k - 1] >= least)))
+            mass_, below_, used_ = (np.concatenate([np.zeros(0), *x]) for x in (mass, below, used))
+            used_ = used_.astype(bool)
+            for b, at in c.dealt(np.flatnonzero(used_)):
+                some = np.flatnonzero(mass_[at] > 0)
+                out.append((b, ASK, X.pack(chunk, c.key[at], X.small(some), mass_[at][some], below_[at][some])))
+            out.append((_home(chunk, buckets), STATE, X.pack(chunk, words_, w, *rest, X.small(count), np.packbits(used_))))
+        return pa.Table.from_batches([X.rows(out)])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        """Answers with log10 of the histories' weights."""
+        out, parts = _states(table), _asked(table)
         if parts:
-            x = np.concatenate([p[0] for p in parts])
-            n = np.concatenate([p[2] for p in parts]).astype(np.int64)
-            first = np.cumsum([0] + [len(p[3]) for p in parts])
-            d = np.concatenate([p[1].astype(np.int64) + f for p, f in zip(parts, first, strict=False)])
-            doc, text, out = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
-            distinct_, inverse = np.unique(x, return_inverse=True)
-            c = np.bincount(inverse, n * (out[d] == 0), len(distinct_))[inverse]
-            known = np.bincount(d, n * (c > 0), len(doc)).astype(np.int64)
-            added = np.bincount(d, n * np.log10(c + 1), len(doc))
-            out_rows += [(b, 0, X.pack(doc[at], text[at], X.small(known[at]), added[at])) for b, at in X.by_bucket(X.bucket_of(splitmix(doc.view(np.uint64)), buckets))]
-        return pa.Table.from_batches([X.rows(out_rows)])
-
-    def by_doc(table: pa.Table) -> pa.Table:
-        """Adds the sums that belong to each document. Rows alike in doc_id and text are one key and share its sums evenly."""
-        doc, text, out, n, known, base, score_ = X.joined(X.cells(table, 1), ("<i8", "<u4", "u1", "<i8", "<i8", "<f8", "<f8"))
-        d2, t2, k2, a2 = X.joined(X.cells(table, 0), ("<i8", "<u4", "<i8", "<f8"))
-        every = np.rec.fromarrays([np.concatenate([doc, d2]), np.concatenate([text, t2])])
-        _, inverse = np.unique(every, return_inverse=True)
-        mine, other = inverse[: len(doc)], inverse[len(doc) :]
-        m = int(inverse.max()) + 1 if len(inverse) else 0
-        copies = np.bincount(mine, minlength=m)[mine]
-        known = known + np.bincount(other, k2, m)[mine].astype(np.int64) // copies
-        added = np.bincount(other, a2, m)[mine] / copies
-        return pa.table({"doc_id": pa.array(doc, mask=doc == NULL_ID), "held_out": out.astype(bool), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(doc), tokens, dtype=np.int64), "base_score": base + added, "score": score_ + added})
-
-    sent = docs.mapInArrow(score, X.ROWS).groupBy("bucket").applyInArrow(by_word, X.ROWS)
-    return sent.groupBy("bucket").applyInArrow(by_doc, SCHEMA)
+            bucket = table.column("bucket")[0].as_py()
+            key, inverse = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+            asked = np.split(inverse, np.cumsum([len(p[1]) for p in parts])[:-1])
+            at = np.concatenate([a[p[2]] for a, p in zip(asked, parts, strict=True)])
+            mass, below = (np.bincount(at, np.concatenate([p[i] for p in parts]), len(key)) for i in (3, 4))
+            bow = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - below, 1e-12))
+            out += [(_home(p[0], buckets), REPLY, X.pack(np.array([p[0][0], bucket], dtype=np.uint64), bow[a])) for p, a in zip(parts, asked, strict=True)]
+        return pa.Table.from_batches([X.rows(out)])
+
+    def score(table: pa.Table) -> pa.Table:
+        out, replies = [], _replies(table)
+        for chunk, words_, w, lengths, doc, held_, count, used in X.cells(table, STATE):
+            c = Chunk(words_, w.astype(np.int64), order, buckets)
+            n = c.split(count.astype(np.int64))
+            weight = np.zeros(len(c.key))
+            for b, at in c.dealt(np.flatnonzero(np.unpackbits(used, count=sum(c.sizes[:-1])))):
+                (weight[at],) = replies[int(chunk[0]), b]
+            base = np.log10(n[0] + 1.0)[c.at[0]] - np.log10(tokens + distinct + 1)
+            base[c.start] = 0.0
+            states = [np.where((at >= 0) & (x[at] > 0), at, -1) if len(x) else at for at, x in zip(c.at[1:], n[1:], strict=True)]
+            log_p = [np.log10(np.where(x > 0, x - discount, 1.0) / np.maximum(n[k][c.history[k + 1]], 1)) for k, x in enumerate(n[1:])]
+            best = backed_off(base, c.at[0], states, log_p, c.split(weight)[:-1])
+            best[c.start] = 0.0
+            place = np.repeat(np.arange(len(doc)), lengths)
+            m = len(doc)
+            out.append([doc, held_.astype(bool), lengths.astype(np.int64) - 1, np.bincount(place[~c.start & (n[0][c.at[0]] > 0)], minlength=m), np.bincount(place, base, m), np.bincount(place, best, m)])
+        doc, held_, size, known, base, best = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, t) for t in ("<i8", bool, "<i8", "<i8", "<f8", "<f8"))
+        return pa.table({"doc_id": pa.array(doc, mask=doc == NULL_ID), "held_out": held_, "n_tokens": size, "n_known": known, "train_tokens": np.full(len(doc), tokens, dtype=np.int64), "base_score": base, "score": best})
+
+    state = docs.mapInArrow(ask, X.ROWS)
+    for step in (count_up, weigh, add_up):
+        state = state.groupBy("bucket").applyInArrow(step, X.ROWS)
+    return state.groupBy("bucket").applyInArrow(score, SCHEMA)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,41 @@ def test_probabilities_sum_to_one(docs_of):
 
 def test_empty_table(docs_of):
     assert lm_score.score_documents(docs_of([])).collect() == []
+
+
+def brute_scores(rows, least=2, discount=0.5):
+    """The backoff model from plain dicts of every n-gram that training holds least times."""
+    streams = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "</s>"] for _, t in rows]
+    out = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    c = Counter(tuple(s[i : i + n]) for s, o in zip(streams, out, strict=True) if not o for n in (1, 2, 3) for i in range(len(s) - n + 1))
+    c = Counter({g: n for g, n in c.items() if len(g) == 1 or n >= least})
+    total = sum(n for g, n in c.items() if len(g) == 1 and g != ("<s>",)) + sum(len(g) == 1 and g != ("<s>",) for g in c) + 1
+    after = {}
+    for g in c:
+        after.setdefault(g[:-1], []).append(g)
+    weights = {}
+
+    def p(g):
+        if len(g) == 1:
+            return (c[g] + 1) / total
+        return (c[g] - discount) / c[g[:-1]] if g in c else bow(g[:-1]) * p(g[1:])
+
+    def bow(h):
+        if h not in weights:
+            kept = after.get(h, [])
+            weights[h] = (1 - sum(p(g) for g in kept)) / (1 - sum(p(g[1:]) for g in kept))
+        return weights[h]
+
+    return sorted((str(d), round(sum(math.log10(p(tuple(s[max(0, i - 2) : i + 1]))) for i in range(1, len(s))), 6)) for (d, _), s in zip(rows, streams, strict=True))
+
+
+def test_rare_words_of_a_large_corpus_are_in_ngrams(docs_of):
+    """Two or three occurrences count whatever the corpus's size: here 20 in a million are more."""
+    rows = ROWS + [(6000 + i, "a b c d e f g h " * 12_500) for i in range(6)]
+    rows += [(7000 + i, f"quod erat demonstrandum ipso facto v{i}") for i in range(4)] + [(7100 + i, f"x y z{i % 2} a") for i in range(9)]
+    assert sum(len((t or "").split()) for _, t in rows) * 1e-5 > 4
+    frame = docs_of(rows).repartition(3).sortWithinPartitions("doc_id", "text").checkpoint()
+    got = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in lm_score.score_documents(frame, bucket_bytes=50_000).collect())
+    want = brute_scores(rows)
+    assert [g[0] for g in got] == [x[0] for x in want]
+    assert max(abs(g[1] - x[1]) / max(1, abs(x[1])) for g, x in zip(got, want, strict=True)) < 1e-6
