@@ -3,14 +3,14 @@
 *Rules.* A rule is a host and a path prefix with a verdict; it fits the host and its subdomains. The longest
 rule that fits decides.
 
-*Templates.* What rules decide also labels the tree, which judges the other urls. Of each host's paths the first
-``depth`` segments form a tree (longer paths share the node at that depth). Level by level,
+*Templates.* What rules decide also labels the tree, which judges the other urls. Of each host's paths the
+segments form a tree, as deep as two different paths share a node. Level by level,
 
-* segments that look like identifiers (digits, hex, dates), and children of a node that has many children
-  of few pages each, become the wildcard ``*`` (an extension is kept);
+* segments that look like identifiers (digits, hex, dates), and children of few pages each where a node has
+  many such, become the wildcard ``*`` (an extension is kept); others stay literal whatever their share or number;
 * literal siblings whose shares of blocked pages do not differ significantly (two-proportion z-test
-  between neighbours in the order of the shares) are merged into one branch ``{a|b}``; siblings without
-  labels stay apart;
+  between neighbours in the order of the shares) are merged into one branch ``{a|b}`` (of more than ``shown``
+  segments the first, the last, their number and a hash); siblings without labels stay apart;
 * a template is rejected if its smoothed purity ``(blocked + strength * prior) / (labelled + strength)`` is at least
   ``purity``; the prior is the share of blocked among all labelled urls, and no more than one half, so that
   a template without labels is allowed.
@@ -54,48 +54,59 @@ def rule_of(host: F.Column, path: F.Column, rules=RULES) -> tuple[F.Column, F.Co
     return rule, verdict
 
 
-def template_verdicts(paths: DataFrame, depth: int, purity: float, strength: float, most: int = 20, few: float = 4.0, z: float = 1.96) -> DataFrame:
+def template_verdicts(paths: DataFrame, purity: float, strength: float, few: float = 4.0, many: int = 8, z: float = 1.96, shown: int = 20) -> DataFrame:
     """For (host, path, n, labelled, blocked) with generalised paths as arrays: each with its ``template``, and ``rejected``."""
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    now = paths.withColumn("node", F.lit("")).checkpoint()
+    now = paths.withColumn("node", F.lit("")).withColumn("open", F.lit(True)).checkpoint()
     total = now.agg(*sums).first()
     prior = min(0.5, (total["blocked"] or 0) / max(total["labelled"] or 0, 1))
-    for d in range(depth):
-        at = now.withColumn("seg", F.get("path", F.lit(d)))
+    share = (F.col("blocked") + strength * prior) / (F.col("labelled") + strength)
+    of = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    d = 0
+    while now.where("open").head(1):
+        at = now.where("open").withColumn("seg", F.get("path", F.lit(d)))
         child = at.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(*sums)
-        whole = child.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.count("*").alias("all_v"))
-        # a literal child has a share of at least 1 / most of its node, so a node keeps at most that many
-        wide = (F.col("all_v") >= 8) & (F.col("all_n") < few * F.col("all_v"))
-        literal = child.join(whole, ["host", "node"]).where(~F.col("seg").startswith("*") & (F.col("n") * most >= F.col("all_n")) & (~wide | (F.col("n") >= few)))
-        share = (F.col("blocked") + strength * prior) / (F.col("labelled") + strength)
-        order = Window.partitionBy("host", "node", F.col("labelled") > 0).orderBy("share", "seg")
-        of = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+        whole = child.groupBy("host", "node").agg(F.count(F.when(F.col("n") < few, 1)).alias("rare"))
+        literal = child.join(whole, ["host", "node"]).where(~F.col("seg").startswith("*") & ((F.col("n") >= few) | (F.col("rare") < many)))
+        # siblings of the same counts do not differ, so that the order holds each pair of counts once
+        level = literal.where("labelled > 0").groupBy("host", "node", "labelled", "blocked").agg(F.min("seg").alias("least")).withColumn("share", share)
+        order = Window.partitionBy("host", "node").orderBy("share", "least")
         blocked, labelled = F.lag("blocked").over(order), F.lag("labelled").over(order)
         pooled = of(F.col("blocked") + blocked, F.col("labelled") + labelled)
         rate, last = of(F.col("blocked"), F.col("labelled")), of(blocked, labelled)
         error = F.sqrt(pooled * (1 - pooled) * (of(F.lit(1), F.col("labelled")) + of(F.lit(1), labelled)))
-        same = (F.col("labelled") > 0) & F.coalesce(F.abs(rate - last) <= z * error, F.lit(False))
-        marked = literal.withColumn("share", share).withColumn("apart", F.when(same, 0).otherwise(1))
-        grouped = marked.withColumn("branch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("known", F.col("labelled") > 0)
-        names = grouped.groupBy("host", "node", "known", "branch").agg(F.sort_array(F.collect_list("seg")).alias("segs"))
-        named = names.select("host", "node", F.explode("segs").alias("seg"), F.when(F.size("segs") > 1, F.concat(F.lit("{"), F.array_join("segs", "|"), F.lit("}"))).otherwise(F.col("segs")[0]).alias("name"))
+        marked = level.withColumn("apart", F.when(F.coalesce(F.abs(rate - last) <= z * error, F.lit(False)), 0).otherwise(1))
+        branches = marked.withColumn("branch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("host", "node", "labelled", "blocked", "branch")
+        grouped = literal.join(branches, ["host", "node", "labelled", "blocked"]).select("host", "node", "branch", "seg")
+        spread = grouped.groupBy("host", "node", "branch").agg(F.count("*").alias("segs"), F.min("seg").alias("first"), F.max("seg").alias("final"), F.bit_xor(F.xxhash64("seg")).alias("hash"))
+        sized = grouped.join(spread, ["host", "node", "branch"])
+        listed = sized.where(F.col("segs") <= shown).groupBy("host", "node", "branch").agg(F.array_join(F.sort_array(F.collect_list("seg")), "|").alias("all"))
+        called = spread.join(listed, ["host", "node", "branch"], "left").select("host", "node", "branch", F.when(F.col("segs") == 1, F.col("first")).otherwise(F.concat(F.lit("{"), F.coalesce("all", F.concat_ws("|", "first", F.lit("..."), "final", F.col("segs").cast("string"), F.hex("hash"))), F.lit("}"))).alias("name"))
+        named = grouped.join(called, ["host", "node", "branch"]).select("host", "node", "seg", "name").unionByName(literal.where("labelled = 0").select("host", "node", "seg", F.col("seg").alias("name")))
         step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("name", F.when(F.col("seg").startswith("*"), F.col("seg")), F.lit("*"))))
-        now = at.join(named, ["host", "node", "seg"], "left").withColumn("node", F.concat("node", step)).select("host", "path", "n", "labelled", "blocked", "node").checkpoint()
+        d += 1
+        moved = at.join(named, ["host", "node", "seg"], "left").withColumn("node", F.concat("node", step)).select("host", "path", "n", "labelled", "blocked", "node")
+        # the only path of a node is its template from there on
+        alone = moved.groupBy("host", "node").agg((F.count("*") == 1).alias("alone"))
+        rest = F.concat(F.lit("/"), F.array_join(F.slice("path", d + 1, F.size("path")), "/"))
+        ends = F.size("path") <= d
+        moved = moved.join(alone, ["host", "node"]).withColumn("node", F.when(F.col("alone") & ~ends, F.concat("node", rest)).otherwise(F.col("node"))).withColumn("open", ~F.col("alone") & ~ends).drop("alone")
+        now = now.where("NOT open").unionByName(moved).checkpoint()
     judged = now.groupBy("host", "node").agg(*sums).select("host", "node", ((F.col("blocked") + strength * prior) / (F.col("labelled") + strength) >= purity).alias("rejected"))
     return now.join(judged, ["host", "node"]).select("host", "path", F.col("node").alias("template"), "rejected")
 
 
-def filter_urls(pages: DataFrame, rules=RULES, depth: int = 4, purity: float = 0.8, strength: float = 4.0) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, purity: float = 0.8, strength: float = 4.0) -> DataFrame:
     """page_id, host, path, rule, verdict and template."""
     checkpoints.ensure(pages.sparkSession)
     url = F.col("url").cast("string")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    general = F.transform(F.slice(segments, 1, depth), lambda s: F.when(s.rlike(_IDENTIFIER), F.concat(F.lit("*"), F.regexp_extract(s, _IDENTIFIER, 1))).otherwise(s))
+    general = F.transform(segments, lambda s: F.when(s.rlike(_IDENTIFIER), F.concat(F.lit("*"), F.regexp_extract(s, _IDENTIFIER, 1))).otherwise(s))
     rows = base.withColumn("rule", rule).withColumn("given", verdict).withColumn("general", general)
     counted = rows.groupBy("host", "general").agg(F.count("*").alias("n"), F.count("given").alias("labelled"), F.count(F.when(F.col("given") == "block", 1)).alias("blocked"))
-    templates = template_verdicts(counted.withColumnRenamed("general", "path"), depth, purity, strength).withColumnRenamed("path", "general")
+    templates = template_verdicts(counted.withColumnRenamed("general", "path"), purity, strength).withColumnRenamed("path", "general")
     out = rows.join(templates, ["host", "general"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template")
 

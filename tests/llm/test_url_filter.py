@@ -41,3 +41,19 @@ def test_templates_generalise_merge_and_reject(spark):
 
 def test_empty_table(spark):
     assert uf.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_every_section_of_enough_pages_stays_literal_at_any_depth(spark):
+    """One blocked language of 25 alike, one blocked section of two at the sixth segment, and a branch of more names than are shown."""
+    langs = ["en", *(f"{a}{b}" for a in "abcdef" for b in "xyzw")]
+    urls = [f"http://x.com/{lang}/p{i}" for lang in langs for i in range(30)]
+    deep = [f"http://y.com/a/b/c/d/e/{s}/w{'abcdefghij'[i % 10]}/{i}" for s in ("bad", "good") for i in range(30)]
+    wide = [f"http://z.com/s{'abcdefghijklmnopqrstuvwxyz'[k]}/{i}" for k in range(26) for i in range(6)]
+    rules = (("block", "x.com/en/"), ("block", "y.com/a/b/c/d/e/bad/wa"), ("block", "z.com/s"))
+    df = spark.createDataFrame(list(enumerate(urls + deep + wide)), "page_id long, url string")
+    rows = uf.filter_urls(df, rules).collect()
+    assert len(rows) == len(urls + deep + wide)
+    assert {(r["path"].split("/")[1], r["verdict"], r["template"].split("/")[1]) for r in rows if r["host"] == "x.com"} == {(lang, "block" if lang == "en" else "allow", lang) for lang in langs}
+    assert {r["verdict"] for r in rows if "/good/" in r["path"]} == {"allow"}
+    assert {r["template"][:12] for r in rows if "/good/" in r["path"]} == {"/a/b/c/d/e/g"}
+    assert len({r["template"] for r in rows if r["host"] == "z.com"}) == 1
