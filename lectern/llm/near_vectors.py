@@ -9,11 +9,14 @@ Equal vectors are one node with a count. Each node keeps a list of its ``k`` nea
    nodes that list it; each node compares the vectors it got with each other, and sends a pair to either
    end whose list it betters. This is the neighbours-of-neighbours join; it ends when few lists change.
 3. *Links.* Listed pairs near the threshold are computed in double precision; those at or above it are links.
-4. *Enlarging.* Where a list is full of links there may be more, and they are in the same component of links.
-   Each component is compared in blocks, which makes its lists as long as they need to be; only counts leave a
-   task, never the pairs.
-5. *Audit.* Up to ``audit`` nodes, those least by hash, are compared with all; if fewer than ``recall`` of their
-   links were found, lists are made twice as long and more rounds follow.
+4. *Enlarging.* Where a list is full of links there may be more, in its component of links or in others. A link
+   between components that no list holds has a full list at either end; so nodes of full lists get a second list,
+   of the nearest nodes of other components, by the same rounds. Links found there join components, and this is repeated
+   until there is none. Then each component is compared in blocks, which makes its lists as long as they need to
+   be; only counts leave a task, never the pairs.
+5. *Audit.* ``audit`` nodes of all and as many of the linked ones (or the root of their number, if that is more), those
+   least by hash, are compared with all; if the mean over nodes of the share of links found is less than ``recall``,
+   lists are made twice as long and more rounds follow.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite components have no links and are
 alone; vectors of different lengths don't link; repeated rows are vectors of their own and link with
@@ -23,6 +26,7 @@ ignored; an empty table gives no rows. Equal vectors are recognised by a 64-bit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from lectern.llm import checkpoints
 from lectern.llm import exchange as X
 from lectern.llm.components import connected
+from lectern.llm.lm_score import find
 from lectern.llm.textkernel import splitmix
 
 NODES_PER_BUCKET = 4096
@@ -58,17 +63,17 @@ def _bucket(node: np.ndarray, buckets: int) -> np.ndarray:
     return X.bucket_of(splitmix(node.view(np.uint64)), buckets)
 
 
-def _best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best distinct others of each node, by node and then falling similarity."""
-    order = np.lexsort((other, -sim, node))
-    node, other, sim = node[order], other[order], sim[order]
+def _best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, apart: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best distinct others of each node in its own component and the k best apart from it, by node and then falling similarity."""
+    order = np.lexsort((other, -sim, apart, node))
+    node, other, sim, apart = node[order], other[order], sim[order], apart[order]
     pair = np.lexsort((np.arange(len(node)), other, node))
     first = np.ones(len(node), dtype=bool)
     first[pair[1:]] = (node[pair][1:] != node[pair][:-1]) | (other[pair][1:] != other[pair][:-1])
-    node, other, sim = node[first], other[first], sim[first]
-    start = np.flatnonzero(np.insert(node[1:] != node[:-1], 0, True)) if len(node) else np.zeros(0, np.int64)
+    node, other, sim, apart = node[first], other[first], sim[first], apart[first]
+    start = np.flatnonzero(np.insert((node[1:] != node[:-1]) | (apart[1:] != apart[:-1]), 0, True)) if len(node) else np.zeros(0, np.int64)
     rank = np.arange(len(node)) - np.repeat(start, np.diff(np.append(start, len(node))))
-    return node[rank < k], other[rank < k], sim[rank < k]
+    return node[rank < k], other[rank < k], sim[rank < k], apart[rank < k]
 
 
 def _tree_edges(nodes: DataFrame, trees: int, bits: int, k: int, buckets: int) -> DataFrame:
@@ -82,41 +87,46 @@ def _tree_edges(nodes: DataFrame, trees: int, bits: int, k: int, buckets: int) -
                     side = x @ np.random.RandomState(1000 * tree + 7 * x.shape[1]).randn(x.shape[1], bits + 1)
                     key[at] = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     along[at] = side[:, bits]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree)), batch.column(0), batch.column(1), pa.array(key), pa.array(along)], names=["tree", "node", "v", "code", "along"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree)), batch.column(0), batch.column(1), pa.array(key), pa.array(along), batch.column(2)], names=["tree", "node", "v", "code", "along", "comp"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
             for i in range(0, batch.num_rows, SORT_BLOCK):
                 part = batch.slice(i, SORT_BLOCK)
-                node = part.column(1).to_numpy()
+                node, comp = part.column(1).to_numpy(), part.column(5).to_numpy()
                 for at, x in _matrix(part.column(2)):
-                    sims = np.where(node[at][:, None] == node[at][None, :], -2.0, x @ x.T)  # a node may stand in a block for two trees
-                    top = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, len(at) - 1)]
-                    sim = np.take_along_axis(sims, top, 1).ravel()
-                    real = sim > -2
-                    got.append((np.repeat(node[at], top.shape[1])[real], node[at][top].ravel()[real], sim[real].astype(np.float32)))
+                    sims, own = x @ x.T, comp[at][:, None] == comp[at][None, :]
+                    own_too = own & (node[at][:, None] != node[at][None, :])  # a node may stand in a block for two trees
+                    for apart, fits in ((0, own_too), (1, ~own)):
+                        if not fits.any():
+                            continue
+                        some = np.where(fits, sims, -2.0)
+                        top = np.argsort(-some, axis=1, kind="stable")[:, : min(k, len(at) - 1)]
+                        sim = np.take_along_axis(some, top, 1).ravel()
+                        real = sim > -2
+                        got.append((np.repeat(node[at], top.shape[1])[real], node[at][top].ravel()[real], sim[real].astype(np.float32), np.full(int(real.sum()), apart, dtype=np.uint8)))
             if got:
-                a, b, s = _best(*(np.concatenate(c) for c in zip(*got, strict=True)), k)
-                yield X.rows([(bucket, 3, X.pack(a[at], b[at], s[at])) for bucket, at in X.by_bucket(_bucket(a, buckets))])
+                a, b, s, d = _best(*(np.concatenate(c) for c in zip(*got, strict=True)), k)
+                yield X.rows([(bucket, 3, X.pack(a[at], b[at], s[at], d[at])) for bucket, at in X.by_bucket(_bucket(a, buckets))])
 
-    coded = nodes.select("node", "v").mapInArrow(code, "tree long, node long, v array<double>, code long, along double")
+    coded = nodes.select("node", "v", "comp").mapInArrow(code, "tree long, node long, v array<double>, code long, along double, comp long")
     return coded.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along").mapInArrow(near, X.ROWS)
 
 
 def nearest_lists(nodes: DataFrame, count: int, k: int, trees: int, rounds: int, before: DataFrame | None = None) -> DataFrame:
-    """Cells (kind 4) of (node, other, similarity): the lists after NN-descent from the trees, or from lists found before."""
+    """Cells (kind 4) of (node, other, similarity, whether of another ``comp``): the lists after NN-descent from the trees, or from lists found before."""
     buckets = max(X.LEAST_BUCKETS, -(-count // NODES_PER_BUCKET))
     bits = max(1, int(np.ceil(np.log2(max(count / SORT_BLOCK, 2)))))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy()
+            node, comp = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             out = []
             for at, x in _matrix(batch.column(1)):
                 scale = np.abs(x).max(axis=1, keepdims=True)
                 q = np.rint(x / scale * 127).astype(np.int8)
-                out += [(b, 0, X.pack(node[at][p], np.ascontiguousarray(q[p]).view(np.uint8).ravel())) for b, p in X.by_bucket(_bucket(node[at], buckets))]
+                out += [(b, 0, X.pack(node[at][p], comp[at][p], np.ascontiguousarray(q[p]).view(np.uint8).ravel())) for b, p in X.by_bucket(_bucket(node[at], buckets))]
             yield X.rows(out)
 
     def keep(table: pa.Table) -> list:
@@ -124,24 +134,24 @@ def nearest_lists(nodes: DataFrame, count: int, k: int, trees: int, rounds: int,
         return [(bucket, 0, c.as_py()) for kind, c in zip(table.column("kind").to_pylist(), table.column("cell"), strict=True) if kind == 0]
 
     def lists_of(table: pa.Table, kind: int):
-        return X.joined(X.cells(table, kind), ("<i8", "<i8", "<f4"))
+        return X.joined(X.cells(table, kind), ("<i8", "<i8", "<f4", "u1"))
 
     def merge(table: pa.Table) -> pa.Table:
         """Lists (kind 4) from offers (3) and lists; asks each listed node for its vector (kind 1)."""
         parts = [lists_of(table, kind) for kind in (3, 4)]
         old = parts[1]
-        node, other, sim = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), k)
+        node, other, sim, apart = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), k)
         seen = np.rec.fromarrays([np.concatenate([old[0], node]), np.concatenate([old[1], other])])
         changed = len(np.unique(seen)) - len(old[0])
         bucket = table.column("bucket")[0].as_py()
-        out = keep(table) + [(bucket, 4, X.pack(node, other, sim)), (bucket, 5, X.pack(np.array([changed, len(node)], dtype=np.int64)))]
+        out = keep(table) + [(bucket, 4, X.pack(node, other, sim, apart)), (bucket, 5, X.pack(np.array([changed, len(node)], dtype=np.int64)))]
         out += [(b, 1, X.pack(other[at], node[at])) for b, at in X.by_bucket(_bucket(other, buckets))]
         return pa.Table.from_batches([X.rows(out)])
 
     def send(table: pa.Table) -> pa.Table:
         """Each node's vector (kind 2) to the nodes on its list and to k of those that list it, with the similarity that its list is open to."""
         bucket = table.column("bucket")[0].as_py()
-        node, other, sim = lists_of(table, 4)
+        node, other, sim, apart = lists_of(table, 4)
         asked, asker = X.joined(X.cells(table, 1), ("<i8", "<i8"))
         order = np.lexsort((splitmix(asked.view(np.uint64) ^ splitmix(asker.view(np.uint64))), asked))
         asked, asker = asked[order], asker[order]
@@ -149,20 +159,30 @@ def nearest_lists(nodes: DataFrame, count: int, k: int, trees: int, rounds: int,
         rank = np.arange(len(asked)) - np.repeat(start, np.diff(np.append(start, len(asked))))
         few = rank < k
         pair = np.unique(np.column_stack([np.concatenate([node, asked[few]]), np.concatenate([other, asker[few]])]), axis=0)
-        members, length = np.unique(node, return_counts=True)
-        worst = np.full(len(members), -2, dtype=np.float32)
-        full = length == k
-        worst[full] = np.minimum.reduceat(sim, np.cumsum(length) - length)[full] if len(sim) else worst[full]
-        out = [(bucket, 4, X.pack(node, other, sim))]
-        for ids_, raw in X.cells(table, 0):
-            out.append((bucket, 0, X.pack(ids_, raw)))
+        open_of = []
+        for which in (0, 1):
+            mine = apart == which
+            members, length = np.unique(node[mine], return_counts=True)
+            worst = np.full(len(members), -2, dtype=np.float32)
+            full = length == k
+            worst[full] = np.minimum.reduceat(sim[mine], np.cumsum(length) - length)[full] if mine.any() else worst[full]
+            open_of.append((members, worst))
+
+        def open_(src: np.ndarray, which: int) -> np.ndarray:
+            members, worst = open_of[which]
+            at = find(members, src)
+            return np.where(at >= 0, worst[at], np.float32(-2)) if len(members) else np.full(len(src), -2, dtype=np.float32)
+
+        out = [(bucket, 4, X.pack(node, other, sim, apart))]
+        for ids_, comp, raw in X.cells(table, 0):
+            out.append((bucket, 0, X.pack(ids_, comp, raw)))
             x = raw.reshape(len(ids_), -1)
             order = np.argsort(ids_)
             at = np.searchsorted(ids_[order], pair[:, 0])
             ok = (at < len(ids_)) & (ids_[order][np.minimum(at, len(ids_) - 1)] == pair[:, 0])
             src, place, to = pair[ok, 0], order[at[ok]], pair[ok, 1]
-            open_ = worst[np.minimum(np.searchsorted(members, src), len(members) - 1)] if len(members) else np.zeros(0, np.float32)
-            out += [(b, 2, X.pack(to[p], src[p], open_[p], np.ascontiguousarray(x[place[p]]).ravel())) for b, p in X.by_bucket(_bucket(to, buckets))]
+            own, away = open_(src, 0), open_(src, 1)
+            out += [(b, 2, X.pack(to[p], src[p], comp[place[p]], own[p], away[p], np.ascontiguousarray(x[place[p]]).ravel())) for b, p in X.by_bucket(_bucket(to, buckets))]
         return pa.Table.from_batches([X.rows(out)])
 
     def join(table: pa.Table) -> pa.Table:
@@ -171,25 +191,27 @@ def nearest_lists(nodes: DataFrame, count: int, k: int, trees: int, rounds: int,
         out = keep(table) + [(bucket, 4, X.pack(*lists_of(table, 4)))]
         offers = []
         by_dim: dict[int, list] = {}
-        for to, src, open_, raw in X.cells(table, 2):
-            by_dim.setdefault(len(raw) // max(len(to), 1), []).append((to, src, open_, raw.view(np.int8).reshape(len(to), -1)))
+        for to, src, comp, own, away, raw in X.cells(table, 2):
+            by_dim.setdefault(len(raw) // max(len(to), 1), []).append((to, src, comp, own, away, raw.view(np.int8).reshape(len(to), -1)))
         for parts in by_dim.values():
-            to, src, open_, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+            to, src, comp, own, away, x = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.argsort(to, kind="stable")
-            to, src, open_, x = to[order], src[order], open_[order], x[order].astype(np.float32)
+            to, src, comp, own, away, x = to[order], src[order], comp[order], own[order], away[order], x[order].astype(np.float32)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             edge = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 sims = x[a:b] @ x[a:b].T
-                i, j = np.nonzero(sims > open_[a:b][:, None] + 1e-6)
-                apart = src[a:b][i] != src[a:b][j]
-                offers.append((src[a:b][i[apart]], src[a:b][j[apart]], sims[i[apart], j[apart]]))
+                apart = comp[a:b][:, None] != comp[a:b][None, :]
+                i, j = np.nonzero(sims > np.where(apart, away[a:b][:, None], own[a:b][:, None]) + 1e-6)
+                real = src[a:b][i] != src[a:b][j]
+                i, j = i[real], j[real]
+                offers.append((src[a:b][i], src[a:b][j], sims[i, j], apart[i, j].astype(np.uint8)))
         if offers:
-            node, other, sim = _best(*(np.concatenate(c) for c in zip(*offers, strict=True)), k)
-            out += [(b, 3, X.pack(node[at], other[at], sim[at])) for b, at in X.by_bucket(_bucket(node, buckets))]
+            node, other, sim, apart = _best(*(np.concatenate(c) for c in zip(*offers, strict=True)), k)
+            out += [(b, 3, X.pack(node[at], other[at], sim[at], apart[at])) for b, at in X.by_bucket(_bucket(node, buckets))]
         return pa.Table.from_batches([X.rows(out)])
 
-    state = nodes.select("node", "v").mapInArrow(vectors, X.ROWS)
+    state = nodes.select("node", "v", "comp").mapInArrow(vectors, X.ROWS)
     if trees:
         state = state.unionByName(_tree_edges(nodes, trees, bits, k, buckets))
     if before is not None:
@@ -199,7 +221,7 @@ def nearest_lists(nodes: DataFrame, count: int, k: int, trees: int, rounds: int,
         sent = merged_.groupBy("bucket").applyInArrow(send, X.ROWS)
         state = sent.groupBy("bucket").applyInArrow(join, X.ROWS).checkpoint()
         offered = state.where("kind = 3").agg(F.sum(F.length("cell"))).first()[0] or 0
-        if offered < 20 * 0.002 * k * count:  # an offer is 20 bytes
+        if offered < 21 * 0.002 * k * count:  # an offer is 21 bytes
             break
     return state.groupBy("bucket").applyInArrow(merge, X.ROWS).where("kind in (0, 4)").checkpoint()
 
@@ -211,7 +233,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = 12, trees
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), good.alias("good")).withColumn("node", F.when(F.col("good"), F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)))))
-    nodes = rows.where("good").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")).checkpoint()
+    nodes = rows.where("good").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("comp", F.col("node")).checkpoint()
     count = nodes.count()
     measured, lists = 1.0, None
     while True:
@@ -220,11 +242,17 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = 12, trees
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for cell in batch.column(0):
-                    node, other, sim = X.unpack(cell.as_py())
-                    at = sim >= threshold - 0.04
+                    node, other, sim, apart = X.unpack(cell.as_py())
+                    at = (sim >= threshold - 0.04) & (apart == 1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, other)[at]), pa.array(np.maximum(node, other)[at])], names=["a", "b"])
 
-        listed = lists.where("kind = 4").select("cell").mapInArrow(close, "a long, b long").distinct()
+        def full(batches: Iterator[pa.RecordBatch], k=k) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for cell in batch.column(0):
+                    node, _, sim, _ = X.unpack(cell.as_py())
+                    member, n = np.unique(node[sim >= threshold - 0.04], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(member[n >= k])], names=["node"])
+
         one, two = (nodes.select(F.col("node").alias(n), F.col("v").alias(f"v{n}")) for n in "ab")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +264,23 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = 12, trees
                             ok[at[at2]] = np.einsum("ij,ij->i", x[at2], y) >= threshold
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-        links = listed.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(exact, "a long, b long")
+        def links_of(lists: DataFrame) -> DataFrame:
+            listed = lists.where("kind = 4").select("cell").mapInArrow(close, "a long, b long").distinct()
+            return listed.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(exact, "a long, b long").checkpoint()
+
+        links = links_of(lists)
         groups = connected(links).checkpoint()
+        saturated = nodes.drop("comp").join(lists.where("kind = 4").select("cell").mapInArrow(full, "node long"), "node", "left_semi").checkpoint()
+        while True:
+            parted = saturated.join(groups, "node", "left").select("node", "v", F.coalesce("component", "node").alias("comp")).checkpoint()
+            many = parted.agg(F.count("*"), F.min("comp"), F.max("comp")).first()
+            if not many[0] or many[1] == many[2]:
+                break
+            across = links_of(nearest_lists(parted, many[0], k, trees, rounds))
+            if not across.head(1):
+                break
+            links = links.unionByName(across)
+            groups = connected(links).checkpoint()
         sizes = groups.groupBy("component").agg(F.count("*").alias("m")).select("component", (1 + F.floor((F.col("m") - 1) / BLOCK)).cast("int").alias("parts"))
         member = groups.join(sizes, "component").join(nodes, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         # a member meets every part of its component: as one that counts, at (own part, part), and as one that is counted, at (part, own part)
@@ -271,7 +314,10 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = 12, trees
         least = groups.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
         classes = groups.join(least, "component").select("node", "component_id").join(near, "node", "left").select("node", "component_id", F.coalesce("found", F.lit(0)).alias("found")).checkpoint()
         # the audit: a bounded number of nodes against all of them
-        asked = nodes.orderBy(F.xxhash64("node"), "node").limit(audit).select("node", "v").collect()
+        by_hash = [F.xxhash64("node"), F.col("node")]
+        linked = nodes.join(classes, "node", "left_semi")
+        some = nodes.orderBy(*by_hash).limit(audit).union(linked.orderBy(*by_hash).limit(max(audit, math.isqrt(classes.count()))))
+        asked = some.select("node", "v").dropDuplicates(["node"]).collect()
         shared = spark.sparkContext.broadcast(pa.table({"node": pa.array([r["node"] for r in asked], pa.int64()), "v": pa.array([r["v"] for r in asked], pa.list_(pa.float64()))}))
 
         def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +333,9 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = 12, trees
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], names=["node", "true"])
 
         true = nodes.select("node", "v", "copies").mapInArrow(truth, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-        got = true.join(classes, "node", "left").agg(F.sum("true"), F.sum(F.coalesce("found", F.lit(0)))).first()
-        measured = 1.0 if not got[0] else got[1] / got[0]
+        share = F.coalesce("found", F.lit(0)) / F.col("true")
+        got = true.where(F.col("true") > 0).join(classes, "node", "left").agg(F.avg(share)).first()[0]
+        measured = 1.0 if got is None else got
         if measured >= recall or 2 * k >= count:
             break
         k, rounds = 2 * k, rounds + 2

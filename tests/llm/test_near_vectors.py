@@ -50,3 +50,18 @@ def test_links_and_components_equal_brute_force(spark):
 def test_empty_table(spark):
     out, recall = nv.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert out.collect() == [] and recall == 1.0
+
+
+def test_clumps_whose_lists_are_full_are_linked_across(spark):
+    """Every list is full of its own clump; no audited node of all sees it."""
+    rng = np.random.RandomState(8)
+    unit = lambda x: x / np.linalg.norm(x)
+    a = unit(rng.randn(64))
+    b = unit(0.945 * a + np.sqrt(1 - 0.945**2) * unit(rng.randn(64) - a * (a @ rng.randn(64))))
+    rows = [(i, unit(rng.randn(64)).tolist()) for i in range(300)]
+    rows += [(1000 + i, (c + 0.17 * unit(rng.randn(64))).tolist()) for c in (a, b) for i in range(30)]
+    rows = [(i, v) for i, (_, v) in enumerate(rows)]
+    want = brute(rows)
+    assert len({w[2] for w in want if w[0] >= 300}) == 1 and sum(w[1] for w in want) > 2 * 2 * 30 * 29 * 0.9
+    out, _ = nv.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), audit=0)
+    assert sorted((tuple(r)[:3] for r in out.collect()), key=str) == want
