@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,15 +156,22 @@ def merge_windows(seeds: DataFrame) -> DataFrame:
 
 
 def spend_budget(windows: DataFrame, budget: int = 3600) -> DataFrame:
-    """Windows in priority order that fit what is left of the budget; one that does not fit is skipped."""
-    rows = windows.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("priority", "id", "words"))).alias("s"))
-
-    def step(state: Column, x: Column) -> Column:
-        fits = state["spent"] + x["words"] <= budget
-        return F.struct(F.when(fits, state["spent"] + x["words"]).otherwise(state["spent"]).alias("spent"), F.when(fits, F.concat(state["ids"], F.array(x["id"].cast("long")))).otherwise(state["ids"]).alias("ids"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<bigint>").alias("ids"))
-    return rows.select("run", F.explode(F.aggregate("s", zero, step)["ids"]).alias("id"))
+    """Windows in priority order that fit what is left of the budget; one that does not fit is skipped. A run is read in order and never held whole."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, spent = object(), 0
+        for batch in batches:
+            take = []
+            for run, words in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if run != now:
+                    now, spent = run, 0
+                fits = words is not None and spent + words <= budget
+                spent += words if fits else 0
+                take.append(fits)
+            yield batch.select(["run", "id"]).filter(pa.array(take, pa.bool_()))
+
+    rows = windows.select("run", "priority", F.col("id").cast("long").alias("id"), "words").repartition("run").sortWithinPartitions("run", "priority", "id", "words")
+    return rows.mapInArrow(fold, rows.select("run", "id").schema)
 
 
 def stemmed(post: DataFrame) -> DataFrame:

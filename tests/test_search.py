@@ -77,3 +77,17 @@ def test_stage_runner(spark):
     stages = [("a", lambda d: d.withColumn("x", F.lit(1))), ("b", lambda d: None), ("c", lambda d: 1 / 0), ("d", lambda d: d)]
     assert [v.split(":")[0] for _, v in smart.run_stages(stages, start)] == ["processed", "skipped", "failed"]
     assert [n for n, _ in smart.run_stages(stages, start, "b")] == ["a", "b"]
+
+
+def test_budget_over_all_documents_is_spent_as_by_a_loop(spark, tmp_path):
+    """Small documents behind the first 200 still fit."""
+    from lectern.plans.registry import queries
+
+    sizes = [(i, 900 if i < 200 and i % 3 else 35_000 if i < 200 else 7) for i in range(1000)]
+    spark.createDataFrame(sizes, "doc_id long, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spent, want = 0, []
+    for i, n in sizes:
+        if spent + n <= 36000:
+            spent, want = spent + n, [*want, i]
+    assert max(want) >= 200
+    assert sorted(r["id"] for r in queries()["context_budget_whole"](spark, str(tmp_path)).collect()) == want
