@@ -10,13 +10,14 @@ of equal sets are one node, named by a hash of the set. Two nodes link at simila
    discarded. All members of a list are assigned to the block of the list's least member.
 2. *A bound by bits.* A set's bitmap holds, for each of about n places, the parity of the shingles hashed there. Bitmaps
    of two sets differ in no more places than the sets in shingles, so members whose bitmap is too far from
-   every other in the block are discarded, exactly.
+   every other in the block are discarded, exactly. Bitmaps are rows of their own, so no text moves for this.
 3. *Blocks.* A block receives its members' texts once each and multiplies its document-by-shingle matrix row
    by row: a row's overlap counts are accumulated from the postings of sets not yet reached, those at the
    threshold are linked and reached, and reached sets leave the postings. Every pair that the bounds admit
    shares a block, and a pair is only skipped if a path of links already joins it.
 4. *Large blocks* are split by a hash of the member, each part with the block's first set. Members not joined
-   to that set in their part are compared with all parts in a second step; those joined need no more.
+   to that set in their part are compared with all parts in a second step; those joined need no more. There
+   their bitmaps go to the parts first, and texts only where a bitmap is near enough.
 5. Components of the links; each document takes the least doc_id of its component.
 
 Shingles and sets are compared by 64-bit hashes.
@@ -39,16 +40,17 @@ from pyspark.sql import functions as F
 from lectern.llm import checkpoints
 from lectern.llm import exchange as X
 from lectern.llm.components import connected
-from lectern.llm.lm_score import NULL_ID, ids, summed
+from lectern.llm.lm_score import summed
 from lectern.llm.textkernel import CHUNK, runs, shingles, splitmix, words
 
 #: A shingle of this share of the documents or more is ordered last.
-HEAVY = 1 / 500
+HEAVY = 1 / 2500
 #: Longest list of which all pairs are held against the positional bound.
 CLOSE = 24
 #: Members of a block's part.
 PART = 2048
-BUCKET_BYTES = 24 << 20
+#: Bytes of text whose entries share a bucket; a task holds one bucket at a time.
+BUCKET_BYTES = 8 << 20
 #: Bytes of text whose entries a task holds before it sends them.
 FLUSH = 8 << 20
 _EMPTY = np.zeros(0, dtype=np.uint64)
@@ -128,8 +130,9 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(np.bitwise_xor.reduce(b.reshape(size * 8, -1), axis=1))
 
 
-def within_bits(maps: list[np.ndarray], size: np.ndarray, per_cent: int) -> np.ndarray:
-    """The sets, by bitmap and size, that may be similar enough to another one; with the first set, if any is."""
+def within_bits(maps: list[np.ndarray], size: np.ndarray, per_cent: int, against: int | None = None, names: np.ndarray | None = None) -> np.ndarray:
+    """The sets, by bitmap and size, that may be similar enough to another one; with the first set, if any is.
+    With ``against``: those of the first ``against`` sets near one of the rest that has another name, and these."""
     m = len(maps)
     near = np.zeros(m, dtype=bool)
     width = np.array([len(x) for x in maps])
@@ -151,6 +154,13 @@ def within_bits(maps: list[np.ndarray], size: np.ndarray, per_cent: int) -> np.n
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
         place[at] = np.arange(len(at))
+    if against is not None:
+        rest = np.arange(against, m)
+        for a in range(against):
+            hit = close(a, rest) & (names[rest] != names[a])
+            near[rest[hit]] = True
+            near[a] = hit.any()
+        return near
     hit = close(0, np.arange(1, m))
     near[1:] = hit
     for a in np.flatnonzero(~near[1:]) + 1:
@@ -247,10 +257,10 @@ def _heavy(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_bytes: int = BUCKET_BYTES, part: int = PART) -> DataFrame:
-    """doc_id, n_shingles, component_id, and set_id (the hash of the document's set) for every row."""
+    """doc_id, n_shingles, component_id, set_id (the hash of the document's set) and class_id (the least set_id of the component; null without shingles) for every row."""
     spark = docs.sparkSession
     checkpoints.ensure(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _named(docs)
     buckets = X.bucket_count(X.text_size(docs), bucket_bytes)
     heavy = _heavy(docs.select("text"), n)
     shared = spark.sparkContext.broadcast((np.sort(heavy), np.argsort(heavy, kind="stable")))
@@ -258,9 +268,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_b
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = shared.value
         for batch in batches:
-            doc_all, seen = ids(batch.column(0)), set()
+            doc_all, anon_all, seen = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), set()
             for first, end, data, off in runs(batch, most=FLUSH):
-                yield flush(doc_all[first:end], [prefixes(d, o, i, keys, ranks, seen) for i, _, d, o in runs_of(data, off)])
+                yield flush(doc_all[first:end], anon_all[first:end].astype(np.uint8), [prefixes(d, o, i, keys, ranks, seen) for i, _, d, o in runs_of(data, off)])
 
     def prefixes(data, off, i, keys, ranks, seen):
         """What a run sends: (shingle, row, place) of prefixes, each row's size and set, and bitmaps."""
@@ -282,9 +292,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_b
         bits = [bitmap(x) for x in np.split(h, begin[1:])] if len(size) else []
         return h[keep], row[keep] + i, X.small(place[keep]), size, name, np.array(bits, dtype=object)
 
-    def flush(doc, parts):
+    def flush(doc, anon, parts):
         h, row, place, size, name, bits = (np.concatenate(c) for c in zip(*parts, strict=True))
-        out = [(b, 1, X.pack(doc[at], name[at], size[at].astype(np.uint32), np.frombuffer(b"".join(bits[at]), dtype=np.uint8))) for b, at in X.by_bucket(X.bucket_of(splitmix(doc.view(np.uint64)), buckets))]
+        anywhere = splitmix(doc.view(np.uint64) ^ splitmix(np.arange(len(doc), dtype=np.uint64)))  # rows need no meeting place
+        out = [(b, 1, X.pack(doc[at], name[at], size[at].astype(np.uint32), anon[at], np.frombuffer(b"".join(bits[at]), dtype=np.uint8))) for b, at in X.by_bucket(X.bucket_of(anywhere, buckets))]
         for b, at in X.by_bucket(X.bucket_of(h, buckets)):
             used, inverse = np.unique(row[at], return_inverse=True)
             out.append((b, 0, X.pack(h[at], X.small(inverse), X.small(place[at]), name[used], size[used].astype(np.uint32))))
@@ -298,53 +309,54 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_b
             d = np.concatenate([p[1].astype(np.int64) + f for p, f in zip(parts, first, strict=False)])
             h, place, name, size = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
             a, b = lists(h, name[d], size[d].astype(np.int64), place.astype(np.int64), per_cent)
-        doc, name, size, raw = X.joined(X.cells(table, 1), ("<i8", "<u8", "<u4", "u1"))
+        doc, name, size, anon, raw = X.joined(X.cells(table, 1), ("<i8", "<u8", "<u4", "u1", "u1"))
         width = np.array([1 << max(8, int(x - 1).bit_length()) >> 3 for x in size.tolist()], dtype=np.int64)
         ends = np.cumsum(width)
-        raw = raw.tobytes()
-        bits = [None] * len(a) + [raw[e - w : e] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
-        kind = np.repeat(np.array([0, 1], dtype=np.int32), [len(a), len(doc)])
-        return pa.table({"kind": kind, "x": np.concatenate([a.view(np.int64), doc]), "y": np.concatenate([b.view(np.int64), name.view(np.int64)]), "n": np.concatenate([np.zeros(len(a), np.int64), size.astype(np.int64)]), "bits": pa.array(bits, pa.binary())})
+        edges = np.concatenate([np.zeros(len(a) + 1, dtype=np.int32), ends.astype(np.int32)])
+        bits = pa.BinaryArray.from_buffers(pa.binary(), len(a) + len(doc), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))])
+        kind = np.concatenate([np.zeros(len(a), dtype=np.int32), 1 + anon.astype(np.int32)])
+        return pa.table({"kind": kind, "x": np.concatenate([a.view(np.int64), doc]), "y": np.concatenate([b.view(np.int64), name.view(np.int64)]), "n": np.concatenate([np.zeros(len(a), np.int64), size.astype(np.int64)]), "bits": bits})
 
     found = docs.mapInArrow(entries, X.ROWS).groupBy("bucket").applyInArrow(candidates, "kind int, x long, y long, n long, bits binary").checkpoint()
-    rows = found.where("kind = 1").select(F.col("x").alias("doc_id"), F.col("y").alias("set_id"), "n")
+    rows = found.where("kind > 0").select(F.col("x").alias("key"), (F.col("kind") == 2).alias("anon"), F.col("y").alias("set_id"), "n")
     pairs = found.where("kind = 0").select(F.col("x").alias("center"), F.col("y").alias("member")).distinct()
-    # NULL_ID is the least number, so a set with other documents would be named by it
-    named = rows.where("n > 0").groupBy("set_id").agg(F.min(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).alias("least"))
-    maps = found.where("kind = 1 AND n > 0").groupBy(F.col("y").alias("member")).agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    named = rows.where("n > 0").groupBy("set_id").agg(F.min(F.struct("anon", "key")).alias("who"))
+    maps = found.where("kind > 0 AND n > 0").groupBy(F.col("y").alias("member")).agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], names=["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([z.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())], names=["key", "anon", "z"])
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").mapInArrow(compress, "doc_id long, z binary")
+    texts = docs.mapInArrow(compress, "key long, anon boolean, z binary")
     sizes = pairs.groupBy("center").agg(F.count("*").alias("m")).select("center", (1 + F.floor((F.col("m") - 1) / part)).cast("int").alias("k")).checkpoint()
     cut = sizes.where("k > 1")
     dealt = pairs.join(cut, "center", "left").select("center", F.coalesce("k", F.lit(1)).alias("k"), F.pmod(F.xxhash64("member"), F.coalesce("k", F.lit(1))).cast("int").alias("part"), "member")
     seats = dealt.unionByName(sizes.select("center", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("center").alias("member")))
 
     def admissible(table: pa.Table) -> pa.Table:
-        c, p, k, member, n_ = (table.column(x).to_numpy() for x in ("center", "part", "k", "member", "n"))
-        bits = table.column("bits")
-        order = np.lexsort((member, member != c, p, c))
+        """Each block's members with ``near``: whether a bitmap there is near theirs. Asking members come first and are held against the rest."""
+        c, p, asks, member, n_ = (table.column(x).to_numpy() for x in ("center", "part", "asks", "member", "n"))
+        bits = table.column("bits").combine_chunks()
+        order = np.lexsort((member, member != c, -asks, p, c))
         edge = np.concatenate([[0], np.flatnonzero((c[order][1:] != c[order][:-1]) | (p[order][1:] != p[order][:-1])) + 1, [len(c)]])
-        stay = []
+        near = np.zeros(len(c), dtype=bool)
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             at = order[a:b]
-            if k[at[0]] > 1:  # other parts may hold its partners
-                stay.append(at)
-            elif b - a > 1:
-                stay.append(at[within_bits([np.frombuffer(bits[int(i)].as_py(), dtype=np.uint8) for i in at], n_[at], per_cent)])
-        kept = np.concatenate(stay) if stay else np.zeros(0, np.int64)
-        return table.select(["center", "k", "part", "member"]).take(pa.array(kept))
+            if b - a > 1:
+                asking = int(asks[at].sum())
+                near[at] = within_bits([np.frombuffer(bits[int(i)].as_buffer(), dtype=np.uint8) for i in at], n_[at], per_cent, asking or None, member[at])
+        return table.select(["center", "k", "part", "member", "asks"]).append_column("near", pa.array(near))
+
+    def judged(seats: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("center", "part"), F.lit(buckets * 4))
+        return seats.join(maps, "member").withColumn("bucket", block).groupBy("bucket").applyInArrow(admissible, "center long, k int, part int, member long, asks int, near boolean").checkpoint()
 
-    block = F.pmod(F.xxhash64("center", "part"), F.lit(buckets * 4))
-    seats = seats.join(maps, "member").withColumn("bucket", block).groupBy("bucket").applyInArrow(admissible, "center long, k int, part int, member long").withColumn("asks", F.lit(0)).checkpoint()
+    seats = judged(seats.withColumn("asks", F.lit(0)))
 
     def with_text(seats: DataFrame) -> DataFrame:
-        one = seats.select("member").distinct().join(named, F.col("member") == F.col("set_id")).select("member", F.coalesce("least", F.lit(NULL_ID)).alias("doc_id"))
-        text = one.join(texts, "doc_id").select("member", "z")
+        one = seats.select("member").distinct().join(named, F.col("member") == F.col("set_id")).select("member", "who.anon", "who.key")
+        text = one.join(texts, ["anon", "key"]).select("member", "z")
         blocks = F.pmod(F.xxhash64("center", "part"), F.lit(buckets * 16)).alias("bucket")
         return seats.join(text, "member").select(blocks, "center", "part", "k", "asks", "member", "z")
 
@@ -366,7 +378,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_b
                     raw = np.frombuffer(unzip.decompress(z[int(i)].as_py()), dtype=np.uint8)
                     _, h, _, set_name = sets(raw, np.array([0, len(raw)]), n)
                     if int(set_name.view(np.int64)[0]) != name:
-                        continue  # another row of the same doc_id
+                        continue  # another row of the same key
                     known[name] = h
                 names.append(name)
                 rows_.append(known[name])
@@ -396,20 +408,42 @@ def jaccard_components(docs: DataFrame, n: int = 5, per_cent: int = 75, bucket_b
                         out_kind.append(1)
         return pa.table({"kind": pa.array(out_kind, pa.int32()), "a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    first = with_text(seats).groupBy("bucket").applyInArrow(multiply, "kind int, a long, b long").checkpoint()
+    first = with_text(seats.where("near")).groupBy("bucket").applyInArrow(multiply, "kind int, a long, b long").checkpoint()
     links = first.where("kind = 0").select("a", "b")
-    apart = first.where("kind = 1").select(F.col("a").alias("center"), F.col("b").alias("member"))
+    alone = seats.where("k > 1 AND NOT near AND member <> center").select("center", "member")
+    apart = first.where("kind = 1").select(F.col("a").alias("center"), F.col("b").alias("member")).unionByName(alone)
     if apart.head(1):
         asking = apart.join(cut, "center").select("center", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), "member", F.lit(1).alias("asks"))
         again = seats.join(apart.select("center").distinct(), "center", "left_semi").select("center", "k", "part", "member", "asks").unionByName(asking)
+        again = judged(again).where("near")
         links = links.unionByName(with_text(again).groupBy("bucket").applyInArrow(multiply, "kind int, a long, b long").select("a", "b"))
     groups = connected(links)
-    labelled = named.join(groups, named["set_id"] == groups["node"], "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "least")
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(least, "component").select(F.col("set_id").alias("s"), "component_id")
+    labelled = named.join(groups, named["set_id"] == groups["node"], "left").select("set_id", F.coalesce("component", "set_id").alias("class_id"), "who")
+    least = labelled.groupBy("class_id").agg(F.min("who").alias("who"))
+    classes = labelled.drop("who").join(least, "class_id").select(F.col("set_id").alias("s"), "class_id", F.expr("CASE WHEN NOT who.anon THEN who.key END").alias("component_id"))
     out = rows.join(classes, (F.col("set_id") == F.col("s")) & (F.col("n") > 0), "left")
-    own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"), "set_id")
+    own = F.when(~F.col("anon"), F.col("key"))
+    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"), "set_id", "class_id")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(key, anon, text): the doc_id, or without one a hash of the text, so that such rows share no key."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.coalesce(doc, F.xxhash64(text)).alias("key"), doc.isNull().alias("anon"), text.alias("text"))
+
+
+def set_ids(docs: DataFrame, n: int = 5) -> DataFrame:
+    """The documents with ``set_id`` as ``jaccard_components`` gives it, null for sets without shingles."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sets(data, off, n)[2:] for _, _, data, off in runs(batch, batch.schema.names[at])]
+            size, name = (np.concatenate([np.zeros(0, t), *c]) for t, c in zip((np.int64, np.uint64), zip(*got, strict=True), strict=True)) if got else (np.zeros(0, np.int64), _EMPTY)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name.astype(np.uint64).view(np.int64), mask=size == 0)], names=[*batch.schema.names, "set_id"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, `set_id` long")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
