@@ -7,7 +7,7 @@ shared checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import checkpoints, decontaminate, jaccard, packing, pii, quality
@@ -20,15 +20,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least doc_id. Rows that share a doc_id count as the one of
-    least text; rows without a doc_id cannot be named and stay."""
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.head(1):
-        first = Window.partitionBy("doc_id").orderBy("text")
-        one = docs.join(repeated, "doc_id", "left_semi").withColumn("row_in_id", F.row_number().over(first)).where("row_in_id = 1").drop("row_in_id")
-        docs = docs.join(repeated, "doc_id", "left_anti").unionByName(one.select(*docs.columns))
-    gone = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of linked ones, that of least doc_id; of rows that share this doc_id, or have none, that of
+    least set of shingles and then least text. Documents without words are linked with nothing and stay."""
+    columns = docs.columns
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id").checkpoint()
+    found = jaccard.jaccard_components(docs).checkpoint()
+    plain = docs.where("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti")
+    kept = plain.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*columns)
+    unnamed = docs.where("doc_id IS NULL")
+    if not repeated.head(1) and not unnamed.head(1):
+        return kept
+    # rows that doc_id does not tell apart are told apart by their sets
+    odd = docs.join(repeated, "doc_id", "left_semi").select(*columns).unionByName(unnamed)
+    whole = jaccard.set_ids(odd.select(F.struct(*columns).alias("row"), "text"))
+    classes = found.select(F.col("doc_id").alias("d"), F.col("set_id").alias("s"), "class_id", "component_id").distinct()
+    judged = whole.join(classes, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.col("set_id") == F.col("s")), "left")
+    first = judged.where("set_id IS NOT NULL AND row.doc_id <=> component_id").groupBy("class_id").agg(F.min_by("row", F.struct("set_id", "text")).alias("row"))
+    return kept.unionByName(first.select("row.*")).unionByName(judged.where("set_id IS NULL").select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
