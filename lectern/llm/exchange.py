@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,35 @@ def unpack(cell: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(a: np.ndarray) -> list[np.ndarray]:
+    """Numbers, none negative, as one array of their bytes by significance: those of most numbers are zeros, which compress."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return [np.concatenate([np.array([width], dtype=np.uint8), np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).ravel()])]
+
+
+def unplane(b: np.ndarray) -> np.ndarray:
+    out = np.zeros(((len(b) - 1) // int(b[0]), 8), dtype=np.uint8)
+    out[:, : int(b[0])] = b[1:].reshape(int(b[0]), -1).T
+    return out.view("<i8").ravel()
+
+
+def differences(a: np.ndarray) -> list[np.ndarray]:
+    """Rising numbers as the first one and the differences."""
+    return [a[:1].astype(np.uint64), *planes(np.diff(a))]
+
+
+def undiffer(first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([first, unplane(steps).view(np.uint64)]), dtype=np.uint64)
+
+
+def tight(cell: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(cell)
+
+
+def loose(cell: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(cell)
+
+
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, its entries' places, in order) for each bucket that occurs."""
     if not len(bucket):

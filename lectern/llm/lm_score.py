@@ -2,27 +2,32 @@
 
 Training documents are those whose crc32(doc_id as text) modulo ``folds`` differs from ``held``.
 
-*Model.* A backoff model of words: ``p(w) = (c + 1) / (N + V + 1)`` over the whole
-vocabulary (of any size), and absolute discounting above it:
-``p(w | h) = (c(hw) - D) / c(h)`` for the n-grams kept, and ``bow(h) * p(w | shorter h)`` for the rest,
-where ``bow(h)`` makes the probabilities sum to one. Every n-gram that training holds ``least`` times or more is kept,
-whatever the size of the corpus, so the model grows with it.
-
-*Automaton.* Kept n-grams are states; a state's failure arc leads to its longest kept suffix with the
-weight ``bow``. A left-to-right traversal carries the state. As the state depends on the last
-``order - 1`` tokens only, the traversal is evaluated for all places of a run at once.
-
-*Plan.* No task and no broadcast holds the model; it lies in buckets by the hash of the n-gram. Documents are dealt in
-chunks of some ``CHUNK`` bytes, each with a home bucket. (1) After a count of the vocabulary, a chunk asks
-the buckets for each of its distinct n-grams, with its own training count. (2) A bucket adds the counts and answers, telling
-one chunk for each n-gram that it is the one to speak for it. (3) Chunks send, for each history, the probability of
-the n-grams they speak for and what the shorter history gives to the same words. (4) The history's
-bucket adds these up to ``bow`` and answers. (5) Chunks score their documents. A bucket gets one entry per chunk and
-distinct n-gram at most, so no word or line is hot. A chunk is known by its partition and place there.
-
-Words are compared by 64-bit hashes. Defined results: null text counts as empty (one end token); a null
-``doc_id`` counts as training and stays null; repeated rows each count and each give a row; other columns
-are ignored; an empty table gives no rows.
+*Model.* A trigram model of words, interpolated at each order, with every count taken over all training documents:
+
+* ``p(w) = (c(w) + 1) / (N + V + 1)``, over the whole vocabulary and one unknown word;
+* ``p(w | u) = (c(uw) + prior * p(w)) / (c(u) + prior)``;
+* ``p(w | uv) = (c(uvw) - discount) / c(uv) + bow(uv) * p(w | v)`` for the trigrams that training holds ``least`` times
+  or more, ``bow(uv) * p(w | v)`` for the rest; ``bow(uv)`` is what the kept ones leave, so that probabilities sum to one.
+
+Nothing is bounded by a share, so the model grows with the corpus and rare words are in n-grams.
+
+*Automaton.* Trigrams kept, bigrams and words are states; a state's failure arc leads to its longest known suffix with
+the weight ``bow`` (``prior / (c(u) + prior)`` behind a single word). A left-to-right traversal carries the state and adds
+up the logarithms. As the state depends on the last two tokens only, it is evaluated for all places of a run at once.
+
+*Plan.* No task and no broadcast holds the model; it lies in buckets. Documents are dealt in chunks of some
+``CHUNK`` bytes, known by a hash of their rows. (1) A chunk asks the buckets for its distinct words and bigrams, with its own training
+counts; its trigrams go with the bigram that they begin with, so that a bucket knows all that follows it. Trigrams behind a
+bigram of more than the share ``HOT`` of all (found in one pass over the texts; ``1 / HOT`` at most) are dealt on their own, and
+only what the kept ones sum to is sent round. (2) A bucket adds the counts and answers each chunk. (3) The answers meet the chunk's
+texts, which are read again, in its home bucket. A bucket gets one entry per chunk and distinct n-gram at most, so no word or
+line is hot. Hashes go sorted, as differences, compressed.
+
+N-grams are compared by hashes: 64 bits in a chunk, and in a bucket 40 bits beside the bucket's number (a trigram: 32
+more beside those of its first two words). Defined results: null text counts as empty (one end token); a null
+``doc_id`` counts as training and stays null; repeated rows each count and each give a row; very long texts are a chunk of their own
+and need memory in proportion; other columns are ignored; an empty table gives no rows. Tables whose
+rows come in another order each time they are read have to be written first: a chunk without its answers is an error.
 """
 
 from __future__ import annotations
@@ -32,20 +37,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import checkpoints
 from lectern.llm import exchange as X
-from lectern.llm.textkernel import runs, splitmix, words
+from lectern.llm.textkernel import Polynomial, runs, splitmix, words
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of text in a chunk.
 CHUNK = 4 << 20
-ASK, STATE, REPLY = 0, 1, 2
+#: Bigrams of this share of all or more have their trigrams dealt on their own.
+HOT = 1 / 1000
+#: Bits of a hash that tell n-grams of a bucket apart.
+BITS = 40
+ASK, STATE, REPLY, SUMS = 0, 1, 2, 3
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 END = splitmix(np.array([0x656E64], dtype=np.uint64))
+START = splitmix(np.array([0x7374617274], dtype=np.uint64))
 NULL_ID = np.iinfo(np.int64).min
+_TEXTS = Polynomial(101)
 
 
 def ids(column: pa.Array) -> np.ndarray:
@@ -74,266 +86,224 @@ def find(sorted_keys: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == key, at, -1)
 
 
-def stream(words_: np.ndarray, row: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, word's number) of start, words and end of each document; the start has the number behind the last word."""
-    counts = np.bincount(row, minlength=n_docs)
-    doc = np.repeat(np.arange(n_docs), counts + 2)
-    hashes = np.empty(len(doc), dtype=np.uint64)
-    hashes[np.arange(len(row)) + 2 * row + 1] = h
-    ends = np.cumsum(counts + 2) - 1
-    hashes[ends] = END
-    begin = ends - counts - 1
-    hashes[begin] = words_[0] if len(words_) else 0
-    w = np.searchsorted(words_, hashes)
-    w[begin] = len(words_)
-    return doc, w
-
-
-def backed_off(total: np.ndarray, w: np.ndarray, states: list, log_p: list, log_bow: list) -> np.ndarray:
-    """From unigrams' log10 probabilities those of the longest n-grams kept; states: for each order from 2 the kept n-gram that ends at each place, or -1."""
-    before = w
-    for state, p, bow in zip(states, log_p, log_bow, strict=True):
-        history = np.concatenate([[-1], before[:-1]])
-        failed = total + np.where(history >= 0, bow[history], 0.0)
-        total = np.where(state >= 0, p[state], failed) if len(p) else failed
-        before = state
-    return total
-
-
-class Automaton:
-    """The model in one piece. words: hashes of the frequent words in order, and their counts; levels: for each order from 2, (keys, counts)."""
-
-    def __init__(self, words_: np.ndarray, counts: np.ndarray, levels: list, tokens: int, distinct: int, docs: int, discount: float):
-        self.words, self.counts, self.levels = words_, counts, levels
-        self.size = np.uint64(len(words_) + 1)
-        self.log_all = np.log10(tokens + distinct + 1)
-        self.log_uni = np.log10(counts + 1.0)
-        low = (counts + 1.0) / (tokens + distinct + 1)
-        seen = np.append(counts, docs).astype(np.float64)  # the last is the start of a document
-        self.log_p, self.log_bow = [], []
-        lower_of = lambda last: low[last]
-        for depth, (keys, n) in enumerate(levels):
-            history, last = (keys // self.size).astype(np.int64), (keys % self.size).astype(np.int64)
-            p = (n - discount) / seen[history]
-            below = lower_of(last) if depth == 0 else lower_of(find(levels[depth - 1][0], self._suffix(depth, history, last)))
-            mass, taken = np.bincount(history, p, len(seen)), np.bincount(history, below, len(seen))
-            self.log_bow.append(np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - taken, 1e-12)))
-            self.log_p.append(np.log10(p))
-            seen = n.astype(np.float64)
-            lower_of = lambda at, p=p: p[at]
-
-    def _suffix(self, depth: int, history: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The keys one order shorter of the n-grams (history, last) without their first words."""
-        keys = self.levels[depth - 1][0][history]
-        if depth == 1:
-            return (keys % self.size) * self.size + last.astype(np.uint64)
-        inner = find(self.levels[depth - 2][0], self._suffix(depth - 1, (keys // self.size).astype(np.int64), (keys % self.size).astype(np.int64)))
-        return inner.astype(np.uint64) * self.size + last.astype(np.uint64)
-
-    def states(self, w: np.ndarray) -> list[np.ndarray]:
-        """For each order from 2, the kept n-gram that ends at each place, or -1."""
-        out, before = [], w
-        start = w == len(self.words)
-        for keys, _ in self.levels:
-            ok, key = self.candidates(before, w, start)
-            before = np.where(ok, find(keys, key), -1)
-            out.append(before)
-        return out
-
-    def candidates(self, before: np.ndarray, w: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether a longer n-gram may end here, its key): before is the kept n-gram, one shorter, that ends at each place."""
-        history = np.concatenate([[-1], before[:-1]])
-        ok = (history >= 0) & (before >= 0) & ~start
-        return ok, np.where(ok, history, 0).astype(np.uint64) * self.size + np.where(ok, w, 0).astype(np.uint64)
-
-    def log_probs(self, w: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability but for what an infrequent word's own count adds; 0 at starts."""
-        start = w == len(self.words)
-        total = np.where((w >= 0) & ~start, np.append(self.log_uni, 0.0)[w], 0.0) - self.log_all
-        total = backed_off(total, w, self.states(w), self.log_p, self.log_bow)
-        total[start] = 0.0
-        return total
+def followed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from that of all its words but the last, and the last word's."""
+    with np.errstate(over="ignore"):
+        return splitmix(first * np.uint64(0x9E3779B97F4A7C15) + splitmix(second))
 
 
 class Chunk:
-    """The distinct n-grams of a chunk's documents: for each order the hashes and, by place, the number of the n-gram that ends there or -1."""
-
-    def __init__(self, words_: np.ndarray, w: np.ndarray, order: int, buckets: int):
-        start, size = w == len(words_), np.uint64(len(words_) + 1)
-        self.start, self.at = start, [w]
-        self.hashes = [splitmix(np.append(words_, np.uint64(0)))]
-        self.history, self.last, self.place = [None], [None], [None]
-        for _ in range(2, order + 1):
-            before = self.at[-1]
-            history = np.concatenate([[-1], before[:-1]])
-            ok = np.flatnonzero((history >= 0) & (before >= 0) & ~start)
-            key, first, inverse = np.unique(history[ok].astype(np.uint64) * size + w[ok].astype(np.uint64), return_index=True, return_inverse=True)
-            at = np.full(len(w), -1, dtype=np.int64)
-            at[ok] = inverse
-            h, last = (key // size).astype(np.int64), (key % size).astype(np.int64)
-            self.hashes.append(splitmix(self.hashes[-1][h] * np.uint64(0x9E3779B97F4A7C15) + splitmix(self.hashes[0][last])))
-            self.at.append(at)
-            self.history.append(h)
-            self.last.append(last)
-            self.place.append(ok[first])
-        self.sizes = [len(x) for x in self.hashes]
-        self.key = np.concatenate(self.hashes)
-        self.buckets = buckets
-
-    def split(self, values: np.ndarray) -> list[np.ndarray]:
-        """Values of all n-grams, by order."""
-        return np.split(values, np.cumsum(self.sizes)[:-1])
-
-    def dealt(self, which: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, the n-grams among which that lie there)."""
-        which = np.arange(len(self.key)) if which is None else which
-        for b, at in X.by_bucket(X.bucket_of(self.key[which], self.buckets)):
-            yield b, which[at]
-
-
-def _home(chunk: np.ndarray, buckets: int) -> int:
-    return int(X.bucket_of(splitmix(chunk), buckets)[0])
-
-
-def _asked(table: pa.Table) -> list[list[np.ndarray]]:
-    """A bucket's questions by chunk; each starts with the chunk."""
-    return sorted(X.cells(table, ASK), key=lambda p: int(p[0][0]))
-
-
-def _states(table: pa.Table) -> list[tuple[int, int, bytes]]:
-    """The bucket's chunks as they came."""
-    bucket = table.column("bucket")[0].as_py()
-    return [(bucket, STATE, c.as_py()) for k, c in zip(table.column("kind").to_pylist(), table.column("cell"), strict=True) if k == STATE]
-
-
-def _replies(table: pa.Table) -> dict[tuple[int, int], list[np.ndarray]]:
-    return {(int(p[0][0]), int(p[0][1])): p[1:] for p in X.cells(table, REPLY)}
-
-
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, order: int = 3, least: int = 2, discount: float = 0.5, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The n-grams of a run of documents. Places are those of start, words and end of each document.
+
+    ``word``, ``pair`` and ``triple`` hold distinct n-grams by rising hash (triples by pair, then word), ``*_at`` the n-gram that ends at
+    each place or -1. Hot pairs, whose triples are dealt on their own, are those among ``hot``."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, hot: np.ndarray):
+        row, h, *_ = words(data, off)
+        n = len(off) - 1
+        counts = np.bincount(row, minlength=n)
+        self.doc = np.repeat(np.arange(n), counts + 2)
+        stream = np.empty(len(self.doc), dtype=np.uint64)
+        stream[np.arange(len(row)) + 2 * row + 1] = h
+        ends = np.cumsum(counts + 2) - 1
+        self.lengths = counts + 1
+        stream[ends], stream[ends - counts - 1] = END, START
+        self.start = np.zeros(len(stream), dtype=bool)
+        self.start[ends - counts - 1] = True
+        self.word, self.word_at = np.unique(stream, return_inverse=True)
+        self.pair, self.pair_at = self._longer(stream, np.concatenate([stream[:1], stream[:-1]]), ~self.start)
+        behind = np.concatenate([[-1], self.pair_at[:-1]])
+        ok = (behind >= 0) & (self.pair_at >= 0)
+        size = np.uint64(max(len(self.word), 1))
+        key, self.triple_at = self._distinct(behind.astype(np.uint64) * size + self.word_at.astype(np.uint64), ok)
+        self.triple_pair = (key // size).astype(np.int64)
+        self.triple_word = self.word[(key % size).astype(np.int64)]
+        self.pair_hot = find(hot, self.pair)
+        self.triple_hot = self.pair_hot[self.triple_pair] >= 0
+        loose = np.flatnonzero(self.triple_hot)
+        self.loose = followed(self.pair[self.triple_pair[loose]], self.triple_word[loose])
+        order = np.argsort(self.loose, kind="stable")
+        self.loose, self.loose_triple = self.loose[order], loose[order]
+
+    @staticmethod
+    def _distinct(key: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.full(len(key), -1, dtype=np.int64)
+        distinct, at[ok] = np.unique(key[ok], return_inverse=True)
+        return distinct, at
+
+    def _longer(self, last: np.ndarray, before: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._distinct(np.where(ok, followed(before, last), np.uint64(0)), ok)
+
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each word, pair and triple ends at a place in ``train``."""
+        return tuple(np.bincount(at[train & (at >= 0)], minlength=n) for at, n in ((self.word_at, len(self.word)), (self.pair_at, len(self.pair)), (self.triple_at, len(self.triple_pair))))
+
+    def dealt(self, buckets: int) -> Iterator[tuple[int, slice, slice, np.ndarray, slice]]:
+        """(bucket, its words, its pairs, its triples by pair, its triples dealt alone) for buckets that have any."""
+        edges = [np.searchsorted(X.bucket_of(h, buckets), np.arange(buckets + 1)) for h in (self.word, self.pair, self.loose)]
+        close = np.flatnonzero(~self.triple_hot)
+        first = np.searchsorted(self.triple_pair[close], edges[1])
+        for b in np.flatnonzero((np.diff(edges[0]) > 0) | (np.diff(edges[1]) > 0) | (np.diff(edges[2]) > 0)).tolist():
+            w, p, x = (slice(e[b], e[b + 1]) for e in edges)
+            yield b, w, p, close[first[b] : first[b + 1]], x
+
+
+def _home(chunk: int, buckets: int) -> int:
+    return int(X.bucket_of(splitmix(np.array([chunk], dtype=np.uint64)), buckets)[0])
+
+
+def name_of(doc: np.ndarray, data: np.ndarray, off: np.ndarray) -> int:
+    """A hash of a chunk's rows in order."""
+    texts = _TEXTS.spans(_TEXTS.prefix(data), off[:-1], off[1:])
+    rows = splitmix(texts ^ splitmix(doc.view(np.uint64)))
+    with np.errstate(over="ignore"):
+        return int(splitmix(np.array([(rows * (2 * np.arange(len(rows), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64)]))[0])
+
+
+def _hot_pairs(docs: DataFrame, folds: int, held: int) -> np.ndarray:
+    """Hashes of bigrams of at least the share HOT of all. Which are found only moves work, never a result."""
+    none = np.zeros(0, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, count, seen = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0
+        for batch in batches:
+            for _, _, data, off in runs(batch):
+                c = Chunk(data, off, none)
+                n = np.bincount(c.pair_at[c.pair_at >= 0], minlength=len(c.pair))
+                total = int(n.sum())
+                seen += total
+                often = n >= max(8, HOT * total)
+                key, count = summed(np.concatenate([key, c.pair[often]]), np.concatenate([count, n[often]]))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count), pa.array(np.full(len(key), seen))], names=["h", "c", "seen"])
+
+    found = docs.mapInArrow(run, "h long, c long, seen long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen")).where(F.col("c") >= HOT * F.col("seen"))
+    return np.sort(found.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int = 2, discount: float = 0.5, prior: float = 2.0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    spark = docs.sparkSession
+    checkpoints.ensure(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = X.bucket_count(X.text_size(docs), bucket_bytes)
+    cut = np.uint64(max(0, 64 - BITS - (buckets.bit_length() - 1)))
+    hot = spark.sparkContext.broadcast(_hot_pairs(docs, folds, held))
 
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            train = ~held_out(ids(batch.column(0)), folds, held)
-            parts = [np.array([], dtype=np.uint64)]
-            for i, j, data, off in runs(batch):
-                row, h, *_ = words(data, off)
-                parts.append(h[train[i:j][row]])
-            key, count = np.unique(np.concatenate([*parts, np.repeat(END, int(train.sum()))]), return_counts=True)
-            yield X.rows([(b, ASK, X.pack(key[at], X.small(count[at]))) for b, at in X.by_bucket(X.bucket_of(splitmix(key), buckets))])
-
-    def sizes(table: pa.Table) -> pa.Table:
-        parts = X.cells(table, ASK)
-        return pa.table({"tokens": [sum(int(p[1].sum(dtype=np.int64)) for p in parts)], "distinct": [len(np.unique(np.concatenate([p[0] for p in parts])))]})
-
-    t = docs.mapInArrow(vocabulary, X.ROWS).groupBy("bucket").applyInArrow(sizes, "tokens long, distinct long").agg(F.sum("tokens"), F.sum("distinct")).first()
-    tokens, distinct = int(t[0] or 0), int(t[1] or 0)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
+    def chunks(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             doc_all = ids(batch.column(0))
-            out_all = held_out(doc_all, folds, held)
             for i, j, data, off in runs(batch, most=CHUNK):
-                chunk = np.array([TaskContext.get().partitionId() << 32 | number], dtype=np.uint64)
-                number += 1
-                row, h, *_ = words(data, off)
-                words_ = np.unique(np.append(h, END))
-                doc, w = stream(words_, row, h, j - i)
-                c = Chunk(words_, w, order, buckets)
-                train = ~out_all[i:j][doc]
-                count = np.concatenate([np.bincount(at[train & (at >= 0)], minlength=n) for at, n in zip(c.at, c.sizes, strict=True)])
-                out = [(_home(chunk, buckets), STATE, X.pack(chunk, words_, X.small(w), X.small(np.bincount(doc, minlength=j - i)), doc_all[i:j], out_all[i:j].astype(np.uint8)))]
-                # of a bucket's n-grams the single words come first
-                out += [(b, ASK, X.pack(chunk, np.array([(at < c.sizes[0]).sum()], dtype=np.int64), c.key[at], X.small(count[at]))) for b, at in c.dealt()]
-                yield X.rows(out)
+                yield name_of(doc_all[i:j], data, off), doc_all[i:j], data, off
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, doc, data, off in chunks(batches):
+            c = Chunk(data, off, hot.value)
+            ones, twos, threes = c.counts(~held_out(doc, folds, held)[c.doc])
+            out = []
+            for b, w, p, t, x in c.dealt(buckets):
+                children = np.bincount(c.triple_pair[t] - p.start, minlength=p.stop - p.start)
+                loose = c.loose_triple[x]
+                parts = [
+                    np.array([name], dtype=np.uint64), *X.differences(c.word[w] >> cut), *X.planes(ones[w]),
+                    *X.differences(c.pair[p] >> cut), *X.planes(twos[p]), *X.planes(children),
+                    (splitmix(c.triple_word[t]) >> np.uint64(32)).astype(np.uint32), *X.planes(threes[t]),
+                    *X.differences(c.loose[x] >> cut), *X.planes(c.pair_hot[c.triple_pair[loose]]), *X.planes(threes[loose]),
+                ]
+                out.append((b, ASK, X.tight(X.pack(*parts))))
+            yield X.rows(out)
 
     def count_up(table: pa.Table) -> pa.Table:
-        """Answers with the counts, 0 for n-grams not kept, and with which n-grams the chunk is to speak for."""
-        out, parts = _states(table), _asked(table)
-        if parts:
-            bucket = table.column("bucket")[0].as_py()
-            _, first, inverse = np.unique(np.concatenate([p[2] for p in parts]), return_index=True, return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([p[3] for p in parts])).astype(np.int64)
-            speaks = np.zeros(len(inverse), dtype=bool)
-            speaks[first] = True
-            edge = np.cumsum([len(p[2]) for p in parts])[:-1]
-            for (chunk, singles, *_), at, mine in zip(parts, np.split(inverse, edge), np.split(speaks, edge), strict=True):
-                c = total[at]
-                c[singles[0] :][c[singles[0] :] < least] = 0
-                out.append((_home(chunk, buckets), REPLY, X.pack(np.array([chunk[0], bucket], dtype=np.uint64), X.small(c), np.packbits(mine))))
+        """Answers with counts, 0 for triples not kept, and what the kept triples behind each pair sum to; sends round the sums of hot pairs and of words."""
+        bucket = table.column("bucket")[0].as_py()
+        names, parts = [], []
+        for cell in table.column("cell"):
+            a = X.unpack(X.loose(cell.as_py()))
+            names.append(int(a[0][0]))
+            word, ones, pair, twos, children = X.undiffer(a[1], a[2]), X.unplane(a[3]), X.undiffer(a[4], a[5]), X.unplane(a[6]), X.unplane(a[7])
+            parts.append((word, ones, pair, twos, children, a[8].astype(np.uint64), X.unplane(a[9]), X.undiffer(a[10], a[11]), X.unplane(a[12]), X.unplane(a[13])))
+        column = lambda k: np.concatenate([p[k] for p in parts])
+        edges = lambda k: np.cumsum([len(p[k]) for p in parts])[:-1]
+
+        def totals(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            distinct, at = np.unique(key, return_inverse=True)
+            return distinct, at, np.bincount(at, count, len(distinct)).astype(np.int64)
+
+        word, word_at, ones = totals(column(0), column(1))
+        pair, pair_at, twos = totals(column(2), column(3))
+        behind = np.repeat(pair_at, column(4))
+        triple, triple_at, threes = totals(behind.astype(np.uint64) << np.uint64(32) | column(5), column(6))
+        loose, loose_at, alone = totals(column(7), column(9))
+        threes[threes < least] = 0
+        alone[alone < least] = 0
+        parent = (triple >> np.uint64(32)).astype(np.int64)
+        mass = np.bincount(parent, threes, len(pair)).astype(np.int64)
+        kinds = np.bincount(parent, threes > 0, len(pair)).astype(np.int64)
+        out = []
+        split = lambda values, k: np.split(values, edges(k))
+        answers = zip(names, split(ones[word_at], 0), split(twos[pair_at], 2), split(mass[pair_at], 2), split(kinds[pair_at], 2), split(threes[triple_at], 5), split(alone[loose_at], 7), strict=True)
+        for name, *values in answers:
+            out.append((_home(name, buckets), REPLY, X.tight(X.pack(np.array([name, bucket], dtype=np.uint64), *(x for v in values for x in X.planes(v))))))
+        real = (ones > 0) & (word != (START >> cut)[0])
+        hot_of = np.zeros(len(loose), dtype=np.int64)
+        hot_of[loose_at] = column(8)
+        n_hot = len(hot.value)
+        out.append((0, SUMS, X.pack(np.array([ones[real].sum(), real.sum()], dtype=np.int64), np.bincount(hot_of, alone, n_hot).astype(np.int64), np.bincount(hot_of, alone > 0, n_hot).astype(np.int64))))
         return pa.Table.from_batches([X.rows(out)])
 
-    def weigh(table: pa.Table) -> pa.Table:
-        """Sends each history's sums over the n-grams the chunk speaks for; keeps the counts."""
-        out, replies = [], _replies(table)
-        for chunk, words_, w, *rest in X.cells(table, STATE):
-            c = Chunk(words_, w.astype(np.int64), order, buckets)
-            count, speaks = np.zeros(len(c.key), dtype=np.int64), np.zeros(len(c.key), dtype=bool)
-            for b, at in c.dealt():
-                count[at], bits = replies[int(chunk[0]), b]
-                speaks[at] = np.unpackbits(bits, count=len(at)).astype(bool)
-            n, mine = c.split(count), c.split(speaks)
-            mass, below, used = [], [], []
-            for k in range(1, order):
-                kept = (n[k] > 0) & mine[k]
-                h, place = c.history[k][kept], c.place[k][kept]
-                if k == 1:
-                    lower = (n[0][c.last[k][kept]] + 1.0) / (tokens + distinct + 1)
-                else:
-                    lower = (n[k - 1][c.at[k - 1][place]] - discount) / n[k - 2][c.at[k - 2][place - 1]]
-                size = c.sizes[k - 1]
-                mass.append(np.bincount(h, (n[k][kept] - discount) / n[k - 1][h], size))
-                below.append(np.bincount(h, lower, size))
-                # a weight is asked for where an n-gram fails; a history that is not kept has the weight one
-                used.append((mass[-1] > 0) | ((np.bincount(c.history[k][n[k] == 0], minlength=size) > 0) & (n[k - 1] >= least)))
-            mass_, below_, used_ = (np.concatenate([np.zeros(0), *x]) for x in (mass, below, used))
-            used_ = used_.astype(bool)
-            for b, at in c.dealt(np.flatnonzero(used_)):
-                some = np.flatnonzero(mass_[at] > 0)
-                out.append((b, ASK, X.pack(chunk, c.key[at], X.small(some), mass_[at][some], below_[at][some])))
-            out.append((_home(chunk, buckets), STATE, X.pack(chunk, words_, w, *rest, X.small(count), np.packbits(used_))))
-        return pa.Table.from_batches([X.rows(out)])
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(hot.value) + 1), dtype=np.int64)
+        for batch in batches:
+            for cell in batch.column(0):
+                head, mass, kinds = X.unpack(cell.as_py())
+                total += np.stack([np.append(mass, head[0]), np.append(kinds, head[1])])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1])), *(pa.array(x) for x in total)], names=["k", "mass", "kinds"])
 
-    def add_up(table: pa.Table) -> pa.Table:
-        """Answers with log10 of the histories' weights."""
-        out, parts = _states(table), _asked(table)
-        if parts:
-            bucket = table.column("bucket")[0].as_py()
-            key, inverse = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-            asked = np.split(inverse, np.cumsum([len(p[1]) for p in parts])[:-1])
-            at = np.concatenate([a[p[2]] for a, p in zip(asked, parts, strict=True)])
-            mass, below = (np.bincount(at, np.concatenate([p[i] for p in parts]), len(key)) for i in (3, 4))
-            bow = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - below, 1e-12))
-            out += [(_home(p[0], buckets), REPLY, X.pack(np.array([p[0][0], bucket], dtype=np.uint64), bow[a])) for p, a in zip(parts, asked, strict=True)]
-        return pa.Table.from_batches([X.rows(out)])
+    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for name, doc, data, off in chunks(batches):
+            yield X.rows([(_home(name, buckets), STATE, X.pack(np.array([name], dtype=np.uint64), doc, np.diff(off), np.frombuffer(z.compress(data.tobytes()), dtype=np.uint8)))])
+
+    answers = docs.mapInArrow(ask, X.ROWS).groupBy("bucket").applyInArrow(count_up, X.ROWS).checkpoint()
+    rows = answers.where(F.col("kind") == SUMS).select("cell").mapInArrow(sums, "k long, mass long, kinds long").groupBy("k").agg(F.sum("mass").alias("mass"), F.sum("kinds").alias("kinds")).orderBy("k").collect()  # 1 / HOT + 1 rows
+    tokens, distinct = (int(rows[-1]["mass"]), int(rows[-1]["kinds"])) if rows else (0, 0)
+    hot_mass, hot_kinds = (np.array([r[c] for r in rows[:-1]], dtype=np.int64) for c in ("mass", "kinds"))
 
     def score(table: pa.Table) -> pa.Table:
-        out, replies = [], _replies(table)
-        for chunk, words_, w, lengths, doc, held_, count, used in X.cells(table, STATE):
-            c = Chunk(words_, w.astype(np.int64), order, buckets)
-            n = c.split(count.astype(np.int64))
-            weight = np.zeros(len(c.key))
-            for b, at in c.dealt(np.flatnonzero(np.unpackbits(used, count=sum(c.sizes[:-1])))):
-                (weight[at],) = replies[int(chunk[0]), b]
-            base = np.log10(n[0] + 1.0)[c.at[0]] - np.log10(tokens + distinct + 1)
-            base[c.start] = 0.0
-            states = [np.where((at >= 0) & (x[at] > 0), at, -1) if len(x) else at for at, x in zip(c.at[1:], n[1:], strict=True)]
-            log_p = [np.log10(np.where(x > 0, x - discount, 1.0) / np.maximum(n[k][c.history[k + 1]], 1)) for k, x in enumerate(n[1:])]
-            best = backed_off(base, c.at[0], states, log_p, c.split(weight)[:-1])
-            best[c.start] = 0.0
-            place = np.repeat(np.arange(len(doc)), lengths)
-            m = len(doc)
-            out.append([doc, held_.astype(bool), lengths.astype(np.int64) - 1, np.bincount(place[~c.start & (n[0][c.at[0]] > 0)], minlength=m), np.bincount(place, base, m), np.bincount(place, best, m)])
-        doc, held_, size, known, base, best = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, t) for t in ("<i8", bool, "<i8", "<i8", "<f8", "<f8"))
-        return pa.table({"doc_id": pa.array(doc, mask=doc == NULL_ID), "held_out": held_, "n_tokens": size, "n_known": known, "train_tokens": np.full(len(doc), tokens, dtype=np.int64), "base_score": base, "score": best})
-
-    state = docs.mapInArrow(ask, X.ROWS)
-    for step in (count_up, weigh, add_up):
-        state = state.groupBy("bucket").applyInArrow(step, X.ROWS)
-    return state.groupBy("bucket").applyInArrow(score, SCHEMA)
+        unzip = zstandard.ZstdDecompressor()
+        replies = {}
+        for kind, cell in zip(table.column("kind").to_pylist(), table.column("cell"), strict=True):
+            if kind == REPLY:
+                cell = cell.as_py()
+                head = X.unpack(X.loose(cell))[0]
+                replies[int(head[0]), int(head[1])] = cell
+        out = []
+        for name, doc, sizes, z in X.cells(table, STATE):
+            data = np.frombuffer(unzip.decompress(z.tobytes()), dtype=np.uint8)
+            c = Chunk(data, np.concatenate([[0], np.cumsum(sizes)]), hot.value)
+            ones, twos, mass, kinds, threes = (np.zeros(n, dtype=np.int64) for n in (len(c.word), *[len(c.pair)] * 3, len(c.triple_pair)))
+            for b, w, p, t, x in c.dealt(buckets):
+                if (int(name[0]), b) not in replies:
+                    raise RuntimeError("the documents were read in another order than before; write them to a table first")
+                a = X.unpack(X.loose(replies[int(name[0]), b]))[1:]
+                ones[w], twos[p], mass[p], kinds[p], threes[t], threes[c.loose_triple[x]] = (X.unplane(v) for v in a)
+            is_hot = c.pair_hot >= 0
+            mass[is_hot], kinds[is_hot] = hot_mass[c.pair_hot[is_hot]], hot_kinds[c.pair_hot[is_hot]]
+            at = np.flatnonzero(~c.start)
+            base = (ones[c.word_at[at]] + 1.0) / (tokens + distinct + 1)
+            seen = ones[c.word_at[at - 1]]
+            two = (twos[c.pair_at[at]] + prior * base) / (seen + prior)
+            behind = np.where(c.triple_at[at] >= 0, c.pair_at[at - 1], -1)
+            count = np.where(behind >= 0, twos[behind], 0) if len(twos) else np.zeros(len(at))
+            known = count > 0
+            count = np.maximum(count, 1)
+            kept = np.where(known, threes[c.triple_at[at]], 0) if len(threes) else np.zeros(len(at))
+            left = np.where(known, 1 - (mass[behind] - discount * kinds[behind]) / count, 1.0) if len(twos) else np.ones(len(at))
+            best = np.where(kept > 0, (kept - discount) / count, 0.0) + left * two
+            place, m = c.doc[at], len(doc)
+            out.append([doc, held_out(doc, folds, held), c.lengths, np.bincount(place[ones[c.word_at[at]] > 0], minlength=m), np.bincount(place, np.log10(base), m), np.bincount(place, np.log10(best), m)])
+        doc, held_, size, n_known, base, best = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, t) for t in ("<i8", bool, "<i8", "<i8", "<f8", "<f8"))
+        return pa.table({"doc_id": pa.array(doc, mask=doc == NULL_ID), "held_out": held_, "n_tokens": size, "n_known": n_known, "train_tokens": np.full(len(doc), tokens, dtype=np.int64), "base_score": base, "score": best})
+
+    return docs.mapInArrow(state, X.ROWS).unionByName(answers.where(F.col("kind") == REPLY)).groupBy("bucket").applyInArrow(score, SCHEMA)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
