@@ -14,13 +14,15 @@ Capacities sum to the tokens, so every sequence ends exactly full. Sequence ids
 task's partition number and a counter: a repeated task gives the same rows again.
 
 Defined results: a null text counts as empty; an empty text is a single end id; a null ``doc_id``
-stays null; repeated rows are packed as often as they occur; other columns are ignored; an empty
+stays null; repeated rows are packed as often as they occur; tails of equal cost go in the order of their rows; a very
+long text is a window of its own and needs memory in proportion; other columns are ignored; an empty
 table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 #: Tokens that a task holds at a time.
 WINDOW = 1 << 20
 END_ID = 1
+#: Runs of white space that are cut out of a text that the pattern gives up on.
+_LONG_SPACE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 SCHEMA = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, capacity long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("token_ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("capacity", pa.int64())])
@@ -60,8 +64,29 @@ def encoder(ranks: dict[bytes, int], special: dict[str, int]):
     import public_tokenizers
     import tiktoken
 
-    enc = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: np.asarray(enc.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
+    make = lambda pattern, more: tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=more)
+    whole, unbroken = make(public_tokenizers.PATTERN, special), make(r"\s+|\S+", {})
+    ids = lambda text: np.asarray(whole.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
+    marks = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+
+    def in_parts(text: str) -> Iterator[np.ndarray]:
+        for part in marks.split(text) if marks else [text]:
+            at = 0
+            for m in _LONG_SPACE.finditer(part) if part not in special else ():
+                # a run of white space is a word of its own; its last character goes to what follows it
+                end = m.end() - (m.end() < len(part))
+                yield ids(part[at : m.start()])
+                yield np.asarray(unbroken.encode_to_numpy(part[m.start() : end]), dtype="<u4")
+                at = end
+            yield ids(part[at:])
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return ids(text)
+        except ValueError:  # the pattern looks ahead from every place of a run of white space, and gives up on very long ones
+            return np.concatenate(list(in_parts(text)))
+
+    return encode
 
 
 def capacities(total: int, length: int) -> list[int]:

@@ -107,8 +107,49 @@ def test_packing_round_trip(docs_of, window):
 
 
 def test_packing_balances_cost():
-    sizes, pieces = packing.place([(i, n) for i, n in enumerate([900, 800, 700, 600, 500, 400, 100, 96])], 2048, 1.0, 1 / 2048)
-    assert sizes == [2048, 2048] and sum(p[2] for p in pieces) == 4096
+    """Each tail, by falling cost, is in the sequence that was cheapest among those with room; no sequence stays far behind."""
+    rng = random.Random(8)
+    tails = [(i, rng.randint(1, 2000)) for i in range(300)]
+    cost = lambda n: n + n * n / 2048
+    sizes, pieces = packing.place(tails, 2048, 1.0, 1 / 2048)
+    assert sum(sizes) == sum(n for _, n in tails) and all(n & (n - 1) == 0 for n in sizes)
+    room, spent, last = list(sizes), [0.0] * len(sizes), 5000
+    for tail, first, n, seq, offset in pieces:
+        whole = dict(tails)[tail]
+        left = whole - first
+        fits = [k for k, r in enumerate(room) if r >= left]
+        assert n == left and spent[seq] == min(spent[k] for k in fits) if fits else n == room[seq] == max(room)
+        assert offset == sizes[seq] - room[seq] and (first > 0 or whole <= last)
+        last = whole
+        room[seq] -= n
+        spent[seq] += cost(n)
+    assert not any(room)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, " \n\t" * 600_000 + "end", "x" + " " * 900_000 + "<|endoftext|>" + "\n" * 900_000 + "don't stop\x1f " + "\u2003" * 700_000 + "\u0301é"])
+def test_very_long_runs_are_encoded_as_the_contract_says(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    got = packing.encoder(*packing.byte_level_vocabulary(path))(text)
+    assert got.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_query_with_a_very_long_text(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "short"), (2, " " * 1_200_000), (2, "short"), (None, None)]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op8_packing(spark, str(tmp_path))
+    want = {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+    assert {f.name: f.dataType.simpleString() for f in got.schema if f.name in want} == want
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    ids = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows]
+    crc = lambda part: zlib.crc32(np.array(part, dtype="<u4").tobytes())
+    got = got.collect()
+    assert sum(r["length"] for r in got) == sum(map(len, ids))
+    for (d, _), x in zip(rows, ids, strict=True):
+        assert sum(r["doc_id"] == d and r["doc_tokens"] == len(x) and r["ids_crc32"] == crc(x[r["start"] : r["start"] + r["length"]]) for r in got) >= -(-len(x) // 2048)
 
 
 def test_empty_table(docs_of):
