@@ -74,6 +74,63 @@ def test_secret_extra_spans_and_empty(docs_of):
     assert secret_scan.find_secrets(docs_of([])).collect() == [] and pii.find_pii(docs_of([])).collect() == []
 
 
+_MORE = (re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile("gh[opsu]_[A-Za-z0-9]{36}"), re.compile("xox[abpr]-[0-9]{6,}(?:-[A-Za-z0-9]+)+"))
+
+
+def all_secrets(t):
+    found = [(a, secret_scan.KINDS.index(k), b) for k, a, b in base_secrets(t)]
+    found += [(m.start(), secret_scan.BASE + k, m.end()) for k, e in enumerate(_MORE) for m in e.finditer(t) if m.end() - m.start() >= secret_scan.RULES[secret_scan.BASE + k][3]]
+    return [(secret_scan.KINDS[k], a, b) for a, k, b in sorted(found)]
+
+
+def test_all_secret_spans_equal_whole_text_expressions():
+    """Every kind, in texts with and without reset bytes, longer than a piece, and with states that are carried over many."""
+    rng = random.Random(7)
+    parts = ["token", "secret", "pass", "word", "passwd", "=", ":", " ", "  ", '"', "a", "f0", "0123456789abcdef" * 2, "AKIA", "ABCDEFGH23456789", "ghp_", "A1b2" * 9, "xoxb-", "1234567", "-", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "é", ",", "\n"]
+    cases = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 120))) for _ in range(3000)]
+    bare = [p for p in parts if p not in (",", "\n", "é")]
+    cases += ["".join(rng.choice(bare) for _ in range(rng.randint(500, 4000))) for _ in range(60)]
+    cases += ["token" + " " * 40_000 + "= abcdefgh tail", "x" * 5000 + "secret:" + " " * 9000 + "zzzzzz", "a" * 20_000, "token=token:abcdefgh", "token=token=abcdef", "AKIA" * 10 + " AKIA" + "B" * 15]
+    scanner = secret_scan.Scanner(*secret_scan.compiled())
+    raw = [c.encode() for c in cases]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = scanner.spans(np.frombuffer(b"".join(raw), dtype=np.uint8), off)
+    for k, c in enumerate(cases):
+        assert got.get(k, []) == all_secrets(c), c[:200]
+
+
+def test_long_lines_without_reset_bytes_take_linear_time():
+    import time
+
+    scanner = secret_scan.Scanner(*secret_scan.compiled())
+    for text in ("abc def \"x\" 123 " * 400_000, "token" + " " * 4_000_000 + "= abcdefgh", "b" * 4_000_000, "token token= " * 400_000):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        begun = time.process_time()
+        got = scanner.spans(raw, np.array([0, len(raw)]))
+        assert time.process_time() - begun < 40
+        assert got.get(0, []) == all_secrets(text)
+
+
+def test_span_query_columns(spark, tmp_path):
+    """All columns of both queries, for nulls, repeated rows, offsets behind wide letters, and columns that clash."""
+    import hashlib
+
+    rows = [(1, "é token=abcdef1 mail a.b@c.de, 10.0.0.1"), (2, None), (2, ""), (None, "x" * 3), (1, "é token=abcdef1 mail a.b@c.de, 10.0.0.1"), (3, "card 4111 1111 1111 1111 tel +49 30 1234567 key " + "ab01" * 8)]
+    spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, spans string, kind int").write.parquet(f"{tmp_path}/documents.parquet")
+    line = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    sha = lambda spans: hashlib.sha256(line(spans).encode()).hexdigest()
+    for query, kinds, base, key in ((pii.op5_pii, pii.KINDS[: pii.BASE], base_pii, None), (secret_scan.op9_secrets, secret_scan.KINDS[: secret_scan.BASE], base_secrets, None)):
+        got = query(spark, str(tmp_path))
+        assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), *((f"n_{k}", "bigint") for k in kinds), ("base_sha256", "string"), ("spans", "string")]
+        want = [(d, *(sum(s[0] == k for s in base(t or "")) for k in kinds), sha(base(t or ""))) for d, t in rows]
+        got = got.collect()
+        assert sorted((tuple(r)[:-1] for r in got), key=str) == sorted(want, key=str)
+        for r in got:
+            spans = [tuple(x.split(":")) for x in r["spans"].split(",")] if r["spans"] else []
+            text = next((t or "") for d, t in rows if d == r["doc_id"] and sha(base(t or "")) == r["base_sha256"])
+            assert set(base(text)) <= {(k, int(a), int(b)) for k, a, b in spans}
+
+
 @pytest.mark.parametrize("window", [1 << 20, 3000])
 def test_packing_round_trip(docs_of, window):
     from tokenizers import Tokenizer
