@@ -1,11 +1,13 @@
 """Operator 2: quality scores from random-indexing word vectors and a two-layer network.
 
-*Vectors.* A token is a run of letters, digits and other word bytes, or a run of punctuation, case kept.
-Tokens are hashed into ``SLOTS`` slots (a fixed size, whatever the vocabulary). Each slot has a sparse
-ternary index vector; a slot's context vector is the sum of the index vectors of the tokens up to
-``WINDOW`` places away, over all documents. Each task sums into one table and sends it once, so the
-shuffle is a fixed size per task. A document is the mean of its tokens' normalised context vectors,
-beside the mean index vector of their shapes (case or kind, length, and whether the token stands just before too).
+*Words.* A token is a run of letters, digits and other word bytes, or a run of punctuation, case kept. The ``vocabulary`` most
+frequent tokens of all documents are words of their own (all of a count go in or none, so that it is at most that many); each of the
+rest has one of ``SHARED`` vectors by its hash, together with others.
+
+*Vectors.* Each word has a sparse ternary index vector, fixed by its hash; its context vector is the sum of the index vectors of the tokens up
+to ``WINDOW`` places away, over all documents, less what the mean token has around it, and normalised. Each task sums into one table and
+sends it once, packed by bytes. A document is pooled to three means over its tokens: of the vectors, of their squares, and of the
+products with the vector of the token before (how alike neighbours are, by component). There are no other inputs.
 
 *Network.* tanh layer, then a logistic unit, trained in numpy by Adam from labelled rows outside the held-out
 fold; at most ``most_labels`` of them, those least by hash of doc_id. A sixth of these is kept back to
@@ -15,7 +17,9 @@ Labels, language, source and doc_id are no inputs of a score. Defined results: a
 empty; an empty text has the zero vector and the score that the network gives it; a null ``doc_id`` stays
 null, is not held out and has no label; rows repeated in labels count once each (of different labels for a
 document the least counts, null labels none); repeated documents each give a row; with no labels of both
-kinds every score is the share of label 1 (0.5 without any); an empty table gives no rows.
+kinds every score is the share of label 1 (0.5 without any); equal texts have equal scores; a very long text is one pass of its own and needs
+memory in proportion; columns other than those named are kept by ``score_quality``, which takes the names of
+its two columns and refuses those that are there already; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,41 +31,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import checkpoints
 from lectern.llm import exchange as X
+from lectern.llm.lm_score import find, summed
 from lectern.llm.textkernel import Polynomial, runs, splitmix
 
-SLOTS, DIMS, NONZERO, WINDOW = 1 << 13, 32, 4, 2
-SHAPES, SHAPE_DIMS = 96, 40
+VOCABULARY, SHARED, DIMS, NONZERO, WINDOW = 1 << 15, 1 << 12, 32, 4, 2
 MOST_LABELS = 20_000
 HIDDEN = 24
 THRESHOLD = 0.7
+#: Bytes of text whose tokens are counted, or whose neighbours are summed, at a time.
+RUN = 4 << 20
 
 _TOKENS = Polynomial(77)
 _KIND = np.full(256, 2, dtype=np.uint8)  # 0 space, 1 word, 2 other
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
-_UPPER = np.zeros(256, dtype=np.int64)
-_UPPER[0x41:0x5B] = 1
-_DIGIT = np.zeros(256, dtype=np.int64)
-_DIGIT[0x30:0x3A] = 1
-
-
-def _index_vectors(n: int, dims: int, nonzero: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, signs) of the nonzero components of n index vectors."""
-    rng = np.random.RandomState(seed)
-    places = np.argsort(rng.rand(n, dims), axis=1)[:, :nonzero]
-    return places, rng.choice([-1, 1], (n, nonzero))
 
 
-PLACES, SIGNS = _index_vectors(SLOTS, DIMS, NONZERO, 5)
+def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the nonzero components of the index vectors of hashes; places may repeat."""
+    bits = splitmix(h ^ np.uint64(0x51EDBEEF))
+    k = np.arange(NONZERO, dtype=np.uint64)
+    places = (bits[:, None] >> (k * np.uint64(8))) % np.uint64(DIMS)
+    signs = (bits[:, None] >> (np.uint64(48) + k)) & np.uint64(1)
+    return places.astype(np.int64), signs.astype(np.int64) * 2 - 1
 
 
-def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, shape) of each token."""
+def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each token."""
     kind = _KIND[data]
     if not len(kind):
-        z = np.zeros(0, np.int64)
-        return z, z, z
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     change = np.ones(len(kind) + 1, dtype=bool)
     change[1:-1] = kind[1:] != kind[:-1]
     change[off] = True
@@ -69,76 +70,131 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     start, end = at[:-1], at[1:]
     real = kind[start] > 0
     start, end = start[real], end[real]
-    h = _TOKENS.spans(_TOKENS.prefix(data), start, end)
-    up = np.concatenate([[0], np.cumsum(_UPPER[data])])
-    digit = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    n, ups, digits = end - start, up[end] - up[start], digit[end] - digit[start]
-    form = np.where(kind[start] == 2, 5, np.where(digits > 0, np.where(digits == n, 4, 3), np.where(ups == 0, 0, np.where((ups == 1) & (n > 1), 1, 2))))
-    again = np.zeros(len(h), dtype=np.int64)  # the same token stands one or two places before
-    again[1:] |= h[1:] == h[:-1]
-    again[2:] |= (h[2:] == h[:-2]) & (form[2:] != 5)
-    shape = again * 48 + form * 8 + np.minimum(n, 8) - 1
-    return np.searchsorted(off, start, side="right") - 1, (h >> np.uint64(40)).astype(np.int64) % SLOTS, shape
-
-
-def add_contexts(table: np.ndarray, row: np.ndarray, slot: np.ndarray) -> None:
+    return np.searchsorted(off, start, side="right") - 1, _TOKENS.spans(_TOKENS.prefix(data), start, end)
+
+
+def slots(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A token's place in the table of vectors: its word's, or behind them that which its hash shares."""
+    at = find(words, h)
+    return np.where(at >= 0, at, len(words) + (h >> np.uint64(40)).astype(np.int64) % SHARED)
+
+
+def index_table(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return index_vectors(np.concatenate([words, splitmix(np.arange(SHARED, dtype=np.uint64))]))
+
+
+def add_contexts(table: np.ndarray, row: np.ndarray, slot: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> None:
     """Adds each token's neighbours' index vectors to its slot's sum; the last column counts."""
+    places, signs = index
+    n = len(table)
     for d in range(1, WINDOW + 1):
         if len(row) <= d:
             break
         near = row[d:] == row[:-d]
         a, b = slot[d:][near], slot[:-d][near]
         for x, y in ((a, b), (b, a)):
-            flat = (x[:, None] * DIMS + PLACES[y]).ravel()
-            table[:, :DIMS] += np.bincount(flat, SIGNS[y].ravel(), SLOTS * DIMS).reshape(SLOTS, DIMS).astype(np.int64)
-    table[:, DIMS] += np.bincount(slot, minlength=SLOTS)
+            flat = (x[:, None] * DIMS + places[y]).ravel()
+            table[:, :DIMS] += np.bincount(flat, signs[y].ravel(), n * DIMS).reshape(n, DIMS).astype(np.int64)
+    table[:, DIMS] += np.bincount(slot, minlength=n)
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """SLOTS x DIMS, from all documents."""
-    slices = 16
+def frequent_words(docs: DataFrame, most: int) -> np.ndarray:
+    """Hashes, in order, of the most frequent tokens of all documents: those of the least count for which there are ``most`` at most."""
+    checkpoints.ensure(docs.sparkSession)
+    buckets = X.bucket_count(X.text_size(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((SLOTS, DIMS + 1), dtype=np.int64)
         for batch in batches:
-            for _, _, data, off in runs(batch):
-                row, slot, _ = tokens(data, off)
-                add_contexts(table, row, slot)
-        yield X.rows([(i, 0, X.pack(part.ravel().astype(np.int64))) for i, part in enumerate(np.split(table, slices))])
+            for _, _, data, off in runs(batch, most=RUN):
+                h, n = np.unique(tokens(data, off)[1], return_counts=True)
+                edge = np.searchsorted(X.bucket_of(h, buckets), np.arange(buckets + 1))
+                yield X.rows([(b, 0, X.tight(X.pack(*X.differences(h[edge[b] : edge[b + 1]]), *X.planes(n[edge[b] : edge[b + 1]])))) for b in np.flatnonzero(np.diff(edge)).tolist()])
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = [X.unpack(X.loose(c.as_py())) for c in table.column("cell")]
+        h, n = summed(np.concatenate([X.undiffer(p[0], p[1]) for p in parts]), np.concatenate([X.unplane(p[2]) for p in parts]))
+        return pa.Table.from_batches([X.rows([(0, 0, X.tight(X.pack(*X.differences(h), *X.planes(n))))])])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                n, words = np.unique(X.unplane(X.unpack(X.loose(cell.as_py()))[2]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(words)], names=["n", "words"])
+
+    counted = docs.select("text").mapInArrow(run, X.ROWS).groupBy("bucket").applyInArrow(add, X.ROWS).select("cell").checkpoint()
+    # counts by class, exact below 4,096 and in steps of a thousandth above, so that the least count is found without a sort
+    size = F.when(F.col("n") < 4096, F.col("n").cast("double")).otherwise(4096 + F.floor(F.log(F.col("n") / 4096) * 1000))
+    classes = counted.mapInArrow(counts, "n long, words long").groupBy(size.alias("class")).agg(F.sum("words").alias("words"), F.min("n").alias("least")).orderBy(F.desc("class")).collect()  # some 4,096 + 20,000 classes
+    total, least = 0, np.iinfo(np.int64).max
+    for r in classes:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["least"]
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                first, steps, n = X.unpack(X.loose(cell.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(X.undiffer(first, steps)[X.unplane(n) >= least].view(np.int64))], names=["h"])
+
+    return np.sort(counted.mapInArrow(often, "h long").toArrow().column("h").to_numpy().view(np.uint64))  # ``most`` at most
+
+
+def word_vectors(docs: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """(words' hashes, a vector for each and for each shared slot), from all documents."""
+    words = frequent_words(docs, most)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    slices, n = 16, len(words) + SHARED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, index = np.zeros((n, DIMS + 1), dtype=np.int64), index_table(shared.value)
+        for batch in batches:
+            for _, _, data, off in runs(batch, most=RUN):
+                row, h = tokens(data, off)
+                add_contexts(table, row, slots(h, shared.value), index)
+        yield X.rows([(i, 0, X.tight(X.pack(*X.planes(_unsigned(part.ravel()))))) for i, part in enumerate(np.array_split(table, slices))])
 
     def reduce(cells: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([X.rows([(cells.column("bucket")[0].as_py(), 0, X.pack(np.sum([c[0] for c in X.cells(cells, 0)], axis=0)))])])
+        total = np.sum([_signed(X.unplane(X.unpack(X.loose(c.as_py()))[0])) for c in cells.column("cell")], axis=0)
+        return pa.Table.from_batches([X.rows([(cells.column("bucket")[0].as_py(), 0, X.pack(total))])])
 
-    got = docs.select("text").mapInArrow(run, X.ROWS).groupBy("bucket").applyInArrow(reduce, X.ROWS).collect()
+    got = docs.select("text").mapInArrow(run, X.ROWS).groupBy("bucket").applyInArrow(reduce, X.ROWS).collect()  # vocabulary + SHARED vectors
     if not got:
-        return np.zeros((SLOTS, DIMS), dtype=np.float32)
-    table = np.concatenate([X.unpack(bytes(r["cell"]))[0] for r in sorted(got, key=lambda r: r["bucket"])]).reshape(SLOTS, DIMS + 1).astype(np.float64)
-    vectors = table[:, :DIMS]
+        return words, np.zeros((n, DIMS), dtype=np.float32)
+    table = np.concatenate([X.unpack(bytes(r["cell"]))[0] for r in sorted(got, key=lambda r: r["bucket"])]).reshape(n, DIMS + 1).astype(np.float64)
+    return words, normalised(table)
+
+
+def normalised(table: np.ndarray) -> np.ndarray:
+    vectors = table[:, :DIMS].copy()
     used = table[:, DIMS] > 0
     vectors[used] -= table[used, DIMS : DIMS + 1] * (vectors[used].sum(axis=0) / max(table[used, DIMS].sum(), 1))
     return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def _shape_vectors() -> np.ndarray:
-    out = np.zeros((SHAPES, SHAPE_DIMS), dtype=np.float32)
-    places, signs = _index_vectors(SHAPES, SHAPE_DIMS, 3, 6)
-    np.put_along_axis(out, places, signs.astype(np.float32), axis=1)
-    return out
+def _unsigned(a: np.ndarray) -> np.ndarray:
+    return (a << 1) ^ (a >> 63)
 
 
-SHAPE_VECTORS = _shape_vectors()
+def _signed(a: np.ndarray) -> np.ndarray:
+    return (a >> 1) ^ -(a & 1)
 
 
-def pooled(data: np.ndarray, off: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def pooled(data: np.ndarray, off: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """A row per document."""
-    row, slot, shape = tokens(data, off)
+    words, vectors = model
+    row, h = tokens(data, off)
     n = len(off) - 1
-    out = np.zeros((n, DIMS + SHAPE_DIMS), dtype=np.float64)
+    out = np.zeros((n, 3 * DIMS), dtype=np.float64)
     if len(row):
         at = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[at], :DIMS] = np.add.reduceat(vectors[slot], at, axis=0)
-        seen = np.bincount(row * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES)
-        out[:, DIMS:] = seen @ SHAPE_VECTORS
+        v = vectors[slots(h, words)].astype(np.float64)
+        again = np.zeros_like(v)
+        again[1:] = v[1:] * v[:-1]
+        again[at] = 0  # the first token of a document has none before
+        for k, x in enumerate((v, v * v, again)):
+            out[row[at], k * DIMS : (k + 1) * DIMS] = np.add.reduceat(x, at, axis=0)
         out /= np.maximum(np.bincount(row, minlength=n), 1)[:, None]
     return np.round(out, 6)  # products of matrices differ in the last digits with the rows beside them
 
@@ -188,8 +244,8 @@ def held_out(folds: int, held: int) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most_labels: int = MOST_LABELS) -> tuple[np.ndarray, Network]:
-    vectors = word_vectors(docs)
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most_labels: int = MOST_LABELS, vocabulary: int = VOCABULARY) -> tuple[tuple[np.ndarray, np.ndarray], Network]:
+    vectors = word_vectors(docs, vocabulary)
     taught = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(folds, held)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # most_labels rows of two numbers bound the broadcast
     taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
@@ -202,14 +258,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most_
 
     got = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, X.ROWS).select("cell").collect()
     doc, y, x = X.joined([X.unpack(bytes(r["cell"])) for r in got], ("<i8", "<f8", "<f8"))
-    x = x.reshape(len(y), DIMS + SHAPE_DIMS)
+    x = x.reshape(len(y), 3 * DIMS)
     order = np.lexsort((*x.T[:3], doc))  # the network doesn't depend on the order of arrival
     order = order[np.argsort(splitmix(doc[order].view(np.uint64)), kind="stable")]
     return vectors, Network(x[order], y[order])
 
 
-def score_quality(docs: DataFrame, vectors: np.ndarray, network: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with ``quality_score`` and ``quality_predicted``."""
+def score_quality(docs: DataFrame, vectors: tuple[np.ndarray, np.ndarray], network: Network, threshold: float = THRESHOLD, names: tuple[str, str] = ("quality_score", "quality_predicted")) -> DataFrame:
+    """The documents with their score and whether it is ``threshold`` or more (1 or 0), in columns of these names."""
+    if there := {*names} & {*docs.columns}:
+        raise ValueError(f"the documents have columns {sorted(there)} already")
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
     at = docs.columns.index("text")
 
@@ -218,10 +276,10 @@ def score_quality(docs: DataFrame, vectors: np.ndarray, network: Network, thresh
         for batch in batches:
             parts = [network_.scores(pooled(data, off, vectors_)) for _, _, data, off in runs(batch, batch.schema.names[at])]
             score = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "quality_score", "quality_predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, quality_score double, quality_predicted int")
+    return docs.mapInArrow(run, f"{schema}, `{names[0]}` double, `{names[1]}` int")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,18 @@ def test_rows_that_doc_id_does_not_tell_apart(docs_of, spark):
     assert got == sorted([(7, one), (7, two), (9, "third text under the id of nine"), (None, lone), (None, ""), (3, ""), (3, ""), (5, "plain")], key=str)
 
 
+def test_stages_keep_columns_of_their_own_names(spark, folder):
+    from pyspark.sql import functions as F
+
+    d, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(30)
+    for name in ("quality_score", "quality_predicted", "row", "set_id", "component_id", "spans", "key", "d", "s"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    for _, stage in cp.STAGES[:4]:
+        docs = stage(spark, docs, d).checkpoint()
+        assert {r["quality_score"] for r in docs.collect()} <= {"mine"} and docs.columns[-9:] == ["quality_score", "quality_predicted", "row", "set_id", "component_id", "spans", "key", "d", "s"]
+
+
 def test_each_stage_takes_effect(spark, folder):
     d, item = folder
     docs = spark.read.parquet(f"{d}/documents.parquet").checkpoint()
@@ -59,3 +71,9 @@ def test_each_stage_takes_effect(spark, folder):
     whole = cp.run(spark, d)
     key = lambda df: sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert {k[0] for k in key(whole)} == {k[0] for k in key(packed)}
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cp.run(spark, str(tmp_path)).collect() == []
