@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 from lectern.llm import checkpoints, decontaminate, jaccard, packing, pii, quality
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    return name if name not in docs.columns else _free(docs, name + "_")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, taught by the labels, does not reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, *model).where("quality_predicted = 1").select(*docs.columns)
+    score, passed = _free(docs, "quality_score"), _free(docs, "quality_predicted")
+    return quality.score_quality(docs, *model, names=(score, passed)).where(F.col(passed) == 1).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept
     # rows that doc_id does not tell apart are told apart by their sets
     odd = docs.join(repeated, "doc_id", "left_semi").select(*columns).unionByName(unnamed)
-    whole = jaccard.set_ids(odd.select(F.struct(*columns).alias("row"), "text"))
+    whole = jaccard.set_ids(odd.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text"))
     classes = found.select(F.col("doc_id").alias("d"), F.col("set_id").alias("s"), "class_id", "component_id").distinct()
     judged = whole.join(classes, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.col("set_id") == F.col("s")), "left")
     first = judged.where("set_id IS NOT NULL AND row.doc_id <=> component_id").groupBy("class_id").agg(F.min_by("row", F.struct("set_id", "text")).alias("row"))
