@@ -164,3 +164,32 @@ def strip_markers(text: Column) -> Column:
 def clip_verdict(start: Column, end: Column, duration: Column, video: Column) -> Column:
     """A reason, or ``ok``."""
     return F.when(end - start < 1000, "too_short").when((end > duration) | (start < 0), "outside").when(video & (end - start > 300_000), "video_too_long").otherwise("ok")
+
+
+# --- fixed values of the recogniser's stand-in --------------------------------------
+STUB_MS_PER_WORD = 600
+# ----------------------------------------------------------------------------------------
+
+
+def stub_confidence(digest: Column, index: Column) -> Column:
+    """0.80 to 0.99 by a byte of a digest in hex, cycled."""
+    at = F.pmod(index, F.floor(F.length(digest) / 2)).cast("int")
+    return F.round(0.80 + F.conv(F.substr(digest, at * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255 * 0.19, 4)
+
+
+def stub_words(digest: Column, duration_ms: Column, vocabulary: list[str]) -> Column:
+    """A word for each 600 ms (one at least), cycled through a vocabulary from an offset that the digest's first byte gives; with their confidences."""
+    n = F.greatest(F.floor(duration_ms / STUB_MS_PER_WORD), F.lit(1))
+    offset = F.conv(F.substr(digest, F.lit(1), F.lit(2)), 16, 10).cast("int")
+    words = F.array(*(F.lit(w) for w in vocabulary))
+    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(F.element_at(words, (F.pmod(offset + i, F.lit(len(vocabulary))) + 1).cast("int")).alias("text"), stub_confidence(digest, i).alias("confidence")))
+
+
+def active_token(token_map: Column, word_start: Column, word_end: Column, active: Column) -> Column:
+    """Of an alignment (a token or -1 for each word from word_start on) the token at the active word, or the last one before it; -1 outside or with none."""
+    upto = F.filter(F.slice(token_map, 1, F.greatest(active - word_start + 1, F.lit(0)).cast("int")), lambda t: t >= 0)
+    return F.when(active.between(word_start, word_end) & (F.size(upto) > 0), F.element_at(upto, -1)).otherwise(-1)
+
+
+def alignment_density(matched: Column, word_start: Column, word_end: Column) -> Column:
+    return matched / (word_end - word_start + 1)

@@ -63,6 +63,15 @@ def nearest_word(points: DataFrame, words: DataFrame, key: str, at: str) -> Data
     return both.withColumn("nearest_idx", pick).drop("before", "found")
 
 
+def nearest_chunk(points: DataFrame, chunks: DataFrame, key: str, at: str) -> DataFrame:
+    """Each point (a word's index) with the chunk (pos, word_start, word_end) of its key that holds it, the first by pos of several, else the nearest by index; a tie goes to the
+    first by pos. Chunks with a null range hold nothing. Chunks of a key are few, so a point meets those of its key only and keeps one in each task."""
+    real = chunks.where("word_start IS NOT NULL AND word_end IS NOT NULL").select(F.col(key).alias("_k"), "pos", "word_start", "word_end")
+    gap = F.greatest(F.col("word_start") - F.col(at), F.col(at) - F.col("word_end"), F.lit(0))
+    met = points.join(real, points[key] == F.col("_k"), "left")
+    return met.groupBy(*(points[c] for c in points.columns)).agg(F.min_by("pos", F.struct(gap, F.col("pos"))).alias("chunk"))
+
+
 def division_of(verses: DataFrame, markers: DataFrame) -> DataFrame:
     """1-based number of the last marker (surah, ayah) at or before each verse; a verse before the first fails.
 

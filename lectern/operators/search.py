@@ -46,9 +46,9 @@ def postings(docs: DataFrame, doc: str, text: Column) -> DataFrame:
 def vocabulary_costs(post: DataFrame, query: list[tuple[str, bool]]) -> DataFrame:
     """(qpos, word, stems, typos) of the vocabulary's words that a query word reaches. The distance runs on distinct words behind a prefilter."""
     q = post.sparkSession.createDataFrame([(i, w, s) for i, (w, s) in enumerate(query)], "qpos int, q string, strict boolean")
+    if all(s for _, s in query):  # strict words are their own vocabulary
+        return q.select("qpos", F.col("q").alias("word"), F.lit(0).alias("stems"), F.lit(0).alias("typos"))
     vocabulary = post.select("word").distinct()
-    if all(s for _, s in query):
-        return vocabulary.join(F.broadcast(q), F.col("q") == F.col("word")).select("qpos", "word", F.lit(0).alias("stems"), F.lit(0).alias("typos"))
     q = q.withColumn("q_stem", light_stem(F.col("q")))
     near = fuzzy.comparable(F.col("q"), F.col("word"))
     same_stem = (F.length("q_stem") >= fuzzy.LEAST_STEM) & (F.col("q_stem") == F.col("stem"))
@@ -78,8 +78,21 @@ def verified(matches: DataFrame, relevance: Column | None = None) -> DataFrame:
     return numbered(matches, ["stems", "typos", *([relevance.desc()] if relevance is not None else []), "doc"], "rank", "total")
 
 
+def phrase_in_tokens(docs: DataFrame, doc: str, text: Column, words: list[str]) -> DataFrame:
+    """(doc, start, stems, typos) of documents that hold the words in order, found in each document's array of tokens: nothing is exploded or shuffled."""
+    found = docs.select(F.col(doc).alias("doc"), tokens(text).alias("t")).where(F.array_contains("t", words[0]))
+    phrase = F.array(*(F.lit(w) for w in words))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (F.get("t", i) == words[0]) & (F.slice("t", i + 1, len(words)) == phrase))
+    return found.select("doc", F.get(starts, F.lit(0)).alias("start"), F.lit(0).alias("stems"), F.lit(0).alias("typos")).where("start IS NOT NULL")
+
+
 def lexical_search(docs: DataFrame, doc: str, text: str, query: str, latin: bool = False) -> DataFrame:
-    return verified(phrase_match(postings(docs, doc, normalize_index(F.col(text), latin)), parse_query(query)))
+    """Ranked matches of a phrase. A phrase of strict words only needs no vocabulary and is found inside each text."""
+    words = parse_query(query)
+    normal = normalize_index(F.col(text), latin)
+    if words and all(strict for _, strict in words):
+        return verified(phrase_in_tokens(docs, doc, normal, [w for w, _ in words]))
+    return verified(phrase_match(postings(docs, doc, normal), words))
 
 
 def page(ranked: DataFrame, number: int, size: int) -> DataFrame:
@@ -96,30 +109,41 @@ def fuse(lists: DataFrame, k: int = 60, limit: int = 40) -> DataFrame:
     return best.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "first", "id")).alias("place"))
 
 
+def _hits(post: DataFrame, terms: list[str]) -> DataFrame:
+    """Of each document its places of the terms, in order: an array of (pos, term number). Postings are filtered before they are grouped."""
+    number = F.array_position(F.array(*(F.lit(t) for t in terms)), F.col("word")).cast("int") - 1
+    return post.where(F.col("word").isin(terms)).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", number.alias("term")))).alias("hits"))
+
+
+def _covers(hits: Column, n: int) -> Column:
+    """Cover density of the places of a document: the sum over minimal covers (least windows with all n terms) of 1 / length; one fold over the places."""
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.transform(s["last"], lambda p, i: F.when(i == x["term"], x["pos"]).otherwise(p))
+        start = F.array_min(last)
+        new = (start >= 0) & (start > s["start"])  # the first place at which the cover from this start is whole
+        return F.struct(last.alias("last"), F.when(new, start).otherwise(s["start"]).alias("start"), (s["sum"] + F.when(new, 1.0 / (x["pos"] - start + 1)).otherwise(0.0)).alias("sum"))
+
+    zero = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("sum"))
+    return F.aggregate(hits, zero, step, lambda s: F.round(s["sum"], 6))
+
+
 def lexical_fill(post: DataFrame, stems: list[str], limit: int = 50) -> DataFrame:
-    """Documents with all stems first, then those with any; within each by occurrences, then id."""
-    q = post.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(stems)], "word string")
-    hit = post.join(F.broadcast(q), "word").groupBy("doc").agg(F.countDistinct("word").alias("n_terms"), F.count("*").alias("hits"))
-    full = F.col("n_terms") == len(set(stems))
-    best = hit.select("doc", full.alias("all_terms"), "hits").orderBy(F.desc("all_terms"), F.desc("hits"), "doc").limit(limit)
-    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("all_terms"), F.desc("hits"), "doc")))
+    """Documents with all stems first, then those with any; in each round by cover density (with any: each place is a cover of its own), then id."""
+    terms = list(dict.fromkeys(stems))
+    if not terms:
+        return post.select("doc", F.lit(False).alias("all_terms"), F.lit(0.0).alias("rank_cd"), F.lit(0).alias("place")).limit(0)
+    hit = _hits(post, terms).withColumn("all_terms", F.size(F.array_distinct(F.transform("hits", lambda h: h["term"]))) == len(terms))
+    density = F.when(F.col("all_terms"), _covers(F.col("hits"), len(terms))).otherwise(F.size("hits").cast("double"))
+    best = hit.select("doc", "all_terms", density.alias("rank_cd")).orderBy(F.desc("all_terms"), F.desc("rank_cd"), "doc").limit(limit)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("all_terms"), F.desc("rank_cd"), "doc")))
 
 
 def cover_density(post: DataFrame, stems: list[str]) -> DataFrame:
-    """Cover-density rank: the sum over minimal covers (least windows with all terms) of 1 / length."""
+    """Cover-density rank of the documents that hold all stems."""
     terms = list(dict.fromkeys(stems))
-    q = post.sparkSession.createDataFrame([(s,) for s in terms], "word string")
-    hit = post.join(F.broadcast(q), "word")
-    order = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    for i, t in enumerate(terms):
-        hit = hit.withColumn(f"p{i}", F.last(F.when(F.col("word") == t, F.col("pos")), ignorenulls=True).over(order))
-    lasts = [F.col(f"p{i}") for i in range(len(terms))]
-    start = F.least(*lasts) if len(lasts) > 1 else lasts[0]
-    whole = lasts[0].isNotNull()
-    for c in lasts[1:]:
-        whole = whole & c.isNotNull()
-    covers = hit.where(whole).withColumn("start", start).groupBy("doc", "start").agg(F.min("pos").alias("end"))
-    return covers.groupBy("doc").agg(F.round(F.sum(1.0 / (F.col("end") - F.col("start") + 1)), 6).alias("rank_cd"))
+    ranked = _hits(post, terms).select("doc", _covers(F.col("hits"), len(terms)).alias("rank_cd"))
+    return ranked.where("rank_cd > 0")
 
 
 def keep_reranked(scored: DataFrame, least: float = 2.0, most: int = 8, few: int = 2, fill: int = 3) -> DataFrame:
@@ -172,7 +196,3 @@ def spend_budget(windows: DataFrame, budget: int = 3600) -> DataFrame:
 
     rows = windows.select("run", "priority", F.col("id").cast("long").alias("id"), "words").repartition("run").sortWithinPartitions("run", "priority", "id", "words")
     return rows.mapInArrow(fold, rows.select("run", "id").schema)
-
-
-def stemmed(post: DataFrame) -> DataFrame:
-    return post.withColumn("word", light_stem(F.col("word")))

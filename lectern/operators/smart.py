@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.arabic import is_arabic, light_stem, normalize_index
+from lectern.functions.arabic import is_arabic, normalize_index, stem_text
 from lectern.operators import search
 
 # --- fixed values -----------------------------------------------------------------
@@ -74,10 +74,13 @@ def retrieve(passages: DataFrame, plan: Plan, semantic: DataFrame | None = None)
     """Fused candidates of (id, text[, surah, ayah_start, ayah_end]); without the semantic list, lexical ones only."""
     if plan.surah is not None:
         passages = passages.where(F.col("surah") == plan.surah)
-    post = search.stemmed(search.postings(passages, "id", normalize_index(F.col("text"))))
-    lists, stem = [], lambda q: [r["s"] for r in passages.sparkSession.createDataFrame([(w,) for w, _ in search.parse_query(q)], "w string").select(light_stem(F.col("w")).alias("s")).collect()]
-    for k, q in enumerate([plan.question, *plan.rewrites, *([" ".join(plan.keywords)] if plan.keywords else [])]):
-        if stems := stem(q):
+    post = search.postings(passages, "id", stem_text(normalize_index(F.col("text"))))
+    asked, lists = [plan.question, *plan.rewrites, *([" ".join(plan.keywords)] if plan.keywords else [])], []
+    # at most seven constants, stemmed in one job, without stop words as the passages are
+    stemmed = passages.sparkSession.createDataFrame([(k, search.normalized(q)) for k, q in enumerate(asked)], "k int, q string").select("k", F.split(stem_text(F.col("q")), " ").alias("s"))
+    stems_of = {r["k"]: [w for w in r["s"] if w] for r in stemmed.collect()}
+    for k in range(len(asked)):
+        if stems := stems_of[k]:
             lists.append(search.lexical_fill(post, stems).select(F.lit(k).alias("list_index"), F.col("doc").alias("id"), F.col("place").alias("rank"), F.lit(2.0 if k == 0 else 1.0).alias("weight")))
     if semantic is not None:
         lists.append(semantic.select(F.lit(90).alias("list_index"), "id", "rank", F.lit(2.0).alias("weight")))

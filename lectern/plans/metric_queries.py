@@ -84,13 +84,13 @@ def peaks_800(spark, sf):
 
 @query("SELECT event_type, list_sort(list(value))[least(greatest(CAST(round_even(0.95 * count(*) + 0.5, 0) AS BIGINT), 1), count(*))] AS p95 FROM events GROUP BY 1")
 def percentile_nearest(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(aggregates.nearest_rank(F.collect_list("value"), 95).alias("p95"))
+    return aggregates.percentiles(table(spark, sf, "events"), ["event_type"], "value", {"p95": 95})
 
 
 _RANKS = "r AS (SELECT user_id % 20 AS question, event_id AS id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY value DESC, event_id) AS rank FROM events), x AS (SELECT user_id % 20 AS question, event_id AS id FROM events WHERE event_id % 97 = 0)"
 
 
-@query(f"WITH {_RANKS}, h AS (SELECT x.question, avg((coalesce(rank, 101) <= 100)::INT::DOUBLE) AS recall, min(rank) AS f FROM x LEFT JOIN r ON x.question = r.question AND x.id = r.id GROUP BY 1) SELECT round(avg(recall), 6) AS recall, round(avg(1.0 / f), 6) AS mrr FROM h")
+@query(f"WITH {_RANKS}, h AS (SELECT x.question, (coalesce(min(rank), 101) <= 100)::INT::DOUBLE AS recall, min(rank) AS f FROM x LEFT JOIN r ON x.question = r.question AND x.id = r.id GROUP BY 1) SELECT round(avg(recall), 6) AS recall, round(avg(coalesce(1.0 / f, 0)), 6) AS mrr FROM h")
 def retrieval_metrics(spark, sf):
     from pyspark.sql import Window
 
@@ -110,18 +110,36 @@ def abstention(spark, sf):
     return aggregates.abstention(table(spark, sf, "labels").select(named("quality"), named("toxic")), "quality", "toxic")
 
 
-@query("""WITH r AS (SELECT event_type AS status, event_id % 5 AS kept, event_id % 2 AS dropped, event_id % 3 AS unsupported, event_id % 7 AS sentences, value AS latency, abs(value) AS cost FROM events WHERE event_type <> 'error')
- SELECT count(*) AS n, round(sum(kept)::DOUBLE / (sum(kept) + sum(dropped)), 6) AS citation_validity, round(sum(unsupported)::DOUBLE / sum(sentences), 6) AS unsupported, list_sort(list(latency))[CAST(round_even(0.5 * count(*) + 0.5, 0) AS BIGINT)] AS p50,
- list_sort(list(latency))[least(CAST(round_even(0.95 * count(*) + 0.5, 0) AS BIGINT), count(*))] AS p95, round(sum(cost) / count(*), 6) AS cost_per_query FROM r""")
+_RUNS = """runs AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'not_found' ELSE 'answered' END AS expected_status, CASE WHEN event_id % 4 = 0 THEN 'not_found' ELSE 'answered' END AS status, event_id % 17 = 0 AS error,
+ CASE WHEN event_id % 11 > 0 THEN event_id % 11 END AS hit_rank, event_id % 5 AS citations, event_id % 2 AS citations_dropped, event_id % 3 = 0 AS judged, event_id % 7 AS sentences, event_id % 4 AS unsupported,
+ event_id % 2 AS contradicted, abs(value) * 100 AS latency_ms, CAST(event_id % 1000 AS DECIMAL(18,9)) / 1000 AS cost_usd FROM events)"""
+
+
+def _runs(spark, sf):
+    e, n = table(spark, sf, "events"), F.col("event_id")
+    status = lambda c: F.when(c, "not_found").otherwise("answered")
+    return e.select(
+        status(F.col("user_id") % 3 == 0).alias("expected_status"), status(n % 4 == 0).alias("status"), (n % 17 == 0).alias("error"), F.when(n % 11 > 0, n % 11).alias("hit_rank"), (n % 5).alias("citations"),
+        (n % 2).alias("citations_dropped"), (n % 3 == 0).alias("judged"), (n % 7).alias("sentences"), (n % 4).alias("unsupported"), (n % 2).alias("contradicted"), (F.abs("value") * 100).alias("latency_ms"),
+        ((n % 1000).cast("decimal(18,9)") / 1000).cast("decimal(18,9)").alias("cost_usd"),
+    )
+
+
+@query(f"""WITH {_RUNS}, ok AS (SELECT * FROM runs WHERE NOT error), s AS (SELECT list_sort(list(latency_ms)) AS l, count(*) AS m FROM ok)
+ SELECT (SELECT count(*) FROM runs) AS n, (SELECT count(*) FROM runs WHERE error) AS errors, count(*) FILTER (expected_status <> 'not_found') AS labelled,
+ round(avg((coalesce(hit_rank, 99) <= 8)::INT::DOUBLE) FILTER (expected_status <> 'not_found'), 4) AS recall_at_8, round(avg(coalesce(1.0 / hit_rank, 0)) FILTER (expected_status <> 'not_found'), 4) AS mrr,
+ round(avg(((expected_status = 'not_found') = (status = 'not_found'))::INT::DOUBLE), 6) AS abstention_accuracy, round(sum(citations)::DOUBLE / (sum(citations) + sum(citations_dropped)), 4) AS citation_validity,
+ round(sum(citations)::DOUBLE / count(*), 2) AS citations_per_answer, count(*) FILTER (judged) AS judged, round((sum(unsupported) FILTER (judged))::DOUBLE / sum(sentences) FILTER (judged), 4) AS unsupported_ratio,
+ CAST(sum(contradicted) FILTER (judged) AS BIGINT) AS contradicted, CAST(sum(cost_usd) AS DOUBLE) AS cost_usd, round(CAST(sum(cost_usd) AS DOUBLE) / count(*), 4) AS cost_per_query_usd,
+ (SELECT l[least(greatest(CAST(round_even(0.5 * m + 0.5, 0) AS BIGINT), 1), m)] FROM s) AS latency_p50_ms, (SELECT l[least(greatest(CAST(round_even(0.95 * m + 0.5, 0) AS BIGINT), 1), m)] FROM s) AS latency_p95_ms FROM ok""")
 def eval_report(spark, sf):
-    e = table(spark, sf, "events")
-    m = lambda k, name: (F.col("event_id") % k).alias(name)
-    return aggregates.summarize(e.select(F.col("event_type").alias("status"), m(5, "kept"), m(2, "dropped"), m(3, "unsupported"), m(7, "sentences"), F.col("value").alias("latency"), F.abs("value").alias("cost")))
+    r = aggregates.summarize(_runs(spark, sf))
+    return r.withColumn("cost_usd", F.col("cost_usd").cast("double")).withColumn("cost_per_query_usd", F.round(F.col("cost_per_query_usd").cast("double"), 4))
 
 
-@query("SELECT metric, value::DOUBLE AS value, threshold::DOUBLE AS threshold, passed FROM (" + values([("recall_at_8", 0.81, 0.8, True), ("abstention", 0.5, 0.9, False), ("citation_validity", None, 0.95, None), ("unsupported", 0.05, 0.05, True)], "metric, value, threshold, passed") + ")")
+@query("SELECT metric, value::DOUBLE AS value, threshold::DOUBLE AS threshold, passed FROM (" + values([("recall_at_8", 0.81, 0.8, True), ("abstention_accuracy", 0.5, 0.9, False), ("citation_validity", None, 0.95, None), ("unsupported_ratio", 0.05, 0.05, True), ("latency_p95_ms", 15000.5, 15000, False)], "metric, value, threshold, passed") + ")")
 def eval_gates(spark, sf):
-    return aggregates.gates(literals(spark, [("recall_at_8", 0.81), ("abstention", 0.5), ("unsupported", 0.05)], "metric string, value double"))
+    return aggregates.gates(literals(spark, [("recall_at_8", 0.81), ("abstention_accuracy", 0.5), ("unsupported_ratio", 0.05), ("latency_p95_ms", 15000.5)], "metric string, value double"))
 
 
 _MS = [("1:02:03", 3723000), ("75:00", 4500000), ("9", 9000), ("1:60", None), ("x", None), ("٢:٠٥", 125000), ("1:75:00", None), ("2.5", 2500)]

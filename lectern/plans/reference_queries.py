@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import arabic, references, text, vectors
 from lectern.operators import search
 from lectern.plans.tables import TOKENS, WORDS, table, words
-from lectern.plans.text_queries import literals, values
+from lectern.plans.text_queries import filled, literals, values
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -128,10 +128,10 @@ def question_hashes(spark, sf):
     return b.select("item_id", text.question_hash(F.concat(F.lit("q"), F.col("item_id").cast("string")), F.col("item_id"), F.lit(None).cast("string")).alias("h"))
 
 
-@query(f"""WITH {TOKENS}, lex AS (SELECT doc AS id, row_number() OVER (ORDER BY count(DISTINCT word) DESC, count(*) DESC, doc) AS rank FROM tok WHERE word IN ('the', 'which') GROUP BY doc),
+@query(f"""WITH {TOKENS}, {filled(["the", "which"])}, lex AS (SELECT doc AS id, row_number() OVER (ORDER BY all_terms DESC, rank_cd DESC, doc) AS rank FROM f),
  sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6), vec_id) AS rank FROM embeddings),
  l AS (SELECT 0 AS li, id, rank, 2.0::DOUBLE AS w FROM lex WHERE rank <= 50 UNION ALL SELECT 1, id, rank, 1.0::DOUBLE FROM sem WHERE rank <= 50),
- g AS (SELECT id, round(sum(w / (60 + rank)), 9) AS score, min(struct_pack(li := li, r := rank)) AS f FROM l GROUP BY id), r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, f, id) AS place FROM g) SELECT * FROM r WHERE place <= 40""")
+ g AS (SELECT id, round(sum(w / (60 + rank)), 9) AS score, min(struct_pack(li := li, r := rank)) AS fst FROM l GROUP BY id), r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, fst, id) AS place FROM g) SELECT * FROM r WHERE place <= 40""")
 def retrieve_hybrid(spark, sf):
     """The lexical and the semantic list, fused."""
     post = search.postings(table(spark, sf, "documents"), "doc_id", arabic.normalize_index(F.col("text"), latin=True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import arabic
 from lectern.operators import corpus, search, smart
 from lectern.plans.tables import TOKENS, WORDS, table, words
-from lectern.plans.text_queries import literals, values
+from lectern.plans.text_queries import filled, literals, values
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -61,9 +61,9 @@ def grow_selection(spark, sf):
     return df.select("id", corpus.grow_selection(F.col("w"), F.col("a"), F.col("b")).alias("g")).select("id", "g.first", "g.last")
 
 
-@query(f"""WITH {TOKENS}, q AS (SELECT doc AS id, n = 2 AS f, hits, row_number() OVER (ORDER BY n = 2 DESC, hits DESC, doc) AS rank FROM (SELECT doc, count(DISTINCT word) AS n, count(*) AS hits FROM tok WHERE word IN ('the', 'which') GROUP BY doc)),
+@query(f"""WITH {TOKENS}, {filled(["the", "which"])}, q AS (SELECT doc AS id, row_number() OVER (ORDER BY all_terms DESC, rank_cd DESC, doc) AS rank FROM f),
  l AS (SELECT 0 AS li, id, rank, 2.0::DOUBLE AS w FROM q WHERE rank <= 50 UNION ALL SELECT 1, id, rank, 1.0::DOUBLE FROM q WHERE rank <= 50),
- g AS (SELECT id, round(sum(w / (60 + rank)), 9) AS s, min(struct_pack(li := li, r := rank)) AS f FROM l GROUP BY id), r AS (SELECT id, row_number() OVER (ORDER BY s DESC, f, id) AS place FROM g)
+ g AS (SELECT id, round(sum(w / (60 + rank)), 9) AS s, min(struct_pack(li := li, r := rank)) AS fst FROM l GROUP BY id), r AS (SELECT id, row_number() OVER (ORDER BY s DESC, fst, id) AS place FROM g)
  SELECT id, 3.0::DOUBLE AS score, place AS kept_place, false AS weak FROM r WHERE place <= 8""")
 def smart_search(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")

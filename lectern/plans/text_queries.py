@@ -66,11 +66,12 @@ def tokenize_counts(spark, sf):
     return d.select("doc_id", F.size(arabic.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(arabic.space_tokens(arabic.collapse(F.col("text")))).cast("long").alias("n_space"))
 
 
-def top_pair(spark, sf) -> list[tuple[str, bool]]:
-    post = search.postings(table(spark, sf, "documents"), "doc_id", arabic.normalize_index(F.col("text"), latin=True))
-    nxt = F.lead("word").over(Window.partitionBy("doc").orderBy("pos"))
-    best = post.withColumn("n", nxt).where("n IS NOT NULL").groupBy("word", "n").count().orderBy(F.desc("count"), "word", "n").first()
-    return [(best["word"], True), (best["n"], True)] if best else []
+def top_pair(spark, sf) -> list[str]:
+    """The most frequent pair of neighbouring words; pairs are formed inside each text and counted before they are shuffled."""
+    t = table(spark, sf, "documents").select(arabic.tokens(arabic.normalize_index(F.col("text"), latin=True)).alias("t")).where(F.size("t") > 1)
+    pair = F.explode(F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    best = t.select(pair.alias("p")).groupBy("p").count().orderBy(F.desc("count"), "p").first()
+    return [best["p"]["a"], best["p"]["b"]] if best else []
 
 
 _PAIR = f"""{TOKENS}, pairs AS (SELECT a.doc, a.pos, a.word AS w1, b.word AS w2 FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos = a.pos + 1),
@@ -80,8 +81,9 @@ _PAIR = f"""{TOKENS}, pairs AS (SELECT a.doc, a.pos, a.word AS w1, b.word AS w2
 
 
 def ranked_pair(spark, sf):
-    post = search.postings(table(spark, sf, "documents"), "doc_id", arabic.normalize_index(F.col("text"), latin=True))
-    return search.verified(search.phrase_match(post, top_pair(spark, sf))).select("doc", "start", F.col("stems").cast("int").alias("stems"), F.col("typos").cast("int").alias("typos"), "rank", "total")
+    pair = " ".join(top_pair(spark, sf))
+    found = search.lexical_search(table(spark, sf, "documents"), "doc_id", "text", f'"{pair}"', latin=True)
+    return found.select("doc", "start", "stems", "typos", "rank", "total")
 
 
 @query(f"WITH {_PAIR} SELECT * FROM ranked")
@@ -121,8 +123,18 @@ def word_cost_cases(spark, sf):
     return df.withColumn("c", fuzzy.word_cost(F.col("q"), F.lit(False), F.col("w"), F.col("d"))).select("q", "w", "c.stems", "c.typos")
 
 
-@query(f"""WITH {TOKENS}, hit AS (SELECT doc, count(DISTINCT word) AS n, count(*) AS hits FROM tok WHERE word IN ('the', 'that', 'which', 'inoning') GROUP BY doc),
- r AS (SELECT doc, n = 4 AS all_terms, hits, row_number() OVER (ORDER BY n = 4 DESC, hits DESC, doc) AS place FROM hit) SELECT * FROM r WHERE place <= 50""")
+def filled(terms: list[str]) -> str:
+    """``f`` (doc, all_terms, rank_cd): documents with any of the terms, those with all by cover density; for a WITH that has ``tok``."""
+    last = ", ".join(f"max(CASE WHEN word = '{t}' THEN pos END) OVER w AS p{i}" for i, t in enumerate(terms))
+    every = ", ".join(f"p{i}" for i in range(len(terms)))
+    return f"""h AS (SELECT doc, pos, word, {last} FROM tok WHERE word IN ({", ".join(f"'{t}'" for t in terms)}) WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+ n AS (SELECT doc, count(DISTINCT word) = {len(terms)} AS all_terms, count(*) AS hits FROM h GROUP BY doc),
+ c AS (SELECT doc, list_min([{every}]) AS s, min(pos) AS e FROM h WHERE {" AND ".join(f"p{i} IS NOT NULL" for i in range(len(terms)))} GROUP BY 1, 2),
+ d AS (SELECT doc, round(sum(1.0::DOUBLE / (e - s + 1)), 6) AS cd FROM c GROUP BY doc),
+ f AS (SELECT n.doc, all_terms, CASE WHEN all_terms THEN cd ELSE hits::DOUBLE END AS rank_cd FROM n LEFT JOIN d ON d.doc = n.doc)"""
+
+
+@query(f"WITH {TOKENS}, {filled(['the', 'that', 'which', 'inoning'])}, r AS (SELECT *, row_number() OVER (ORDER BY all_terms DESC, rank_cd DESC, doc) AS place FROM f) SELECT * FROM r WHERE place <= 50")
 def lexical_fill(spark, sf):
     post = search.postings(table(spark, sf, "documents"), "doc_id", arabic.normalize_index(F.col("text"), latin=True))
     return search.lexical_fill(post, ["the", "that", "which", "inoning"])

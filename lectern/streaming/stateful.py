@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------
@@ -32,16 +33,20 @@ def _allowed(times: list[int], recent: list[int], limit: int, window_ms: int) ->
 
 
 def rate_limit(events: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:
-    """(key, at, id) with ``allowed``: a sliding log of allowed requests only, as a fold in the JVM."""
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("s"))
+    """(key, at, id) with ``allowed``: a sliding log of allowed requests only. A key's rows pass in order, and its log, ``limit`` times at most, is all that is held."""
+    rows = events.select(key, F.col("at").cast("long").alias("at"), F.col("id").cast("long").alias("id")).repartition(key).sortWithinPartitions(key, "at", "id")
 
-    def step(state: Column, x: Column) -> Column:
-        recent = F.filter(state["recent"], lambda r: r > x["at"] - window_ms)
-        ok = F.size(recent) < limit
-        return F.struct(F.concat(state["out"], F.array(F.struct(x["id"].cast("long").alias("id"), ok.alias("allowed")))).alias("out"), F.when(ok, F.concat(recent, F.array(x["at"].cast("long")))).otherwise(recent).alias("recent"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, recent = object(), []
+        for batch in batches:
+            out = []
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                now, recent = (now, recent) if k == now else (k, [])
+                ok, recent = _allowed([at], recent, limit, window_ms)
+                out += ok
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.bool_())], names=[key, "id", "allowed"])
 
-    zero = F.struct(F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("out"), F.array().cast("array<bigint>").alias("recent"))
-    return rows.select(key, F.inline(F.aggregate("s", zero, step)["out"]))
+    return rows.mapInArrow(fold, f"{key} {events.schema[key].dataType.simpleString()}, id long, allowed boolean")
 
 
 def rate_limit_stream(stream: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:
@@ -59,8 +64,25 @@ def rate_limit_stream(stream: DataFrame, key: str, limit: int, window_ms: int) -
 
 
 def leases(events: DataFrame, key: str, cap: int = LEASES, ttl_ms: int = LEASE_MS) -> DataFrame:
-    """Requests admitted while fewer than ``cap`` leases of the key are younger than ``ttl_ms``."""
-    return rate_limit(events, key, cap, ttl_ms)
+    """Requests (key, at, id[, released_at]) admitted while the key has fewer than ``cap`` leases. An admitted request holds its lease until it is
+    released, and for ``ttl_ms`` at most. A key's rows pass in order; only its live leases are held."""
+    released = F.col("released_at") if "released_at" in events.columns else F.lit(None).cast("long")
+    lapses = F.col("at") + F.lit(ttl_ms)
+    ends = F.when(released.isNull(), lapses).otherwise(F.least(lapses, F.greatest(released, F.col("at"))))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, live = object(), []
+        for batch in batches:
+            ok = []
+            for k, at, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                now, live = (now, [e for e in live if e > at]) if k == now else (k, [])
+                ok.append(len(live) < cap)
+                if ok[-1]:
+                    live.append(end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ok, pa.bool_())], names=[key, "id", "allowed"])
+
+    rows = events.select(key, F.col("at").cast("long").alias("at"), F.col("id").cast("long").alias("id"), ends.alias("_end")).repartition(key).sortWithinPartitions(key, "at", "id")
+    return rows.mapInArrow(fold, f"{key} {events.schema[key].dataType.simpleString()}, id long, allowed boolean")
 
 
 def latest_status(log: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
@@ -68,8 +90,22 @@ def latest_status(log: DataFrame, key: str, order: list[str], status: str) -> Da
 
 
 def cached_answers(requests: DataFrame, key: str, ts: str, ttl: str = "7 days") -> DataFrame:
-    """Requests that no cached answer serves: on a stream, the first of each key within the time to live."""
+    """Requests that no cached answer serves: the first of each key, and each that comes when the answer written last has expired. On a stream, the
+    first of each key within the time to live. In a batch a key's requests pass in order and only the last answer's time is held."""
     if requests.isStreaming:
         return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
-    gap = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    return requests.withColumn("_g", gap).where(F.col("_g").isNull() | (F.col(ts) - F.col("_g") > F.expr(f"INTERVAL {ttl}"))).drop("_g")
+    columns = requests.columns
+    rows = requests.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_end", F.unix_micros(F.col(ts).cast("timestamp") + F.expr(f"INTERVAL {ttl}")))
+    rows = rows.repartition(key).sortWithinPartitions(key, "_t", *(c for c in columns if c not in (key, ts)))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, end = object(), 0
+        for batch in batches:
+            at, miss = batch.schema.names.index(key), []
+            for k, t, expires in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True):
+                miss.append(k != now or t >= end)
+                if miss[-1]:
+                    now, end = k, expires
+            yield batch.select(columns).filter(pa.array(miss, pa.bool_()))
+
+    return rows.mapInArrow(fold, requests.schema)

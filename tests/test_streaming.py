@@ -30,6 +30,12 @@ def test_leases(spark):
     assert [r["allowed"] for r in sorted(stateful.leases(df, "k").collect(), key=lambda r: r["id"])] == [True, True, True, False, True, True]
 
 
+def test_released_leases_make_room(spark):
+    rows = [("k", 0, 0, 1500), ("k", 1000, 1, None), ("k", 2000, 2, None), ("k", 3000, 3, 9_000), ("k", 4000, 4, None), ("k", 9000, 5, None), ("j", 4000, 6, None)]
+    df = spark.createDataFrame(rows, "k string, at long, id long, released_at long")
+    assert [r["allowed"] for r in sorted(stateful.leases(df, "k").collect(), key=lambda r: r["id"])] == [True, True, True, True, False, True, True]
+
+
 def test_daily_spend_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(f"2024-01-0{d} 0{h}:00:00", 0.0000019 * h) for d in (1, 2, 9) for h in (1, 2, 3)], "ts string, cost double").select(F.col("ts").cast("timestamp").alias("ts"), "cost")
     batch = dict(map(tuple, df.groupBy(F.to_date("ts")).agg(F.sum(F.floor(F.col("cost") * 1_000_000).cast("long"))).collect()))
@@ -44,6 +50,13 @@ def test_answer_cache(spark, tmp_path):
     assert sorted(r["k"] for r in spark.table("cache_out").collect()) == ["q", "z"]
 
 
+def test_cached_answers_expire_from_the_day_they_were_written(spark):
+    days = lambda *d: [("q", f"2024-01-{x:02d} 00:00:00") for x in d]
+    df = spark.createDataFrame(days(1, 6, 11, 13, 18, 25) + [("z", "2024-01-06 00:00:00")], "k string, ts string").select("k", F.col("ts").cast("timestamp").alias("ts"))
+    got = sorted((r["k"], r["ts"].day) for r in stateful.cached_answers(df, "k", "ts").collect())
+    assert got == [("q", 1), ("q", 11), ("q", 18), ("q", 25), ("z", 6)]
+
+
 def test_latest_status(spark):
     df = spark.createDataFrame([(1, 1, "pending"), (1, 3, "indexed"), (1, 2, "aligned")], "segment int, t int, status string")
     assert stateful.latest_status(df, "segment", ["t"], "status").first()["status"] == "indexed"
