@@ -40,8 +40,8 @@ VOCABULARY, SHARED, DIMS, NONZERO, WINDOW = 1 << 15, 1 << 12, 32, 4, 2
 MOST_LABELS = 20_000
 HIDDEN = 24
 THRESHOLD = 0.7
-#: Bytes of text whose tokens are counted, or whose neighbours are summed, at a time.
-RUN = 4 << 20
+#: Runs of texts whose counts are sent together.
+RUNS = 4
 
 _TOKENS = Polynomial(77)
 _KIND = np.full(256, 2, dtype=np.uint8)  # 0 space, 1 word, 2 other
@@ -103,12 +103,21 @@ def frequent_words(docs: DataFrame, most: int) -> np.ndarray:
     checkpoints.ensure(docs.sparkSession)
     buckets = X.bucket_count(X.text_size(docs))
 
+    def dealt(parts: list) -> pa.RecordBatch:
+        h, n = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        edge = np.searchsorted(X.bucket_of(h, buckets), np.arange(buckets + 1))
+        return X.rows([(b, 0, X.tight(X.pack(*X.differences(h[edge[b] : edge[b + 1]]), *X.planes(n[edge[b] : edge[b + 1]])))) for b in np.flatnonzero(np.diff(edge)).tolist()])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         for batch in batches:
-            for _, _, data, off in runs(batch, most=RUN):
-                h, n = np.unique(tokens(data, off)[1], return_counts=True)
-                edge = np.searchsorted(X.bucket_of(h, buckets), np.arange(buckets + 1))
-                yield X.rows([(b, 0, X.tight(X.pack(*X.differences(h[edge[b] : edge[b + 1]]), *X.planes(n[edge[b] : edge[b + 1]])))) for b in np.flatnonzero(np.diff(edge)).tolist()])
+            for _, _, data, off in runs(batch):
+                held.append(np.unique(tokens(data, off)[1], return_counts=True))
+                if len(held) == RUNS:
+                    yield dealt(held)
+                    held = []
+        if held:
+            yield dealt(held)
 
     def add(table: pa.Table) -> pa.Table:
         parts = [X.unpack(X.loose(c.as_py())) for c in table.column("cell")]
@@ -150,7 +159,7 @@ def word_vectors(docs: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, index = np.zeros((n, DIMS + 1), dtype=np.int64), index_table(shared.value)
         for batch in batches:
-            for _, _, data, off in runs(batch, most=RUN):
+            for _, _, data, off in runs(batch):
                 row, h = tokens(data, off)
                 add_contexts(table, row, slots(h, shared.value), index)
         yield X.rows([(i, 0, X.tight(X.pack(*X.planes(_unsigned(part.ravel()))))) for i, part in enumerate(np.array_split(table, slices))])
