@@ -48,7 +48,8 @@ def listing(rows: DataFrame, filters: dict[str, object], search: tuple[list[str]
         out = out.where(F.coalesce(hit, F.lit(False)))
     if period:
         at, unit, first = period
-        out = out.where(F.date_trunc(unit, F.col(at)) == F.lit(first).cast("timestamp"))
+        kind = rows.schema[at].dataType
+        out = out.where(F.date_trunc(unit, F.col(at)).cast(kind) == F.lit(first).cast(kind))
     return out.orderBy(F.col(newest).desc()) if newest else out
 
 
