@@ -23,7 +23,7 @@ Each node keeps a list of its ``k`` nearest nodes found so far.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite components have no links and are
 alone; vectors of different lengths don't link; repeated rows are vectors of their own and link with
-each other; a null ``vec_id`` stays null and counts as larger than any other; other columns are
+each other; a null ``vec_id`` stays null, counts as larger than any other, and is kept only in a component of nulls; other columns are
 ignored; an empty table gives no rows. Equal vectors are recognised by a 64-bit hash.
 """
 
@@ -419,7 +419,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = 12, trees
     per_node = nodes.select("node", "name", "least", "copies").join(classes, "node", "left").select("name", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component_id", "least").alias("component_id"))
     out = rows.select("vec_id", "name").join(per_node, "name", "left")
     component = F.when(F.col("name").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")), measured
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")), measured
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

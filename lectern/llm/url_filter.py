@@ -6,7 +6,7 @@ rule that fits decides.
 *Templates.* What rules decide also labels the tree, which judges the other urls. Of each host's paths the
 segments form a tree, as deep as two different paths share a node. Level by level,
 
-* segments that look like identifiers (digits, hex, dates), and children of few pages each where a node has
+* segments that look like identifiers (digits, hex, dates) and have ``many`` different values or more behind what goes before them, and children of few pages each where a node has
   many such, become the wildcard ``*`` (an extension is kept); others stay literal whatever their share or number;
 * literal siblings whose shares of blocked pages do not differ significantly (two-proportion z-test
   between neighbours in the order of the shares) are merged into one branch ``{a|b}`` (of more than ``shown``
@@ -20,7 +20,7 @@ third of all pages is a few rows; only built-in expressions are used.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and is judged by the
 template of that host; a null ``page_id`` stays null; repeated rows each count and each give a row; other
-columns are ignored; an empty table gives no rows.
+columns are ignored, whatever their names; siblings of equal shares are ordered by their names; a very long url is a row like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,17 +96,29 @@ def template_verdicts(paths: DataFrame, purity: float, strength: float, few: flo
     return now.join(judged, ["host", "node"]).select("host", "path", F.col("node").alias("template"), "rejected")
 
 
-def filter_urls(pages: DataFrame, rules=RULES, purity: float = 0.8, strength: float = 4.0) -> DataFrame:
+def with_variable_identifiers(rows: DataFrame, many: int) -> DataFrame:
+    """``rows`` (host, segments, and ``general``, in which identifiers are wildcards) with identifiers put back where fewer than ``many`` different ones follow the same path.
+    Different values are counted by sketches, combined in each task, so that a host with a third of all pages is a few rows."""
+    wild = F.filter(F.sequence(F.lit(0), F.size("general") - 1), lambda i: F.get("general", i).startswith("*"))
+    paths = rows.where(F.exists("general", lambda g: g.startswith("*")))
+    places = paths.select("host", "general", "segments", F.explode(wild).alias("i")).withColumn("prefix", F.slice("general", 1, F.col("i") + 1))
+    kinds = places.groupBy("host", "prefix").agg(F.approx_count_distinct(F.get("segments", F.col("i")), 0.02).alias("kinds")).where(F.col("kinds") < many)
+    back = places.select("host", "general", "i", "prefix").distinct().join(kinds, ["host", "prefix"], "left_semi").groupBy("host", "general").agg(F.collect_set("i").alias("back"))
+    restored = F.transform("general", lambda g, i: F.when(F.array_contains("back", i), F.get("segments", i)).otherwise(g))
+    return rows.join(back, ["host", "general"], "left").withColumn("general", F.when(F.col("back").isNull(), F.col("general")).otherwise(restored)).drop("back")
+
+
+def filter_urls(pages: DataFrame, rules=RULES, purity: float = 0.8, strength: float = 4.0, many: int = 8) -> DataFrame:
     """page_id, host, path, rule, verdict and template."""
     checkpoints.ensure(pages.sparkSession)
     url = F.col("url").cast("string")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    general = F.transform(segments, lambda s: F.when(s.rlike(_IDENTIFIER), F.concat(F.lit("*"), F.regexp_extract(s, _IDENTIFIER, 1))).otherwise(s))
-    rows = base.withColumn("rule", rule).withColumn("given", verdict).withColumn("general", general)
+    general = F.transform("segments", lambda s: F.when(s.rlike(_IDENTIFIER), F.concat(F.lit("*"), F.regexp_extract(s, _IDENTIFIER, 1))).otherwise(s))
+    rows = with_variable_identifiers(base.withColumn("rule", rule).withColumn("given", verdict).withColumn("segments", segments).withColumn("general", general), many)
     counted = rows.groupBy("host", "general").agg(F.count("*").alias("n"), F.count("given").alias("labelled"), F.count(F.when(F.col("given") == "block", 1)).alias("blocked"))
-    templates = template_verdicts(counted.withColumnRenamed("general", "path"), purity, strength).withColumnRenamed("path", "general")
+    templates = template_verdicts(counted.withColumnRenamed("general", "path"), purity, strength, many=many).withColumnRenamed("path", "general")
     out = rows.join(templates, ["host", "general"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"), "template")
 

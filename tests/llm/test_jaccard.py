@@ -56,3 +56,16 @@ def test_components_equal_brute_force(docs_of, seed, part):
 
 def test_empty_table(docs_of):
     assert jaccard.jaccard_components(docs_of([])).collect() == []
+
+
+def test_query_columns_with_hot_nulls_and_a_long_text(spark, tmp_path):
+    """A third of the rows without an id, many of them alike; a text of 300,000 words and a near copy of it."""
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(300_000)]
+    rows = [(i, t) for i, t in corpus(5)[:120]] + [(None, f"null copy number {i % 4} of a text with words") for i in range(60)] + [(7000, " ".join(long)), (7001, " ".join(long[:-3] + ["x"]))]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_shingles int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = jaccard.op6_jaccard(spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]
+    got = sorted((tuple(r) for r in got.collect()), key=str)
+    assert [r for r in got if r[0] is None or r[0] < 7000] == brute(rows[:-2])
+    assert [r[2] for r in got if r[0] is not None and r[0] >= 7000] == [7000, 7000]

@@ -65,3 +65,13 @@ def test_clumps_whose_lists_are_full_are_linked_across(spark):
     assert len({w[2] for w in want if w[0] >= 300}) == 1 and sum(w[1] for w in want) > 2 * 2 * 30 * 29 * 0.9
     out, _ = nv.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), audit=0)
     assert sorted((tuple(r)[:3] for r in out.collect()), key=str) == want
+
+
+def test_query_columns(spark, tmp_path):
+    rng = np.random.RandomState(5)
+    rows = [(i, (c + 0.1 * rng.randn(16)).tolist()) for i, c in enumerate(np.repeat(rng.randn(60, 16), 3, axis=0))] + [(900, None), (None, [1.0] * 16), (901, [1.0] * 16)]
+    spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, node int, comp int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = nv.op4_near_vectors(spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    got = sorted((tuple(r) for r in got.collect()), key=str)
+    assert [r[:3] for r in got] == brute(rows) and all(r[3] == (r[0] == r[2]) for r in got)

@@ -51,3 +51,18 @@ def test_equals_brute_force(docs_of, seed):
 
 def test_empty_table(docs_of):
     assert sd.remove_repeats(docs_of([])).collect() == []
+
+
+def test_query_columns_and_a_long_text(spark, tmp_path):
+    """All columns; a text of a megabyte beside short ones, with a passage of its own that others hold."""
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
+    rows = [*corpus(9)[:60], (5000, long), (5001, "before X" + long[500_000:500_300] + "X behind"), (None, None), (7, "")]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_spans int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sd.op3_substring_dedup(spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    got = {(r[0], r[1]): tuple(r) for r in got.collect()}
+    small = brute([(d, t) for d, t in rows if d not in (5000, 5001)])
+    assert sorted((v for k, v in got.items() if k[0] not in (5000, 5001)), key=str) == sorted(set(small), key=str)
+    assert got[5000, len(long)] == (5000, len(long), 0, 0, hashlib.sha256(long.encode()).hexdigest())
+    assert got[5001, 316][2:4] == (300, 1)
