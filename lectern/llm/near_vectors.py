@@ -68,6 +68,29 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _quantised(x: np.ndarray) -> np.ndarray:
+    """A byte for each component."""
+    return np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+
+
+def _in_bytes(column: pa.Array) -> pa.Array:
+    out = np.empty(len(column), dtype=object)
+    for at, x in _matrix(column):
+        out[at] = [row.tobytes() for row in _quantised(x)]
+    return pa.array(out.tolist(), pa.binary())
+
+
+def _of_bytes(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The inverse of ``_in_bytes``, as ``_matrix`` gives it."""
+    raw = column.to_pylist()
+    size, out = np.array([len(r) for r in raw]), []
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        x = np.frombuffer(b"".join(raw[i] for i in at), dtype=np.int8).reshape(len(at), int(d)).astype(np.float32)
+        out.append((at, x / np.linalg.norm(x, axis=1, keepdims=True)))
+    return out
+
+
 def _bucket(node: np.ndarray) -> np.ndarray:
     return node // NODES_PER_BUCKET
 
@@ -128,7 +151,7 @@ def _tree_edges(nodes: DataFrame, trees: int, bits: int, k: int) -> DataFrame:
         for batch in batches:
             for tree in range(trees):
                 key, along = _codes(batch.column(1), tree, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree)), batch.column(0), batch.column(1), pa.array(key), pa.array(along), batch.column(2)], names=["tree", "node", "v", "code", "along", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, tree)), batch.column(0), _in_bytes(batch.column(1)), pa.array(key), pa.array(along), batch.column(2)], names=["tree", "node", "q", "code", "along", "comp"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +159,7 @@ def _tree_edges(nodes: DataFrame, trees: int, bits: int, k: int) -> DataFrame:
             for i in range(0, batch.num_rows, SORT_BLOCK):
                 part = batch.slice(i, SORT_BLOCK)
                 node, comp = part.column(1).to_numpy(), part.column(5).to_numpy()
-                for at, x in _matrix(part.column(2)):
+                for at, x in _of_bytes(part.column(2)):
                     sims, own = x @ x.T, comp[at][:, None] == comp[at][None, :]
                     own_too = own & (node[at][:, None] != node[at][None, :])  # a node may stand in a block for two trees
                     for apart, fits in ((0, own_too), (1, ~own)):
@@ -151,7 +174,7 @@ def _tree_edges(nodes: DataFrame, trees: int, bits: int, k: int) -> DataFrame:
                 a, b, s, d = _best(*(np.concatenate(c) for c in zip(*got, strict=True)), k)
                 yield X.rows([(bucket, 3, X.tight(X.pack(a[at], b[at], s[at], d[at]))) for bucket, at in X.by_bucket(_bucket(a))])
 
-    coded = nodes.select("node", "v", "comp").mapInArrow(code, "tree long, node long, v array<double>, code long, along double, comp long")
+    coded = nodes.select("node", "v", "comp").mapInArrow(code, "tree long, node long, q binary, code long, along double, comp long")
     return coded.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along").mapInArrow(near, X.ROWS)
 
 
@@ -164,8 +187,7 @@ def nearest_lists(nodes: DataFrame, count: int, k: int, trees: int, rounds: int,
             node, comp = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             out = []
             for at, x in _matrix(batch.column(1)):
-                scale = np.abs(x).max(axis=1, keepdims=True)
-                q = np.rint(x / scale * 127).astype(np.int8)
+                q = _quantised(x)
                 out += [(b, 0, X.tight(X.pack(node[at][p], comp[at][p], np.ascontiguousarray(q[p]).view(np.uint8).ravel()))) for b, p in X.by_bucket(_bucket(node[at]))]
             yield X.rows(out)
 

@@ -198,12 +198,12 @@ def pooled(data: np.ndarray, off: np.ndarray, model: tuple[np.ndarray, np.ndarra
     out = np.zeros((n, 3 * DIMS), dtype=np.float64)
     if len(row):
         at = np.flatnonzero(np.diff(row, prepend=-1))
-        v = vectors[slots(h, words)].astype(np.float64)
-        again = np.zeros_like(v)
-        again[1:] = v[1:] * v[:-1]
-        again[at] = 0  # the first token of a document has none before
-        for k, x in enumerate((v, v * v, again)):
-            out[row[at], k * DIMS : (k + 1) * DIMS] = np.add.reduceat(x, at, axis=0)
+        v = vectors[slots(h, words)]
+        summed_ = lambda x: np.add.reduceat(x, at, axis=0, dtype=np.float64)
+        out[row[at], :DIMS], out[row[at], DIMS : 2 * DIMS] = summed_(v), summed_(v * v)
+        v[1:] *= v[:-1].copy()
+        v[at] = 0  # the first token of a document has none before
+        out[row[at], 2 * DIMS :] = summed_(v)
         out /= np.maximum(np.bincount(row, minlength=n), 1)[:, None]
     return np.round(out, 6)  # products of matrices differ in the last digits with the rows beside them
 
