@@ -55,9 +55,11 @@ def covering_top5(spark, sf):
     return joins.covering_first(_verses(spark, sf), _segments(spark, sf), "surah", "number", "a", "b", ["segment"], "verse", "segment")
 
 
-@query(f"WITH {_COVER} SELECT verse, segment FROM v JOIN s ON v.surah = s.surah AND number BETWEEN a AND b WHERE verse = 17")
+@query(f"WITH {_COVER} SELECT verse, segment FROM v JOIN s ON v.surah = s.surah AND number BETWEEN a AND b WHERE verse = (SELECT min(verse) FROM v JOIN s ON v.surah = s.surah AND number BETWEEN a AND b)")
 def covering_one(spark, sf):
-    return joins.covering(_verses(spark, sf).where("verse = 17"), _segments(spark, sf), "surah", "number", "a", "b").select("verse", "segment")
+    """The segments that cover one verse, the first that any covers."""
+    every = joins.covering(_verses(spark, sf), _segments(spark, sf), "surah", "number", "a", "b").select("verse", "segment")
+    return every.join(F.broadcast(every.agg(F.min("verse").alias("verse"))), "verse")  # one row
 
 
 _CHUNKS = "ch AS (SELECT DISTINCT transcript, start_ms // 86400000 AS chunk, start_ms // 86400000 * 86400000 AS s, (start_ms // 86400000 + 1) * 86400000 AS e FROM words)"
@@ -144,9 +146,9 @@ def semi_exists(spark, sf):
     return table(spark, sf, "nation").join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("n_nationkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')")
 def anti_missing(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 _NEW = "(SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_name || '!' ELSE c_name END AS c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey % 100 = 0)"
@@ -192,11 +194,11 @@ def last_wins(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
 
 
-@query(f"WITH {WORDS}, r AS (SELECT *, CASE WHEN lag(text) OVER w IS NULL THEN -1 ELSE 0 END AS p FROM words WINDOW w AS (PARTITION BY transcript ORDER BY idx)) SELECT transcript, idx, greatest(idx - 1, 0) AS lo, least(idx + 1, max(idx) OVER (PARTITION BY transcript)) AS hi FROM r WHERE event_id % 100 = 0 AND false UNION ALL SELECT w.transcript, w.idx, min(v.idx), max(v.idx) FROM words w JOIN words v ON v.transcript = w.transcript AND v.idx BETWEEN w.idx - 1 AND w.idx + 1 WHERE w.event_id % 100 = 0 GROUP BY 1, 2")
+@query(f"WITH {WORDS} SELECT w.transcript, w.idx, min(v.idx) AS lo, max(v.idx) AS hi FROM words w JOIN words v ON v.transcript = w.transcript AND v.idx BETWEEN w.idx - 1 AND w.idx + 1 GROUP BY 1, 2")
 def neighbour_range(spark, sf):
     order = Window.partitionBy("transcript").orderBy("idx")
     w = words(spark, sf).withColumn("lo", F.coalesce(F.lag("idx").over(order), "idx")).withColumn("hi", F.coalesce(F.lead("idx").over(order), "idx"))
-    return w.where("event_id % 100 = 0").select("transcript", "idx", "lo", "hi")
+    return w.select("transcript", "idx", "lo", "hi")
 
 
 @query(f"""WITH RECURSIVE {WORDS}, e AS (SELECT *, lead(start_ms) OVER (PARTITION BY transcript ORDER BY idx) AS nxt FROM words),

@@ -47,10 +47,10 @@ def bounded_params(spark, sf):
     return table(spark, sf, "pages").select("page_id", references.bounded(F.regexp_extract("url", r"/(\d+)", 1), 1, 9999).alias("v"))
 
 
-@query("SELECT p_partkey FROM part WHERE contains(p_name, '1') AND 10 BETWEEN p_size AND p_size + 9 AND 25 BETWEEN p_size - 5 AND p_size + 30")
+@query("SELECT p_partkey FROM part WHERE contains(p_name, 'a') AND 10 BETWEEN p_size AND p_size + 9 AND 25 BETWEEN p_size - 5 AND p_size + 30")
 def chapter_index(spark, sf):
     size = F.col("p_size")
-    return table(spark, sf, "part").where(references.chapter_filter(F.col("p_name"), (size, size + 9), (size - 5, size + 30), "1", None, 10, 25)).select("p_partkey")
+    return table(spark, sf, "part").where(references.chapter_filter(F.col("p_name"), (size, size + 9), (size - 5, size + 30), "a", None, 10, 25)).select("p_partkey")
 
 
 _QUOTES = [("sat on the mat", "the cat sat on the mat today", 2, 5), ("sat on the mxt", "the cat sat on the mat today", 2, 5), ("entirely different words", "the cat sat on the mat today", None, None), ("", "abc", None, None)]
@@ -86,14 +86,14 @@ def correction_verdicts(spark, sf):
     return r.select("*", e.alias("e")).select("transcript", "a", "b", "e.*").select("transcript", "first", "last", v.alias("verdict"))
 
 
-@query("""WITH j AS (SELECT p_partkey % 500 AS k, p_type AS t, CASE p_size % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'done' ELSE 'queued' END AS status, p_partkey FROM part WHERE p_partkey < 500), r AS (SELECT DISTINCT p_partkey % 700 AS k FROM part)
- SELECT r.k, CASE WHEN j.k IS NULL THEN 'created' WHEN status = 'failed' THEN 'requeued' ELSE 'existing' END AS verdict FROM r LEFT JOIN j ON r.k = j.k""")
+@query("""WITH j AS (SELECT p_partkey AS k, CASE p_size % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'done' ELSE 'queued' END AS status FROM part WHERE p_retailprice < 1000)
+ SELECT p_partkey AS k, CASE WHEN j.k IS NULL THEN 'created' WHEN status = 'failed' THEN 'requeued' ELSE 'existing' END AS verdict FROM part LEFT JOIN j ON j.k = p_partkey""")
 def job_cache(spark, sf):
+    """Jobs exist for the cheaper parts; all are asked for."""
     p = table(spark, sf, "part")
     status = F.when(F.col("p_size") % 3 == 0, "failed").when(F.col("p_size") % 3 == 1, "done").otherwise("queued")
-    jobs = p.where("p_partkey < 500").select((F.col("p_partkey") % 500).alias("k"), status.alias("status"))
-    r = p.select((F.col("p_partkey") % 700).alias("k")).distinct()
-    return r.join(jobs, "k", "left").select("k", F.when(F.col("status").isNull(), "created").when(F.col("status") == "failed", "requeued").otherwise("existing").alias("verdict"))
+    jobs = p.where("p_retailprice < 1000").select(F.col("p_partkey").alias("k"), status.alias("status"))
+    return p.select(F.col("p_partkey").alias("k")).join(jobs, "k", "left").select("k", F.when(F.col("status").isNull(), "created").when(F.col("status") == "failed", "requeued").otherwise("existing").alias("verdict"))
 
 
 @query("SELECT c_custkey, CASE WHEN f.vote IS NOT NULL THEN f.vote ELSE c_mktsegment END AS vote FROM customer LEFT JOIN (SELECT o_custkey AS k, max_by(o_orderpriority, o_orderkey) AS vote FROM orders GROUP BY 1) f ON f.k = c_custkey")
@@ -143,14 +143,13 @@ def retrieve_hybrid(spark, sf):
     return search.fuse(lex.unionByName(sem))
 
 
-@query(f"""WITH {WORDS}, ch AS (SELECT transcript, idx // 10 AS ord, min(start_ms) AS s, max(end_ms) AS e, count(*) AS n FROM words GROUP BY 1, 2) SELECT transcript, ord, s + 0 AS at_ms, n FROM ch WHERE transcript % 10 = 0 AND ord = (SELECT min(ord) FROM ch c2 WHERE c2.transcript = ch.transcript AND c2.s <= ch.s AND c2.e > ch.s)""")
+@query(f"""WITH {WORDS}, ch AS (SELECT transcript, idx // 10 AS ord, min(start_ms) AS s, max(end_ms) AS e FROM words GROUP BY 1, 2) SELECT p.transcript, p.ord AS want, p.s AS at_ms, min(c.ord) AS ord FROM ch p JOIN ch c ON c.transcript = p.transcript AND c.s <= p.s AND c.e > p.s GROUP BY 1, 2, 3""")
 def point_in_chunk(spark, sf):
-    w = words(spark, sf)
-    ch = w.groupBy("transcript", F.floor(F.col("idx") / 10).alias("ord")).agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.count("*").alias("n"))
-    p = ch.where("transcript % 10 = 0").select("transcript", F.col("ord").alias("want"), F.col("s").alias("at_ms"), "n")
+    """The first chunk that holds the start of each chunk."""
+    ch = words(spark, sf).groupBy("transcript", F.floor(F.col("idx") / 10).alias("ord")).agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
+    p = ch.select("transcript", F.col("ord").alias("want"), F.col("s").alias("at_ms"))
     hit = p.join(ch.select(F.col("transcript").alias("t"), "ord", "s", "e"), (F.col("transcript") == F.col("t")) & (F.col("s") <= F.col("at_ms")) & (F.col("e") > F.col("at_ms")))
-    first = hit.groupBy("transcript", "want", "at_ms", "n").agg(F.min("ord").alias("ord"))
-    return first.where("ord = want").select("transcript", "ord", "at_ms", "n")
+    return hit.groupBy("transcript", "want", "at_ms").agg(F.min("ord").alias("ord"))
 
 
 @query("SELECT role, count(*) AS n, sum((length(text) > 200)::INT) AS long_turns FROM conversations GROUP BY role")
@@ -158,7 +157,7 @@ def turn_tally(spark, sf):
     return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum((F.length("text") > 200).cast("int")).alias("long_turns"))
 
 
-@query("SELECT page_id, CASE WHEN length(u) > 60 THEN left(u, 60) ELSE u END AS safe FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[<>:\"/\\\\|?*]', '', 'g'), '^[ .-]+|[ .-]+$', '', 'g') AS u FROM pages) WHERE u NOT LIKE '%.%'")
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(url, '[\x00-\x1f\x7f<>:"/\\|?*]', '', 'g') AS c FROM pages), x AS (SELECT page_id, c, regexp_extract(c, '(\.[A-Za-z0-9]{1,8})$', 1) AS e FROM c),
+ t AS (SELECT page_id, e, regexp_replace(trim(regexp_replace(left(c, length(c) - length(e)), '\s+', ' ', 'g')), '^[ .\-]+|[ .\-]+$', '', 'g') AS t FROM x) SELECT page_id, regexp_replace(left(t, 60), '[ .\-]+$', '') || e AS safe FROM t""")
 def safe_filenames(spark, sf):
-    p = table(spark, sf, "pages").withColumn("u", F.regexp_replace(F.regexp_replace("url", r'[<>:"/\\|?*]', ""), r"^[ .\-]+|[ .\-]+$", ""))
-    return p.where(~F.col("u").contains(".")).select("page_id", text.safe_filename(F.col("url")).alias("safe"))
+    return table(spark, sf, "pages").select("page_id", text.safe_filename(F.col("url")).alias("safe"))

@@ -96,13 +96,11 @@ def phrase_page2(spark, sf):
     return search.page(ranked_pair(spark, sf), 2, 20)
 
 
-@query(f"""WITH {TOKENS}, en AS (SELECT tok.* FROM tok JOIN documents ON doc = doc_id WHERE lang = 'en'),
- hit AS (SELECT doc, pos, damerau_levenshtein(word, 'there') AS t FROM en WHERE word[1] = 't' AND abs(length(word) - 5) <= 1 AND (word = 'there' OR damerau_levenshtein(word, 'there') <= 1)),
- two AS (SELECT h.doc, h.pos AS start, h.t AS typos FROM hit h JOIN en ON en.doc = h.doc AND en.pos = h.pos + 1 AND en.word = 'the')
+@query(f"""WITH {TOKENS}, hit AS (SELECT doc, pos, damerau_levenshtein(word, 'there') AS t FROM tok WHERE word[1] = 't' AND abs(length(word) - 5) <= 1 AND (word = 'there' OR damerau_levenshtein(word, 'there') <= 1)),
+ two AS (SELECT h.doc, h.pos AS start, h.t AS typos FROM hit h JOIN tok ON tok.doc = h.doc AND tok.pos = h.pos + 1 AND tok.word = 'the')
  SELECT doc, min(struct_pack(t := typos, s := start)).s AS start, 0 AS stems, CAST(min(typos) AS BIGINT) AS typos FROM two GROUP BY doc""")
 def phrase_typo1(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    post = search.postings(d, "doc_id", arabic.normalize_index(F.col("text"), latin=True))
+    post = search.postings(table(spark, sf, "documents"), "doc_id", arabic.normalize_index(F.col("text"), latin=True))
     return search.phrase_match(post, [("there", False), ("the", True)]).select("doc", "start", F.col("stems").cast("int").alias("stems"), "typos")
 
 
@@ -233,16 +231,9 @@ def context_merge(spark, sf):
     return search.merge_windows(literals(spark, _MERGE, "transcript int, priority int, a int, b int"))
 
 
-@query("""WITH RECURSIVE w AS (SELECT doc_id AS id, n_chars AS words, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id < 200),
+@query("""WITH RECURSIVE w AS (SELECT doc_id AS id, n_chars AS words, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
  f AS (SELECT 0::BIGINT AS k, 0::BIGINT AS spent, NULL::BIGINT AS id UNION ALL SELECT w.k, CASE WHEN spent + words <= 36000 THEN spent + words ELSE spent END, CASE WHEN spent + words <= 36000 THEN w.id END FROM f JOIN w ON w.k = f.k + 1)
  SELECT 1 AS run, id FROM f WHERE id IS NOT NULL""")
 def context_budget(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 200").select(F.lit(1).alias("run"), F.col("doc_id").alias("priority"), F.col("doc_id").alias("id"), F.col("n_chars").alias("words"))
-    return search.spend_budget(d, 36000)
-
-
-@query()
-def context_budget_whole(spark, sf):
-    """context_budget over all documents; its SQL, a recursion over every row, is left out."""
     d = table(spark, sf, "documents").select(F.lit(1).alias("run"), F.col("doc_id").alias("priority"), F.col("doc_id").alias("id"), F.col("n_chars").alias("words"))
     return search.spend_budget(d, 36000)

@@ -90,4 +90,4 @@ def test_budget_over_all_documents_is_spent_as_by_a_loop(spark, tmp_path):
         if spent + n <= 36000:
             spent, want = spent + n, [*want, i]
     assert max(want) >= 200
-    assert sorted(r["id"] for r in queries()["context_budget_whole"](spark, str(tmp_path)).collect()) == want
+    assert sorted(r["id"] for r in queries()["context_budget"](spark, str(tmp_path)).collect()) == want
