@@ -14,6 +14,6 @@ def ensure(spark: SparkSession) -> None:
     if context.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local"):
+    if named is None and not not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
