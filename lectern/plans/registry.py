@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import catalog_queries, join_queries, metric_queries, reference_queries, smart_queries, text_queries
+from lectern.plans import catalog_queries, join_queries, metric_queries, reference_queries, smart_queries, source_queries, text_queries
 
-MODULES = (text_queries, join_queries, metric_queries, reference_queries, smart_queries, catalog_queries)
+MODULES = (text_queries, join_queries, metric_queries, reference_queries, smart_queries, catalog_queries, source_queries)
 
 
 def queries() -> dict:

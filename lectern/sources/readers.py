@@ -52,10 +52,15 @@ def checkpoint_lines(spark: SparkSession, path: str, key: str, schema: str) -> D
     return checked.groupBy(F.col(f"r.{key}").alias(key)).agg(F.max_by("r", "line").alias("r")).select("r.*")
 
 
+def only_audio(files: DataFrame) -> DataFrame:
+    """Files whose suffix, in either case, is that of a kind of audio."""
+    return files.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*AUDIO))
+
+
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) of audio files below a folder, by path; suffixes in either case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    return files.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*AUDIO)).orderBy("path")
+    return only_audio(files).orderBy("path")
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
