@@ -46,6 +46,13 @@ def norm_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(arabic.normalize_index(F.col("text"), latin=True)).alias("norm_md5"))
 
 
+@query(f"SELECT doc_id, md5(trim(regexp_replace(translate(nfc_normalize(text || ' e' || chr(769)), '{_FROM}', '{_TO}'), '\\s+', ' ', 'g'))) AS norm_md5 FROM documents")
+def norm_composed(spark, sf):
+    """The path that any text takes, NFC included; each document ends in a decomposed letter."""
+    text_ = F.concat("text", F.lit(" e\u0301"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(arabic.normalize_index(text_)).alias("norm_md5"))
+
+
 _STEMS = [("الصبر", "صبر"), ("بالصبر", "صبر"), ("والمومنين", "مومن"), ("الله", "الله"), ("بالله", "الله"), ("كتاب", "كتاب"), ("وحده", "وحده"), ("والوالدين", "والد"), ("مسلماتهم", "مسلمات"), ("255", "255"), ("للناس", "ناس"), ("", "")]
 
 
