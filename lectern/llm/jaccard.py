@@ -41,7 +41,7 @@ from lectern.llm import checkpoints
 from lectern.llm import exchange as X
 from lectern.llm.components import connected
 from lectern.llm.lm_score import summed
-from lectern.llm.textkernel import CHUNK, runs, shingles, splitmix, words
+from lectern.llm.textkernel import runs, runs_of, shingles, splitmix, words
 
 #: A shingle of this share of the documents or more is ordered last.
 HEAVY = 1 / 2500
@@ -225,15 +225,6 @@ def linked(rows: list[np.ndarray], per_cent: int, start: int = 0, against: int |
     return links
 
 
-def runs_of(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole rows of about CHUNK bytes of a longer run."""
-    i = 0
-    while i < len(off) - 1:
-        j = min(max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, side="right")) - 1), len(off) - 1)
-        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
-        i = j
-
-
 def _heavy(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles of at least the share HEAVY of the documents, by count. Which are found only changes the order, never the result."""
 

@@ -32,6 +32,7 @@ rows come in another order each time they are read have to be written first: a c
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import checkpoints
 from lectern.llm import exchange as X
-from lectern.llm.textkernel import Polynomial, runs, splitmix, words
+from lectern.llm.textkernel import runs, runs_of, splitmix, words
 
 BUCKET_BYTES = 8 << 20
 #: Bytes of text in a chunk.
@@ -57,7 +58,6 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 END = splitmix(np.array([0x656E64], dtype=np.uint64))
 START = splitmix(np.array([0x7374617274], dtype=np.uint64))
 NULL_ID = np.iinfo(np.int64).min
-_TEXTS = Polynomial(101)
 
 
 def ids(column: pa.Array) -> np.ndarray:
@@ -99,8 +99,9 @@ class Chunk:
     each place or -1. Hot pairs, whose triples are dealt on their own, are those among ``hot``."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, hot: np.ndarray):
-        row, h, *_ = words(data, off)
         n = len(off) - 1
+        parts = [(i, words(d, o)) for i, _, d, o in runs_of(data, off)]
+        row, h = (np.concatenate(x) for x in ([np.zeros(0, np.int64), *(i + w[0] for i, w in parts)], [np.zeros(0, np.uint64), *(w[1] for _, w in parts)]))
         counts = np.bincount(row, minlength=n)
         self.doc = np.repeat(np.arange(n), counts + 2)
         stream = np.empty(len(self.doc), dtype=np.uint64)
@@ -154,10 +155,10 @@ def _home(chunk: int, buckets: int) -> int:
 
 def name_of(doc: np.ndarray, data: np.ndarray, off: np.ndarray) -> int:
     """A hash of a chunk's rows in order."""
-    texts = _TEXTS.spans(_TEXTS.prefix(data), off[:-1], off[1:])
-    rows = splitmix(texts ^ splitmix(doc.view(np.uint64)))
-    with np.errstate(over="ignore"):
-        return int(splitmix(np.array([(rows * (2 * np.arange(len(rows), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64)]))[0])
+    h = hashlib.blake2b(digest_size=8)
+    for part in (doc, off.astype(np.int64), data):
+        h.update(np.ascontiguousarray(part))
+    return int.from_bytes(h.digest(), "little")
 
 
 def _hot_pairs(docs: DataFrame, folds: int, held: int) -> np.ndarray:
