@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import fuzzy
-from lectern.functions.arabic import DIGITS_FROM, DIGITS_TO, FOLDED_FROM, FOLDED_TO, STRIPPED, light_stem, normalize_index, tokens
+from lectern.functions.arabic import DIGITS_FROM, DIGITS_TO, FOLDED_FROM, FOLDED_TO, STRIPPED, let, light_stem, normalize_index, tokens
 from lectern.operators.ranking import numbered
 
 _QUOTED = re.compile(r'"([^"]*)"|«([^»]*)»|“([^”]*)”')
@@ -79,11 +79,16 @@ def verified(matches: DataFrame, relevance: Column | None = None) -> DataFrame:
 
 
 def phrase_in_tokens(docs: DataFrame, doc: str, text: Column, words: list[str]) -> DataFrame:
-    """(doc, start, stems, typos) of documents that hold the words in order, found in each document's array of tokens: nothing is exploded or shuffled."""
-    found = docs.select(F.col(doc).alias("doc"), tokens(text).alias("t")).where(F.array_contains("t", words[0]))
-    phrase = F.array(*(F.lit(w) for w in words))
-    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (F.get("t", i) == words[0]) & (F.slice("t", i + 1, len(words)) == phrase))
-    return found.select("doc", F.get(starts, F.lit(0)).alias("start"), F.lit(0).alias("stems"), F.lit(0).alias("typos")).where("start IS NOT NULL")
+    """(doc, start, stems, typos) of documents that hold the words in order, found in each document's tokens joined by spaces, which none contains: nothing is exploded or shuffled."""
+    line = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+
+    def starts(line: Column) -> Column:
+        at = F.instr(line, f" {' '.join(words)} ")
+        before = F.left(line, at)
+        return F.array_compact(F.array(F.when(at > 0, F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))) - 1)))
+
+    # a generator's input is computed once, where a filter would tokenise each text again
+    return docs.select(F.col(doc).alias("doc"), F.explode(let(line, starts)).alias("start")).select("doc", "start", F.lit(0).alias("stems"), F.lit(0).alias("typos"))
 
 
 def lexical_search(docs: DataFrame, doc: str, text: str, query: str, latin: bool = False) -> DataFrame:
@@ -91,7 +96,8 @@ def lexical_search(docs: DataFrame, doc: str, text: str, query: str, latin: bool
     words = parse_query(query)
     normal = normalize_index(F.col(text), latin)
     if words and all(strict for _, strict in words):
-        return verified(phrase_in_tokens(docs, doc, normal, [w for w, _ in words]))
+        # only matches are shuffled; the ranking's sample then reads them, and not the texts again
+        return verified(phrase_in_tokens(docs, doc, normal, [w for w, _ in words]).repartition("doc"))
     return verified(phrase_match(postings(docs, doc, normal), words))
 
 

@@ -75,10 +75,11 @@ def tokenize_counts(spark, sf):
 
 def top_pair(spark, sf) -> list[str]:
     """The most frequent pair of neighbouring words; pairs are formed inside each text and counted before they are shuffled."""
-    t = table(spark, sf, "documents").select(arabic.tokens(arabic.normalize_index(F.col("text"), latin=True)).alias("t")).where(F.size("t") > 1)
-    pair = F.explode(F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    best = t.select(pair.alias("p")).groupBy("p").count().orderBy(F.desc("count"), "p").first()
-    return [best["p"]["a"], best["p"]["b"]] if best else []
+    t = table(spark, sf, "documents").select(arabic.tokens(arabic.normalize_index(F.col("text"), latin=True)).alias("t"))
+    following = F.concat(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    pairs = t.select(F.explode(F.arrays_zip("t", following.alias("n"))).alias("p")).select(F.col("p.t").alias("a"), F.col("p.n").alias("b")).where("b IS NOT NULL")
+    best = pairs.groupBy("a", "b").count().orderBy(F.desc("count"), "a", "b").first()
+    return [best["a"], best["b"]] if best else []
 
 
 _PAIR = f"""{TOKENS}, pairs AS (SELECT a.doc, a.pos, a.word AS w1, b.word AS w2 FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos = a.pos + 1),
