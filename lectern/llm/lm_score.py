@@ -240,8 +240,10 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int =
         kinds = np.bincount(parent, threes > 0, len(pair)).astype(np.int64)
         out = []
         split = lambda values, k: np.split(values, edges(k))
-        answers = zip(names, split(ones[word_at], 0), split(twos[pair_at], 2), split(mass[pair_at], 2), split(kinds[pair_at], 2), split(threes[triple_at], 5), split(alone[loose_at], 7), strict=True)
-        for name, *values in answers:
+        # of a pair's count and its kept triples' the difference, and theirs beyond the least, are small numbers
+        answers = zip(names, split(ones[word_at], 0), split((twos - mass)[pair_at], 2), split(kinds[pair_at], 2), split((mass - least * kinds)[pair_at], 2), split(threes[triple_at], 5), split(alone[loose_at], 7), strict=True)
+        for name, single, rest, kind, more, after, far in answers:
+            values = (single, rest, kind, more[kind > 0], after, far)
             out.append((_home(name, buckets), REPLY, X.tight(X.pack(np.array([name, bucket], dtype=np.uint64), *(x for v in values for x in X.planes(v))))))
         real = (ones > 0) & (word != (START >> cut)[0])
         hot_of = np.zeros(len(loose), dtype=np.int64)
@@ -285,7 +287,10 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int =
                 if (int(name[0]), b) not in replies:
                     raise RuntimeError("the documents were read in another order than before; write them to a table first")
                 a = X.unpack(X.loose(replies[int(name[0]), b]))[1:]
-                ones[w], twos[p], mass[p], kinds[p], threes[t], threes[c.loose_triple[x]] = (X.unplane(v) for v in a)
+                ones[w], rest, kinds[p], more, threes[t], threes[c.loose_triple[x]] = (X.unplane(v) for v in a)
+                kept = np.flatnonzero(kinds[p])
+                mass[p.start + kept] = more + least * kinds[p][kept]
+                twos[p] = rest + mass[p]
             is_hot = c.pair_hot >= 0
             mass[is_hot], kinds[is_hot] = hot_mass[c.pair_hot[is_hot]], hot_kinds[c.pair_hot[is_hot]]
             at = np.flatnonzero(~c.start)
