@@ -249,21 +249,21 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(pairs(*words(data, off)[:2])[1]).view(np.int64))], names=["term"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, retrieve: float = 0.35, whole: float = 0.5, part: float = 0.25, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The documents with ``benchmark_items``, the item_ids found in each in order."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, retrieve: float = 0.35, whole: float = 0.5, part: float = 0.25, chunk_bytes: int = CHUNK_BYTES, name: str = "benchmark_items") -> DataFrame:
+    """The documents with the item_ids found in each, in order, in a column of that name."""
     spark = docs.sparkSession
     checkpoints.ensure(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chunks = max(1, -(-X.text_size(items) // chunk_bytes))
     at = docs.columns.index("text")
-    if "benchmark_items" in docs.columns:
-        raise ValueError("the documents have a column benchmark_items already")
+    if name in docs.columns:
+        raise ValueError(f"the documents have a column {name} already")
     counted = statistics(items).checkpoint()
     total = counted.where("term IS NULL").first()
     n, length, longest = (total["df"], total["words"], total["longest"]) if total else (0, 0, 0)
     span = max(128, 2 * longest)
     span += span % 2
-    out = docs.withColumn("benchmark_items", F.array().cast("array<long>"))
+    out = docs.withColumn(name, F.array().cast("array<long>"))
     for c in range(chunks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c)  # about chunk_bytes
         terms = counted.join(mine.select("text").mapInArrow(_terms_of, "term long").distinct(), "term").select("term", "df").toArrow()

@@ -2,7 +2,7 @@
 
 import corpus_pipeline as cp
 import pytest
-from lectern.llm import pii
+from lectern.llm import packing, pii
 
 from tests.llm.test_jaccard import brute as near_duplicates
 from tests.llm.test_quality import corpus
@@ -43,11 +43,11 @@ def test_stages_keep_columns_of_their_own_names(spark, folder):
 
     d, _ = folder
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(30)
-    for name in ("quality_score", "quality_predicted", "row", "set_id", "component_id", "spans", "key", "d", "s"):
+    for name in ("quality_score", "quality_predicted", "row", "set_id", "component_id", "spans", "key", "d", "s", "benchmark_items"):
         docs = docs.withColumn(name, F.lit("mine"))
     for _, stage in cp.STAGES[:4]:
         docs = stage(spark, docs, d).checkpoint()
-        assert {r["quality_score"] for r in docs.collect()} <= {"mine"} and docs.columns[-9:] == ["quality_score", "quality_predicted", "row", "set_id", "component_id", "spans", "key", "d", "s"]
+        assert {r["quality_score"] for r in docs.collect()} <= {"mine"} and docs.columns[-10:] == ["quality_score", "quality_predicted", "row", "set_id", "component_id", "spans", "key", "d", "s", "benchmark_items"]
 
 
 def test_each_stage_takes_effect(spark, folder):
@@ -68,9 +68,27 @@ def test_each_stage_takes_effect(spark, folder):
     assert not any(s for r in masked.select("text").collect() for s in pii.spans_of(r["text"] or "", pii.automaton()))
     packed = cp.pack(spark, masked, d)
     assert packed.select("doc_id").distinct().count() == masked.select("doc_id").distinct().count()
-    whole = cp.run(spark, d)
-    key = lambda df: sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
-    assert {k[0] for k in key(whole)} == {k[0] for k in key(packed)}
+    # run() packs the very texts that the stages leave: the pieces of each document, in order, are its ids
+    ids = lambda df: sorted((str(r["doc_id"]), r["doc_tokens"]) for r in df.where("start = 0").collect())
+    whole = cp.run(spark, d).checkpoint()
+    assert ids(whole) == ids(packed)
+    encode = packing.encoder(*packing.byte_level_vocabulary(packing.default_tokenizer()))
+    want = sorted((str(r["doc_id"]), len(encode(r["text"] or "")) + 1) for r in masked.collect())
+    assert ids(whole) == want and whole.agg({"length": "sum"}).first()[0] == sum(n for _, n in want)
+
+
+def test_stages_on_odd_rows(spark, folder, docs_of):
+    """Null and empty texts, rows without id and repeated rows pass every stage with the results that the docstrings state."""
+    d, item = folder
+    rows = [(1, None), (1, None), (2, ""), (None, "   "), (3, "some text of its own here " + item), (4, "mail me@mail.example.com now"), (5, "word " * 60_000)]
+    docs = docs_of(rows)
+    assert cp.keep_quality(spark, docs, d).columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in cp.drop_near_duplicates(spark, docs, d).collect()) == ["1", "1", "2", "3", "4", "5", "None"]
+    assert sorted(str(r["doc_id"]) for r in cp.drop_contaminated(spark, docs, d).collect()) == ["1", "1", "2", "4", "5", "None"]
+    masked = {r["doc_id"]: r["text"] for r in cp.redact_pii(spark, docs, d).collect()}
+    assert masked[1] is None and masked[2] == "" and "@" not in masked[4] and masked[5] == rows[6][1]
+    packed = cp.pack(spark, docs, d).collect()
+    assert sorted(str(r["doc_id"]) for r in packed if r["start"] == 0) == sorted(str(r[0]) for r in rows)
 
 
 def test_empty_tables(spark, tmp_path):
