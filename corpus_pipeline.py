@@ -19,7 +19,8 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, taught by the labels, does not reject."""
+    """Documents that the classifier, taught by the labels, does not reject. A null or empty text has the score of an empty one, equal
+    texts equal scores; a row without doc_id is judged as any other; without labels of both kinds all rows have one score; no column clashes."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score, passed = _free(docs, "quality_score"), _free(docs, "quality_predicted")
     return quality.score_quality(docs, *model, names=(score, passed)).where(F.col(passed) == 1).select(*docs.columns)
@@ -27,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, that of least doc_id; of rows that share this doc_id, or have none, that of
-    least set of shingles and then least text. Documents without words are linked with nothing and stay."""
+    least set of shingles and then least text. Documents without words (null and empty texts) are linked with nothing and stay, repeated ones too."""
     columns = docs.columns
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id").checkpoint()
     found = jaccard.jaccard_components(docs).checkpoint()
@@ -46,18 +47,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("benchmark_items") == 0).select(*docs.columns)
+    """Documents without a passage of the benchmark; null and empty texts have none and stay, each of repeated rows is judged alike, an
+    empty benchmark keeps all."""
+    name = _free(docs, "benchmark_items")
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name=name)
+    return found.where(F.size(name) == 0).select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; a null text stays null, rows and other columns stay as they are."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence."""
+    """One row per piece of a document in a sequence; a null or empty text is one end token, repeated rows are packed as often as they
+    occur, a null doc_id stays null, other columns go."""
     pieces = packing.pack_documents(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "capacity")
 
