@@ -45,6 +45,9 @@ RUN_BYTES = 4 << 20
 WORDS = 1 << 18
 LEVEL = 3
 
+#: Marks that end words.
+MARKS = ".,;:!?"
+
 # Fixed values of the seekable format: skippable frames, the table's end, and the flag for checksums.
 DOCUMENTS_MAGIC = 0x184D2A50
 TABLE_MAGIC = 0x184D2A5E
@@ -65,41 +68,104 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def gathered(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the lists ``at`` joined, the ends of each) of lists laid end to end."""
+    size = ends[at + 1] - ends[at]
+    after = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(ends[at] - after[:-1], size) + np.arange(after[-1])], after
+
+
 class Encoder:
-    """Ids of texts, by words."""
+    """Ids of texts, by words.
+
+    A word of letters with at most one mark behind it, all below U+0300, where composing changes nothing, is what the
+    tokenizer cuts in two itself; its letters, lower-cased, are encoded many words to a text without the steps that
+    would do nothing (each one's last id ends a word, so the ids tell where words end), its mark once for all.
+    All other words are encoded whole, one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.ids, self.ends = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
-
-    def _learn(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > WORDS:
-            self._forget()
-        new = [w for w in words if w not in self.known]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.known |= {w: k for k, w in enumerate(new, len(self.known))}
-        self.ids = np.concatenate([self.ids, *(np.array(f, dtype="<u4") for f in found)]) if new else self.ids
-        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(f) for f in found], dtype=np.int64))
-        return np.array([self.known[w] for w in words], dtype=np.int64)
+        marks = self._learned(list(MARKS), self.known[1], self._one_by_one)
+        self.mark = np.zeros(256, dtype=np.int64)
+        self.mark[[ord(c) for c in MARKS]] = marks
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter((i for f in found for i in f), dtype="<u4", count=int(size.sum())), size
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.letters.encode_batch_fast([" ".join(words[k : k + 64]) for k in range(0, len(words), 64)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in found])
+        size = np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
+        return (ids, size) if len(size) == len(words) and size.sum() == len(ids) else self._one_by_one(words)
+
+    def _learned(self, words: list[str], known: dict[str, int], encode) -> np.ndarray:
+        """Places of the words' lists of ids."""
+        if new := [w for w in words if w not in known]:
+            ids, size = encode(new)
+            known |= {w: k for k, w in enumerate(new, len(self.ends) - 1)}
+            self.ids, self.ends = np.append(self.ids, ids), np.append(self.ends, self.ends[-1] + np.cumsum(size))
+        return np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(places of lists of ids, ends for each word) of different words."""
+        _, at, data = words.buffers()
+        at, data = np.frombuffer(at, dtype=np.int32)[words.offset : words.offset + len(words) + 1], np.frombuffer(data or b"", dtype=np.uint8)
+        core = pc.utf8_rtrim(words, MARKS)
+        marks = np.diff(at) - pc.binary_length(core).to_numpy()
+        far = data >= 0xCC  # the first byte of what is beyond U+02FF, or U+0130, which falls apart when it is lower-cased
+        far[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        far = np.concatenate([[0], np.cumsum(far)])
+        plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False) & (marks <= 1) & (far[at[1:]] == far[at[:-1]])
+        mask = pa.array(plain)
+        coded = pc.utf8_lower(core.filter(mask)).dictionary_encode()
+        letters = self._learned(coded.dictionary.to_pylist(), self.known[0], self._together)[coded.indices.to_numpy()]
+        other = self._learned(words.filter(pc.invert(mask)).to_pylist(), self.known[1], self._one_by_one)
+        size = np.where(plain, 1 + marks, 1)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(ends[-1], dtype=np.int64)
+        out[ends[:-1][plain]], out[ends[:-1][~plain]] = letters, other
+        marked = plain & (marks == 1)
+        out[ends[:-1][marked] + 1] = self.mark[data[at[1:][marked] - 1]]
+        return out, ends
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        if sum(map(len, self.known)) > WORDS:
+            self._forget()
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        word = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        size = self.ends[word + 1] - self.ends[word]
-        after = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.ends[word] - after[:-1], size) + np.arange(after[-1])]
-        cuts = after[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        parts, ends = self._parts(coded.dictionary)
+        part, after_word = gathered(parts, ends, coded.indices.to_numpy().astype(np.int64))
+        ids, after = gathered(self.ids, self.ends, part)
+        cuts = after[after_word[words.offsets.to_numpy() - words.offsets[0].as_py()]]
         return [np.append(ids[a:b], np.uint32(END_ID)).astype("<u4") for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One for each process, so that words that tasks have in common are encoded once."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def file_system(folder: str):
     """(file system, path) of a folder; a path without scheme is local."""
     from pyarrow import fs
@@ -180,7 +246,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     dealt = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, file, files = Encoder(path), TaskContext.get().partitionId(), None, 0
+        encode, part, file, files = encoder_of(path), TaskContext.get().partitionId(), None, 0
         for batch in batches:
             text = batch.column(1)
             sizes = np.cumsum(pc.binary_length(text).to_numpy())
