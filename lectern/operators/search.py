@@ -63,11 +63,12 @@ def vocabulary_costs(post: DataFrame, query: list[tuple[str, bool]]) -> DataFram
     return pairs.select("qpos", "word", cost.alias("c")).where("c IS NOT NULL").select("qpos", "word", "c.stems", "c.typos")
 
 
-def phrase_match(post: DataFrame, query: list[tuple[str, bool]]) -> DataFrame:
-    """(doc, start, stems, typos): the best window of each document that holds the phrase in order. Few rows pass the vocabulary join, so the rest is small."""
+def phrase_match(post: DataFrame, query: list[tuple[str, bool]], costs: DataFrame | None = None) -> DataFrame:
+    """(doc, start, stems, typos): the best window of each document that holds the phrase in order. Few rows pass the vocabulary join, so the rest is small.
+    ``costs`` are those of ``vocabulary_costs``, where they are known. Spark broadcasts them if they are small."""
     if not query:
         return post.select("doc", F.col("pos").alias("start"), F.lit(0).alias("stems"), F.lit(0).alias("typos")).limit(0)
-    hits = post.join(F.broadcast(vocabulary_costs(post, query)), "word").withColumn("start", F.col("pos") - F.col("qpos")).where("start >= 0")
+    hits = post.join(vocabulary_costs(post, query) if costs is None else costs, "word").withColumn("start", F.col("pos") - F.col("qpos")).where("start >= 0")
     windows = hits.groupBy("doc", "start").agg(F.count("*").alias("n"), F.sum("stems").alias("stems"), F.sum("typos").alias("typos")).where(F.col("n") == len(query))
     best = F.min(F.struct("stems", "typos", "start")).alias("b")
     return windows.groupBy("doc").agg(best).select("doc", F.col("b.start").alias("start"), F.col("b.stems").alias("stems"), F.col("b.typos").alias("typos"))
@@ -121,7 +122,7 @@ def _hits(post: DataFrame, terms: list[str]) -> DataFrame:
     return post.where(F.col("word").isin(terms)).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", number.alias("term")))).alias("hits"))
 
 
-def _covers(hits: Column, n: int) -> Column:
+def _covers(hits: Column, n: int | Column) -> Column:
     """Cover density of the places of a document: the sum over minimal covers (least windows with all n terms) of 1 / length; one fold over the places."""
 
     def step(s: Column, x: Column) -> Column:
@@ -152,6 +153,32 @@ def cover_density(post: DataFrame, stems: list[str]) -> DataFrame:
     return ranked.where("rank_cd > 0")
 
 
+def lexical_fill_many(lists: DataFrame, questions: DataFrame, limit: int = 50) -> DataFrame:
+    """``lexical_fill`` for a table of questions in one plan: (question, list_index, doc, all_terms, rank_cd, place).
+
+    lists: (word, doc, pos array), as an index stores them; questions: (question, list_index, terms array). Questions are the join's other side and may be
+    many; a frequent word's lists are split by Spark's skew join, and only the best ``limit`` of each task are sent on. Repeated terms count once; no terms give no rows.
+    """
+    asked = questions.select("question", "list_index", F.array_distinct(F.filter("terms", lambda t: t != "")).alias("terms"))
+    terms = asked.select("question", "list_index", F.size("terms").alias("n"), F.posexplode("terms").alias("term", "word"))
+    met = lists.join(terms, "word").select("question", "list_index", "n", "doc", F.transform("pos", lambda p: F.struct(p.alias("pos"), F.col("term"))).alias("at"))
+    hits = met.groupBy("question", "list_index", "n", "doc").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("hits"), F.count("*").alias("met"))
+    every = F.col("met") == F.col("n")
+    density = F.when(every, _covers(F.col("hits"), F.col("n"))).otherwise(F.size("hits").cast("double"))
+    best = Window.partitionBy("question", "list_index").orderBy(F.desc("all_terms"), F.desc("rank_cd"), "doc")
+    ranked = hits.select("question", "list_index", "doc", every.alias("all_terms"), density.alias("rank_cd"))
+    return ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+
+
+def fuse_many(lists: DataFrame, k: int = 60, limit: int = 40) -> DataFrame:
+    """``fuse`` for each question of (question, list_index, name, rank, id, weight): (question, id, score, ranks, place), with the id's rank in each list that has it, by name."""
+    first = lists.groupBy("question", "list_index", "id").agg(F.min("rank").alias("rank"), F.first("weight").alias("weight"), F.first("name").alias("name"))
+    ranks = F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("list_index", "name", "rank"))), lambda x: F.struct(x["name"], x["rank"])))
+    got = first.groupBy("question", "id").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 9).alias("score"), ranks.alias("ranks"), F.min(F.struct("list_index", "rank")).alias("first"))
+    best = Window.partitionBy("question").orderBy(F.desc("score"), "first", "id")
+    return got.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("question", "id", "score", "ranks", "place")
+
+
 def keep_reranked(scored: DataFrame, least: float = 2.0, most: int = 8, few: int = 2, fill: int = 3) -> DataFrame:
     """(id, score, place) → those at or above the least by (score, place), the first ``most``; if fewer than ``few``, fused order fills up to ``fill``."""
     good = F.col("score") >= least

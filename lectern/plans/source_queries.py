@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.plans.tables import table
 from lectern.plans.text_queries import values
 from lectern.sources import readers, writers
+from lectern.sources.shared import shared_folder
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -25,21 +24,9 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new place in the folder that all executors share; on one machine, as in tests, a temporary one."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="lectern-")
-    return f"{shared}/{uuid.uuid4().hex}"
-
-
 def written(lines: DataFrame, one_file: bool = False) -> str:
     """The folder of these lines (column ``value``)."""
-    folder = scratch(lines.sparkSession)
+    folder = shared_folder(lines.sparkSession)
     (lines.coalesce(1) if one_file else lines).write.text(folder)
     return folder
 
@@ -86,7 +73,7 @@ def read_checkpoint(spark, sf):
     """The log's lines are in order, and the last is cut off."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
     lines = o.orderBy("v").select(F.to_json(F.struct("k", "v")).alias("value"))
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     lines.unionByName(spark.createDataFrame([('{"k": 1, "v"',)], "value string")).coalesce(1).write.text(folder)
     return readers.checkpoint_lines(spark, folder, "k", "k long, v long")
 
@@ -99,7 +86,7 @@ def read_manifest(spark, sf):
 
 @query("SELECT n_nationkey, sha256(n_name || chr(10)) AS sha256, md5(n_name || chr(10)) AS md5 FROM nation")
 def file_digests(spark, sf):
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("value"))
     n.repartition("k").write.partitionBy("k").text(folder)
     got = readers.digests(spark, folder)
@@ -109,7 +96,7 @@ def file_digests(spark, sf):
 @query("SELECT DISTINCT n_nationkey FROM nation")
 def walk_files(spark, sf):
     """Audio files below a folder; here parts named so."""
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     n = table(spark, sf, "nation").select(F.concat(F.lit("a"), F.col("n_nationkey").cast("string"), F.lit(".mp3")).alias("k"), F.col("n_name").alias("value"))
     n.repartition("k").write.partitionBy("k").option("compression", "none").text(folder)
     every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", r"/part-[^/]*$", "").alias("path"), "length")
