@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from lectern.functions import fuzzy
 from lectern.functions.arabic import DIGITS_FROM, DIGITS_TO, FOLDED_FROM, FOLDED_TO, STRIPPED, let, light_stem, normalize_index, tokens
 from lectern.operators.ranking import numbered
+from lectern.sources.shared import shared_folder
+
+#: Rows of a run that one task reads in order, and rounds over longer ones.
+LONG_RUN = 5_000
+MOST_ROUNDS = 40
 
 _QUOTED = re.compile(r'"([^"]*)"|«([^»]*)»|“([^”]*)”')
 _FOLD = {ord(a): b for a, b in zip(FOLDED_FROM + DIGITS_FROM, FOLDED_TO + DIGITS_TO, strict=True)} | {ord(c): None for c in STRIPPED}
@@ -212,14 +217,14 @@ def merge_windows(seeds: DataFrame) -> DataFrame:
     return rows.select("transcript", F.inline(F.aggregate("s", F.array().cast("array<struct<priority:int,a:int,b:int>>"), step)))
 
 
-def spend_budget(windows: DataFrame, budget: int = 3600) -> DataFrame:
-    """Windows in priority order that fit what is left of the budget; one that does not fit is skipped. A run is read in order and never held whole."""
+def _spend_in_order(rows: DataFrame) -> DataFrame:
+    """(run, id) of (run, priority, id, words, budget) that fit; each run is read in order by one task and never held whole."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, spent = object(), 0
         for batch in batches:
             take = []
-            for run, words in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for run, words, budget in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if run != now:
                     now, spent = run, 0
                 fits = words is not None and spent + words <= budget
@@ -227,5 +232,48 @@ def spend_budget(windows: DataFrame, budget: int = 3600) -> DataFrame:
                 take.append(fits)
             yield batch.select(["run", "id"]).filter(pa.array(take, pa.bool_()))
 
-    rows = windows.select("run", "priority", F.col("id").cast("long").alias("id"), "words").repartition("run").sortWithinPartitions("run", "priority", "id", "words")
-    return rows.mapInArrow(fold, rows.select("run", "id").schema)
+    dealt = rows.repartition("run").sortWithinPartitions("run", "priority", "id", "words")
+    return dealt.mapInArrow(fold, dealt.select("run", "id").schema)
+
+
+def _spend_in_rounds(rows: DataFrame) -> DataFrame:
+    """The same for long runs, by all tasks. In a round everything up to the first row that does not fit is taken, found by sums over sorted parts; that row and all
+    that are larger than what is left go for good. A run that is not through after ``MOST_ROUNDS`` goes on in order with the few rows left."""
+    order = ["run", "priority", "id", "words"]
+    sorted_ = rows.where("words <= budget").repartitionByRange(*order).sortWithinPartitions(*order)
+    open_ = sorted_.select("run", "priority", "id", "words", "budget", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")).checkpoint()
+    taken: list[DataFrame] = []
+    for _ in range(MOST_ROUNDS):
+        sums = open_.groupBy("run", "part").agg(F.sum("words").alias("sum"))
+        before = F.coalesce(F.sum("sum").over(Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = open_.join(sums.withColumn("before", before).select("run", "part", "before"), ["run", "part"])
+        spent = F.col("before") + F.sum("words").over(Window.partitionBy("run", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+        summed = placed.withColumn("spent", spent).checkpoint()
+        over = summed.where("spent > budget").groupBy("run").agg(F.min("seq").alias("first"))
+        fits = summed.join(over, "run", "left")
+        good = F.col("first").isNull() | (F.col("seq") < F.col("first"))
+        took = fits.where(good).select("run", "id", "spent").checkpoint()
+        taken.append(took.select("run", "id"))
+        if not over.head(1):
+            break
+        used = took.groupBy("run").agg(F.max("spent").alias("used"))
+        left = fits.where(F.col("seq") > F.col("first")).join(used, "run", "left").withColumn("budget", F.col("budget") - F.coalesce("used", F.lit(0)))
+        open_ = left.where("words <= budget").select("run", "priority", "id", "words", "budget", "part", "seq").checkpoint()
+    else:
+        taken.append(_spend_in_order(open_.select("run", "priority", "id", "words", "budget")))
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def spend_budget(windows: DataFrame, budget: int = 3600, long: int = LONG_RUN) -> DataFrame:
+    """(run, id) of the windows (run, priority, id, words of 0 or more) that fit what is left of their run's budget, in order of priority; one that does not fit is skipped.
+    A run of up to ``long`` rows is read by one task, a longer one is spent in rounds over all tasks."""
+    rows = windows.select("run", "priority", F.col("id").cast("long").alias("id"), F.col("words").cast("long").alias("words"), F.lit(budget).cast("long").alias("budget"))
+    shared_folder(windows.sparkSession)  # for checkpoints
+    sizes = rows.where("run IS NOT NULL").groupBy("run").count().where(F.col("count") > long).select(F.col("run").alias("_r")).checkpoint()
+    if not sizes.head(1):
+        return _spend_in_order(rows)
+    short, wide = rows.join(sizes, F.col("run") == F.col("_r"), "left_anti"), rows.join(sizes, F.col("run") == F.col("_r"), "left_semi")
+    return _spend_in_order(short).unionByName(_spend_in_rounds(wide))

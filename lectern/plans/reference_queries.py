@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.functions import arabic, references, text, vectors
+from lectern.functions import alignment, arabic, references, text, vectors
 from lectern.operators import search
 from lectern.plans.tables import TOKENS, WORDS, table, words
 from lectern.plans.text_queries import filled, literals, values
@@ -53,21 +53,43 @@ def chapter_index(spark, sf):
     return table(spark, sf, "part").where(references.chapter_filter(F.col("p_name"), (size, size + 9), (size - 5, size + 30), "a", None, 10, 25)).select("p_partkey")
 
 
-_QUOTES = [("sat on the mat", "the cat sat on the mat today", 2, 5), ("sat on the mxt", "the cat sat on the mat today", 2, 5), ("entirely different words", "the cat sat on the mat today", None, None), ("", "abc", None, None)]
+_PLACES = "len(left({0}, {1})) - len(replace(left({0}, {1}), ' ', ''))"
 
 
-@query(values(_QUOTES, "quote, source, first_word, last_word"))
+@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), q AS (SELECT doc_id, array_to_string(w[6:12], ' ') AS quote, array_to_string(w[:60], ' ') AS source FROM w WHERE len(w) >= 12)
+ SELECT doc_id, 'inside' AS kind, {_PLACES.format('source', 'instr(source, quote) - 1')} AS first_word, {_PLACES.format('source', 'instr(source, quote) - 1 + length(quote)')} AS last_word FROM q
+ UNION ALL SELECT doc_id, 'longer', 0, 3 FROM q UNION ALL SELECT doc_id, 'absent', NULL, NULL FROM q""")
 def quote_spans(spark, sf):
-    df = literals(spark, [r[:2] for r in _QUOTES], "quote string, source string").withColumn("s", references.find_span("quote", "source"))
-    return df.select("quote", "source", "s.first_word", "s.last_word")
+    """Seven words of each document in its first sixty, a quote that goes beyond its passage on both sides, and one that is not there."""
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    d = table(spark, sf, "documents").select("doc_id", w.alias("w")).where("size(w) >= 12")
+    line = lambda first, n: F.array_join(F.slice("w", first, n), " ")
+    case = lambda kind, quote, source: F.struct(F.lit(kind).alias("kind"), quote.alias("quote"), source.alias("source"))
+    cases = F.array(case("inside", line(6, 7), line(1, 60)), case("longer", line(4, 9), line(6, 4)), case("absent", F.lit("0" * 40), line(1, 60)))
+    found = d.select("doc_id", F.inline(cases)).withColumn("s", references.find_span("quote", "source"))
+    return found.select("doc_id", "kind", "s.first_word", "s.last_word")
 
 
-@query(values([(1, None, 0, 2), (1, 7, 2, 6), (1, None, 6, 8), (2, None, 0, 3)], "doc, verse, first_word, end_word"))
+_SPOKEN, _VERSES = ("qulhu", "wallahu", "ahadun"), [(7, ["qulhu", "wallahu", "ahadun", "samad"]), (8, ["never", "spokenwords", "hereabouts"])]
+
+
+@query("""WITH n AS (SELECT doc_id, least(3, n) AS a, greatest(least(3, n - 3), 0) AS b FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents))
+ SELECT doc_id, 8 AS verse, NULL AS first_word, NULL AS end_word FROM n UNION ALL SELECT doc_id, NULL, 0, a FROM n WHERE a > 0 UNION ALL SELECT doc_id, 7, a, a + 3 FROM n UNION ALL SELECT doc_id, NULL, a + 3, a + 3 + b FROM n WHERE b > 0""")
 def anchor_blocks(spark, sf):
-    docs = literals(spark, [(1, "well said in the name of god today friends".split()[:8]), (2, "nothing to find".split())], "doc int, toks array<string>")
-    docs = docs.withColumn("toks", F.when(F.col("doc") == 1, F.array(*(F.lit(w) for w in "x y in the name of z w".split()))).otherwise(F.col("toks")))
-    a = references.verse_anchors([(7, "in the name of god".split())])
-    return docs.select("doc", F.inline(references.verse_blocks(a("toks"), F.size("toks"))))
+    """A verse spoken, but for its last word, between the first words of each document; another verse is pinned, which nobody speaks."""
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.slice(w, 1, 3), F.array(*(F.lit(s) for s in _SPOKEN)), F.slice(w, 4, 3)).alias("toks"))
+    found = alignment.verse_anchors(d, literals(spark, _VERSES, "verse int, tokens array<string>"), "doc_id", "toks")
+    return found.select("doc_id", F.inline(references.verse_blocks(F.col("anchors"), F.size("toks"), F.lit(8))))
+
+
+@query()
+def benchmark_anchors(spark, sf):
+    """The benchmark's items as verses: where documents speak their first forty words."""
+    tokens = lambda n: F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""), 1, n).alias("toks")
+    verses = table(spark, sf, "benchmark").select(F.col("item_id").alias("verse"), tokens(40)).withColumnRenamed("toks", "tokens")
+    docs = table(spark, sf, "documents").select("doc_id", tokens(1 << 30))
+    return alignment.verse_anchors(docs, verses, "doc_id", "toks").select("doc_id", F.inline("anchors"))
 
 
 @query(f"""WITH {WORDS}, sp AS (SELECT transcript, string_agg(text, ' ' ORDER BY idx) AS text, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM words GROUP BY transcript, idx // 20)

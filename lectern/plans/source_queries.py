@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.ranking import numbered
 from lectern.plans.tables import table
 from lectern.plans.text_queries import values
 from lectern.sources import readers, writers
@@ -70,18 +71,20 @@ def read_golden(spark, sf):
 
 @query("SELECT c AS k, max(o) AS v FROM (SELECT o_custkey AS c, o_orderkey AS o FROM orders) GROUP BY 1")
 def read_checkpoint(spark, sf):
-    """The log's lines are in order, and the last is cut off."""
+    """The log's lines are in order over several files, and the last of the last one is cut off."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
     lines = o.orderBy("v").select(F.to_json(F.struct("k", "v")).alias("value"))
-    folder = shared_folder(spark)
-    lines.unionByName(spark.createDataFrame([('{"k": 1, "v"',)], "value string")).coalesce(1).write.text(folder)
+    folder = written(lines.unionByName(spark.createDataFrame([('{"k": 1, "v"',)], "value string")))
     return readers.checkpoint_lines(spark, folder, "k", "k long, v long")
 
 
-@query("SELECT DISTINCT o_orderpriority AS entry FROM orders")
+@query("SELECT entry, row_number() OVER (ORDER BY first) AS place FROM (SELECT 'c' || o_custkey AS entry, min(o_orderkey) AS first FROM orders GROUP BY 1)")
 def read_manifest(spark, sf):
-    o = table(spark, sf, "orders")
-    return readers.manifest(spark, written(o.select(_lines(F.concat(F.lit("  "), "o_orderpriority"), "", F.col("o_orderpriority"))))).select("entry")
+    """Entries in the order of their first lines, over several files."""
+    o = table(spark, sf, "orders").orderBy("o_orderkey")
+    entry = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    found = readers.manifest(spark, written(o.select(_lines(F.concat(F.lit("  "), entry), "", entry))))
+    return numbered(found, ["line"], "place", "total").select("entry", "place")
 
 
 @query("SELECT n_nationkey, sha256(n_name || chr(10)) AS sha256, md5(n_name || chr(10)) AS md5 FROM nation")

@@ -43,13 +43,22 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
     return g.join(seen, "id").withColumn("id", F.when(good & (F.col("n") == 1), F.col("id")).otherwise(_fail("bad golden item", "string"))).drop("n")
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line) of text files. ``line`` orders all lines: by the file's path, then by the place of the block in it, then as the block is read, whatever blocks a task gets."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select("value", "file", F.struct("file", "block", "row").alias("line"))
+
+
 def checkpoint_lines(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """JSON lines, the last of each key wins; only the file's last line may be corrupt."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    last = lines.agg(F.max("line").alias("last"))
-    rows = lines.crossJoin(F.broadcast(last)).select("line", "last", F.from_json("value", schema).alias("r")).where(F.col(f"r.{key}").isNotNull() | (F.col("line") < F.col("last")))
-    checked = rows.withColumn("r", F.when(F.col(f"r.{key}").isNotNull(), F.col("r")).otherwise(F.raise_error(F.lit("corrupt line")).cast(rows.schema["r"].dataType)))
-    return checked.groupBy(F.col(f"r.{key}").alias(key)).agg(F.max_by("r", "line").alias("r")).select("r.*")
+    """JSON lines of one or more files, which follow each other by path; the last of each key wins. Blank lines go. Only a file's last line may be corrupt, where its writer was stopped."""
+    lines = ordered_lines(spark, path)
+    last = lines.groupBy("file").agg(F.max("line").alias("last"))
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.where(F.trim("value") != "").join(last, "file").select("line", "last", parsed.alias("r"))
+    good = F.col("r._corrupt").isNull() & F.col(f"r.{key}").isNotNull()
+    rows = rows.where(good | (F.col("line") < F.col("last")))
+    checked = rows.select("line", F.when(good, F.col("r")).otherwise(F.raise_error(F.lit("corrupt line")).cast(rows.schema["r"].dataType)).alias("r"))
+    return checked.groupBy(F.col(f"r.{key}").alias(key)).agg(F.max_by("r", "line").alias("r")).select("r.*").drop("_corrupt")
 
 
 def only_audio(files: DataFrame) -> DataFrame:
@@ -77,6 +86,6 @@ def sidecars(files: DataFrame, extension: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed non-empty lines, once each, at their first place."""
-    lines = spark.read.text(path).select(F.trim("value").alias("entry"), F.monotonically_increasing_id().alias("line")).where("entry <> ''")
+    """(entry, line): trimmed non-empty lines, once each, at their first place, in order; files follow each other by path."""
+    lines = ordered_lines(spark, path).select(F.trim("value").alias("entry"), "line").where("entry <> ''")
     return lines.groupBy("entry").agg(F.min("line").alias("line")).orderBy("line")
