@@ -9,7 +9,8 @@ from lectern.operators import aggregates
 from lectern.plans.tables import WORDS, ms, table, words
 from lectern.plans.text_queries import literals, values
 from lectern.sources import writers
-from lectern.streaming import stateful
+from lectern.sources.shared import shared_folder
+from lectern.streaming import lapsing, stateful
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -232,6 +233,31 @@ def rate_limit_window(spark, sf):
     return stateful.rate_limit(e, "user_id", 2, 86_400_000)
 
 
+@query(SQL["rate_limit_window"])
+def rate_limit_stream(spark, sf):
+    """The same from a stream of the events' files, whose state lapses with the window."""
+    e = table(spark, sf, "events")
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parque[t]")
+    requests = stream.select("user_id", ms().alias("at"), F.col("event_id").alias("id"))
+    return lapsing.collected(lapsing.rate_limit_stream(requests, "user_id", 2, 86_400_000), shared_folder(spark))
+
+
+_RUNS = """runs AS (SELECT user_id % 50 AS segment, event_type AS stage, epoch_us(ts) // 1000 AS t, event_id AS id, ['running', 'completed', 'failed', 'skipped'][CAST(floor(abs(value)) AS BIGINT) % 4 + 1] AS status FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_RUNS}, e AS (SELECT *, row_number() OVER (PARTITION BY segment, stage ORDER BY id) AS k FROM runs),
+ f AS (SELECT segment, stage, 0::BIGINT AS k, NULL::BIGINT AS id, '' AS verdict, false AS busy, NULL::BIGINT AS seen FROM (SELECT DISTINCT segment, stage FROM e)
+ UNION ALL SELECT segment, stage, k, id, verdict, CASE WHEN verdict = 'accepted' THEN status = 'running' ELSE busy END, CASE WHEN verdict = 'accepted' THEN t ELSE seen END
+ FROM (SELECT e.segment, e.stage, e.k, e.id, e.status, e.t, f.busy, f.seen, CASE WHEN e.t < f.seen THEN 'late' WHEN (f.busy AND e.status IN ('completed', 'failed', 'skipped')) OR (NOT f.busy AND e.status IN ('running', 'failed')) THEN 'accepted' ELSE 'illegal' END AS verdict
+ FROM f JOIN e ON e.segment = f.segment AND e.stage = f.stage AND e.k = f.k + 1))
+ SELECT segment, stage, id, verdict FROM f WHERE k > 0""")
+def run_log(spark, sf):
+    """Events as the rows of runs, in order of arrival by their ids."""
+    status = F.element_at(F.array(*(F.lit(s) for s in ("running", "completed", "failed", "skipped"))), (F.floor(F.abs("value")) % 4 + 1).cast("int"))
+    rows = table(spark, sf, "events").select((F.col("user_id") % 50).alias("segment"), F.col("event_type").alias("stage"), ms().alias("at"), F.col("event_id").alias("id"), status.alias("status"), F.col("event_id").alias("seq"))
+    return lapsing.run_log(rows)
+
+
 @query("SELECT user_id, max_by(event_type, struct_pack(t := ts, e := event_id)) AS event_type, count(*) AS n FROM events GROUP BY 1")
 def pipeline_log(spark, sf):
     return stateful.latest_status(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
