@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import arabic
-from lectern.operators import corpus, search, smart
+from lectern.operators import corpus, corrections, search, smart
 from lectern.plans.tables import TOKENS, WORDS, table, words
 from lectern.plans.text_queries import filled, literals, values
+from lectern.sources.shared import shared_folder
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -78,6 +79,21 @@ def correction_transcript(spark, sf):
     return corpus.apply_correction(w, chunks, 3, 2, 4, ["new", "text"])["transcript"].select("transcript", F.md5("raw_text").alias("text_md5"), "word_count")
 
 
+@query(f"""WITH {WORDS}, l AS (SELECT transcript, list(text ORDER BY idx) AS w FROM words GROUP BY 1 HAVING count(*) >= 10),
+ a AS (SELECT transcript, w[:2] || ['new', 'longer', 'text'] || w[5:] AS w FROM l), b AS (SELECT transcript, w[:6] || ['one'] || w[9:] AS w FROM a), c AS (SELECT transcript, ['first'] || w[2:] AS w FROM b)
+ SELECT transcript, md5(array_to_string(w, ' ')) AS text_md5, len(w) AS word_count, 3::BIGINT AS version FROM c""")
+def correction_log(spark, sf):
+    """Three edits of every transcript of ten words and more, each counting words as the one before left them, and one that is refused."""
+    w = words(spark, sf)
+    chunks = w.groupBy("transcript", F.floor(F.col("idx") / 10).alias("idx")).agg(F.min("start_ms").alias("start_ms"), (F.max("end_ms") + 1).alias("end_ms"))
+    some = w.groupBy("transcript").count().where(F.col("count") >= 10)
+    edit = lambda seq, a, b, new: F.struct(F.lit(seq).alias("seq"), F.lit(a).alias("word_start"), F.lit(b).alias("word_end"), F.lit(new).alias("suggested_text"))
+    log = some.select("transcript", F.inline(F.array(edit(1, 2, 3, "new longer text"), edit(2, 6, 7, "one"), edit(3, 0, 0, "first"), edit(4, 3, 1, "refused"))))
+    log = log.select((F.col("transcript") * 4 + F.col("seq")).alias("correction"), "seq", F.lit("pending").alias("status"), "transcript", F.lit(0).alias("chunk"), "word_start", "word_end", "suggested_text")
+    shared_folder(spark)  # for checkpoints
+    return corrections.replay_corrections(w, chunks, log)["transcripts"].select("transcript", F.md5("raw_text").alias("text_md5"), "word_count", "version")
+
+
 @query("SELECT p_brand || p_size AS sha256, p_partkey, min(s) AS segment, CASE WHEN min(s) IS NULL THEN 'new' ELSE 'known' END AS status FROM part LEFT JOIN (SELECT p_brand || p_size AS h, p_partkey AS s FROM part WHERE p_partkey % 3 = 0) a ON a.h = p_brand || p_size GROUP BY 1, 2")
 def ingest_dedup(spark, sf):
     p = table(spark, sf, "part").withColumn("sha256", F.concat("p_brand", F.col("p_size").cast("string")))
