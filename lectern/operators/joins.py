@@ -63,13 +63,47 @@ def nearest_word(points: DataFrame, words: DataFrame, key: str, at: str) -> Data
     return both.withColumn("nearest_idx", pick).drop("before", "found")
 
 
+def points_in_spans(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str, width: int | None = None) -> DataFrame:
+    """Pairs of a point and a span (columns of their own names, but for the key) of its key that holds it, low <= at < high.
+
+    A span lies in every bucket of ``width`` that it touches, a point in one, and they meet on (key, bucket). The width is the mean length of a span if none
+    is given: then spans take three places each at most on average, and a point meets those near it only, not all of its key. Empty spans hold nothing.
+    """
+    real = spans.where(F.col(low) < F.col(high))
+    if width is None:
+        mean = real.agg(F.avg(F.col(high) - F.col(low))).first()[0]
+        width = max(1, int(mean or 1))
+    spread = real.withColumnRenamed(key, "_k").withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
+    placed = points.withColumn("_a", F.floor(F.col(at) / width))
+    met = placed.join(spread, (placed[key] == spread["_k"]) & (F.col("_a") == F.col("_b")) & (placed[at] >= spread[low]) & (placed[at] < spread[high]))
+    return met.drop("_k", "_a", "_b")
+
+
 def nearest_chunk(points: DataFrame, chunks: DataFrame, key: str, at: str) -> DataFrame:
     """Each point (a word's index) with the chunk (pos, word_start, word_end) of its key that holds it, the first by pos of several, else the nearest by index; a tie goes to the
-    first by pos. Chunks with a null range hold nothing. Chunks of a key are few, so a point meets those of its key only and keeps one in each task."""
-    real = chunks.where("word_start IS NOT NULL AND word_end IS NOT NULL").select(F.col(key).alias("_k"), "pos", "word_start", "word_end")
-    gap = F.greatest(F.col("word_start") - F.col(at), F.col(at) - F.col("word_end"), F.lit(0))
-    met = points.join(real, points[key] == F.col("_k"), "left")
-    return met.groupBy(*(points[c] for c in points.columns)).agg(F.min_by("pos", F.struct(gap, F.col("pos"))).alias("chunk"))
+    first by pos. Chunks with a null range hold nothing. A point that no chunk holds lies past or before each of them, so the nearest are the last that ends before it and the first that starts
+    behind it: one sort for each, as in the other as-of joins."""
+    real = chunks.where("word_start IS NOT NULL AND word_end IS NOT NULL").select(F.col(key), F.col("pos").cast("long").alias("pos"), "word_start", "word_end")
+    bounds = real.select(key, F.col("pos").alias("_p"), F.col("word_start").alias("_s"), (F.col("word_end") + 1).alias("_e"))
+    inside = points_in_spans(points.select(key, at).distinct(), bounds, key, at, "_s", "_e").groupBy(key, at).agg(F.min("_p").alias("_in"))
+    before = asof(points, real, key, at, "word_end", F.struct("word_end", (-F.col("pos")).alias("p"))).withColumnRenamed("found", "_before")
+    both = next_of(before, real, key, at, "word_start", F.struct("word_start", "pos"))
+    back = F.struct((F.col(at) - F.col("_before.word_end")).alias("gap"), (-F.col("_before.p")).alias("pos"))
+    ahead = F.struct((F.col("found.word_start") - F.col(at)).alias("gap"), F.col("found.pos").alias("pos"))
+    near = F.least(F.when(F.col("_before").isNotNull(), back), F.when(F.col("found").isNotNull(), ahead))["pos"]
+    held = both.withColumn("_near", near).alias("b").join(inside.alias("i"), (F.col(f"b.{key}") == F.col(f"i.{key}")) & (F.col(f"b.{at}") == F.col(f"i.{at}")), "left")
+    return held.select(*(F.col(f"b.{c}") for c in points.columns), F.coalesce("_in", "_near").alias("chunk"))
+
+
+def nearest_mark(points: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, within: int) -> DataFrame:
+    """Each point with ``snapped``: the nearest mark of its key at most ``within`` away, the earlier of two as near, else its own time."""
+    both = next_of(asof(points, marks, key, at, mark_at, F.col(mark_at)).withColumnRenamed("found", "_before"), marks, key, at, mark_at, F.col(mark_at))
+    side = lambda m: F.when(F.abs(m - F.col(at)) <= within, F.struct(F.abs(m - F.col(at)).alias("gap"), m.alias("mark")))
+    return both.withColumn("snapped", F.coalesce(F.least(side(F.col("_before")), side(F.col("found")))["mark"], F.col(at))).drop("_before", "found")
+
+
+#: Markers of a division at most.
+MOST_MARKERS = 10_000
 
 
 def division_of(verses: DataFrame, markers: DataFrame) -> DataFrame:
@@ -77,12 +111,14 @@ def division_of(verses: DataFrame, markers: DataFrame) -> DataFrame:
 
     Markers are a few hundred rows: they are an ordered literal array, checked on the driver.
     """
-    rows = [(r["surah"], r["ayah"]) for r in markers.orderBy("number").collect()]
+    rows = [(r["surah"], r["ayah"]) for r in markers.orderBy("number").limit(MOST_MARKERS + 1).collect()]
+    if len(rows) > MOST_MARKERS:
+        raise ValueError("too many markers")
     if rows != sorted(set(rows)):
         raise ValueError("markers are not in order")
-    before = F.lit(0)
-    for s, a in rows:
-        before = before + ((F.col("surah") > s) | ((F.col("surah") == s) & (F.col("ayah") >= a))).cast("int")
+    starts = F.array(*(F.struct(F.lit(s).alias("surah"), F.lit(a).alias("ayah")) for s, a in rows))
+    verse = F.struct(F.col("surah").cast("int").alias("surah"), F.col("ayah").cast("int").alias("ayah"))
+    before = F.size(F.filter(starts, lambda m: m <= verse)) if rows else F.lit(0)
     return verses.withColumn("division", F.when(before > 0, before).otherwise(F.raise_error(F.lit("verse before the first marker")).cast("int")))
 
 

@@ -74,7 +74,7 @@ def _chunks(w):
 def event_in_span(spark, sf):
     w = words(spark, sf)
     c = _chunks(w)
-    hit = w.join(c, (w["transcript"] == c["transcript"]) & (F.col("start_ms") >= F.col("s")) & (F.col("start_ms") < F.col("e"))).drop(c["transcript"])
+    hit = joins.points_in_spans(w.select("transcript", "idx", "start_ms"), c, "transcript", "start_ms", "s", "e")
     return hit.groupBy("transcript", "chunk").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("n"))
 
 
@@ -129,15 +129,13 @@ def nearest_event(spark, sf):
     return joins.nearest_word(p, words(spark, sf).drop("event_id"), "transcript", "at").select("probe", "nearest_idx")
 
 
-_SILENCE = [(1, 1000, None), (2, 60000, 55000), (3, 200000, None), (4, 90000, 91000)]
-
-
-@query(values([(1, 1000), (2, 55000), (3, 200000), (4, 91000)], "cut, snapped"))
+@query(f"""WITH {WORDS}, cuts AS (SELECT DISTINCT transcript, start_ms // 86400000 * 86400000 AS ideal FROM words), m AS (SELECT c.transcript, ideal, min(struct_pack(g := abs(ideal - start_ms), m := start_ms)).m AS mid FROM cuts c JOIN words w ON w.transcript = c.transcript AND abs(ideal - start_ms) <= 7200000 GROUP BY 1, 2)
+ SELECT c.transcript, c.ideal, coalesce(mid, c.ideal) AS snapped FROM cuts c LEFT JOIN m ON m.transcript = c.transcript AND m.ideal = c.ideal""")
 def nearest_silence(spark, sf):
-    cuts = literals(spark, [(i, t) for i, t, _ in _SILENCE], "cut int, ideal long")
-    quiet = literals(spark, [(55000,), (91000,), (150000,)], "mid long")
-    near = cuts.join(F.broadcast(quiet), F.abs(F.col("ideal") - F.col("mid")) <= 30000, "left").groupBy("cut", "ideal").agg(F.min_by("mid", F.struct(F.abs(F.col("ideal") - F.col("mid")), "mid")).alias("m"))
-    return near.select("cut", F.coalesce("m", "ideal").alias("snapped"))
+    """Cuts at the starts of days, moved to the nearest event within two hours."""
+    w = words(spark, sf)
+    cuts = w.select("transcript", (F.floor(F.col("start_ms") / 86_400_000) * 86_400_000).alias("ideal")).distinct()
+    return joins.nearest_mark(cuts, w.select("transcript", "start_ms"), "transcript", "ideal", "start_ms", 7_200_000)
 
 
 @query("SELECT n_nationkey FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)")

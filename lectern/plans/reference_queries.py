@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import alignment, arabic, references, text, vectors
-from lectern.operators import search
+from lectern.operators import joins, search
 from lectern.plans.tables import TOKENS, WORDS, table, words
 from lectern.plans.text_queries import filled, literals, values
 
@@ -170,7 +170,7 @@ def point_in_chunk(spark, sf):
     """The first chunk that holds the start of each chunk."""
     ch = words(spark, sf).groupBy("transcript", F.floor(F.col("idx") / 10).alias("ord")).agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
     p = ch.select("transcript", F.col("ord").alias("want"), F.col("s").alias("at_ms"))
-    hit = p.join(ch.select(F.col("transcript").alias("t"), "ord", "s", "e"), (F.col("transcript") == F.col("t")) & (F.col("s") <= F.col("at_ms")) & (F.col("e") > F.col("at_ms")))
+    hit = joins.points_in_spans(p, ch, "transcript", "at_ms", "s", "e")
     return hit.groupBy("transcript", "want", "at_ms").agg(F.min("ord").alias("ord"))
 
 
