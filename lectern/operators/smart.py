@@ -62,16 +62,33 @@ def naive(question: str) -> Plan:
     return Plan(question, [], distinct_texts([w for w, _ in search.parse_query(question)], KEYWORDS))
 
 
-def anchored(passages: DataFrame, refs: list[tuple[int, int]], limit: int = 30) -> DataFrame:
-    """Passages whose verses cover a reference, in the order of the references, then of the passages."""
-    r = passages.sparkSession.createDataFrame([(i, s, a) for i, (s, a) in enumerate(refs)], "i int, rs int, ra int")
-    hit = passages.join(F.broadcast(r), (F.col("surah") == F.col("rs")) & F.col("ra").between(F.col("ayah_start"), F.col("ayah_end"))).groupBy("id").agg(F.min("i").alias("i"))
-    order = Window.orderBy("i", "id")
-    return hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("id", "rank")
-
-
-def retrieve(passages: DataFrame, plan: Plan, semantic: DataFrame | None = None) -> DataFrame:
-    """Fused candidates of (id, text[, surah, ayah_start, ayah_end]); without the semantic list, lexical ones only."""
+def anchored(passages: DataFrame, refs: list[tuple[int, int]], limit: int = 30, nearness: DataFrame | None = None) -> DataFrame:
+    """(id, rank) of the passages whose verses cover a reference. In the order of the corpus, by (segment, ordinal) where passages have them; or, with ``nearness`` (id, distance) of those that
+    have a vector of the question's model, the nearest first, and only those."""
+    r = passages.sparkSession.createDataFrame(refs, "rs int, ra int").distinct()
+    hit = passages.join(r, (F.col("surah") == F.col("rs")) & F.col("ra").between(F.col("ayah_start"), F.col("ayah_end"))).drop("rs", "ra").dropDuplicates(["id"])
+    if nearness is not None:
+        order = ["distance", "id"]
+        hit = hit.join(nearness.select("id", "distance"), "id")
+    else:
+        order = [*(c for c in ("segment", "ordinal") if c in passages.columns), "id"]
+    best = hit.orderBy(*order).limit(limit)  # the window sees what the limit leaves
+    return best.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+
+
+def filtered(passages: DataFrame, surah: int | None = None, source: int | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """Passages of a chapter, and of a source: their own ``source``, or that of their segment in ``segments`` (segment, source)."""
+    out = passages if surah is None else passages.where(F.col("surah") == surah)
+    if source is None:
+        return out
+    if segments is None:
+        return out.where(F.col("source") == source)
+    return out.join(segments.where(F.col("source") == source).select("segment"), "segment", "left_semi")
+
+
+def retrieve(passages: DataFrame, plan: Plan, semantic: DataFrame | list[DataFrame] | None = None) -> DataFrame:
+    """Fused candidates of (id, text[, surah, ayah_start, ayah_end]). ``semantic`` is the list (id, rank) of the question's vector, or such lists of the question, its rewrites and its keywords; without any,
+    lexical lists only."""
     if plan.surah is not None:
         passages = passages.where(F.col("surah") == plan.surah)
     post = search.postings(passages, "id", stem_text(normalize_index(F.col("text"))))
@@ -82,8 +99,8 @@ def retrieve(passages: DataFrame, plan: Plan, semantic: DataFrame | None = None)
     for k in range(len(asked)):
         if stems := stems_of[k]:
             lists.append(search.lexical_fill(post, stems).select(F.lit(k).alias("list_index"), F.col("doc").alias("id"), F.col("place").alias("rank"), F.lit(2.0 if k == 0 else 1.0).alias("weight")))
-    if semantic is not None:
-        lists.append(semantic.select(F.lit(90).alias("list_index"), "id", "rank", F.lit(2.0).alias("weight")))
+    for k, near in enumerate([semantic] if isinstance(semantic, DataFrame) else semantic or []):
+        lists.append(near.select(F.lit(50 + k).alias("list_index"), "id", "rank", F.lit(2.0 if k == 0 else 1.0).alias("weight")))
     if plan.refs and "ayah_start" in passages.columns:
         lists.append(anchored(passages, plan.refs).select(F.lit(91).alias("list_index"), "id", "rank", F.lit(1.0).alias("weight")))
     if not lists:
@@ -103,10 +120,10 @@ def rerank(candidates: DataFrame, scores: DataFrame | None) -> DataFrame:
     return search.keep_reranked(joined.select("id", F.coalesce(F.least(F.greatest("score", F.lit(0.0)), F.lit(3.0)), F.lit(0.0)).alias("score"), "place"))
 
 
-def trim_windows(chunks: DataFrame, limit: int = PASSAGE_WORDS) -> DataFrame:
+def trim_windows(chunks: DataFrame, limit: int = PASSAGE_WORDS, key: tuple[str, ...] = ("window",)) -> DataFrame:
     """(window, idx, words, seed_a, seed_b) → the chunks that stay: left of the seed as long as what follows is over the limit they go, then from the right; the seed stays."""
-    onward = Window.partitionBy("window").orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
-    upto = Window.partitionBy("window").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy(*key).orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
+    upto = Window.partitionBy(*key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     suffix = F.sum("words").over(onward)
     from_seed = F.sum(F.when(F.col("idx") >= F.col("seed_a"), F.col("words")).otherwise(0)).over(upto)
     left, right = F.col("idx") < F.col("seed_a"), F.col("idx") > F.col("seed_b")
@@ -115,14 +132,17 @@ def trim_windows(chunks: DataFrame, limit: int = PASSAGE_WORDS) -> DataFrame:
 
 
 def context(windows: DataFrame, chunks: DataFrame, limit: int = PASSAGE_WORDS, budget: int = CONTEXT_WORDS) -> DataFrame:
-    """Numbered passages p1.. by (segment, start) from windows (window, priority, transcript, segment, a, b, seed_a, seed_b) of chunks (transcript, idx, text, words, start_ms, end_ms)."""
+    """Numbered passages p1.. by (segment, start) from windows (window, priority, transcript, segment, a, b, seed_a, seed_b[, question]) of chunks (transcript, idx, text, words,
+    start_ms, end_ms). Many questions at once have a budget and numbers of their own each; without that column all windows are of one question."""
+    asked = windows if "question" in windows.columns else windows.withColumn("question", F.lit(1))
     c = chunks.select(F.col("transcript").alias("_t"), "idx", "text", "words", "start_ms", "end_ms")
-    rows = trim_windows(windows.join(c, (F.col("transcript") == F.col("_t")) & F.col("idx").between(F.col("a"), F.col("b"))).drop("_t"), limit)
+    rows = trim_windows(asked.join(c, (F.col("transcript") == F.col("_t")) & F.col("idx").between(F.col("a"), F.col("b"))).drop("_t"), limit, ("question", "window"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ")
-    whole = rows.groupBy("window", "priority", "segment").agg(F.sum("words").alias("words"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), text.alias("text"))
-    fits = search.spend_budget(whole.select(F.lit(1).alias("run"), "priority", F.col("window").cast("long").alias("id"), "words"), budget).select(F.col("id").alias("window"))
-    order = Window.orderBy("segment", "start_ms", "window")
-    return whole.join(fits, "window", "left_semi").withColumn("passage", F.concat(F.lit("p"), F.row_number().over(order).cast("string")))
+    whole = rows.groupBy("question", "window", "priority", "segment", "transcript").agg(F.sum("words").alias("words"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), text.alias("text"))
+    fits = search.spend_budget(whole.select(F.col("question").alias("run"), "priority", F.col("window").cast("long").alias("id"), "words"), budget).select(F.col("run").alias("question"), F.col("id").alias("window"))
+    order = Window.partitionBy("question").orderBy("segment", "start_ms", "window")
+    numbered = whole.join(fits, ["question", "window"], "left_semi").withColumn("passage", F.concat(F.lit("p"), F.row_number().over(order).cast("string")))
+    return numbered if "question" in windows.columns else numbered.drop("question")
 
 
 def status_after(drafted: Column, kept: Column, status: Column) -> Column:

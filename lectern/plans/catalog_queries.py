@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lectern.functions import text
 from lectern.operators import aggregates, answers, catalog, corpus, joins, smart
 from lectern.plans.tables import WORDS, table, words
-from lectern.plans.text_queries import literals, values
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -25,12 +24,13 @@ def query(sql: str | None = None):
 
 @query(f"""WITH {WORDS}, t AS (SELECT DISTINCT user_id AS transcript FROM events WHERE user_id % 7 > 0), l AS (SELECT w.transcript, md5(string_agg(concat_ws(':', w.idx, w.text, w.start_ms, w.end_ms, round_even(e.value / 1000, 3)), ',' ORDER BY w.idx)) AS h, count(*) AS n
  FROM words w JOIN events e USING (event_id) WHERE w.transcript % 5 > 0 GROUP BY 1)
- SELECT c_custkey AS segment, CASE WHEN t.transcript IS NULL THEN 'no transcript' WHEN l.h IS NULL THEN 'no words' ELSE 'ok' END AS found, coalesce(CASE WHEN t.transcript IS NOT NULL THEN n END, 0) AS n FROM customer LEFT JOIN t ON t.transcript = c_custkey LEFT JOIN l ON l.transcript = t.transcript""")
+ SELECT c_custkey AS segment, CASE WHEN t.transcript IS NULL THEN 'no transcript' WHEN l.h IS NULL THEN 'no words' ELSE 'ok' END AS found, coalesce(CASE WHEN t.transcript IS NOT NULL THEN n END, 0) AS n, CASE WHEN t.transcript IS NOT NULL THEN h END AS words_md5 FROM customer LEFT JOIN t ON t.transcript = c_custkey LEFT JOIN l ON l.transcript = t.transcript""")
 def compact_words(spark, sf):
     w = words(spark, sf).join(table(spark, sf, "events").select("event_id", (F.col("value") / 1000).alias("confidence")), "event_id").where("transcript % 5 > 0")
     t = table(spark, sf, "events").where("user_id % 7 > 0").select(F.col("user_id").alias("segment"), F.col("user_id").alias("transcript"), F.lit(1).alias("version"), F.lit("stub").alias("engine"), F.lit(False).alias("is_human_reviewed")).distinct()
     got = catalog.compact_words(table(spark, sf, "customer").select(F.col("c_custkey").alias("segment")), t, w)
-    return got.select("segment", "found", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n"))
+    line = F.array_join(F.transform("words", lambda x: F.concat_ws(":", x["i"].cast("string"), x["t"], x["s"].cast("string"), x["e"].cast("string"), F.format_string("%s", x["c"]))), ",")
+    return got.select("segment", "found", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n"), F.when(F.size("words") > 0, F.md5(line)).alias("words_md5"))
 
 
 @query("SELECT event_id AS chunk_id, c_custkey AS segment_id, c_name AS segment_title, c_nationkey AS surah, 1 AS ayah_start, 2 AS ayah_end, c_mktsegment AS kind, event_type AS text, event_id AS start_ms, event_id + 5 AS end_ms FROM events JOIN customer ON c_custkey = user_id")
@@ -106,13 +106,11 @@ def stub_transcripts(spark, sf):
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join(F.transform("w", lambda x: x["text"]), " ")).alias("words_md5"), F.round(total, 4).alias("confidence"))
 
 
-_TOKENS = [(1, 9, -1, -1), (2, 10, 4, 4), (3, 12, 4, 5), (4, 13, 5, 5), (5, 15, -1, -1)]
-
-
-@query(values([(i, active, want, 0.6) for i, active, _, want in [(1, 9, 0, -1), (2, 10, 0, 4), (3, 12, 0, 4), (4, 13, 0, 5), (5, 15, 0, -1)]], "id, active, token, density"))
+@query("SELECT p_partkey, CASE WHEN a < 10 OR a > 14 THEN -1 WHEN a >= 13 THEN p_size + 1 ELSE p_size END AS token, (p_size % 5 + 1) / 5.0::DOUBLE AS density FROM (SELECT p_partkey, p_size, p_partkey % 8 + 8 AS a FROM part)")
 def active_tokens(spark, sf):
-    df = literals(spark, [(i, a) for i, a, *_ in _TOKENS], "id int, active int").withColumn("map", F.array(*(F.lit(x) for x in (4, -1, -1, 5, -1))))
-    return df.select("id", "active", text.active_token(F.col("map"), F.lit(10), F.lit(14), F.col("active")).alias("token"), text.alignment_density(F.lit(3), F.lit(10), F.lit(14)).alias("density"))
+    size, none = F.col("p_size"), F.lit(-1)
+    token = text.active_token(F.array(size, none, none, size + 1, none), F.lit(10), F.lit(14), F.col("p_partkey") % 8 + 8)
+    return table(spark, sf, "part").select("p_partkey", token.alias("token"), text.alignment_density(size % 5 + 1, F.lit(10), F.lit(14)).alias("density"))
 
 
 @query(f"""WITH {WORDS}, ch AS (SELECT transcript, idx // 10 AS pos, min(idx) + 2 AS a, max(idx) - 1 AS b FROM words GROUP BY 1, 2 HAVING max(idx) - 1 >= min(idx) + 2), m AS (SELECT w.transcript, w.idx, ch.pos, greatest(a - w.idx, w.idx - b, 0) AS gap FROM words w LEFT JOIN ch ON ch.transcript = w.transcript)
@@ -149,55 +147,66 @@ def clip_moves(spark, sf):
     return got.select("p_partkey", F.col("s.start_ms").alias("s_start"), F.col("s.end_ms").alias("s_end"), F.col("e.start_ms").alias("e_start"), F.col("e.end_ms").alias("e_end"))
 
 
-_CORRECTIONS = [(1, "pending", 1, 7, 10, 12, "new text"), (2, "approved", 1, 7, 10, 12, "x"), (3, "pending", 1, 7, 10, 12, " \n"), (4, "pending", 1, 7, 12, 10, "x"), (5, "pending", 1, 8, 10, 12, "x"), (6, "pending", 1, 7, 9, 12, "x"), (7, "pending", 2, 7, 10, 12, "x")]
-_PROBLEMS = [None, "already approved", "no words", "end before start", "chunk without words", "outside the chunk", "words missing"]
+_PROBLEMS = ("ok", "already approved", "no words", "end before start", "chunk without words", "outside the chunk", "words missing")
 
 
-@query(values([(r[0], p) for r, p in zip(_CORRECTIONS, _PROBLEMS, strict=True)], "correction, problem"))
+@query(f"WITH {WORDS} SELECT transcript * 10 + k AS correction, CASE WHEN k > 0 THEN {list(_PROBLEMS)}[k + 1] END AS problem FROM (SELECT DISTINCT transcript FROM words), range(7) r(k)")
 def correction_problems(spark, sf):
-    c = literals(spark, _CORRECTIONS, "correction int, status string, transcript int, chunk int, word_start int, word_end int, suggested_text string")
-    w = literals(spark, [(1, i) for i in range(20)] + [(2, 10), (2, 12)], "transcript int, idx int")
-    return corpus.correction_problems(c, literals(spark, [(7, 10, 19)], "chunk int, low int, high int"), w)
-
-
-def _verified(spark):
-    said = "الصبر عند الصدمة الأولى هو الأصل والأصل في الصبر أن تصبر حين تصاب بما تكره".split()
-    w = [(1, i, t, i * 500, i * 500 + 400) for i, t in enumerate(said)] + [(2, i, t, i * 400_000, i * 400_000 + 300) for i, t in enumerate(said)]
-    drafts = [
-        (1, "answered", "الصبر عند الصدمة [p1][p1]. جملة بلا علامة. وهذا [p2] آخر [[ayah:2:155]] و[[ayah:9:999]].\nثالثة [p9].", [(2, 155), (3, 1), (9, 999)], [" لماذا؟ ", "why?", "", "كيف؟", "متى؟", "أين؟"]),
-        (2, "answered", "كلام [p1].", [], None), (3, "not_found", "لا أجد شيئا. ولا غيره.", None, []), (4, "answered", "plain [p1].", [], []),
-    ]
-    quotes = [
-        (1, 1, "p1", "الصبر عند الصدمة"), (1, 2, "p1", "أن تصبر حين"), (1, 3, "p2", "الصدمة الأولى هو الأصل"), (1, 4, "p9", "الصبر عند الصدمة"), (1, 5, "p1", "الصبر عند"),
-        (2, 1, "p1", "كلمات ليست في النص أبدا"), (2, 2, "p3", "الصبر عند الصدمة الأولى"), (4, 1, "p1", "الصبر عند الصدمة"),
-    ]
-    a = literals(spark, drafts, "answer int, status string, answer_md string, refs array<struct<surah:int,ayah:int>>, followups array<string>")
-    p = literals(spark, [(x, *y) for x in (1, 2, 3, 4) for y in (("p1", 10, 1, 0, 4000), ("p2", 10, 1, 1000, 9000), ("p3", 11, 2, 0, 10**9))], "answer int, passage string, segment int, transcript int, start_ms long, end_ms long")
-    return answers.verify(a, literals(spark, quotes, "answer int, pos int, passage string, quote string"), p, literals(spark, w, "transcript int, idx int, text string, start_ms long, end_ms long"), literals(spark, [(2, 155), (3, 1)], "surah int, ayah int"))
-
-
-_SHOWN = [
-    (1, "answered", "الصبر عند الصدمة [1].\nوهذا [2] آخر [[ayah:2:155]] و.", "2:155,3:1", "لماذا؟|كيف؟|متى؟", 5, 2), (2, "not_found", answers.NOT_FOUND_TEXT, "", "", 2, 0),
-    (3, "not_found", "لا أجد شيئا.", "", "", 0, 0), (4, "answered", "plain [1].", "", "", 1, 1),
-]
-
-
-@query(values([(1, 1, None, 1), (1, 2, "quote not found", None), (1, 3, None, 2), (1, 4, "unknown passage", None), (1, 5, "length of quote", None), (2, 1, "quote not found", None), (2, 2, "length of span", None), (4, 1, None, 1)], "answer, pos, problem, n"))
+    """Seven corrections of each transcript, one for each reason and one without."""
+    w = words(spark, sf)
+    n = w.groupBy("transcript").agg(F.max("idx").alias("last"))
+    far = F.col("transcript") + 1_000_000  # a chunk that claims more words than there are
+    span = lambda chunk, high: F.struct(chunk.alias("chunk"), F.lit(0).cast("long").alias("low"), high.alias("high"))
+    chunks = n.select(F.inline(F.array(span(F.col("transcript"), F.col("last")), span(far, F.col("last") + 5))))
+    case = lambda k, chunk, a, b, status="pending", new="new text": F.struct(F.lit(k).alias("k"), chunk.cast("long").alias("chunk"), a.cast("long").alias("word_start"), b.cast("long").alias("word_end"), F.lit(status).alias("status"), F.lit(new).alias("suggested_text"))
+    t, last, zero = F.col("transcript"), F.col("last"), F.lit(0)
+    cases = F.array(case(0, t, zero, zero), case(1, t, zero, zero, "approved"), case(2, t, zero, zero, new=" \n"), case(3, t, zero + 1, zero), case(4, -t - 1, zero, zero), case(5, t, zero, last + 1), case(6, far, last, last + 2))
+    c = n.select("transcript", F.inline(cases)).withColumn("correction", F.col("transcript") * 10 + F.col("k"))
+    return corpus.correction_problems(c, chunks, w)
+
+
+#: Quotes of each document: words 6 to 12, two words, none of its words, and one of a passage that was not drafted.
+_QUOTED = "d AS (SELECT doc_id AS answer, w FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 12)"
+
+
+def _verified(spark, sf):
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("answer"), F.slice(w, 1, 40).alias("w")).where("size(w) >= 12")
+    spoken = d.select(F.col("answer").alias("transcript"), F.posexplode("w").alias("idx", "text")).withColumn("start_ms", (F.col("idx") * 500).cast("long")).withColumn("end_ms", F.col("start_ms") + 400)
+    passages = d.select("answer", F.lit("p1").alias("passage"), (F.col("answer") + 7).alias("segment"), F.col("answer").alias("transcript"), F.lit(0).cast("long").alias("start_ms"), F.lit(10**9).alias("end_ms"))
+    case = lambda pos, passage, quote: F.struct(F.lit(pos).alias("pos"), F.lit(passage).alias("passage"), quote.alias("quote"))
+    good = F.when(F.col("answer") % 2 == 0, F.array_join(F.slice("w", 6, 7), " ")).otherwise(F.lit("0" * 20 + " " + "1" * 20 + " " + "2" * 20))
+    quotes = d.select("answer", F.inline(F.array(case(1, "p1", good), case(2, "p1", F.array_join(F.slice("w", 1, 2), " ")), case(3, "p1", F.lit("3" * 20 + " " + "4" * 20 + " " + "5" * 20)), case(4, "p9", good))))
+    said = "الصبر عند الصدمة [p1][p1]. جملة بلا علامة [p9]. ثم [[ayah:2:155]] و[[ayah:9:999]] هنا [p1]."
+    none = F.array().cast("array<struct<surah:int,ayah:int>>")
+    drafts = d.select("answer", F.lit("answered").alias("status"), F.lit(said).alias("answer_md"), none.alias("refs"), F.array(F.lit(" لماذا؟ "), F.lit("why?"), F.lit("كيف؟")).alias("followups"))
+    verses = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit(2).alias("surah"), F.lit(155).alias("ayah"))
+    return answers.verify(drafts, quotes, passages, spoken, verses)
+
+
+@query(f"""WITH {_QUOTED} SELECT answer, unnest([1, 2, 3, 4]) AS pos, unnest([CASE WHEN answer % 2 = 1 THEN 'quote not found' END, 'length of quote', 'quote not found', 'unknown passage']) AS problem, unnest([CASE WHEN answer % 2 = 0 THEN 1 END, NULL, NULL, NULL]) AS n,
+ unnest([CASE WHEN answer % 2 = 0 THEN answer + 7 END, NULL, NULL, NULL]) AS segment FROM d""")
 def checked_citations(spark, sf):
-    return _verified(spark)[1].select("answer", "pos", "problem", "n")
+    return _verified(spark, sf)[1].select("answer", "pos", "problem", "n", F.when(F.col("n").isNotNull(), F.col("segment")).alias("segment"))
 
 
-@query()
+@query(f"""WITH {_QUOTED} SELECT answer, CASE WHEN answer % 2 = 0 THEN 'partial' ELSE 'not_found' END AS status, CASE WHEN answer % 2 = 0 THEN 'الصبر عند الصدمة [1].' || chr(10) || 'ثم [[ayah:2:155]] و هنا [1].' ELSE '{answers.NOT_FOUND_TEXT}' END AS answer_md,
+ CASE WHEN answer % 2 = 0 THEN '2:155' ELSE '' END AS refs, 'لماذا؟|كيف؟' AS followups, 4 AS drafted, CASE WHEN answer % 2 = 0 THEN 1 ELSE 0 END AS kept, NULL AS error FROM d""")
 def verified_answers(spark, sf):
-    return _verified(spark)[0]
+    """Half of the answers keep one of four citations; the others keep none and say so."""
+    refs = F.array_join(F.transform("ayah_refs", lambda r: F.concat_ws(":", r["surah"].cast("string"), r["ayah"].cast("string"))), ",")
+    return _verified(spark, sf)[0].select("answer", "status", "answer_md", refs.alias("refs"), F.array_join("followups", "|").alias("followups"), "drafted", "kept", "error")
 
 
-@query(f"""WITH {WORDS}, c AS (SELECT transcript, idx // 5 AS idx, count(*) AS words, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM words GROUP BY 1, 2), w AS (SELECT transcript AS win, transcript, sum(words) AS words, min(start_ms) AS start_ms FROM c WHERE idx BETWEEN 0 AND 3 GROUP BY 1, 2 HAVING count(*) = 4)
- SELECT win AS "window", transcript % 3 AS segment, CAST(words AS BIGINT) AS words, 'p' || row_number() OVER (ORDER BY transcript % 3, start_ms, win) AS passage FROM w""")
+@query(f"""WITH RECURSIVE {WORDS}, c AS (SELECT transcript, idx // 5 AS idx, count(*) AS words, min(start_ms) AS start_ms FROM words GROUP BY 1, 2),
+ w AS (SELECT transcript, transcript % 7 AS question, sum(words) AS words, min(start_ms) AS start_ms FROM c WHERE (idx IN (1, 2) OR (idx = 3 AND words <= 2)) AND transcript IN (SELECT transcript FROM c WHERE idx = 3) GROUP BY 1),
+ k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY transcript) AS k FROM w),
+ f AS (SELECT question, 0::BIGINT AS k, 0::HUGEINT AS spent, NULL::BIGINT AS transcript FROM (SELECT DISTINCT question FROM k) UNION ALL SELECT k.question, k.k, CASE WHEN spent + words <= 52 THEN spent + words ELSE spent END, CASE WHEN spent + words <= 52 THEN k.transcript END FROM f JOIN k ON k.question = f.question AND k.k = f.k + 1)
+ SELECT question, w.transcript AS "window", w.transcript % 3 AS segment, CAST(words AS BIGINT) AS words, 'p' || row_number() OVER (PARTITION BY question ORDER BY w.transcript % 3, start_ms, w.transcript) AS passage FROM f JOIN w USING (question, transcript)""")
 def context_passages(spark, sf):
-    """Windows of four chunks each, all within both limits."""
+    """Seven questions; windows of four chunks around the second, trimmed to twelve words, and a budget of 52 for each question."""
     w = words(spark, sf)
     chunks = w.groupBy("transcript", F.floor(F.col("idx") / 5).alias("idx")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("words"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     whole = chunks.where("idx BETWEEN 0 AND 3").groupBy("transcript").agg(F.count("*").alias("n")).where("n = 4")
-    windows = whole.select(F.col("transcript").alias("window"), F.col("transcript").alias("priority"), "transcript", (F.col("transcript") % 3).alias("segment"), F.lit(0).alias("a"), F.lit(3).alias("b"), F.lit(1).alias("seed_a"), F.lit(1).alias("seed_b"))
-    return smart.context(windows, chunks, limit=450, budget=10**9).select("window", "segment", "words", "passage")
+    windows = whole.select((F.col("transcript") % 7).alias("question"), F.col("transcript").alias("window"), F.col("transcript").alias("priority"), "transcript", (F.col("transcript") % 3).alias("segment"), F.lit(0).alias("a"), F.lit(3).alias("b"), F.lit(1).alias("seed_a"), F.lit(1).alias("seed_b"))
+    return smart.context(windows, chunks, limit=12, budget=52).select("question", "window", "segment", "words", "passage")

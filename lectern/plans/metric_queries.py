@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import text
+from lectern.functions import arabic, text
 from lectern.operators import aggregates
 from lectern.plans.tables import WORDS, ms, table, words
-from lectern.plans.text_queries import literals, values
+from lectern.plans.text_queries import base_word, literals
 from lectern.sources import writers
 from lectern.sources.shared import shared_folder
 from lectern.streaming import lapsing, stateful
@@ -138,17 +138,23 @@ def eval_report(spark, sf):
     return r.withColumn("cost_usd", F.col("cost_usd").cast("double")).withColumn("cost_per_query_usd", F.round(F.col("cost_per_query_usd").cast("double"), 4))
 
 
-@query("SELECT metric, value::DOUBLE AS value, threshold::DOUBLE AS threshold, passed FROM (" + values([("recall_at_8", 0.81, 0.8, True), ("abstention_accuracy", 0.5, 0.9, False), ("citation_validity", None, 0.95, None), ("unsupported_ratio", 0.05, 0.05, True), ("latency_p95_ms", 15000.5, 15000, False)], "metric, value, threshold, passed") + ")")
+@query("""WITH v AS (SELECT avg(quality) AS r, 1 - avg(toxic) AS a, avg(toxic) AS u, (SELECT max(n_chars)::DOUBLE FROM documents) AS l FROM labels)
+ SELECT metric, value, threshold::DOUBLE AS threshold, CASE WHEN metric IN ('unsupported_ratio', 'latency_p95_ms') THEN value <= threshold ELSE value >= threshold END AS passed
+ FROM (SELECT unnest(['recall_at_8', 'abstention_accuracy', 'citation_validity', 'unsupported_ratio', 'latency_p95_ms']) AS metric, unnest([r, a, NULL, u, l]) AS value, unnest([0.8, 0.9, 0.95, 0.05, 15000]) AS threshold FROM v)""")
 def eval_gates(spark, sf):
-    return aggregates.gates(literals(spark, [("recall_at_8", 0.81), ("abstention_accuracy", 0.5), ("unsupported_ratio", 0.05), ("latency_p95_ms", 15000.5)], "metric string, value double"))
+    """Measures of the labels and the longest document against the five thresholds; one has no value."""
+    n = table(spark, sf, "labels").agg(F.avg("quality").alias("recall_at_8"), (1 - F.avg("toxic")).alias("abstention_accuracy"), F.avg("toxic").alias("unsupported_ratio"))
+    longest = table(spark, sf, "documents").agg(F.max("n_chars").cast("double").alias("latency_p95_ms"))
+    return aggregates.gates(n.crossJoin(longest).unpivot([], ["recall_at_8", "abstention_accuracy", "unsupported_ratio", "latency_p95_ms"], "metric", "value"))  # one row each
 
 
-_MS = [("1:02:03", 3723000), ("75:00", 4500000), ("9", 9000), ("1:60", None), ("x", None), ("٢:٠٥", 125000), ("1:75:00", None), ("2.5", 2500)]
-
-
-@query(values(_MS, "s, ms"))
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_size + 20 < 60 THEN (p_partkey % 100 * 60 + p_size + 20) * 1000 END WHEN 1 THEN CASE WHEN p_size + 20 < 60 THEN ((p_partkey % 5 * 60 + p_size + 20) * 60 + 30) * 1000 END WHEN 2 THEN p_size * 1000 + 500 END AS ms FROM part""")
 def parse_ms_cases(spark, sf):
-    return literals(spark, [(s,) for s, _ in _MS], "s string").select("s", text.parse_ms(F.col("s")).alias("ms"))
+    """Minutes and seconds, hours, fractions in Arabic digits and no times at all, some with sixty seconds or minutes and more."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    s = F.when(n % 4 == 0, F.concat_ws(":", (n % 100).cast("string"), two(size + 20))).when(n % 4 == 1, F.concat_ws(":", (n % 5).cast("string"), two(size + 20), F.lit("30"))).when(n % 4 == 2, F.concat(arabic.arabic_digits(size.cast("string")), F.lit(".5"))).otherwise(F.concat(F.lit("x"), size.cast("string")))
+    return table(spark, sf, "part").select("p_partkey", text.parse_ms(s).alias("ms"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey * 1777 // 3600000 > 0 THEN (p_partkey * 1777 // 3600000) || ':' || lpad((p_partkey * 1777 // 60000 % 60)::VARCHAR, 2, '0') ELSE (p_partkey * 1777 // 60000)::VARCHAR END || ':' || lpad((p_partkey * 1777 // 1000 % 60)::VARCHAR, 2, '0') AS t FROM part")
@@ -161,9 +167,10 @@ def ass_times(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.ass_time(F.col("p_partkey") * 777).alias("t"))
 
 
-@query(values([("#ff8000", "&H000080FF", "a(b) c", "a{b}\\ c")], "rgb, colour, escaped, raw").replace("SELECT *", "SELECT rgb, colour, escaped"))
+@query("SELECT p_partkey, '&H00' || upper(h[5:6] || h[3:4] || h[1:2]) AS colour, 'a(' || p_name || ') c' AS escaped FROM (SELECT p_partkey, p_name, printf('%06x', p_partkey * 7919 % 16777216) AS h FROM part)")
 def ass_cases(spark, sf):
-    return literals(spark, [("#ff8000", "a{b}\\ c")], "rgb string, raw string").select("rgb", text.ass_colour(F.col("rgb")).alias("colour"), text.ass_escape(F.col("raw")).alias("escaped"))
+    rgb = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("p_partkey") * 7919 % 16_777_216)), 6, "0"))
+    return table(spark, sf, "part").select("p_partkey", text.ass_colour(rgb).alias("colour"), text.ass_escape(F.concat(F.lit("a{"), "p_name", F.lit("}\\ c"))).alias("escaped"))
 
 
 @query("SELECT page_id, 'corpus/' || lpad((page_id % 114)::VARCHAR, 3, '0') || '/' || lpad((page_id % 1000)::VARCHAR, 3, '0') || '.opus' AS key, '/listen/' || page_id || '?t=' || page_id * 10 AS listen, left(sha256('s:2024-01-01:' || page_id), 32) AS ip_hash FROM pages")
@@ -173,38 +180,38 @@ def keys_and_hashes(spark, sf):
     return p.select("page_id", text.object_key(pid % 114, pid % 1000).alias("key"), text.listen_url(pid, pid * 10).alias("listen"), text.ip_hash("s", F.lit("2024-01-01"), pid.cast("string")).alias("ip_hash"))
 
 
-_IPS = [("1.1.1.1, 2.2.2.2", "9.9.9.9", "2.2.2.2"), ("", "9.9.9.9", "9.9.9.9"), ("3.3.3.3", "9.9.9.9", "3.3.3.3")]
-
-
-@query(values(_IPS, "f, r, ip"))
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '2.2.2.' || p_size WHEN 1 THEN '9.9.9.9' ELSE '3.3.3.' || p_size END AS ip FROM part")
 def client_ips(spark, sf):
-    return literals(spark, [x[:2] for x in _IPS], "f string, r string").select("f", "r", text.client_ip(F.col("f"), F.col("r"), 1).alias("ip"))
+    """Two hops, none, and one, behind one trusted proxy."""
+    n, last = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    forwarded = F.when(n == 0, F.concat(F.lit("1.1.1.1, 2.2.2."), last)).when(n == 1, "").otherwise(F.concat(F.lit(" 3.3.3."), last))
+    return table(spark, sf, "part").select("p_partkey", text.client_ip(forwarded, F.lit("9.9.9.9"), 1).alias("ip"))
 
 
-_REFS = [("2:255", 2, 255), ("ايه الكرسي", 2, 255), ("سوره البقره ايه 255", 2, 255), ("البقره 7", 2, 7), ("nothing", None, None)]
-
-
-@query(values(_REFS, "q, surah, ayah"))
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN 2 WHEN 2 THEN p_size % 25 + 1 WHEN 3 THEN p_size % 25 + 1 END AS surah, CASE p_partkey % 5 WHEN 0 THEN p_partkey % 200 + 1 WHEN 1 THEN 255 WHEN 2 THEN p_size WHEN 3 THEN p_size END AS ayah FROM part""")
 def verse_references(spark, sf):
-    names = literals(spark, [(2, "البقره")], "number int, name string")
-    df = literals(spark, [(q,) for q, _, _ in _REFS], "q string").withColumn("n", text.named_reference(F.col("q")))
-    df = df.join(F.broadcast(names), F.col("n.name") == F.col("name"), "left")
+    """References by number, by a verse's own name, by a chapter's name with and without fillers, and none."""
+    name = lambda n: F.concat(F.lit("سم"), base_word(n))
+    names = table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("number"), name(F.col("n_nationkey")).alias("name"))
+    n, size, mine = F.col("p_partkey"), F.col("p_size").cast("string"), name(F.col("p_size") % 25)
+    q = F.when(n % 5 == 0, F.concat_ws(":", size, (n % 200 + 1).cast("string"))).when(n % 5 == 1, "ايه الكرسي").when(n % 5 == 2, F.concat(F.lit("سوره "), mine, F.lit(" ايه "), size)).when(n % 5 == 3, F.concat_ws(" ", mine, size)).otherwise("nothing")
+    df = table(spark, sf, "part").select("p_partkey", q.alias("q")).withColumn("n", text.named_reference(F.col("q"))).join(names, F.col("n.name") == F.col("name"), "left")
     named = F.when(F.col("number").isNotNull(), F.struct(F.col("number").alias("surah"), F.col("n.ayah").alias("ayah")))
-    return df.withColumn("r", F.coalesce(text.numeric_reference(F.col("q")), text.famous_reference(F.col("q")), named)).select("q", "r.surah", "r.ayah")
-
-
-_CLIPS = [(0, 500, 9000, False, "too_short"), (0, 9500, 9000, False, "outside"), (0, 400000, 900000, True, "video_too_long"), (0, 400000, 900000, False, "ok")]
+    return df.withColumn("r", F.coalesce(text.numeric_reference(F.col("q")), text.famous_reference(F.col("q")), named)).select("p_partkey", "r.surah", "r.ayah")
 
 
-@query(values(_CLIPS, "s, e, d, v, verdict"))
+@query("""SELECT p_partkey, CASE WHEN e < 1000 THEN 'too_short' WHEN e > 900000 THEN 'outside' WHEN v AND e > 300000 THEN 'video_too_long' ELSE 'ok' END AS verdict FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size * 40 ELSE p_size * 20000 END AS e, p_partkey % 2 = 0 AS v FROM part)""")
 def clip_verdicts(spark, sf):
-    df = literals(spark, [r[:4] for r in _CLIPS], "s int, e int, d int, v boolean")
-    return df.select("s", "e", "d", "v", text.clip_verdict(F.col("s"), F.col("e"), F.col("d"), F.col("v")).alias("verdict"))
+    end = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") * 40).otherwise(F.col("p_size") * 20_000)
+    return table(spark, sf, "part").select("p_partkey", text.clip_verdict(F.lit(0), end, F.lit(900_000), F.col("p_partkey") % 2 == 0).alias("verdict"))
 
 
-@query(values([("a [1] b", "a [p1] b"), ("[2] c", "[p2][p2] c")], "clean, raw"))
+@query("SELECT p_partkey, p_name || ' [' || p_size || '] b[' || p_partkey || ']' AS clean FROM part")
 def strip_marker_cases(spark, sf):
-    return literals(spark, [("a [p1] b",), ("[p2][p2] c",)], "raw string").select(text.strip_markers(F.col("raw")).alias("clean"), "raw")
+    """A marker, and another that is repeated at once."""
+    two = F.concat(F.lit("[p"), F.col("p_partkey").cast("string"), F.lit("]"))
+    raw = F.concat("p_name", F.lit(" [p"), F.col("p_size").cast("string"), F.lit("] b"), two, F.lit(" "), two)
+    return table(spark, sf, "part").select("p_partkey", text.strip_markers(raw).alias("clean"))
 
 
 @query("SELECT '<url><loc>https://example.com/o/' || o_orderkey || '?a=1&amp;b=' || o_orderpriority || '</loc><lastmod>' || strftime(o_orderdate, '%Y-%m-%d') || '</lastmod></url>' AS value FROM orders")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import alignment, arabic, references, text, vectors
 from lectern.operators import joins, search
 from lectern.plans.tables import TOKENS, WORDS, table, words
-from lectern.plans.text_queries import filled, literals, values
+from lectern.plans.text_queries import base_word, filled, literals
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -24,22 +24,35 @@ def query(sql: str | None = None):
     return add
 
 
-_FILES = [("a/002-001-005.mp3", 2, 1, 5, None, "recitation", "range"), ("s3a7.opus", 3, 7, 7, None, "recitation", "verse"), ("004 part 2.mp3", 4, None, None, 2, "khawatir", "part"), ("114.wav", 114, None, None, None, "recitation", "chapter"), ("999.mp3", None, None, None, None, None, None), ("hello.mp3", None, None, None, None, None, None)]
-
-
-@query(values(_FILES, "name, surah, first, last, ordinal, kind, pattern"))
+@query("""WITH n AS (SELECT p_partkey, p_size, p_partkey % 5 AS k, p_partkey % 130 AS c FROM part), o AS (SELECT *, k < 4 AND c BETWEEN 1 AND 114 AS ok FROM n)
+ SELECT p_partkey, CASE WHEN ok THEN c END AS surah, CASE WHEN ok AND k < 2 THEN p_size END AS first, CASE WHEN ok AND k = 0 THEN p_size + 3 WHEN ok AND k = 1 THEN p_size END AS last, CASE WHEN ok AND k = 2 THEN p_size % 9 + 1 END AS ordinal,
+ CASE WHEN ok THEN CASE WHEN k = 2 THEN 'khawatir' ELSE 'recitation' END END AS kind, CASE WHEN ok THEN ['range', 'verse', 'part', 'chapter'][k + 1] END AS pattern FROM o""")
 def parse_filenames(spark, sf):
-    df = literals(spark, [(f[0],) for f in _FILES], "name string").withColumn("p", references.parse_filename(F.col("name")))
-    return df.select("name", "p.surah", "p.first", "p.last", "p.ordinal", "p.kind", "p.pattern")
-
-
-_JUMPS = [("page 12", "page", None, 12), ("صفحه 604", "page", None, 604), ("juz 31", None, None, None), ("2:255", "ayah", 2, 255), ("36", "surah", 36, None), ("سوره 1", "surah", 1, None), ("115", None, None, None), ("abc", None, None, None)]
-
-
-@query(values(_JUMPS, "q, target, surah, number"))
+    """Names of each pattern in folders and of several suffixes, chapters beyond the last, and names of none."""
+    k, c, size = F.col("p_partkey") % 5, F.col("p_partkey") % 130, F.col("p_size")
+    three = lambda x: F.lpad(x.cast("string"), 3, "0")
+    name = (
+        F.when(k == 0, F.concat(F.lit("a/b/"), three(c), F.lit("-"), three(size), F.lit("-"), three(size + 3), F.lit(".MP3"))).when(k == 1, F.concat(F.lit("S"), c.cast("string"), F.lit("a"), size.cast("string"), F.lit(".opus")))
+        .when(k == 2, F.concat(three(c), F.lit(" part "), (size % 9 + 1).cast("string"), F.lit(".mp3"))).when(k == 3, F.concat(three(c), F.lit(".wav"))).otherwise("hello.mp3")
+    )
+    return table(spark, sf, "part").select("p_partkey", references.parse_filename(name).alias("p")).select("p_partkey", "p.surah", "p.first", "p.last", "p.ordinal", "p.kind", "p.pattern")
+
+
+@query("""WITH c AS (SELECT n_nationkey + 1 AS number, n_nationkey * 3 + 5 AS verses FROM nation), n AS (SELECT p_partkey, p_size, p_partkey % 9 AS k, p_partkey % 700 AS v, p_size % 28 + 1 AS s FROM part)
+ SELECT p_partkey, CASE WHEN k = 0 THEN CASE WHEN v BETWEEN 1 AND 604 THEN 'page' END WHEN k = 1 THEN CASE WHEN p_size BETWEEN 1 AND 30 THEN 'juz' END WHEN c.number IS NULL OR k = 8 THEN NULL WHEN k IN (2, 4, 5) THEN CASE WHEN p_size BETWEEN 1 AND c.verses THEN 'ayah' END ELSE 'surah' END AS target,
+ CASE WHEN k IN (2, 4, 5) AND p_size <= c.verses OR k IN (3, 6, 7) THEN c.number END AS surah, CASE WHEN k = 0 AND v BETWEEN 1 AND 604 THEN v WHEN k = 1 AND p_size <= 30 THEN p_size WHEN k IN (2, 4, 5) AND p_size <= c.verses THEN p_size END AS number FROM n LEFT JOIN c ON c.number = n.s""")
 def parse_jumps(spark, sf):
-    df = literals(spark, [(q,) for q, *_ in _JUMPS], "q string").withColumn("j", references.parse_jump(F.col("q")))
-    return df.select("q", "j.target", "j.surah", "j.number")
+    """Pages, juz, numbers, names with and without the article, with fillers and verses, some beyond a chapter's last verse, and nothing."""
+    base = lambda n: F.concat(F.lit("سم"), base_word(n))
+    nation = table(spark, sf, "nation")
+    chapters = nation.select((F.col("n_nationkey") + 1).alias("number"), F.concat(F.when(F.col("n_nationkey") % 2 == 0, "ال").otherwise(""), base(F.col("n_nationkey") + 1)).alias("name"), (F.col("n_nationkey") * 3 + 5).alias("ayah_count"))
+    k, size, s = F.col("p_partkey") % 9, F.col("p_size").cast("string"), F.col("p_size") % 28 + 1
+    say = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    q = (
+        F.when(k == 0, say("صفحه ", (F.col("p_partkey") % 700).cast("string"))).when(k == 1, say("juz ", size)).when(k == 2, say(s.cast("string"), " : ", size)).when(k == 3, say("سوره ", s.cast("string")))
+        .when(k == 4, say("ال", base(s), " ", size)).when(k == 5, say("سوره ", base(s), " ايه ", size)).when(k == 6, base(s)).when(k == 7, say("سوره ال", base(s))).otherwise("abc 5")
+    )
+    return references.jumps(table(spark, sf, "part").select("p_partkey", q.alias("q")), "q", chapters).select("p_partkey", "target", "surah", "number")
 
 
 @query("SELECT page_id, CASE WHEN TRY_CAST(regexp_extract(url, '/(\\d+)', 1) AS INT) BETWEEN 1 AND 9999 THEN TRY_CAST(regexp_extract(url, '/(\\d+)', 1) AS INT) END AS v FROM pages")

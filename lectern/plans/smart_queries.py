@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import arabic
 from lectern.operators import corpus, corrections, search, smart
 from lectern.plans.tables import TOKENS, WORDS, table, words
-from lectern.plans.text_queries import filled, literals, values
+from lectern.plans.text_queries import filled
 from lectern.sources.shared import shared_folder
 
 Q: dict = {}
@@ -24,28 +24,26 @@ def query(sql: str | None = None):
     return add
 
 
-_TRIM = [(1, i, 100, 4, 5) for i in range(9)] + [(2, i, 600, 1, 1) for i in range(3)] + [(3, 0, 10, 0, 0)]
-
-
-@query(values([(1, 4), (1, 5), (1, 6), (1, 7), (2, 1), (3, 0)], "w, idx").replace("w, idx)", "w, idx)").replace("SELECT *", 'SELECT w AS "window", idx'))
+@query(f"""WITH {WORDS}, s AS (SELECT transcript AS w, idx, sum(idx * 7 % 40 + 1) OVER (PARTITION BY transcript ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suffix,
+ sum(CASE WHEN idx >= 4 THEN idx * 7 % 40 + 1 ELSE 0 END) OVER (PARTITION BY transcript ORDER BY idx ROWS UNBOUNDED PRECEDING) AS from_seed FROM words)
+ SELECT w AS "window", idx FROM s WHERE CASE WHEN idx < 4 THEN suffix <= 150 WHEN idx > 5 THEN from_seed <= 150 ELSE true END""")
 def trim_windows(spark, sf):
-    df = literals(spark, _TRIM, "window int, idx int, words int, seed_a int, seed_b int")
-    return smart.trim_windows(df).select("window", "idx")
-
+    """Every transcript as a window around its fifth and sixth chunk."""
+    w = words(spark, sf).select(F.col("transcript").alias("window"), "idx", (F.col("idx") * 7 % 40 + 1).alias("words"), F.lit(4).alias("seed_a"), F.lit(5).alias("seed_b"))
+    return smart.trim_windows(w, 150).select("window", "idx")
 
-_STATUS = [(4, 0, "answered", "not_found"), (5, 2, "answered", "partial"), (4, 2, "answered", "answered"), (4, 1, "partial", "partial")]
 
-
-@query(values(_STATUS, "drafted, kept, given, status"))
+@query("""SELECT p_partkey, CASE WHEN kept = 0 THEN 'not_found' WHEN given = 'answered' AND kept * 2 < drafted THEN 'partial' ELSE given END AS status FROM (SELECT p_partkey, p_size % 7 AS drafted, p_partkey % 4 AS kept, ['answered', 'partial', 'not_found'][p_partkey % 3 + 1] AS given FROM part)""")
 def answer_status(spark, sf):
-    df = literals(spark, [r[:3] for r in _STATUS], "drafted int, kept int, given string")
-    return df.select("drafted", "kept", "given", smart.status_after(F.col("drafted"), F.col("kept"), F.col("given")).alias("status"))
+    given = F.element_at(F.array(F.lit("answered"), F.lit("partial"), F.lit("not_found")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", smart.status_after(F.col("p_size") % 7, F.col("p_partkey") % 4, given).alias("status"))
 
 
-@query(values([("text", "See ", 0), ("citation", "2", 1), ("text", " and ", 2), ("ayah", "2:255", 3)], "kind, v, pos").replace("SELECT *", "SELECT kind, v AS value, pos"))
+@query("""SELECT p_partkey, unnest(['text', 'citation', 'text', 'ayah']) AS kind, unnest([p_name || ' ', p_size::VARCHAR, ' and ', (p_partkey % 114 + 1) || ':' || p_size]) AS value, unnest([0, 1, 2, 3]) AS pos FROM part""")
 def parse_answer(spark, sf):
-    df = literals(spark, [("See [2] and [[ayah:2:255]]",)], "a string")
-    return df.select(F.posexplode(smart.parse_answer(F.col("a"))).alias("pos", "n")).select("n.kind", "n.value", "pos")
+    size = F.col("p_size").cast("string")
+    answer = F.concat("p_name", F.lit(" ["), size, F.lit("] and [[ayah:"), (F.col("p_partkey") % 114 + 1).cast("string"), F.lit(":"), size, F.lit("]]"))
+    return table(spark, sf, "part").select("p_partkey", F.posexplode(smart.parse_answer(answer)).alias("pos", "n")).select("p_partkey", "n.kind", "n.value", "pos")
 
 
 @query("SELECT p_partkey, least(s, e) AS start_ms, CASE WHEN greatest(s, e) - least(s, e) < 1000 THEN least(s, e) + 1000 ELSE greatest(s, e) END AS end_ms FROM (SELECT p_partkey, p_size * 100 AS s, (p_partkey % 50) * 100 AS e FROM part)")
@@ -55,11 +53,13 @@ def clamp_ranges(spark, sf):
     return p.select("p_partkey", r.alias("r")).select("p_partkey", "r.start_ms", "r.end_ms")
 
 
-@query(values([(1, 1, 3), (2, 0, 1)], "id, first, last"))
+@query("""SELECT p_partkey, CASE WHEN n < 3 THEN 0 ELSE least(greatest(a - 1, 0), n - 3) END AS first, CASE WHEN n < 3 THEN n - 1 ELSE least(greatest(a - 1, 0), n - 3) + 2 END AS last FROM (SELECT p_partkey, p_size % 6 + 1 AS n, p_partkey % (p_size % 6 + 1) AS a FROM part)""")
 def grow_selection(spark, sf):
-    rows = [(1, [(i * 400, i * 400 + 300) for i in range(6)], 2, 2), (2, [(0, 100), (100, 200)], 1, 1)]
-    df = literals(spark, rows, "id int, w array<struct<start_ms:int,end_ms:int>>, a int, b int")
-    return df.select("id", corpus.grow_selection(F.col("w"), F.col("a"), F.col("b")).alias("g")).select("id", "g.first", "g.last")
+    """One to six words of 300 ms, 400 ms apart, from a selection of one: three of them last a second."""
+    n = F.col("p_size") % 6 + 1
+    w = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * 400).alias("start_ms"), (i * 400 + 300).alias("end_ms")))
+    at = F.col("p_partkey") % n
+    return table(spark, sf, "part").select("p_partkey", corpus.grow_selection(w, at, at).alias("g")).select("p_partkey", "g.first", "g.last")
 
 
 @query(f"""WITH {TOKENS}, {filled(["the", "which"])}, q AS (SELECT doc AS id, row_number() OVER (ORDER BY all_terms DESC, rank_cd DESC, doc) AS rank FROM f),
@@ -101,21 +101,31 @@ def ingest_dedup(spark, sf):
     return corpus.ingest(p.select("sha256", "p_partkey"), assets).select("sha256", "p_partkey", "segment", "status")
 
 
-_LINES = [(1, 1, "بسم الله الرحمن الرحيم"), (2, 1, "بِسْمِ اللَّهِ الرَّحْمَنِ الرَّحِيمِ الم"), (2, 2, "ذلك الكتاب"), (3, 1, "بسم الله الرحمن الرحيم")]
+_OPENING = ("بسم الله الرحمن الرحيم", "بِسْمِ اللَّهِ الرَّحْمَنِ الرَّحِيمِ")
 
 
-@query(values([(1, 1, False, 22), (2, 1, True, 3), (2, 2, False, 10), (3, 1, False, 22)], "surah, ayah, stripped, n"))
+@query(f"""WITH l AS (SELECT p_partkey + 2 AS surah, p_size % 2 + 1 AS ayah, p_partkey % 3 AS kind, p_name FROM part)
+ SELECT surah, ayah, ayah = 1 AND kind = 0 AS stripped, length(CASE WHEN kind = 0 AND ayah = 1 THEN p_name WHEN kind = 0 THEN '{_OPENING[1]} ' || p_name WHEN kind = 1 THEN p_name ELSE '{_OPENING[0]}' END) AS n FROM l
+ UNION ALL SELECT 1, 1, false, {len(_OPENING[0])} FROM region WHERE r_regionkey = 0""")
 def strip_opening(spark, sf):
-    df = corpus.strip_opening(literals(spark, _LINES, "surah int, ayah int, text string"))
-    return df.select("surah", "ayah", "stripped", F.length("text").alias("n"))
+    """Chapters of two verses: with the opening before a name, a name alone, and the opening alone, behind chapter 1."""
+    kind, p = F.col("p_partkey") % 3, table(spark, sf, "part")
+    said = F.when(kind == 0, F.concat(F.lit(_OPENING[1] + " "), "p_name")).when(kind == 1, F.col("p_name")).otherwise(_OPENING[0])
+    lines = p.select((F.col("p_partkey") + 2).alias("surah"), (F.col("p_size") % 2 + 1).alias("ayah"), said.alias("text"))
+    first = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit(1).cast("long").alias("surah"), F.lit(1).alias("ayah"), F.lit(_OPENING[0]).alias("text"))
+    return corpus.strip_opening(lines.unionByName(first)).select("surah", "ayah", "stripped", F.length("text").alias("n"))
 
 
-@query(values([("size of juz", 29), ("size of pages", None), ("size of quarters", None), ("size of verses", 3), ("verses of chapter 2", 1), ("unknown chapter 9", 1)], "problem, found"))
+@query("""WITH n AS (SELECT p_size AS surah, count(*) AS n FROM part GROUP BY 1) SELECT 'size of chapters' AS problem, (SELECT count(*) FROM nation) AS found UNION ALL SELECT 'size of verses', (SELECT count(*) FROM part) UNION ALL SELECT 'size of quarters', NULL UNION ALL SELECT 'size of pages', NULL
+ UNION ALL SELECT 'unknown chapter ' || surah, n FROM n WHERE surah % 5 = 0 UNION ALL SELECT 'verses of chapter ' || surah, n FROM n WHERE surah % 5 > 0 AND surah % 7 = 0""")
 def reference_problems(spark, sf):
-    counts = literals(spark, [("chapters", 114), ("verses", 3), ("juz", 29)], "name string, n long")
-    declared = literals(spark, [(1, 1), (2, 2)], "surah int, ayah_count long")
-    lines = literals(spark, [(1, 1), (2, 1), (9, 1)], "surah int, ayah int")
-    return corpus.full_reference_problems(counts, declared, lines)
+    """Parts as verses, their sizes as chapters: some of these are not declared, some with a verse more."""
+    p = table(spark, sf, "part").select(F.col("p_size").alias("surah"), F.col("p_partkey").alias("ayah"))
+    size = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    juz = table(spark, sf, "region").agg(F.lit("juz").alias("name"), (F.count("*") * 6).alias("n"))
+    counts = size("chapters", table(spark, sf, "nation")).unionByName(size("verses", p)).unionByName(juz)
+    declared = p.where("surah % 5 > 0").groupBy("surah").agg((F.count("*") + F.when(F.col("surah") % 7 == 0, 1).otherwise(0)).alias("ayah_count"))
+    return corpus.full_reference_problems(counts, declared, p)
 
 
 @query(f"WITH {TOKENS}, h AS (SELECT a.doc, min(a.pos) AS start FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos = a.pos + 1 JOIN documents d ON d.doc_id = a.doc WHERE a.word = 'of' AND b.word = 'the' GROUP BY 1) SELECT doc, start, row_number() OVER (ORDER BY doc) AS rank, count(*) OVER () AS total FROM h")
@@ -123,10 +133,11 @@ def lexical_search_strict(spark, sf):
     return search.lexical_search(table(spark, sf, "documents"), "doc_id", "text", '"of the"', latin=True).select("doc", "start", "rank", "total")
 
 
-@query()
+@query(f"SELECT doc, start, 0 AS stems, 0 AS typos, 'imlaei' AS attr, rank FROM ({SQL['lexical_search_strict']})")
 def verse_search(spark, sf):
-    v = literals(spark, [(1, "ٱلصَّبْرُ عند", "الصبر عند"), (2, "بالصبر", "بالصبر والصلاة")], "id int, uthmani string, imlaei string")
-    return corpus.verse_search(v, "الصبر").select("doc", "start", "stems", "typos", "attr", "rank")
+    """The documents as verses of one spelling twice."""
+    v = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("uthmani"), F.col("text").alias("imlaei"))
+    return corpus.verse_search(v, '"of the"').select("doc", "start", "stems", "typos", "attr", "rank")
 
 
 @query()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lectern.operators.ranking import numbered
 from lectern.plans.tables import table
-from lectern.plans.text_queries import values
 from lectern.sources import readers, writers
 from lectern.sources.shared import shared_folder
 
@@ -134,7 +133,12 @@ def index_documents(spark, sf):
     return writers.index_documents(chunks, transcripts, segments).select("chunk", "transcript", "segment", "title", "text")
 
 
-@query(values([(0, "Dialogue: 0,0:00:00.00,0:00:01.50,Default,,0,0,0,,{\\c&H00FF0000&}a(b)")], "line, value"))
+_CS = "({0} // 360000)::VARCHAR || ':' || lpad(({0} // 6000 % 60)::VARCHAR, 2, '0') || ':' || lpad(({0} // 100 % 60)::VARCHAR, 2, '0') || '.' || lpad(({0} % 100)::VARCHAR, 2, '0')"
+
+
+@query(f"SELECT 'Dialogue: 0,' || {_CS.format('(p_partkey * 777)')} || ',' || {_CS.format('(p_partkey * 777 + 150)')} || ',Default,,0,0,0,,{{\\c&H00FF0000&}}a(' || p_name || ')' AS value FROM part")
 def subtitle_events(spark, sf):
-    lines = spark.createDataFrame([(0, 0, 150, "a{b}\\")], "line int, start_cs int, end_cs int, text string")
-    return writers.ass_dialogue(lines, "#0000ff").select(F.lit(0).alias("line"), "value")
+    """A line for each part's name, in brackets that a subtitle would take for its own."""
+    p = table(spark, sf, "part")
+    lines = p.select(F.col("p_partkey").alias("line"), (F.col("p_partkey") * 777).alias("start_cs"), (F.col("p_partkey") * 777 + 150).alias("end_cs"), F.concat(F.lit("a{"), "p_name", F.lit("}\\")).alias("text"))
+    return writers.ass_dialogue(lines, "#0000ff")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import arabic, fuzzy, text, vectors
 from lectern.operators import search
-from lectern.plans.tables import TOKENS, table
+from lectern.plans.tables import TOKENS, WORDS, table, words
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -27,18 +27,27 @@ def literals(spark: SparkSession, rows, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def values(rows, names: str) -> str:
-    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).upper() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(quote(v) for v in r) + ")" for r in rows) + f") t({names})"
+#: Digits as letters that neither affixes nor marks have.
+_LETTERS = "صحرقطغضظثذ"
+_BASE = f"translate(lpad((p_partkey * 7919 % 100000)::VARCHAR, 5, '0'), '0123456789', '{_LETTERS}')"
+
+
+def base_word(number) -> Column:
+    """Five letters that stand for a number's last digits."""
+    return F.translate(F.lpad((number % 100_000).cast("string"), 5, "0"), "0123456789", _LETTERS)
 
 
-_NORM = [(1, "ٱلْحَمْدُ لِلَّهِ"), (2, "أَإِآٱةىؤئ"), (3, "٠١٢  ۳۴۵"), (4, "مـــد"), (5, " a\t b\n"), (6, "")]
 _FROM, _TO = arabic.FOLDED_FROM + arabic.DIGITS_FROM + arabic.STRIPPED, arabic.FOLDED_TO + arabic.DIGITS_TO
 
 
-@query(f"SELECT id, trim(regexp_replace(translate(nfc_normalize(s), '{_FROM}', '{_TO}'), '\\s+', ' ', 'g')) AS norm, translate(nfc_normalize(s), '{arabic.STRIPPED}', '') AS light FROM ({values(_NORM, 'id, s')})")
+_MARKED = "'ٱلْحَمْدُ  لِلَّهِ ' || translate(p_partkey::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' مـــد	' || p_name || ' أَإِآٱةىؤئ '"
+
+
+@query(f"SELECT p_partkey, trim(regexp_replace(translate(nfc_normalize(s), '{_FROM}', '{_TO}'), '\\s+', ' ', 'g')) AS norm, translate(nfc_normalize(s), '{arabic.STRIPPED}', '') AS light FROM (SELECT p_partkey, {_MARKED} AS s FROM part)")
 def norm_literals(spark, sf):
-    return literals(spark, _NORM, "id int, s string").select("id", arabic.normalize_index(F.col("s")).alias("norm"), arabic.normalize_light(F.col("s")).alias("light"))
+    """Marks, folded letters and digits of every kind around each part's name."""
+    s = F.concat(F.lit("ٱلْحَمْدُ  لِلَّهِ "), arabic.arabic_digits(F.col("p_partkey").cast("string")), F.lit(" مـــد\t"), "p_name", F.lit(" أَإِآٱةىؤئ "))
+    return table(spark, sf, "part").select("p_partkey", arabic.normalize_index(s).alias("norm"), arabic.normalize_light(s).alias("light"))
 
 
 @query(f"SELECT doc_id, md5(trim(regexp_replace(translate(nfc_normalize(text), '{_FROM}', '{_TO}'), '\\s+', ' ', 'g'))) AS norm_md5 FROM documents")
@@ -53,18 +62,19 @@ def norm_composed(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(arabic.normalize_index(text_)).alias("norm_md5"))
 
 
-_STEMS = [("الصبر", "صبر"), ("بالصبر", "صبر"), ("والمومنين", "مومن"), ("الله", "الله"), ("بالله", "الله"), ("كتاب", "كتاب"), ("وحده", "وحده"), ("والوالدين", "والد"), ("مسلماتهم", "مسلمات"), ("255", "255"), ("للناس", "ناس"), ("", "")]
-
-
-@query(values(_STEMS, "word, stem"))
+@query(f"SELECT p_partkey, ['', 'ال', 'بال', 'وال', 'لل', 'فال'][p_partkey % 6 + 1] || {_BASE} || ['', 'ين', 'ون', 'ات', 'هم'][p_size % 5 + 1] AS word, {_BASE} AS stem FROM part")
 def stem_literals(spark, sf):
-    return literals(spark, [(w,) for w, _ in _STEMS], "word string").select("word", arabic.light_stem(F.col("word")).alias("stem"))
+    """A word of each part between one of six prefixes and one of five suffixes."""
+    pick = lambda options, n: F.element_at(F.array(*(F.lit(o) for o in options)), (n % len(options) + 1).cast("int"))
+    word = F.concat(pick(("", "ال", "بال", "وال", "لل", "فال"), F.col("p_partkey")), base_word(F.col("p_partkey") * 7919), pick(("", "ين", "ون", "ات", "هم"), F.col("p_size")))
+    return table(spark, sf, "part").withColumn("word", word).select("p_partkey", "word", arabic.light_stem(F.col("word")).alias("stem"))
 
 
-@query(values([(1, "صبر صدمه", "صبر عند صدمه"), (2, "", "في من")], "id, stems, every"))
+@query(f"SELECT p_partkey, {_BASE} || ' ' || {_BASE.replace('p_partkey', 'p_size')} AS stems, 'في ' || {_BASE} || ' من ' || {_BASE.replace('p_partkey', 'p_size')} AS every FROM part")
 def stem_text_literals(spark, sf):
-    df = literals(spark, [(1, "الصبر عند الصدمه"), (2, "في من")], "id int, s string")
-    return df.select("id", arabic.stem_text(F.col("s")).alias("stems"), arabic.stem_words(F.col("s")).alias("every"))
+    """Two words with the article between stop words, which only one of the forms keeps."""
+    s = F.concat(F.lit("في ال"), base_word(F.col("p_partkey") * 7919), F.lit(" من ال"), base_word(F.col("p_size") * 7919))
+    return table(spark, sf, "part").select("p_partkey", arabic.stem_text(s).alias("stems"), arabic.stem_words(s).alias("every"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS n_tokens, len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS n_space FROM documents")
@@ -112,21 +122,27 @@ def phrase_typo1(spark, sf):
     return search.phrase_match(post, [("there", False), ("the", True)]).select("doc", "start", F.col("stems").cast("int").alias("stems"), "typos")
 
 
-_OSA = [("ca", "abc", 3), ("abcd", "abdc", 1), ("kitten", "sitting", 3), ("same", "same", 0), ("", "xy", 2), ("الصرب", "الصبر", 1)]
-
-
-@query(values(_OSA, "a, b, d"))
+@query("SELECT p_partkey, damerau_levenshtein(p_name, b)::INT AS d FROM (SELECT p_partkey, p_name, substr(p_name, 2, 1) || substr(p_name, 1, 1) || substr(p_name, 4) || p_size AS b FROM part)")
 def osa_cases(spark, sf):
-    return literals(spark, [(a, b) for a, b, _ in _OSA], "a string, b string").select("a", "b", fuzzy.osa_distance("a", "b").alias("d"))
+    """Each part's name against itself with two letters swapped, one gone and a number behind."""
+    other = F.concat(F.substr("p_name", F.lit(2), F.lit(1)), F.left("p_name", F.lit(1)), F.substr("p_name", F.lit(4)), F.col("p_size").cast("string"))
+    return table(spark, sf, "part").withColumn("b", other).select("p_partkey", fuzzy.osa_distance("p_name", "b").alias("d"))
 
 
-_COST = [("صبر", "صبر", 0, 0), ("الصبر", "بالصبر", 1, 0), ("there", "theer", 0, 1), ("there", "hhere", None, None), ("the", "teh", None, None), ("something", "somethign", 0, 1), ("something", "smoethign", 0, 2)]
+_TYPED = "'w' || translate(lpad((p_partkey * 7919 % 100000000)::VARCHAR, 8, '0'), '0123456789', 'bcdfghjkmn')"
 
 
-@query(values(_COST, "q, w, stems, typos"))
+@query(f"""WITH q AS (SELECT p_partkey, p_size % 3 AS kind, {_TYPED} AS q FROM part), c AS (SELECT p_partkey, CASE WHEN kind < 2 THEN (q[4] <> q[5])::INT + CASE WHEN kind = 1 THEN (q[7] <> q[8])::INT ELSE 0 END END AS typos FROM q)
+ SELECT p_partkey, CASE WHEN typos IS NOT NULL THEN 0 END AS stems, typos FROM c""")
 def word_cost_cases(spark, sf):
-    df = literals(spark, [r[:2] for r in _COST], "q string, w string").withColumn("d", fuzzy.osa_distance("q", "w"))
-    return df.withColumn("c", fuzzy.word_cost(F.col("q"), F.lit(False), F.col("w"), F.col("d"))).select("q", "w", "c.stems", "c.typos")
+    """A word of nine letters against itself with one pair of letters swapped, two pairs, or another first letter."""
+    q = F.concat(F.lit("w"), F.translate(F.lpad((F.col("p_partkey") * 7919 % 100_000_000).cast("string"), 8, "0"), "0123456789", "bcdfghjkmn"))
+    at = lambda first, n=1: F.substr("q", F.lit(first), F.lit(n))
+    one = F.concat(at(1, 3), at(5), at(4), at(6, 4))
+    two = F.concat(at(1, 3), at(5), at(4), at(6), at(8), at(7), at(9))
+    kind = F.col("p_size") % 3
+    df = table(spark, sf, "part").withColumn("q", q).withColumn("w", F.when(kind == 0, one).when(kind == 1, two).otherwise(F.concat(F.lit("x"), at(2, 8))))
+    return df.withColumn("d", fuzzy.osa_distance("q", "w")).withColumn("c", fuzzy.word_cost(F.col("q"), F.lit(False), F.col("w"), F.col("d"))).select("p_partkey", "c.stems", "c.typos")
 
 
 def filled(terms: list[str]) -> str:
@@ -176,9 +192,10 @@ def knn_exact(spark, sf):
     return e.select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), vec), 6).alias("distance")).orderBy("distance", "vec_id").limit(50)
 
 
-@query("""SELECT vec_id, list_transform(embedding[:16], lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding[:16], lambda y: y::DOUBLE * y::DOUBLE))), 6))[1] AS first_component FROM embeddings""")
+@query("""SELECT vec_id, unnest(range(16)) AS k, unnest(list_transform(embedding[:16], lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding[:16], lambda y: y::DOUBLE * y::DOUBLE))), 6))) AS component FROM embeddings""")
 def fit_vectors(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.round(vectors.fit_vector(F.col("embedding"), 16)[0], 6).alias("first_component"))
+    fitted = table(spark, sf, "embeddings").select("vec_id", F.posexplode(vectors.fit_vector(F.col("embedding"), 16)).alias("k", "component"))
+    return fitted.select("vec_id", "k", F.round("component", 6).alias("component"))
 
 
 @query("""SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source""")
@@ -187,17 +204,16 @@ def distinct_keep_order(spark, sf):
     return search.first_seen(d, F.lower("source"), "doc_id").select("source", "doc_id")
 
 
-_RERANK = [(1, 3.0, 5), (2, 2.5, 1), (3, 2.0, 2), (4, 1.0, 3), (5, 0.0, 4)]
-
-
-@query(values([(1, 3.0, 1, False), (2, 2.5, 2, False), (3, 2.0, 3, False)], "id, score, kept_place, weak").replace("SELECT *", "SELECT id, score::DOUBLE AS score, kept_place, weak"))
+@query(f"WITH c AS (SELECT id, (id % 4)::DOUBLE AS score, place FROM ({SQL['rrf_fuse']})), g AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, place) AS kept_place FROM c WHERE score >= 2) SELECT *, false AS weak FROM g WHERE kept_place <= 8")
 def rerank_keep(spark, sf):
-    return search.keep_reranked(literals(spark, _RERANK, "id long, score double, place int"))
+    """The fused candidates, scored by their ids."""
+    return search.keep_reranked(search.fuse(_lists(spark, sf)).select("id", (F.col("id") % 4).cast("double").alias("score"), "place"))
 
 
-@query(values([(3, 1.5, 1, True), (1, 1.0, 2, True)], "id, score, kept_place, weak").replace("SELECT *", "SELECT id, score::DOUBLE AS score, kept_place, weak"))
+@query(f"SELECT id, CASE WHEN place = 7 THEN 2.5 ELSE 1 END::DOUBLE AS score, row_number() OVER (ORDER BY place = 7 DESC, place) AS kept_place, true AS weak FROM ({SQL['rrf_fuse']}) QUALIFY kept_place <= 3")
 def rerank_weak(spark, sf):
-    return search.keep_reranked(literals(spark, [(1, 1.0, 2), (3, 1.5, 1)], "id long, score double, place int"))
+    """The fused candidates, of which only the seventh is good."""
+    return search.keep_reranked(search.fuse(_lists(spark, sf)).select("id", F.when(F.col("place") == 7, 2.5).otherwise(1.0).alias("score"), "place"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(t) <= 80 THEN t WHEN rtrim(regexp_extract(left(t, 81), '(?s)^(.*)\\s', 1)) <> '' THEN rtrim(regexp_extract(left(t, 81), '(?s)^(.*)\\s', 1)) ELSE left(t, 80) END AS snippet FROM (SELECT doc_id, trim(text) AS t FROM documents)""")
@@ -231,12 +247,13 @@ def suggest_prefix(spark, sf):
     return search.suggest(table(spark, sf, "documents"), "text", "ith", F.left(F.trim("text"), F.lit(20)))
 
 
-_MERGE = [(1, 0, 5, 7), (1, 1, 8, 9), (1, 2, 1, 2), (1, 3, 3, 4), (2, 0, 0, 0)]
-
-
-@query(values([(1, 0, 3, 9), (1, 2, 1, 2), (2, 0, 0, 0)], "transcript, priority, a, b"))
+@query(f"WITH {WORDS} SELECT transcript, (idx // 10)::INT AS priority, (idx // 10 * 10)::INT AS a, (idx // 10 * 10 + CASE WHEN bool_or(idx % 10 = 2) THEN 3 ELSE 1 END)::INT AS b FROM words GROUP BY transcript, idx // 10")
 def context_merge(spark, sf):
-    return search.merge_windows(literals(spark, _MERGE, "transcript int, priority int, a int, b int"))
+    """Two words of every ten as a seed, and later two more beside them, which widen the first."""
+    seed = lambda first, priority: F.when(F.col("idx") % 10 == first, F.struct(priority.cast("int").alias("priority"), F.col("idx").cast("int").alias("a"), (F.col("idx") + 1).cast("int").alias("b")))
+    tens = F.floor(F.col("idx") / 10)
+    seeds = words(spark, sf).withColumn("s", F.coalesce(seed(0, tens), seed(2, tens + 1_000_000))).where("s IS NOT NULL")
+    return search.merge_windows(seeds.select("transcript", "s.*"))
 
 
 @query("""WITH RECURSIVE w AS (SELECT doc_id AS id, n_chars AS words, row_number() OVER (ORDER BY doc_id) AS k FROM documents),

@@ -18,7 +18,8 @@ def upsert_index(index: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def delete_segment(index: DataFrame, segment: int) -> DataFrame:
-    return index.where(F.col("segment") != segment)
+    """The index without a segment's rows; those of no segment stay."""
+    return index.where(~F.col("segment").eqNullSafe(F.lit(segment)))
 
 
 def json_lines(df: DataFrame, order: list[str]) -> DataFrame:
