@@ -4,7 +4,8 @@
 rule that fits decides.
 
 *Templates.* What rules decide also labels the tree, which judges the other urls. Of each host's paths the
-segments form a tree, as deep as two different paths share a node. Level by level,
+segments form a tree, as deep as two different paths share a node. Segments that all paths of a node share are
+passed at once (they are the common prefix of the least and the greatest of its paths), so that rounds follow branchings and not depth. Branching by branching,
 
 * segments that look like identifiers (digits, hex, dates) and have ``many`` different values or more behind what goes before them, and children of few pages each where a node has
   many such, become the wildcard ``*`` (an extension is kept); others stay literal whatever their share or number;
@@ -57,14 +58,20 @@ def rule_of(host: F.Column, path: F.Column, rules=RULES) -> tuple[F.Column, F.Co
 def template_verdicts(paths: DataFrame, purity: float, strength: float, few: float = 4.0, many: int = 8, z: float = 1.96, shown: int = 20) -> DataFrame:
     """For (host, path, n, labelled, blocked) with generalised paths as arrays: each with its ``template``, and ``rejected``."""
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    now = paths.withColumn("node", F.lit("")).withColumn("open", F.lit(True)).checkpoint()
+    now = paths.withColumn("node", F.lit("")).withColumn("d", F.lit(0)).withColumn("open", F.lit(True)).checkpoint()
     total = now.agg(*sums).first()
     prior = min(0.5, (total["blocked"] or 0) / max(total["labelled"] or 0, 1))
     share = (F.col("blocked") + strength * prior) / (F.col("labelled") + strength)
     of = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
-    d = 0
+    ahead = F.slice("path", F.col("d") + 1, F.greatest(F.size("path"), F.lit(1)))
+    same = F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    shared = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
     while now.where("open").head(1):
-        at = now.where("open").withColumn("seg", F.get("path", F.lit(d)))
+        left = now.where("open")
+        bounds = left.groupBy("host", "node").agg(F.min(ahead).alias("low"), F.max(ahead).alias("high")).select("host", "node", shared.alias("jump"))
+        passed = F.slice("path", F.col("d") + 1, F.col("jump"))
+        left = left.join(bounds, ["host", "node"]).withColumn("node", F.when(F.col("jump") > 0, F.concat("node", F.lit("/"), F.array_join(passed, "/"))).otherwise(F.col("node"))).withColumn("d", F.col("d") + F.col("jump"))
+        at = left.drop("jump").withColumn("seg", F.get("path", F.col("d")))
         child = at.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(*sums)
         whole = child.groupBy("host", "node").agg(F.count(F.when(F.col("n") < few, 1)).alias("rare"))
         literal = child.join(whole, ["host", "node"]).where(~F.col("seg").startswith("*") & ((F.col("n") >= few) | (F.col("rare") < many)))
@@ -84,12 +91,11 @@ def template_verdicts(paths: DataFrame, purity: float, strength: float, few: flo
         called = spread.join(listed, ["host", "node", "branch"], "left").select("host", "node", "branch", F.when(F.col("segs") == 1, F.col("first")).otherwise(F.concat(F.lit("{"), F.coalesce("all", F.concat_ws("|", "first", F.lit("..."), "final", F.col("segs").cast("string"), F.hex("hash"))), F.lit("}"))).alias("name"))
         named = grouped.join(called, ["host", "node", "branch"]).select("host", "node", "seg", "name").unionByName(literal.where("labelled = 0").select("host", "node", "seg", F.col("seg").alias("name")))
         step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("name", F.when(F.col("seg").startswith("*"), F.col("seg")), F.lit("*"))))
-        d += 1
-        moved = at.join(named, ["host", "node", "seg"], "left").withColumn("node", F.concat("node", step)).select("host", "path", "n", "labelled", "blocked", "node")
+        moved = at.join(named, ["host", "node", "seg"], "left").withColumn("node", F.concat("node", step)).withColumn("d", F.col("d") + 1).select("host", "path", "n", "labelled", "blocked", "node", "d")
         # the only path of a node is its template from there on
         alone = moved.groupBy("host", "node").agg((F.count("*") == 1).alias("alone"))
-        rest = F.concat(F.lit("/"), F.array_join(F.slice("path", d + 1, F.size("path")), "/"))
-        ends = F.size("path") <= d
+        rest = F.concat(F.lit("/"), F.array_join(F.slice("path", F.col("d") + 1, F.greatest(F.size("path"), F.lit(1))), "/"))
+        ends = F.size("path") <= F.col("d")
         moved = moved.join(alone, ["host", "node"]).withColumn("node", F.when(F.col("alone") & ~ends, F.concat("node", rest)).otherwise(F.col("node"))).withColumn("open", ~F.col("alone") & ~ends).drop("alone")
         now = now.where("NOT open").unionByName(moved).checkpoint()
     judged = now.groupBy("host", "node").agg(*sums).select("host", "node", ((F.col("blocked") + strength * prior) / (F.col("labelled") + strength) >= purity).alias("rejected"))

@@ -160,3 +160,15 @@ def test_query_columns(spark, tmp_path):
     rows = got.collect()
     assert sorted((str(r[0]), *r[1:4]) for r in rows) == sorted((str(i), *brute(u)[:3]) for i, u in [*enumerate(URLS), (None, URLS[0]), (3, URLS[3])])
     assert {r["verdict"] for r in rows} <= {"allow", "block"}
+
+
+def test_long_shared_paths_take_rounds_by_branchings(spark):
+    """Two urls of a trap that share 2,000 segments, and a third that leaves them half way, are a few rounds."""
+    import time
+
+    trap = ["a"] * 2000
+    rows = [(1, "http://x.com/" + "/".join([*trap, "left"])), (2, "http://x.com/" + "/".join([*trap, "right", "end"])), (3, "http://x.com/" + "/".join([*trap[:1000], "b", "c"])), (4, "http://x.com/" + "/".join(trap[:500]))]
+    start = time.time()
+    got = {r["page_id"]: r["template"] for r in uf.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert time.time() - start < 90
+    assert got == {i: "/" + url.split("/", 3)[3] for i, url in rows}
