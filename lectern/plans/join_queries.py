@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import joins, segmentation
 from lectern.plans.tables import WORDS, ms, table, words
 from lectern.plans.text_queries import literals
+from lectern.sources import subtitles
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -261,4 +262,12 @@ def even_timings(spark, sf):
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct([round_even(i * 100.0 / p_size, 0)::BIGINT for i in range(p_size)])), ',') AS starts FROM part")
 def verse_starts(spark, sf):
     starts = segmentation.verse_starts(F.lit(100.0), F.col("p_size"))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(starts, lambda x: x.cast("long").cast("string")), ",").alias("starts"))
\ No newline at end of file
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(starts, lambda x: x.cast("long").cast("string")), ",").alias("starts"))
+
+
+@query()
+def subtitle_cards(spark, sf):
+    """A subtitle file for every fiftieth event: the words within an hour of it."""
+    w = words(spark, sf)
+    clips = _clips(w).select("clip", "transcript", F.col("cs").alias("start_ms"), F.col("ce").alias("end_ms"), F.concat(F.lit("clip "), F.col("clip").cast("string")).alias("credit"))
+    return subtitles.subtitle_files(clips, w.drop("event_id"))
