@@ -71,7 +71,8 @@ def template_verdicts(paths: DataFrame, purity: float, strength: float, few: flo
         bounds = left.groupBy("host", "node").agg(F.min(ahead).alias("low"), F.max(ahead).alias("high")).select("host", "node", shared.alias("jump"))
         passed = F.slice("path", F.col("d") + 1, F.col("jump"))
         left = left.join(bounds, ["host", "node"]).withColumn("node", F.when(F.col("jump") > 0, F.concat("node", F.lit("/"), F.array_join(passed, "/"))).otherwise(F.col("node"))).withColumn("d", F.col("d") + F.col("jump"))
-        at = left.drop("jump").withColumn("seg", F.get("path", F.col("d")))
+        # read by what follows many times, so that its plan is cut here
+        at = left.drop("jump").withColumn("seg", F.get("path", F.col("d"))).checkpoint()
         child = at.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(*sums)
         whole = child.groupBy("host", "node").agg(F.count(F.when(F.col("n") < few, 1)).alias("rare"))
         literal = child.join(whole, ["host", "node"]).where(~F.col("seg").startswith("*") & ((F.col("n") >= few) | (F.col("rare") < many)))
