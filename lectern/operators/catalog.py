@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------------
@@ -75,3 +75,18 @@ def cost_usd(given: Column, prompt_tokens: Column, completion_tokens: Column, pr
 def token_estimate(passages: DataFrame, words: str, per_word: float = 2.5, per_row: int = 30) -> DataFrame:
     """What embedding all passages would take: whole tokens of the words, and a header's for each."""
     return passages.agg((F.floor(F.coalesce(F.sum(words), F.lit(0)) * per_word).cast("long") + F.count("*") * per_row).alias("tokens"))
+
+
+def feedback_verdicts(votes: DataFrame, answers: DataFrame) -> DataFrame:
+    """Votes (id, answer, vote) on answers (answer, feedback): ``not_found`` of an unknown answer, ``kept`` where it has that vote already, else ``set``."""
+    known = answers.select("answer", "feedback", F.lit(True).alias("_known"))
+    rows = votes.join(known, "answer", "left")
+    return rows.withColumn("verdict", F.when(F.col("_known").isNull(), "not_found").when(F.col("feedback").eqNullSafe(F.col("vote")), "kept").otherwise("set")).drop("_known", "feedback")
+
+
+def pages_of(rows: DataFrame, key: str, order: list[str], number: int, size: int) -> DataFrame:
+    """Page ``number`` of each key's rows, with their place; a page past the last has no rows. A page below 1 is refused."""
+    if number < 1 or size < 1:
+        raise ValueError("page or size out of range")
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return placed.where(F.col("place").between((number - 1) * size + 1, number * size))

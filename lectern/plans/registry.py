@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import catalog_queries, index_queries, join_queries, metric_queries, reference_queries, smart_queries, source_queries, text_queries
+from lectern.plans import catalog_queries, form_queries, index_queries, join_queries, metric_queries, reference_queries, smart_queries, source_queries, text_queries
 
-MODULES = (text_queries, join_queries, metric_queries, reference_queries, smart_queries, catalog_queries, source_queries, index_queries)
+MODULES = (text_queries, join_queries, metric_queries, reference_queries, smart_queries, catalog_queries, source_queries, index_queries, form_queries)
 
 
 def queries() -> dict:
