@@ -119,14 +119,14 @@ def asof_event(spark, sf):
     return joins.asof(e, marks, "user_id", "at", "mark_at", F.col("mark")).select("event_id", "found")
 
 
-_PROBE = "p AS (SELECT event_id AS probe, user_id AS transcript, epoch_us(ts) // 1000 + 1800000 AS at_ms FROM events WHERE event_id % 20 = 0)"
+_PROBE = "p AS (SELECT event_id AS probe, user_id AS transcript, epoch_us(ts) // 1000 + 1800000 AS at_ms FROM events)"
 
 
 @query(f"""WITH {WORDS}, {_PROBE}, b AS (SELECT probe, max(struct_pack(s := start_ms, e := end_ms, i := idx)) AS b FROM p JOIN words w ON w.transcript = p.transcript AND start_ms <= at_ms GROUP BY probe),
  n AS (SELECT probe, min(struct_pack(s := start_ms, e := end_ms, i := idx)) AS n FROM p JOIN words w ON w.transcript = p.transcript AND start_ms > at_ms GROUP BY probe)
  SELECT probe, CASE WHEN b IS NULL THEN n.i WHEN at_ms < b.e THEN b.i WHEN n IS NULL OR at_ms - b.e < n.s - at_ms THEN b.i ELSE n.i END AS nearest_idx FROM p LEFT JOIN b USING (probe) LEFT JOIN n USING (probe)""")
 def nearest_event(spark, sf):
-    p = table(spark, sf, "events").where("event_id % 20 = 0").select(F.col("event_id").alias("probe"), F.col("user_id").alias("transcript"), (ms() + 1_800_000).alias("at"))
+    p = table(spark, sf, "events").select(F.col("event_id").alias("probe"), F.col("user_id").alias("transcript"), (ms() + 1_800_000).alias("at"))
     return joins.nearest_word(p, words(spark, sf).drop("event_id"), "transcript", "at").select("probe", "nearest_idx")
 
 
