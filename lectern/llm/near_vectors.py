@@ -17,7 +17,7 @@ Each node keeps a list of its ``k`` nearest nodes found so far.
    of the nearest nodes of other components, by the same rounds. Links found there join components, and this is repeated
    until there is none. Then each component is compared in blocks of ``BLOCK``, each pair of blocks once, which makes its lists as long as they need to
    be; only counts leave a task, never the pairs.
-5. *Audit.* ``audit`` nodes of all and as many of the linked ones (or the root of their number, if that is more), those
+5. *Audit.* ``audit`` nodes of all and as many of the linked ones (or the root of their number, if that is more, 8,192 at most), those
    least by hash, are compared with all; if the mean over nodes of the share of links found is less than ``recall``,
    lists are made twice as long and more rounds follow. The recall is logged; below ``LEAST_RECALL`` there is no result.
 
@@ -51,6 +51,8 @@ BLOCK = 4096
 #: Rows of a block that are multiplied at a time.
 STRIP = 256
 LEAST_RECALL = 0.9
+#: Linked nodes of an audit at most; their vectors are sent to all tasks.
+MOST_AUDITED = 8192
 _LOG = logging.getLogger(__name__)
 
 
@@ -412,21 +414,22 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, k: int = 12, trees
         by_hash = [F.xxhash64("node"), F.col("node")]
         linked = nodes.join(classes, "node", "left_semi")
         least_by_hash = lambda df, n: df.select("node", "v").orderBy(*by_hash).limit(n)
-        some = least_by_hash(nodes, audit).union(least_by_hash(linked, max(audit, math.isqrt(classes.count()))))
+        some = least_by_hash(nodes, audit).union(least_by_hash(linked, min(MOST_AUDITED, max(audit, math.isqrt(classes.count())))))
         asked = some.dropDuplicates(["node"]).collect()
         shared = spark.sparkContext.broadcast(pa.table({"node": pa.array([r["node"] for r in asked], pa.int64()), "v": pa.array([r["v"] for r in asked], pa.list_(pa.float64()))}))
 
         def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ask = shared.value
-            node = ask.column("node").to_numpy()
+            node, asked_ = ask.column("node").to_numpy(), _matrix(ask.column("v"))
+            total = np.zeros(len(node), dtype=np.int64)
             for batch in batches:
-                total = np.zeros(len(node), dtype=np.int64)
-                for at, x in _matrix(ask.column("v")):
+                for at, x in asked_:
                     for at2, y in _matrix(batch.column(1)):
                         if x.shape[1] == y.shape[1]:
                             near_ = (x @ y.T >= threshold) & (node[at][:, None] != batch.column(0).to_numpy()[at2][None, :])
                             total[at] += near_ @ batch.column(2).to_numpy()[at2]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], names=["node", "true"])
+            # one row for each audited node and task
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], names=["node", "true"])
 
         true = nodes.select("node", "v", "copies").mapInArrow(truth, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
         share = F.coalesce("found", F.lit(0)) / F.col("true")
