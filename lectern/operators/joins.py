@@ -131,6 +131,16 @@ def reconcile(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]
     return joined.select(*keys, action.alias("action"), *(F.when(F.col("_new").isNotNull(), F.col(f"_new.{f}")).otherwise(F.col(f"_old.{f}")).alias(f) for f in fields))
 
 
+def reconcile_records(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str], order: str, problem: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, failures) of an import, record by record: a record with a ``problem``, or a null in its key, fails alone and changes nothing; of several good ones of a key the last in order counts.
+
+    rows: as ``reconcile`` gives them; failures: (*keys, order, problem)."""
+    lacks = F.concat(F.lit("no "), F.concat_ws(", ", *(F.when(F.col(k).isNull(), F.lit(k)) for k in keys)))
+    judged = new.withColumn("problem", F.when(F.array_contains(F.array(*(F.col(k).isNull() for k in keys)), True), lacks).otherwise(problem))
+    last = judged.where("problem IS NULL").groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("_last")).select(*keys, "_last.*")
+    return reconcile(old, last, keys, fields), judged.where("problem IS NOT NULL").select(*keys, order, "problem")
+
+
 def three_state(records: DataFrame, listing: DataFrame, key: str, sha: str, keep: str) -> DataFrame:
     """matched, mismatched or missing for each record; a key may have several candidates; a match lends ``keep``."""
     l = listing.select(F.col(key), F.col(sha).alias("_sha"), F.col(keep).alias("_keep"))  # noqa: E741

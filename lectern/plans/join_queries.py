@@ -162,6 +162,29 @@ def upsert_actions(spark, sf):
     return joins.reconcile(old, new, ["c_custkey"], ["c_name", "c_acctbal"])
 
 
+_RECORDS = """records AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS c_custkey, o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS c_name, o_totalprice AS c_acctbal FROM orders),
+ judged AS (SELECT *, CASE WHEN c_custkey IS NULL THEN 'no c_custkey' WHEN c_name = '' THEN 'no title' END AS problem FROM records), last AS (SELECT c_custkey, max_by(struct_pack(n := c_name, b := c_acctbal), seq) AS l FROM judged WHERE problem IS NULL GROUP BY 1)"""
+
+
+def _records(spark, sf):
+    o = table(spark, sf, "orders")
+    new = o.select(F.when(F.col("o_orderkey") % 50 > 0, F.col("o_custkey")).alias("c_custkey"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderpriority")).alias("c_name"), F.col("o_totalprice").alias("c_acctbal"))
+    old = table(spark, sf, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal")
+    return joins.reconcile_records(old, new, ["c_custkey"], ["c_name", "c_acctbal"], "seq", F.when(F.col("c_name") == "", "no title"))
+
+
+@query(f"""WITH {_RECORDS} SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'created' WHEN n.c_custkey IS NULL THEN 'kept' WHEN o.c_name = l.n AND o.c_acctbal = l.b THEN 'unchanged' ELSE 'updated' END AS action, coalesce(l.n, o.c_name) AS c_name, coalesce(l.b, o.c_acctbal) AS c_acctbal
+ FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) o FULL JOIN last n ON o.c_custkey = n.c_custkey""")
+def upsert_records(spark, sf):
+    """Orders as records of customers, in order: bad ones fail alone, the last good one of a key counts."""
+    return _records(spark, sf)[0]
+
+
+@query(f"WITH {_RECORDS} SELECT c_custkey, seq, problem FROM judged WHERE problem IS NOT NULL")
+def upsert_failures(spark, sf):
+    return _records(spark, sf)[1]
+
+
 _LIST = "(SELECT p_partkey % 1500 AS k, md5(CASE WHEN p_partkey % 4 = 0 THEN p_brand || 'x' ELSE p_brand END) AS sha, p_size AS keep FROM part)"
 
 
