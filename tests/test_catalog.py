@@ -2,23 +2,49 @@
 
 import pytest
 
-from lectern.operators import aggregates, corpus, smart
-from lectern.plans import catalog_queries
+from lectern.operators import aggregates, answers, corpus, smart
+
+
+def _verified(spark):
+    said = "الصبر عند الصدمة الأولى هو الأصل والأصل في الصبر أن تصبر حين تصاب بما تكره".split()
+    w = [(1, i, t, i * 500, i * 500 + 400) for i, t in enumerate(said)] + [(2, i, t, i * 400_000, i * 400_000 + 300) for i, t in enumerate(said)]
+    drafts = [
+        (1, "answered", "الصبر عند الصدمة [p1][p1]. جملة بلا علامة. وهذا [p2] آخر [[ayah:2:155]] و[[ayah:9:999]].\nثالثة [p9].", [(2, 155), (3, 1), (9, 999)], [" لماذا؟ ", "why?", "", "كيف؟", "متى؟", "أين؟"]),
+        (2, "answered", "كلام [p1].", [], None), (3, "not_found", "لا أجد شيئا. ولا غيره.", None, []), (4, "answered", "plain [p1].", [], []),
+    ]
+    quotes = [
+        (1, 1, "p1", "الصبر عند الصدمة"), (1, 2, "p1", "أن تصبر حين"), (1, 3, "p2", "الصدمة الأولى هو الأصل"), (1, 4, "p9", "الصبر عند الصدمة"), (1, 5, "p1", "الصبر عند"),
+        (2, 1, "p1", "كلمات ليست في النص أبدا"), (2, 2, "p3", "الصبر عند الصدمة الأولى"), (4, 1, "p1", "الصبر عند الصدمة"),
+    ]
+    a = spark.createDataFrame(drafts, "answer int, status string, answer_md string, refs array<struct<surah:int,ayah:int>>, followups array<string>")
+    p = spark.createDataFrame([(x, *y) for x in (1, 2, 3, 4) for y in (("p1", 10, 1, 0, 4000), ("p2", 10, 1, 1000, 9000), ("p3", 11, 2, 0, 10**9))], "answer int, passage string, segment int, transcript int, start_ms long, end_ms long")
+    return answers.verify(a, spark.createDataFrame(quotes, "answer int, pos int, passage string, quote string"), p, spark.createDataFrame(w, "transcript int, idx int, text string, start_ms long, end_ms long"), spark.createDataFrame([(2, 155), (3, 1)], "surah int, ayah int"))
+
+
+_SHOWN = [
+    (1, "answered", "الصبر عند الصدمة [1].\nوهذا [2] آخر [[ayah:2:155]] و.", "2:155,3:1", "لماذا؟|كيف؟|متى؟", 5, 2), (2, "not_found", answers.NOT_FOUND_TEXT, "", "", 2, 0),
+    (3, "not_found", "لا أجد شيئا.", "", "", 0, 0), (4, "answered", "plain [1].", "", "", 1, 1),
+]
 
 
 def test_verified_answers(spark):
-    rows = {r["answer"]: r for r in catalog_queries.verified_answers(spark, "").collect()}
-    for answer, status, text, refs, followups, drafted, kept in catalog_queries._SHOWN:
+    rows = {r["answer"]: r for r in _verified(spark)[0].collect()}
+    for answer, status, text, refs, followups, drafted, kept in _SHOWN:
         r = rows[answer]
         assert (r["status"], r["answer_md"], ",".join(f"{x['surah']}:{x['ayah']}" for x in r["ayah_refs"]), "|".join(r["followups"]), r["drafted"], r["kept"]) == (status if answer != 1 else "partial", text, refs, followups, drafted, kept), answer
         assert (r["error"] is None) == (answer != 4)
 
 
 def test_citations_show_the_words_and_their_times(spark):
-    r = next(x for x in catalog_queries._verified(spark)[1].collect() if (x["answer"], x["pos"]) == (1, 3))
+    r = next(x for x in _verified(spark)[1].collect() if (x["answer"], x["pos"]) == (1, 3))
     assert (r["quote_display"], r["start_ms"], r["end_ms"], r["segment"]) == ("الصدمة الأولى هو الأصل", 1000, 2900, 10)
 
 
+def test_each_reason_to_drop_a_citation(spark):
+    got = sorted(((r["answer"], r["pos"]), r["problem"], r["n"]) for r in _verified(spark)[1].collect())
+    assert got == [((1, 1), None, 1), ((1, 2), "quote not found", None), ((1, 3), None, 2), ((1, 4), "unknown passage", None), ((1, 5), "length of quote", None), ((2, 1), "quote not found", None), ((2, 2), "length of span", None), ((4, 1), None, 1)]
+
+
 def test_evaluation_of_a_golden_set(spark):
     """Five questions, one of which failed."""
     golden = spark.createDataFrame([(i, "answered" if i != 3 else "not_found", [i * 10, i * 10 + 1] if i != 3 else []) for i in range(5)], "question int, expected_status string, expected array<int>")
