@@ -166,12 +166,15 @@ def lexical_fill_many(lists: DataFrame, questions: DataFrame, limit: int = 50) -
     """
     asked = questions.select("question", "list_index", F.array_distinct(F.filter("terms", lambda t: t != "")).alias("terms"))
     terms = asked.select("question", "list_index", F.size("terms").alias("n"), F.posexplode("terms").alias("term", "word"))
-    met = lists.join(terms, "word").select("question", "list_index", "n", "doc", F.transform("pos", lambda p: F.struct(p.alias("pos"), F.col("term"))).alias("at"))
-    hits = met.groupBy("question", "list_index", "n", "doc").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("hits"), F.count("*").alias("met"))
-    every = F.col("met") == F.col("n")
-    density = F.when(every, _covers(F.col("hits"), F.col("n"))).otherwise(F.size("hits").cast("double"))
+    key = ["question", "list_index", "n", "doc"]
+    met = lists.join(terms, "word")
+    # places are gathered of those documents only that hold all terms; of the others their number is enough
+    counted = met.groupBy(*key).agg(F.sum(F.size("pos")).alias("hits"), F.count("*").alias("met"))
+    some = counted.where("met < n").select(*key, F.lit(False).alias("all_terms"), F.col("hits").cast("double").alias("rank_cd"))
+    whole = met.join(counted.where("met = n").select(*key), key, "left_semi").select(*key, F.transform("pos", lambda p: F.struct(p.alias("pos"), F.col("term"))).alias("at"))
+    placed = whole.groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("hits"))
+    ranked = some.unionByName(placed.select(*key, F.lit(True).alias("all_terms"), _covers(F.col("hits"), F.col("n")).alias("rank_cd"))).drop("n")
     best = Window.partitionBy("question", "list_index").orderBy(F.desc("all_terms"), F.desc("rank_cd"), "doc")
-    ranked = hits.select("question", "list_index", "doc", every.alias("all_terms"), density.alias("rank_cd"))
     return ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
 
 
