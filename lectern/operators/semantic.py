@@ -6,7 +6,9 @@ cells nearest to it, exactly. How many that takes is measured when the index is
 neighbours down to a depth are found, and the cells that hold ``SHARE`` of them are counted. A filter that keeps one row in f
 makes the k-th match lie at depth k / f, so the depth grows with it; beyond what was measured all cells are
 read, which then are few rows, as the filter goes down to the scan. Where a filter leaves fewer than k rows in the cells
-read, twice as many are read, until k are found or no cell is left.
+read, twice as many are read, until k are found or no cell is left. Then the result is made exact: with the greatest angle
+between a cell's rows and its centroid, which is stored too, the nearest that a cell can hold is bounded, and the cells
+not read yet that can hold one as near as the k-th are read in one more pass.
 
 Questions are broadcast in chunks of ``CHUNK_BYTES``; vectors are never shuffled, each task sends its best k for each question.
 Rows with a null, zero or non-finite vector, or of another length than their model's first, are in no cell.
@@ -27,6 +29,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 CELLS, SAMPLE, STEPS = 64, 20_000, 12
 AUDITED, DEPTHS, SHARE = 64, (10, 100, 1000), 0.98
 CHUNK_BYTES = 8 << 20
+#: Products that a task holds at once.
+TILE = 1 << 20
 #: Models of one index.
 MOST_MODELS = 256
 
@@ -108,6 +112,7 @@ class VectorCells:
         index = cls(spark, path, {})
         for t, m in models.items():
             index.models[t] = {"dims": m["dims"], "centroids": m["centroids"], "rows": 0, "probes": {}}
+            index.models[t]["radius"] = index._radii(t)
             index.models[t] |= index._audited(t, np.array(m.pop("audit")))
         spark.createDataFrame([(json.dumps(index.models),)], "value string").coalesce(1).write.text(f"{path}/about")
         return index
@@ -119,6 +124,23 @@ class VectorCells:
     def stored(self, model: str) -> DataFrame:
         return self.spark.read.option("mergeSchema", False).parquet(f"{self.path}/cells").where(F.col("model").cast("string") == model)
 
+    def _radii(self, model: str) -> list[float]:
+        """For each cell the greatest angle between one of its rows and its centroid."""
+        dims, centroids = self.models[model]["dims"], np.array(self.models[model]["centroids"])
+        shared = self.spark.sparkContext.broadcast(centroids)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wide = np.zeros(len(shared.value))
+            for batch in batches:
+                at, v = units(batch.column(0), dims)
+                cell = batch.column(1).to_numpy()[at]
+                np.maximum.at(wide, cell, np.arccos(np.clip((v * shared.value[cell]).sum(axis=1), -1, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(wide))), pa.array(wide)], ["cell", "angle"])
+
+        rows = self.stored(model).select("vector", "cell").mapInArrow(run, "cell long, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect()
+        found = {r["cell"]: r["angle"] for r in rows}
+        return [found.get(c, 0.0) for c in range(len(centroids))]
+
     def _audited(self, model: str, x: np.ndarray) -> dict:
         """Rows of the model, and for each depth the cells that hold ``SHARE`` of the audited rows' neighbours down to it."""
         rows = self.stored(model).count()
@@ -138,24 +160,29 @@ class VectorCells:
         np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :].repeat(len(x), axis=0), axis=1)
         return rank
 
-    def _scan(self, model: str, x: np.ndarray, asked: np.ndarray, k: int, condition: Column | None) -> dict[int, list[tuple[float, int, int]]]:
-        """For each question its best k of (distance, id, cell) over the cells it asks; k for each of a bounded chunk of questions."""
-        shared = self.spark.sparkContext.broadcast((x, asked))
+    def _scan(self, model: str, x: np.ndarray, asked: np.ndarray, k: int, condition: Column | None, most: np.ndarray | None = None) -> dict[int, list[tuple[float, int, int]]]:
+        """For each question its best k of (distance, id, cell) over the cells it asks, none beyond its distance in ``most``; k for each of a bounded chunk of questions."""
+        shared = self.spark.sparkContext.broadcast((x, asked, np.full(len(x), np.inf) if most is None else most))
         dims = self.models[model]["dims"]
         rows = self.stored(model).where(F.col("cell").isin(np.flatnonzero(asked.any(axis=0)).tolist()))
         rows = rows if condition is None else rows.where(condition)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, ask = shared.value
+            q, ask, far_most = shared.value
             held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
             for batch in batches:
                 at, v = units(batch.column(1), dims)
                 id_, cell = batch.column(0).to_numpy()[at], batch.column(2).to_numpy()[at]
                 for c in np.unique(cell):
                     mine, who = np.flatnonzero(cell == c), np.flatnonzero(ask[:, c])
-                    far = np.round(1 - q[who] @ v[mine].T, 6) + 0.0  # no negative zero
-                    own, near = np.repeat(who, len(mine)), np.tile(mine, len(who))
-                    new = [own, far.ravel(), id_[near], cell[near].astype(np.int64)]
+                    new = [held[0][:0], held[1][:0], held[2][:0], held[3][:0]]
+                    for some in np.array_split(who, -(-len(who) * len(mine) // TILE)):
+                        far = np.round(1 - q[some] @ v[mine].T, 6) + 0.0  # no negative zero
+                        cut = far_most[some]
+                        if len(mine) > k:
+                            cut = np.minimum(cut, np.partition(far, k - 1, axis=1)[:, k - 1])
+                        own, near = np.nonzero(far <= cut[:, None])
+                        new = [np.append(a, b) for a, b in zip(new, [some[own], far[own, near], id_[mine[near]], np.full(len(own), c, np.int64)], strict=True)]
                     held = [np.append(a, b) for a, b in zip(held, new, strict=True)]
                     best = _first(held[0], held[1], held[2], k)
                     held = [a[best] for a in held]
@@ -202,10 +229,19 @@ class VectorCells:
         if not len(x):
             return best
         rank, cells, low = self._ranks(model, x), len(self.models[model]["centroids"]), 0
+        read = np.zeros((len(x), cells), dtype=bool)
         while low < cells and (open_ := [i for i, b in best.items() if len(b) < k]):
             wide = np.zeros((len(x), cells), dtype=bool)
             wide[open_] = (rank[open_] >= low) & (rank[open_] < probes)
             for i, more in self._scan(model, x, wide, k, condition).items():
                 best[i] = sorted([*best[i], *more])[:k]
+            read |= wide
             low, probes = probes, 2 * probes
+        most = np.array([best[i][-1][0] if len(best[i]) == k else np.inf for i in range(len(x))])
+        angle = np.arccos(np.clip(x @ np.array(self.models[model]["centroids"]).T, -1, 1))
+        least = 1 - np.cos(np.clip(angle - np.array(self.models[model].get("radius", [np.pi] * cells)), 0, None))
+        wide = ~read & (least - 2e-6 <= most[:, None])  # distances are rounded to six digits
+        if wide.any():
+            for i, more in self._scan(model, x, wide, k, condition, most).items():
+                best[i] = sorted([*best[i], *more])[:k]
         return best

@@ -92,3 +92,13 @@ def test_budget_in_rounds_equals_a_loop(spark, monkeypatch, long, rounds):
                 left, want = left - words, [*want, (run, k)]
     df = spark.createDataFrame(rows, "run int, priority int, id long, words int").repartition(3)
     assert sorted(map(tuple, search.spend_budget(df, 300, long).collect()), key=str) == sorted(want, key=str)
+
+
+def test_nearest_are_exact_with_few_probes(spark, rows, index):
+    few = VectorCells(spark, index.path, {"a": index.models["a"] | {"probes": {"10": 1, "100": 1, "1000": 1}}})
+    asked = [r for r in rows[:3000] if r[0] % 50 == 0]
+    df = spark.createDataFrame([(r[0], r[1]) for r in asked], "question long, vector array<double>")
+    got = {}
+    for r in few.nearest(df, "question", "vector", "a", 10).collect():
+        got.setdefault(r["question"], []).append((r["distance"], r["id"]))
+    assert {q: sorted(v) for q, v in got.items()} == {r[0]: exact(rows, "a", np.array(r[1]), 10) for r in asked}
