@@ -16,12 +16,20 @@ def covering(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, h
 
 
 def covering_first(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str, by: list[str], point_id: str, span_id: str, most: int = 5) -> DataFrame:
-    """For each point the number of spans and the ids of the first ``most`` in order."""
-    hits = covering(points, spans, key, at, low, high)
-    order = Window.partitionBy(point_id).orderBy(*by)
-    ranked = hits.withColumn("place", F.row_number().over(order))
-    got = ranked.groupBy(point_id).agg(F.count("*").alias("total"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= most, F.struct("place", F.col(span_id).cast("string").alias("s"))))), lambda x: x["s"]), ",").alias("first_ids"))
-    return points.select(point_id).join(got, point_id, "left").select(point_id, F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("first_ids", F.lit("")).alias("first_ids"))
+    """For each point the number of spans and the ids of the first ``most`` in order. Points at the same place are asked for once, and of a place's spans only the first are gathered."""
+    hits = covering(points.select(key, at).distinct(), spans, key, at, low, high)
+    totals = hits.groupBy(key, at).agg(F.count("*").alias("total"))
+    first = hits.withColumn("place", F.row_number().over(Window.partitionBy(key, at).orderBy(*by))).where(F.col("place") <= most)
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col(span_id).cast("string").alias("s")))), lambda x: x["s"]), ",")
+    got = totals.join(first.groupBy(key, at).agg(ids.alias("first_ids")), [key, at])
+    return points.select(point_id, key, at).join(got, [key, at], "left").select(point_id, F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("first_ids", F.lit("")).alias("first_ids"))
+
+
+def covering_least(points: DataFrame, spans: DataFrame, key: str, at: str, low: str, high: str, point_id: str) -> DataFrame:
+    """``covering`` for the least point that any span covers: of the points at one place only the least is asked for."""
+    places = points.groupBy(key, at).agg(F.min(point_id).alias(point_id))
+    least = covering(places, spans, key, at, low, high).agg(F.min(point_id).alias(point_id))  # one row
+    return covering(points.join(F.broadcast(least), point_id), spans, key, at, low, high)
 
 
 def bucketed_overlap(left: DataFrame, right: DataFrame, key: str, ls: str, le: str, rs: str, re: str, width: int, closed: bool = False) -> DataFrame:

@@ -59,8 +59,7 @@ def covering_top5(spark, sf):
 @query(f"WITH {_COVER} SELECT verse, segment FROM v JOIN s ON v.surah = s.surah AND number BETWEEN a AND b WHERE verse = (SELECT min(verse) FROM v JOIN s ON v.surah = s.surah AND number BETWEEN a AND b)")
 def covering_one(spark, sf):
     """The segments that cover one verse, the first that any covers."""
-    every = joins.covering(_verses(spark, sf), _segments(spark, sf), "surah", "number", "a", "b").select("verse", "segment")
-    return every.join(F.broadcast(every.agg(F.min("verse").alias("verse"))), "verse")  # one row
+    return joins.covering_least(_verses(spark, sf), _segments(spark, sf), "surah", "number", "a", "b", "verse").select("verse", "segment")
 
 
 _CHUNKS = "ch AS (SELECT DISTINCT transcript, start_ms // 86400000 AS chunk, start_ms // 86400000 * 86400000 AS s, (start_ms // 86400000 + 1) * 86400000 AS e FROM words)"

@@ -51,3 +51,23 @@ def test_divisions(spark):
         joins.division_of(spark.createDataFrame([(0, 1)], "surah int, ayah int"), marks).collect()
     with pytest.raises(ValueError, match="order"):
         joins.division_of(verses, marks.withColumn("number", -F.col("number")))
+
+
+def test_covering_asks_each_place_once(spark):
+    points = [(p, p % 2, p % 5) for p in range(4000)] + [(9000, None, 1), (9001, 0, 99), (-5, 0, 77)]
+    spans = [(s, s % 2, s % 4, s % 4 + s % 3) for s in range(60)] + [(900, 0, None, 4), (901, None, 0, 9)]
+    v, s = spark.createDataFrame(points, "p int, k int, at int"), spark.createDataFrame(spans, "s int, k int, a int, b int")
+    held = {p: sorted(i for i, sk, a, b in spans if k is not None and k == sk and a is not None and a <= at <= b) for p, k, at in points}
+
+    def records():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = records()
+    got = joins.covering_first(v, s, "k", "at", "a", "b", ["s"], "p", "s").collect()
+    assert {r["p"]: (r["total"], r["first_ids"]) for r in got} == {p: (len(h), ",".join(map(str, h[:5]))) for p, h in held.items()} and len(got) == len(points)
+    one = joins.covering_least(v, s, "k", "at", "a", "b", "p").collect()
+    first = min(p for p, h in held.items() if h)
+    assert sorted((r["p"], r["s"]) for r in one) == [(first, i) for i in held[first]]
+    assert records() - before < 5 * len(points) < sum(map(len, held.values()))
