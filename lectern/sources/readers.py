@@ -82,7 +82,8 @@ def sidecars(files: DataFrame, extension: str) -> DataFrame:
     audio = files.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*AUDIO))
     full, short = F.concat("path", F.lit(f".{extension}")), F.concat(F.regexp_replace("path", r"\.[^./]+$", ""), F.lit(f".{extension}"))
     a, b = every.withColumnRenamed("p", "p1"), every.withColumnRenamed("p", "p2")
-    return audio.join(a, F.col("p1") == full, "left").join(b, F.col("p2") == short, "left").select("path", F.coalesce("p1", "p2").alias("sidecar"))
+    # names made by expressions are larger than their estimate, so a listing must not be taken for a small side and broadcast
+    return audio.join(a.hint("merge"), F.col("p1") == full, "left").join(b.hint("merge"), F.col("p2") == short, "left").select("path", F.coalesce("p1", "p2").alias("sidecar"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.sources import readers, writers
 
@@ -63,3 +64,10 @@ def test_index_and_output(spark):
     assert sorted(r["id"] for r in writers.delete_segment(merged, 1).collect()) == [3, 4]
     lines = spark.createDataFrame([(0, 0, 150, "a{b}\\")], "line int, start_cs int, end_cs int, text string")
     assert writers.ass_dialogue(lines, "#0000ff").first()["value"] == "Dialogue: 0,0:00:00.00,0:00:01.50,Default,,0,0,0,,{\\c&H00FF0000&}a(b)"
+
+
+def test_sidecars_broadcast_no_listing(spark):
+    names = spark.range(20).select(F.explode(F.array(F.concat(F.lit("d/"), "id", F.lit(".mp3")), F.concat(F.lit("d/"), "id", F.lit(".txt")))).alias("path"))
+    got = readers.sidecars(names, "txt")
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["path"], r["sidecar"]) for r in got.collect()} == {(f"d/{i}.mp3", f"d/{i}.txt") for i in range(20)}
