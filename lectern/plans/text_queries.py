@@ -83,13 +83,24 @@ def tokenize_counts(spark, sf):
     return d.select("doc_id", F.size(arabic.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(arabic.space_tokens(arabic.collapse(F.col("text")))).cast("long").alias("n_space"))
 
 
+#: Words whose pairs are counted first.
+FREQUENT = 1000
+
+
 def top_pair(spark, sf) -> list[str]:
-    """The most frequent pair of neighbouring words; pairs are formed inside each text and counted before they are shuffled."""
+    """The most frequent pair of neighbouring words. A pair is no more frequent than its words: pairs of the most frequent words are counted, and a word that is rarer than the best of them is in none better."""
     t = table(spark, sf, "documents").select(arabic.tokens(arabic.normalize_index(F.col("text"), latin=True)).alias("t"))
-    following = F.concat(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
-    pairs = t.select(F.explode(F.arrays_zip("t", following.alias("n"))).alias("p")).select(F.col("p.t").alias("a"), F.col("p.n").alias("b")).where("b IS NOT NULL")
-    best = pairs.groupBy("a", "b").count().orderBy(F.desc("count"), "a", "b").first()
-    return [best["a"], best["b"]] if best else []
+    words = t.select(F.explode("t").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w")
+    wide = FREQUENT
+    while True:
+        rows = words.limit(wide + 1).collect()
+        named = [r["w"] for r in rows[:wide]]
+        mine = t.select(F.explode(F.arrays_zip(F.col("t").alias("a"), F.concat(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.array(F.lit(None).cast("string"))).alias("b"))).alias("p"))
+        pairs = mine.select("p.a", "p.b").where(F.col("a").isin(named) & F.col("b").isin(named))
+        best = pairs.groupBy("a", "b").count().orderBy(F.desc("count"), "a", "b").first() if rows else None
+        if len(rows) <= wide or (best and rows[wide]["count"] < best["count"]):
+            return [best["a"], best["b"]] if best else []
+        wide *= 8
 
 
 _PAIR = f"""{TOKENS}, pairs AS (SELECT a.doc, a.pos, a.word AS w1, b.word AS w2 FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos = a.pos + 1),
