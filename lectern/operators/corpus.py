@@ -114,7 +114,7 @@ def discovered(files: DataFrame, key: Column) -> DataFrame:
 def verse_search(verses: DataFrame, query: str) -> DataFrame:
     """Phrase search over both spellings of (id, uthmani, imlaei); the better one counts."""
     words = search.parse_query(query)
-    hits = [search.phrase_match(search.postings(verses, "id", normalize_index(F.col(c))), words).withColumn("attr", F.lit(c)) for c in ("imlaei", "uthmani")]
+    hits = [search.phrase_in_texts(verses, "id", normalize_index(F.col(c)), words).withColumn("attr", F.lit(c)) for c in ("imlaei", "uthmani")]
     best = hits[0].unionByName(hits[1]).groupBy("doc").agg(F.min(F.struct("stems", "typos", "attr", "start")).alias("b"))
     return search.verified(best.select("doc", "b.start", "b.stems", "b.typos", "b.attr"))
 

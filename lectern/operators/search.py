@@ -71,10 +71,10 @@ def vocabulary_costs(post: DataFrame, query: list[tuple[str, bool]]) -> DataFram
 
 def phrase_match(post: DataFrame, query: list[tuple[str, bool]], costs: DataFrame | None = None) -> DataFrame:
     """(doc, start, stems, typos): the best window of each document that holds the phrase in order. Few rows pass the vocabulary join, so the rest is small.
-    ``costs`` are those of ``vocabulary_costs``, where they are known. Spark broadcasts them if they are small."""
+    ``costs`` are those of ``vocabulary_costs``, where they are known: the words that a query reaches by its few edits or its stem. They are broadcast, so that no posting is shuffled or sorted for them."""
     if not query:
         return post.select("doc", F.col("pos").alias("start"), F.lit(0).alias("stems"), F.lit(0).alias("typos")).limit(0)
-    hits = post.join(vocabulary_costs(post, query) if costs is None else costs, "word").withColumn("start", F.col("pos") - F.col("qpos")).where("start >= 0")
+    hits = post.join(F.broadcast(vocabulary_costs(post, query) if costs is None else costs), "word").withColumn("start", F.col("pos") - F.col("qpos")).where("start >= 0")
     windows = hits.groupBy("doc", "start").agg(F.count("*").alias("n"), F.sum("stems").alias("stems"), F.sum("typos").alias("typos")).where(F.col("n") == len(query))
     best = F.min(F.struct("stems", "typos", "start")).alias("b")
     return windows.groupBy("doc").agg(best).select("doc", F.col("b.start").alias("start"), F.col("b.stems").alias("stems"), F.col("b.typos").alias("typos"))
@@ -98,6 +98,13 @@ def phrase_in_tokens(docs: DataFrame, doc: str, text: Column, words: list[str])
     return docs.select(F.col(doc).alias("doc"), F.explode(let(line, starts)).alias("start")).select("doc", "start", F.lit(0).alias("stems"), F.lit(0).alias("typos"))
 
 
+def phrase_in_texts(docs: DataFrame, doc: str, normal: Column, words: list[tuple[str, bool]]) -> DataFrame:
+    """``phrase_match`` over normalised texts. A phrase of strict words only needs no vocabulary and is found inside each text."""
+    if words and all(strict for _, strict in words):
+        return phrase_in_tokens(docs, doc, normal, [w for w, _ in words])
+    return phrase_match(postings(docs, doc, normal), words)
+
+
 def lexical_search(docs: DataFrame, doc: str, text: str, query: str, latin: bool = False) -> DataFrame:
     """Ranked matches of a phrase. A phrase of strict words only needs no vocabulary and is found inside each text."""
     words = parse_query(query)

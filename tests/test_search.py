@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import alignment, arabic, fuzzy
-from lectern.operators import search, smart
+from lectern.operators import corpus, search, smart
 
 
 @pytest.mark.parametrize(("a", "b", "d"), [("الصرب", "الصبر", 1), ("ca", "abc", 3), ("a", "", 1), ("abcdef", "abdcef", 1), ("", "", 0)])
@@ -91,3 +91,27 @@ def test_budget_over_all_documents_is_spent_as_by_a_loop(spark, tmp_path):
             spent, want = spent + n, [*want, i]
     assert max(want) >= 200
     assert sorted(r["id"] for r in queries()["context_budget"](spark, str(tmp_path)).collect()) == want
+
+
+def test_postings_are_not_shuffled_for_a_phrase(spark):
+    post = spark.createDataFrame([(1, 0, "there"), (1, 1, "the"), (2, 0, "their"), (2, 1, "the"), (3, 0, "the")], "doc long, pos int, word string").repartition(2)
+    got = search.phrase_match(post, [("there", False), ("the", True)])
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc"] for r in got.collect()) == [1]
+
+
+def test_strict_verses_are_found_inside_their_texts(spark):
+    v = spark.createDataFrame([(1, "of the", "of a the"), (2, "x of the", "the of"), (3, None, "of the"), (4, "of", "the")], "id long, uthmani string, imlaei string")
+    got = corpus.verse_search(v, '"of the"')
+    assert "posexplode" not in got._jdf.queryExecution().analyzed().toString()
+    assert sorted((r["doc"], r["start"], r["attr"], r["rank"]) for r in got.collect()) == [(1, 0, "uthmani", 1), (2, 1, "uthmani", 2), (3, 0, "imlaei", 3)]
+
+
+@pytest.mark.parametrize("frequent", [1, 2, 1000])
+def test_top_pair_asks_for_frequent_words_only(spark, monkeypatch, tmp_path, frequent):
+    from lectern.plans import text_queries
+
+    monkeypatch.setattr(text_queries, "FREQUENT", frequent)
+    folder = tmp_path.as_posix()
+    spark.createDataFrame([(1, "a x a y a z a x"), (2, "p q p q p q"), (3, "z p q"), (4, None), (5, "")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    assert text_queries.top_pair(spark, folder) == ["p", "q"]
