@@ -3,9 +3,11 @@
 import unicodedata
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import arabic
+from lectern.functions import alignment, arabic
+from lectern.operators import answers
 
 
 def test_composed_in_pieces(spark, monkeypatch):
@@ -23,3 +25,34 @@ def test_composed_in_pieces(spark, monkeypatch):
 def test_plain_text_is_not_sent_to_python(spark):
     sent = spark.createDataFrame([("plain é",), ("é",)], "t string").select(F.when(F.col("t").rlike(arabic.MAY_COMPOSE), F.col("t")).alias("t"))
     assert [r["t"] for r in sent.collect()] == [None, "é"]
+
+
+def test_spans_of_many_answers_are_gathered_once(spark):
+    said = ["One", "two é b a", None, " ", "five", "six"]
+    words = spark.createDataFrame([(7, i, w, i * 500, i * 500 + 400) for i, w in enumerate(said)], "transcript long, idx long, text string, start_ms long, end_ms long")
+    spans = spark.createDataFrame([(7, 0, 10_000)], "transcript long, _a long, _b long")
+    [row] = answers.span_tokens(spans, words).collect()
+    # tokens of one word are sorted, as they were when each was a row
+    assert row["text"] == "One a b two é five six" and [t["idx"] for t in row["tokens"]] == [0, 1, 1, 1, 1, 4, 5]
+    passages = spark.createDataFrame([(a, "p1", 9, 7, 0, 10_000) for a in range(50)], "answer long, passage string, segment long, transcript long, start_ms long, end_ms long")
+    cited = spark.createDataFrame([(a, 1, "p1", "two é five") for a in range(50)], "answer long, pos int, passage string, quote string")
+    got = answers.checked_citations(cited, passages, words)
+    assert {(r["n"], r["start_ms"], r["end_ms"], r["segment"]) for r in got.collect()} == {(1, 500, 2400, 9)} and got.count() == 50
+
+
+@pytest.mark.parametrize(("quote", "text"), [("two é", "one two é three two é"), ("abc", "abc"), ("3333 444", "some words of prose without a digit"), ("words of prose", "some word of prose")])
+def test_spans_without_windows(quote, text, monkeypatch):
+    """What is found word for word, or cannot be found by its letters, needs no window; the ratio stays that of all windows."""
+    want = max(((r, -k) for k, (a, b) in enumerate(zip(*alignment._windows(len(quote), len(text)), strict=True)) if (r := 200.0 * _common(quote, text[a:b]) / (len(quote) + b - a)) >= 90), default=(0.0, 0))
+    if quote in text or not want[0]:
+        monkeypatch.setattr(alignment, "_windows", None)
+    assert alignment._one_way(quote, text, 90.0)[0] == want[0]
+
+
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
