@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import alignment, arabic
-from lectern.operators import answers
+from lectern.operators import answers, smart
 
 
 def test_composed_in_pieces(spark, monkeypatch):
@@ -40,6 +40,14 @@ def test_spans_of_many_answers_are_gathered_once(spark):
     assert {(r["n"], r["start_ms"], r["end_ms"], r["segment"]) for r in got.collect()} == {(1, 500, 2400, 9)} and got.count() == 50
 
 
+def test_texts_of_windows_pass_no_sort(spark):
+    chunks = spark.createDataFrame([(t, 0, f"t{t}", 3000, 0, 900) for t in range(9)], "transcript int, idx int, text string, words int, start_ms int, end_ms int")
+    windows = spark.createDataFrame([(t, t, t, 7, 0, 0, 0, 0) for t in range(9)], "window int, priority int, transcript int, segment int, a int, b int, seed_a int, seed_b int")
+    got = smart.context(windows, chunks)
+    assert [(r["passage"], r["text"]) for r in got.collect()] == [("p1", "t0")]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(("quote", "text"), [("two é", "one two é three two é"), ("abc", "abc"), ("3333 444", "some words of prose without a digit"), ("words of prose", "some word of prose")])
 def test_spans_without_windows(quote, text, monkeypatch):
     """What is found word for word, or cannot be found by its letters, needs no window; the ratio stays that of all windows."""
