@@ -9,17 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import partial
+from operator import itemgetter
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 # --- fixed values -----------------------------------------------------------------
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LEASE_MS, LEASES = 90_000, 3
+#: Rows that a task packs by key at once.
+PACKED = 500_000
 RUNNING, COMPLETED, FAILED, SKIPPED = "running", "completed", "failed", "skipped"
 #: What may follow what; before its first row, and after it has ended, a stage of a segment is idle.
 LEGAL = {"idle": (RUNNING, FAILED), RUNNING: (COMPLETED, FAILED, SKIPPED)}
@@ -41,44 +44,87 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 class Lapsing(StatefulProcessor):
     """A key's rows in order through ``step(held, row) -> (held, output)``, and its state until ``lapses(held)``, when ``left(held, now)`` is what stays of it."""
 
-    def __init__(self, order: list[str], schema: str, start: Callable[[], list], step: Callable[[list, Any], tuple[list, Any]], lapses: Callable[[list], int | None], left: Callable[[list, int], list], columns: list[str]):
-        self.order, self.schema, self.start, self.step, self.lapses, self.left, self.columns = order, schema, start, step, lapses, left, columns
+    def __init__(self, order: list[str], schema: str, start: Callable[[], list], step: Callable[[list, Any], tuple[list, Any]], lapses: Callable[[list], int | None], left: Callable[[list, int], list], columns: list[str], out: Row):
+        self.order, self.schema, self.start, self.step, self.lapses, self.left, self.columns, self.out = order, schema, start, step, lapses, left, columns, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("held", self.schema)
 
-    def _keep(self, held: list) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+    def _held(self) -> list:
+        """What the key holds, if anything. Each call of the state or of a timer is a message to the JVM and back."""
+        got = self.state.get()
+        return [tuple(h) if isinstance(h, tuple) else h for h in got[0]] if got else []
+
+    def _keep(self, before: list, held: list, fired: bool = False) -> None:
+        """A key has one timer while it holds something, and none else; that of ``before`` tells when it is. One that has fired is dropped by Spark."""
+        if held == before:
+            if held and fired:
+                self.handle.registerTimer(self.lapses(held) + 1)
+            return
+        old, new = (self.lapses(h) + 1 if h else None for h in (before, held))
+        if old is not None and old != new and not fired:
+            self.handle.deleteTimer(old)
         if held:
             self.state.update((held,))
-            self.handle.registerTimer(self.lapses(held) + 1)
-        elif self.state.exists():
+            if old != new or fired:
+                self.handle.registerTimer(new)
+        else:
             self.state.clear()
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = [tuple(h) if hasattr(h, "__fields__") or isinstance(h, tuple) else h for h in self.state.get()[0]] if self.state.exists() else self.start()
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before = self._held()
+        held = before or self.start()
         out = []
-        for row in pd.concat(list(rows)).sort_values(self.order, kind="stable").to_dict("records"):
-            held, said = self.step(held, row)
-            if said is not None:
-                out.append((*key, *said))
-        self._keep(held)
-        yield pd.DataFrame(out, columns=self.columns)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        held = [tuple(h) if hasattr(h, "__fields__") or isinstance(h, tuple) else h for h in self.state.get()[0]] if self.state.exists() else []
-        self._keep(self.left(held, expiredTimerInfo.getExpiryTimeInMs()))
-        yield pd.DataFrame([], columns=self.columns)
+        said = (dict(zip(self.columns, values, strict=True)) for pack in rows for values in zip(*(pack[c] for c in self.columns), strict=True))
+        for row in sorted(said, key=itemgetter(*self.order)):
+            held, answer = self.step(held, row)
+            if answer is not None:
+                out.append(answer)
+        self._keep(before, held)
+        if out:
+            yield self.out(*key, *map(list, zip(*out, strict=True)))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        before = self._held()
+        self._keep(before, self.left(before, expiredTimerInfo.getExpiryTimeInMs()), True)
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def _run(stream: DataFrame, keys: list[str], processor: Lapsing, schema: str, lateness: str) -> DataFrame:
-    timed = stream.withColumn("_time", F.timestamp_millis(F.col("at"))).withWatermark("_time", lateness)
-    return timed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+def _packs(keys: list[str], columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows to one row for each key of some ``PACKED`` rows: its rows' columns as arrays, and the newest of its times."""
+
+    def packed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        made = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([*((c, "list") for c in columns), ("at", "max")])
+        return made.select([*keys, *(f"{c}_list" for c in columns), "at_max"]).rename_columns([*keys, *columns, "_newest"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED:
+                yield from packed(held)
+                held = []
+        if held:
+            yield from packed(held)
+
+    return run
+
+
+def _run(stream: DataFrame, keys: list[str], processor: Callable[[list[str], Row], Lapsing], out: str, lateness: str) -> DataFrame:
+    """A key's rows of a batch of the stream pass to its processor as few packed rows, not one by one. A pack has the time of its newest row, so that rows are dropped as late where the whole pack is."""
+    columns = [c for c in stream.columns if c not in keys]
+    kind = lambda c: stream.schema[c].dataType.simpleString()
+    plain = ", ".join(f"{k} {kind(k)}" for k in keys)
+    packed = stream.repartition(*keys).select(*keys, *columns).mapInArrow(_packs(keys, columns), f"{plain}, {', '.join(f'{c} array<{kind(c)}>' for c in columns)}, _newest {kind('at')}")
+    timed = packed.withColumn("_time", F.timestamp_millis(F.col("_newest"))).drop("_newest").withWatermark("_time", lateness)
+    names, kinds = zip(*(x.split() for x in out.split(", ")), strict=True)
+    arrays = ", ".join(f"{n} array<{k}>" for n, k in zip(names, kinds, strict=True))
+    said = timed.groupBy(*keys).transformWithState(statefulProcessor=processor(columns, Row(*keys, *names)), outputStructType=f"{plain}, {arrays}", outputMode="Append", timeMode="EventTime")
+    return said.select(*keys, F.inline(F.arrays_zip(*names)))
 
 
 def _admit(recent: list[int], at: int, limit: int, window_ms: int) -> tuple[list[int], bool]:
@@ -93,8 +139,8 @@ def rate_limit_stream(stream: DataFrame, key: str, limit: int, window_ms: int, l
         held, ok = _admit(held, int(row["at"]), limit, window_ms)
         return held, (row["id"], ok)
 
-    p = Lapsing(["at", "id"], "times array<long>", list, step, lambda held: max(held) + window_ms, lambda held, now: [t for t in held if t + window_ms >= now], [key, "id", "allowed"])
-    return _run(stream, [key], p, f"{key} {stream.schema[key].dataType.simpleString()}, id long, allowed boolean", lateness)
+    p = partial(Lapsing, ["at", "id"], "times array<long>", list, step, lambda held: max(held) + window_ms, lambda held, now: [t for t in held if t + window_ms >= now])
+    return _run(stream, [key], p, "id long, allowed boolean", lateness)
 
 
 def lease_stream(stream: DataFrame, key: str, cap: int = LEASES, ttl_ms: int = LEASE_MS, lateness: str = "0 seconds") -> DataFrame:
@@ -109,9 +155,9 @@ def lease_stream(stream: DataFrame, key: str, cap: int = LEASES, ttl_ms: int = L
         ok = len(live) < cap
         return (live + [(int(row["id"]), at + ttl_ms)] if ok else live), (row["id"], ok)
 
-    p = Lapsing(["at", "given_back_first", "id"], "leases array<struct<id:long,end:long>>", list, step, lambda held: max(x[1] for x in held), lambda held, now: [x for x in held if x[1] >= now], [key, "id", "allowed"])
+    p = partial(Lapsing, ["at", "given_back_first", "id"], "leases array<struct<id:long,end:long>>", list, step, lambda held: max(x[1] for x in held), lambda held, now: [x for x in held if x[1] >= now])
     rows = stream.withColumn("given_back_first", F.when(F.col("released"), 0).otherwise(1))
-    return _run(rows, [key], p, f"{key} {stream.schema[key].dataType.simpleString()}, id long, allowed boolean", lateness)
+    return _run(rows, [key], p, "id long, allowed boolean", lateness)
 
 
 def _transition(held: list, at: int, status: str) -> tuple[list, str]:
@@ -150,8 +196,8 @@ def run_log_stream(stream: DataFrame, keep_ms: int = 86_400_000, lateness: str =
         held, verdict = _transition(held, int(row["at"]), row["status"])
         return held, (row["id"], verdict)
 
-    p = Lapsing(["seq"], "runs array<struct<status:string,at:long>>", list, step, lambda held: held[0][1] + keep_ms, lambda held, now: [x for x in held if x[1] + keep_ms >= now], ["segment", "stage", "id", "verdict"])
-    return _run(stream, ["segment", "stage"], p, f"segment {stream.schema['segment'].dataType.simpleString()}, stage string, id long, verdict string", lateness)
+    p = partial(Lapsing, ["seq"], "runs array<struct<status:string,at:long>>", list, step, lambda held: held[0][1] + keep_ms, lambda held, now: [x for x in held if x[1] + keep_ms >= now])
+    return _run(stream, ["segment", "stage"], p, "id long, verdict string", lateness)
 
 
 def collected(stream: DataFrame, folder: str) -> DataFrame:

@@ -89,3 +89,18 @@ def test_state_store_setting_is_put_back(spark):
 
 def test_timestamps_are_milliseconds(spark):
     assert spark.range(1).select(F.timestamp_millis(F.lit(1500)).cast("double").alias("t")).first()["t"] == 1.5
+
+
+def test_rows_are_packed_by_key(spark, monkeypatch):
+    """A processor is sent a key's rows of a batch as few arrays; each row is in one of them."""
+    monkeypatch.setattr(lapsing, "PACKED", 250)
+    rows = [(i % 3 if i % 7 else None, 1000 + i, i, f"s{i}" if i % 5 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, at long, id long, status string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = df.mapInArrow(lapsing._packs(["k"], ["at", "id", "status"]), "k long, at array<long>, id array<long>, status array<string>, _newest long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 8  # four keys, 300 rows and 300
+    assert sorted(((r["k"], *x) for r in got for x in zip(r["at"], r["id"], r["status"], strict=True)), key=str) == sorted(rows, key=str)
+    assert all(r["_newest"] == max(r["at"]) for r in got)
