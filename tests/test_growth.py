@@ -64,3 +64,22 @@ def _common(a, b):
         for j, y in enumerate(b, 1):
             before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
     return row[-1]
+
+
+def test_stretches_that_cannot_hold_a_verse(monkeypatch):
+    """A verse whose tokens a document has, but nowhere close together, is not aligned; one that lies across two blocks is."""
+    verse = [f"v{k}" for k in range(10)]
+    far = [w for v in verse for w in [v] + ["x"] * 60]
+    near = ["x"] * 27 + [w for v in verse for w in (v, "y")] + ["x"] * 50
+    assert alignment.anchors(near, [(1, verse)]) == [(1, 27, 46, 10)]
+    monkeypatch.setattr(alignment, "alignments", None)
+    assert alignment.anchors(far, [(1, verse)]) == []
+
+
+def test_verses_by_codes(spark):
+    verses = [(1, "a b c d e".split()), (2, ["a", "", None, "b", "c"]), (1, "p q r s".split()), (3, "only here".split())]
+    docs = [(0, "x a b c d e y".split()), (1, None), (2, []), (3, "p q r s a b c".split()), (4, ["a", None, "", "b", "c", "only"])]
+    df = spark.createDataFrame(docs, "doc int, toks array<string>").coalesce(1)
+    got = alignment.verse_anchors(df, spark.createDataFrame(verses, "verse int, tokens array<string>").where("verse < 3"), "doc", "toks").collect()
+    want = {d: alignment.anchors([w or "" for w in t or []], [(v, [w or "" for w in s]) for v, s in verses if v < 3]) for d, t in docs}
+    assert {r["doc"]: [tuple(x) for x in r["anchors"]] for r in got} == want and want[0] and want[3]
