@@ -2,12 +2,13 @@
 
 import unicodedata
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import alignment, arabic
-from lectern.operators import answers, smart
+from lectern.operators import answers, ask, smart
 
 
 def test_composed_in_pieces(spark, monkeypatch):
@@ -40,6 +41,43 @@ def test_spans_of_many_answers_are_gathered_once(spark):
     assert {(r["n"], r["start_ms"], r["end_ms"], r["segment"]) for r in got.collect()} == {(1, 500, 2400, 9)} and got.count() == 50
 
 
+def test_a_quote_is_looked_for_once_in_a_span(spark, monkeypatch):
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("first_word int, last_word int")
+    def counted(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
+        looked.add(len(quote))
+        got = [alignment.find_span_of(q, t) or (None, None) for q, t in zip(quote, text, strict=True)]
+        return pd.DataFrame({"first_word": pd.array([g[0] for g in got], dtype="Int32"), "last_word": pd.array([g[1] for g in got], dtype="Int32")})
+
+    monkeypatch.setattr(answers, "find_span", counted)
+    words = spark.createDataFrame([(7, i, w, i * 500, i * 500 + 400) for i, w in enumerate("one two three four".split())], "transcript long, idx long, text string, start_ms long, end_ms long")
+    passages = spark.createDataFrame([(a, p, 9, 7 if p == "p1" else 8, 0, 10_000) for a in range(50) for p in ("p1", "p2")], "answer long, passage string, segment long, transcript long, start_ms long, end_ms long")
+    drafted = [("p1", "two three four"), ("p1", "two"), ("p1", "not said here"), ("p1", None), ("p2", "two three four"), ("p3", "two three four"), ("p1", "one two three")]
+    cited = spark.createDataFrame([(a, k, p, q) for a in range(50) for k, (p, q) in enumerate(drafted)], "answer long, pos int, passage string, quote string")
+    got = answers.checked_citations(cited, passages, words).collect()
+    want = [(0, None, 1, 9, 500, 1900, "two three four"), (1, "length of quote", None, 9, None, None, None), (2, "quote not found", None, 9, None, None, None), (3, "quote not found", None, 9, None, None, None),
+            (4, "quote not found", None, None, None, None, None), (5, "unknown passage", None, None, None, None, None), (6, None, 2, 9, 0, 1400, "one two three")]
+    assert len(got) == 350 and sorted({(r["pos"], r["problem"], r["n"], r["segment"], r["start_ms"], r["end_ms"], r["quote_display"]) for r in got}, key=lambda x: x[0]) == want
+    assert looked.value <= len(drafted)  # before: a row for each of the 350
+
+
+def test_what_a_generator_reads_is_made_once_for_a_text(spark):
+    chunks = spark.createDataFrame([(7, 0, "one two. three", 3, 0, 900)], "transcript int, idx int, text string, words int, start_ms int, end_ms int")
+    windows = spark.createDataFrame([(q, 7, 1, 7, 7, 0, 0, 0, 0) for q in range(40)], "question int, window int, priority int, transcript int, segment int, a int, b int, seed_a int, seed_b int")
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def first(text):
+        made.add(1)
+        return text[:3]
+
+    got = smart.context(windows, chunks, reads={"quote": first}).collect()
+    assert len(got) == 40 and {(r["passage"], r["quote"]) for r in got} == {("p1", "one")} and "text" not in got[0] and made.value == 1
+    whole = smart.context(windows, chunks).withColumnRenamed("question", "question_id")
+    assert {r["quote"] for r in ask.extractive(whole)[1].collect()} == {r["quote"] for r in ask.extractive(whole.withColumn("quote", ask.first_words(F.col("text"))).drop("text"))[1].collect()} == {"one two."}
+
+
 def test_texts_of_windows_pass_no_sort(spark):
     chunks = spark.createDataFrame([(t, 0, f"t{t}", 3000, 0, 900) for t in range(9)], "transcript int, idx int, text string, words int, start_ms int, end_ms int")
     windows = spark.createDataFrame([(t, t, t, 7, 0, 0, 0, 0) for t in range(9)], "window int, priority int, transcript int, segment int, a int, b int, seed_a int, seed_b int")
